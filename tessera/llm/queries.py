@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, mixing, packing
+from . import langid, linededup, mixing, packing, setsketch
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op4_language_id": langid.op4_language_id,
     "op5_mixing": mixing.op5_mixing,
     "op7_line_dedup": linededup.op7_line_dedup,
+    "op8_near_dedup": setsketch.op8_near_dedup,
 }
 
 ORACLES = {"op7_line_dedup": linededup.ORACLE_SQL}
