@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import htmltext, langid, linededup, mixing, packing, setsketch, toxicity
+from . import htmltext, langid, linededup, mixing, packing, pivots, setsketch, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_language_id": langid.op4_language_id,
     "op5_mixing": mixing.op5_mixing,
+    "op6_embedding_dedup": pivots.op6_embedding_dedup,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op8_near_dedup": setsketch.op8_near_dedup,
     "op9_html_extraction": htmltext.op9_html_extraction,
