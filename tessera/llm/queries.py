@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import htmltext, langid, linededup, mixing, packing, pivots, setsketch, toxicity
+from . import fingerprint, htmltext, langid, linededup, mixing, packing, pivots, setsketch, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_language_id": langid.op4_language_id,
     "op5_mixing": mixing.op5_mixing,
