@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, htmltext, langid, linededup, mixing, packing, pivots, setsketch, toxicity
+from . import fingerprint, htmltext, langid, linededup, mixing, packing, pivots, rindex, setsketch, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_embedding_dedup": pivots.op6_embedding_dedup,
     "op7_line_dedup": linededup.op7_line_dedup,
     "op8_near_dedup": setsketch.op8_near_dedup,
+    "op10_suffix_dedup": rindex.op10_suffix_dedup,
     "op9_html_extraction": htmltext.op9_html_extraction,
 }
 
