@@ -32,11 +32,17 @@ FIELDS = {
 class Row:
     """Readers over the columns ``name``, ``version`` (asked for; null if none), ``body``, ``body2``, ``body3``."""
 
-    name, asked = F.col("name"), F.col("version")
-
     def __init__(self):
-        self.doc, self.doc2, self.doc3 = (F.try_parse_json(F.col(c)) for c in ("body", "body2", "body3"))
+        self.name, self.asked = F.col("name"), F.col("version")
+        self.doc, self.doc2 = F.col("__doc"), F.col("__doc2")
         self.body, self.body2, self.body3 = F.col("body"), F.col("body2"), F.col("body3")
+        self.kept: list[tuple[str, Column]] = []
+
+    def keep(self, value: Column) -> Column:
+        """A costly expression as a column of an earlier projection, so that fields share its value."""
+        name = f"__kept{len(self.kept)}"
+        self.kept.append((name, value))
+        return F.col(name)
 
     def s(self, path: str) -> Column:
         return jstr(self.doc, path)
@@ -46,7 +52,7 @@ class Row:
 
     def at(self, path: Column) -> Column:
         """A part of the document under a computed path, as VARIANT."""
-        return F.try_parse_json(F.get_json_object(self.body, path))
+        return F.try_parse_json(F.call_function("get_json_object", self.body, path))
 
 
 def key_path(*parts) -> Column:
@@ -79,12 +85,11 @@ def flag(value: Column, word: str) -> Column:
 def npm(r: Row) -> dict:
     latest = r.s("$['dist-tags'].latest")
     version = F.coalesce(r.asked, latest, F.lit(""))
-    v = r.at(key_path("versions", version))
-    times = F.from_json(F.get_json_object(r.body, "$.time"), "map<string, string>")
-    published = rfc3339_seconds(times[version])
+    v = r.keep(r.at(key_path("versions", version)))
+    times = r.keep(F.from_json(F.get_json_object(r.body, "$.time"), "map<string, string>"))
+    published = r.keep(rfc3339_seconds(times[version]))
     releases = F.map_values(F.map_filter(times, lambda k, _: ~k.isin("created", "modified")))
-    seconds = F.transform(releases, rfc3339_seconds)
-    line = timeline(seconds, published, True)
+    line = timeline(r.keep(F.transform(releases, rfc3339_seconds)), published, True)
     keepers = jlist(r.doc, "$.maintainers", "struct<name: string>")
     publisher = jstr(v, "$._npmUser.name")
     scripts = F.json_object_keys(F.to_json(F.try_variant_get(v, "$.scripts", "variant")))
@@ -121,10 +126,10 @@ def pypi(r: Row) -> dict:
     latest = r.s("$.info.version")
     version = F.coalesce(r.asked, latest, F.lit(""))
     releases = F.from_json(F.get_json_object(r.body, "$.releases"), f"map<string, array<{_PYPI_FILE}>>")
-    files = F.coalesce(releases[version], jlist(r.doc, "$.urls", _PYPI_FILE))
+    files = r.keep(F.coalesce(releases[version], jlist(r.doc, "$.urls", _PYPI_FILE)))
     first = lambda fs: F.array_min(F.transform(fs, lambda f: rfc3339_seconds(f["upload_time_iso_8601"])))
-    published = first(files)
-    line = timeline(F.transform(F.map_values(releases), first), published, True)
+    published = r.keep(first(files))
+    line = timeline(r.keep(F.transform(F.map_values(releases), first)), published, True)
     reason = F.coalesce(F.get(F.array_compact(F.transform(files, lambda f: f["yanked_reason"])), F.lit(0)), F.lit("yanked"))
     roles = jlist(r.doc, "$.ownership.roles", "struct<role: string, user: string>")
     owner = F.coalesce(F.get(F.filter(roles, lambda x: x["role"] == "Owner"), F.lit(0)), F.get(roles, F.lit(0)))
@@ -201,9 +206,9 @@ def openvsx(r: Row) -> dict:
 def vscode(r: Row) -> dict:
     p = "$.results[0].extensions[0]"
     versions = jlist(r.doc, f"{p}.versions", "struct<version: string, lastUpdated: string>")
-    published = rfc3339_seconds(F.get(versions, F.lit(0))["lastUpdated"])
+    published = r.keep(rfc3339_seconds(F.get(versions, F.lit(0))["lastUpdated"]))
     stats = F.map_from_entries(F.transform(jlist(r.doc, f"{p}.statistics", "struct<statisticName: string, value: double>"), lambda x: F.struct(x["statisticName"], x["value"])))
-    return timeline(F.transform(versions, lambda v: rfc3339_seconds(v["lastUpdated"])), published) | {
+    return timeline(r.keep(F.transform(versions, lambda v: rfc3339_seconds(v["lastUpdated"]))), published) | {
         "ecosystem": F.lit("vscode"), "name": F.replace(r.name, F.lit("/"), F.lit(".")), "version": F.coalesce(F.get(versions, F.lit(0))["version"], F.lit("")), "published_at": published, "first_published_at": rfc3339_seconds(r.s(f"{p}.publishedDate")),
         "author": r.s(f"{p}.publisher.displayName"), "publisher": r.s(f"{p}.publisher.publisherName"), "publisher_verified": jbool(r.doc, f"{p}.publisher.isDomainVerified"), "title": r.s(f"{p}.displayName"), "description": r.s(f"{p}.shortDescription"),
         "downloads_total": stats["install"].cast("bigint"), "rating": stats["averagerating"], "rating_count": stats["ratingcount"].cast("bigint"),
@@ -220,10 +225,10 @@ def nuget(r: Row) -> dict:
     listed = jlist(r.doc, f"{data}.versions", "struct<version: string>")
     version = F.when(F.exists(listed, lambda v: F.lower(v["version"]) == F.lower(r.asked)), r.asked).otherwise(F.coalesce(latest, F.lit("")))
     pages = jlist(r.doc2, "$.items", _NUGET)
-    entries = F.transform(F.flatten(F.transform(pages, lambda p: p["items"])), lambda i: i["catalogEntry"])
+    entries = r.keep(F.transform(F.flatten(F.transform(pages, lambda p: p["items"])), lambda i: i["catalogEntry"]))
     e = F.get(F.filter(entries, lambda x: F.lower(x["version"]) == F.lower(version)), F.lit(0))
-    published = timestamp_seconds(e["published"])
-    line = timeline(F.transform(entries, lambda x: timestamp_seconds(x["published"])), published)
+    published = r.keep(timestamp_seconds(e["published"]))
+    line = timeline(r.keep(F.transform(entries, lambda x: timestamp_seconds(x["published"]))), published)
     return line | {
         "ecosystem": F.lit("nuget"), "name": F.coalesce(r.s(f"{data}.id"), r.name), "version": version, "latest_version": latest, "published_at": published, "first_published_at": F.array_min(line["release_times"]),
         "author": F.coalesce(r.s(f"{data}.authors[0]"), r.s(f"{data}.authors")), "description": r.s(f"{data}.description"), "homepage": r.s(f"{data}.projectUrl"), "downloads_total": r.u(f"{data}.totalDownloads"), "maintainers": jlen(r.doc, f"{data}.owners"),
@@ -384,9 +389,9 @@ def localized(doc, path: str) -> Column:
 
 def firefox(r: Row) -> dict:
     current = F.coalesce(r.s("$.current_version.reviewed"), r.s("$.last_updated"))
-    published = rfc3339_seconds(current)
+    published = r.keep(rfc3339_seconds(current))
     releases = jlist(r.doc2, "$.results", "struct<reviewed: string, file: struct<created: string>>")
-    return timeline(F.transform(releases, lambda x: rfc3339_seconds(F.coalesce(x["reviewed"], x["file"]["created"]))), published) | {
+    return timeline(r.keep(F.transform(releases, lambda x: rfc3339_seconds(F.coalesce(x["reviewed"], x["file"]["created"])))), published) | {
         "ecosystem": F.lit("firefox"), "name": F.coalesce(r.s("$.slug"), r.name), "version": F.coalesce(r.s("$.current_version.version"), F.lit("")), "published_at": published, "first_published_at": rfc3339_seconds(r.s("$.created")),
         "author": r.s("$.authors[0].name"), "maintainers": jlen(r.doc, "$.authors"), "title": localized(r.doc, "$.name"), "description": localized(r.doc, "$.summary"), "homepage": localized(r.doc, "$.homepage.url"),
         "license": localized(r.doc, "$.current_version.license.name"), "downloads_total": r.u("$.average_daily_users"), "downloads_recent": r.u("$.weekly_downloads"), "rating": jf64(r.doc, "$.ratings.average"), "rating_count": r.u("$.ratings.count"),
@@ -463,10 +468,13 @@ def normalize(docs: DataFrame, kind: str) -> DataFrame:
     for extra in ("body2", "body3"):
         if extra not in docs.columns:
             docs = docs.withColumn(extra, F.lit(None).cast("string"))
-    made = NORMALIZERS[kind](Row())
-    rows = docs.where("body IS NOT NULL")
+    reader = Row()
+    made = NORMALIZERS[kind](reader)
+    rows = docs.where("body IS NOT NULL").withColumns({"__doc": F.try_parse_json("body"), "__doc2": F.try_parse_json("body2")})  # parsed once, read by every field
     if kind not in ("chrome", "alpine", "wolfi", "debian", "ubuntu", "opensuse", "rpmfusion", "netbsd", "openbsd"):
-        rows = rows.where(F.try_parse_json("body").isNotNull())
+        rows = rows.where("__doc IS NOT NULL")
+    for name, value in reader.kept:
+        rows = rows.withColumn(name, value)
     return rows.select(*[(made[f].cast(t) if f in made else F.lit(None).cast(t)).alias(f) for f, t in FIELDS.items()])
 
 

@@ -111,11 +111,11 @@ def resolve_with_documents(refs: DataFrame, documents: DataFrame, locator_type:
     c = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     latest = jstr(doc, "$['dist-tags'].latest")
     npm_locator = c("pkg:npm/", purl_rest(locator), "@", latest)
-    tarball = F.get_json_object("__body", c("$.versions['", latest, "'].dist.tarball"))
+    tarball = F.call_function("get_json_object", F.col("__body"), c("$.versions['", latest, "'].dist.tarball"))
     firefox_version = F.when(version.isNull(), jstr(doc, "$.current_version.version")).otherwise(jstr(doc, "$.version"))
     firefox_url = F.when(version.isNull(), jstr(doc, "$.current_version.file.url")).when(firefox_version == version, jstr(doc, "$.file.url"))
     wanted = F.regexp_replace(version, "^v+", "")
-    releases = F.from_json(F.get_json_object("__body", c("$.packages['", path, "']")), "array<struct<version: string, dist: struct<url: string>>>")
+    releases = F.from_json(F.call_function("get_json_object", F.col("__body"), c("$.packages['", path, "']")), "array<struct<version: string, dist: struct<url: string>>>")
     composer = F.get(F.filter(releases, lambda r: F.regexp_replace(r["version"], "^v+", "") == wanted), F.lit(0))["dist"]["url"]
     publisher, name = F.substring_index(path, "/", 1), F.substring(path, F.instr(path, "/") + 1, 1 << 20)
     vscode = F.when(path.contains("/"), c("https://", publisher, ".gallery.vsassets.io/_apis/public/gallery/publisher/", publisher, "/extension/", name, "/", version, "/assetbyname/Microsoft.VisualStudio.Services.VSIXPackage"))
