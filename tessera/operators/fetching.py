@@ -50,8 +50,8 @@ def post_key(url, body) -> Column:
 
 
 def is_fresh(fetched_at, now, lifetime) -> Column:
-    """Whether an entry is no older than its lifetime; one from the future is fresh."""
-    return F.greatest(col(now) - col(fetched_at), F.lit(0)) <= col(lifetime)
+    """Whether an entry is no older than its lifetime; one from the future is fresh, no entry is null."""
+    return F.when(col(fetched_at).isNotNull(), F.greatest(col(now) - col(fetched_at), F.lit(0)) <= col(lifetime))  # greatest passes over nulls
 
 
 def needs_touch(last_access, now) -> Column:
