@@ -7,7 +7,7 @@ Which bytes a text repeats from documents with smaller ids is found in four step
    it can reach, cut at the text's ends.
 2. Classes. Anchors are dealt by hash, packed in arrays; those with equal anchor and context form a
    class. All members but the one of smallest id repeat their whole context. A class whose anchor
-   also occurs in other contexts asks for its context's bytes, once.
+   also occurs in other contexts with the same 13 bytes on one side asks for its context's bytes, once.
 3. Index. These contexts are dealt again by (anchor, 13 bytes to the right) and (anchor, 13 bytes to
    the left); two that share ``LENGTH`` bytes around an anchor share one of the two. Each share gets a
    Burrows-Wheeler transform, run-compressed, with suffix samples at run ends; the contexts stream
@@ -63,12 +63,15 @@ def _sliding(x: np.ndarray, width: int, least) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text number, place, hash, context digest, context start, context end) of all anchors, in order."""
+    """(text number, place, hash, context digest, context start, context end, side digests) of all anchors, in order.
+
+    Side digests are 16 bits of the ``SIDE`` bytes to the right and to the left; 0 where the text ends before.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     start = np.concatenate([[0], np.cumsum(sizes)])
     empty = np.zeros(0, np.int64)
     if start[-1] < LENGTH:
-        return empty, empty, empty.astype(_U), empty.astype(_U), empty, empty
+        return empty, empty, empty.astype(_U), empty.astype(_U), empty, empty, empty.astype("<u4")
     h = _grams(np.frombuffer(b"".join(texts), np.uint8))
     short = (h >> _U(32)).astype(np.uint32) | np.uint32(1)
     low = _sliding(short, SPAN + 1, np.minimum)  # one for each window of LENGTH bytes
@@ -81,8 +84,11 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     ctx = (place - a).astype(_U) * _U(131) + (b - place).astype(_U)
     for at in (a, np.minimum(a + GRAM, b - GRAM), np.minimum(a + 2 * GRAM, b - GRAM), b - GRAM):
         ctx = _mix(ctx * _B[3] + h[at])
+    right, left = place + SIDE, place - SIDE  # grams that end or begin SIDE bytes beyond the anchor
+    r = np.where(right + GRAM <= b, (_mix(h[np.minimum(right, len(h) - 1)]) >> _U(48)) | _U(1), _U(0))
+    l = np.where(left >= a, (_mix(h[np.maximum(left, 0)]) >> _U(48)) | _U(1), _U(0))
     base = start[text]
-    return text, place - base, h[place], ctx, a - base, b - base
+    return text, place - base, h[place], ctx, a - base, b - base, (r | l << _U(16)).astype("<u4")
 
 
 def _chunks(texts: list[bytes]):
@@ -118,12 +124,12 @@ def _split(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _ENTRY = "shard int, docs binary, versions binary, counts binary, marks binary, contexts binary, nth binary"
-_REPLY = "doc long, version long, shard int, cut binary, ask binary"
+_REPLY = "doc long, version long, shard int, cut binary, ask_right binary, ask_left binary"
 
 
 def _pack_entries(docs, versions, found, shards):
     """Rows of ``_ENTRY`` for one map batch of texts; ``found`` are its anchors."""
-    text, _, h, ctx = found
+    text, _, h, ctx, sides = found
     shard, mark = _split(h, shards)
     nth = _nth_in_group(text, shard)
     # equal (anchor, context) in the batch: the smallest id speaks for them if they are many
@@ -138,7 +144,7 @@ def _pack_entries(docs, versions, found, shards):
         at = np.flatnonzero(shard == s)
         local, at = at[spare[at]], at[~spare[at]]
         who, first, counts = np.unique(text[at], return_index=True, return_counts=True)
-        yield int(s), docs[who].tobytes(), versions[who].tobytes(), counts.astype("<u4").tobytes(), mark[at].astype("<u8").view("u1").reshape(-1, 8)[:, :5].tobytes(), (ctx[at] & _U(0xFFFFFFFF)).astype("<u4").tobytes(), nth[at].astype("<u4").tobytes() if spare.any() else None
+        yield int(s), docs[who].tobytes(), versions[who].tobytes(), counts.astype("<u4").tobytes(), mark[at].astype("<u8").view("u1").reshape(-1, 8)[:, :5].tobytes(), ((ctx[at] & _U(0xFFFFFFFF)) | sides[at].astype(_U) << _U(32)).astype("<u8").tobytes(), nth[at].astype("<u4").tobytes() if spare.any() else None
         if len(local):  # marks alone: their places are known to repeat
             who, first, counts = np.unique(text[local], return_index=True, return_counts=True)
             yield int(s), docs[who].tobytes(), versions[who].tobytes(), counts.astype("<u4").tobytes(), None, None, nth[local].astype("<u4").tobytes()
@@ -159,12 +165,12 @@ def _classify(table: pa.Table) -> pa.Table:
         if m is not None:
             wide[:, :5] = np.frombuffer(m, np.uint8).reshape(n, 5)
         marks.append(wide.reshape(-1).view("<u8"))
-        ctx.append(np.frombuffer(x, "<u4").astype(_U) if x is not None else np.zeros(n, _U))
+        ctx.append(np.frombuffer(x, "<u8") if x is not None else np.zeros(n, _U))
         settled.append(np.full(n, m is None))
     docs, versions, counts = np.concatenate(docs), np.concatenate(versions), np.concatenate(counts)
     owner = np.repeat(np.arange(len(docs)), counts)
     nth, marks, ctx, settled = np.concatenate(nth), np.concatenate(marks), np.concatenate(ctx), np.concatenate(settled)
-    cut, ask = settled.copy(), np.zeros(len(owner), bool)
+    cut, right, left = settled.copy(), np.zeros(len(owner), bool), np.zeros(len(owner), bool)
     live = np.flatnonzero(~settled)
     order = live[np.lexsort((docs[owner[live]], ctx[live], marks[live]))]
     if len(order):
@@ -175,11 +181,16 @@ def _classify(table: pa.Table) -> pa.Table:
         klass = np.cumsum(new_class) - 1
         cut[order] = d > d[heads][klass]
         run = (np.cumsum(new_mark) - 1)[heads]  # the anchor of each class
-        begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-        lo, hi = np.minimum.reduceat(d[heads], begin), np.maximum.reduceat(d[heads], begin)
-        ask[order[heads]] = (lo < hi)[run]
-    told = np.flatnonzero(cut | ask)
-    rows = {"doc": [], "version": [], "shard": [], "cut": [], "ask": []}
+        for shift, ask in ((32, right), (48, left)):  # only classes that also agree on one side can share LENGTH bytes
+            side = (c[heads] >> _U(shift)) & _U(0xFFFF)
+            near = np.lexsort((side, run))
+            begin = np.flatnonzero(np.r_[True, (run[near][1:] != run[near][:-1]) | (side[near][1:] != side[near][:-1])])
+            lo, hi = np.minimum.reduceat(d[heads][near], begin), np.maximum.reduceat(d[heads][near], begin)
+            group = np.zeros(len(near), np.int64)
+            group[near] = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(near)]))
+            ask[order[heads]] = (lo < hi)[group] & (side > 0)
+    told = np.flatnonzero(cut | right | left)
+    rows: dict = {"doc": [], "version": [], "shard": [], "cut": [], "ask_right": [], "ask_left": []}
     edges = np.flatnonzero(np.r_[True, owner[told][1:] != owner[told][:-1]]) if len(told) else []
     for i, j in zip(edges, [*edges[1:], len(told)]):
         at = told[i:j]
@@ -187,51 +198,67 @@ def _classify(table: pa.Table) -> pa.Table:
         rows["version"].append(versions[owner[at[0]]])
         rows["shard"].append(shard)
         rows["cut"].append(nth[at[cut[at]]].astype("<u4").tobytes())
-        rows["ask"].append(nth[at[ask[at]]].astype("<u4").tobytes())
-    return pa.table({"doc": pa.array(rows["doc"], pa.int64()), "version": pa.array(rows["version"], pa.int64()), "shard": pa.array(rows["shard"], pa.int32()), "cut": pa.array(rows["cut"], pa.binary()), "ask": pa.array(rows["ask"], pa.binary())})
+        rows["ask_right"].append(nth[at[right[at]]].astype("<u4").tobytes())
+        rows["ask_left"].append(nth[at[left[at]]].astype("<u4").tobytes())
+    return pa.table({"doc": pa.array(rows["doc"], pa.int64()), "version": pa.array(rows["version"], pa.int64()), "shard": pa.array(rows["shard"], pa.int32()), **{n: pa.array(rows[n], pa.binary()) for n in ("cut", "ask_right", "ask_left")}})
 
 
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``t`` in order of their first ``depth`` (or more) symbols, by prefix doubling."""
-    rank = t.astype(np.int64)
-    n, width = len(t), 1
-    order = np.argsort(rank, kind="stable")
-    while width < depth:
-        after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:] + 1 if width < n else 0
-        order = np.lexsort((after, rank))
-        a, b = rank[order], after[order]
-        fresh = np.r_[False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+SEED = 32
+
+
+def suffix_order(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffixes in order of ``depth`` or more symbols, rank of each by its first ``SEED``, the ranks in order).
+
+    Prefix doubling from eight symbols a machine word; equal prefixes share a rank, which is the place
+    of the first of them, so a rank and the next one bound the interval of a seed.
+    """
+    n = len(t)
+    padded = np.concatenate([t, np.zeros(8, t.dtype)]).astype(_U)
+    key = np.zeros(n, _U)
+    for i in range(8):
+        key = key << _U(8) | padded[i : i + n]
+    width, seed = 8, None
+    while True:
+        order = np.argsort(key)
+        sorted_ = key[order]
+        fresh = np.r_[True, sorted_[1:] != sorted_[:-1]] if n else np.zeros(0, bool)
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
+        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        if width == SEED:
+            seed, bounds = rank, np.flatnonzero(fresh)
+        if width >= max(depth, SEED):
+            return order, seed, bounds
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - width)] = rank[width:] + 1
+        key = (rank * (n + 1) + after).astype(_U)
         width *= 2
-        if n and rank.max() == n - 1:
-            break
-    return order
 
 
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform with the suffix samples of run ends.
 
-    ``text`` is a sequence of symbols > 0 in which every document ends with a 0. Only runs are kept:
-    their symbols, starts, and the symbol's count before each run.
+    ``text`` is a sequence of symbols 1 to 255 in which every document ends with a 0. Only runs are
+    kept: their symbols, starts, and the symbol's count before each run.
     """
 
     def __init__(self, text: np.ndarray, depth: int):
-        sa = suffix_array(text, depth)
-        bwt = text[sa - 1]  # text[-1] is a 0
+        sa, self.seed, bounds = suffix_order(text, depth)
+        bwt = text[sa - 1].astype(np.int64)  # text[-1] is a 0
         start = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
-        self.n, self.start, self.symbol = len(text), start, bwt[start].astype(np.int64)
+        self.n, self.start, self.symbol = len(text), start, bwt[start]
         length = np.diff(np.r_[start, len(bwt)])
         self.samples = sa[start + length - 1]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=257))])
+        counts = np.bincount(text, minlength=256)
+        self.first = np.concatenate([[0], np.cumsum(counts)])
         order = np.lexsort((start, self.symbol))
         before = np.cumsum(length[order]) - length[order]
         self.before, self.length = np.empty(len(start), np.int64), length
-        self.before[order] = before - np.r_[0, np.cumsum(np.bincount(self.symbol, weights=length, minlength=257))].astype(np.int64)[self.symbol[order]]
+        self.before[order] = before - self.first[self.symbol[order]]
         self.key = self.symbol[order] * (self.n + 1) + start[order]  # runs of a symbol, in order of place
         self.run = order
         self.sa = sa
+        self.seed_end = np.empty(self.n + 1, np.int64)
+        self.seed_end[bounds] = np.r_[bounds[1:], self.n]
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Occurrences of ``symbol`` in the transform before ``place``."""
@@ -246,24 +273,42 @@ class RunIndex:
 
 
 def earlier_matches(snippets: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each snippet, the offsets whose ``length`` bytes also occur in a snippet of a smaller document."""
+    """For each snippet, the offsets whose ``length`` bytes also occur in a snippet of a smaller document.
+
+    Equal snippets are indexed once, for the smallest of their documents; the others match it whole.
+    """
+    place: dict[bytes, int] = {}
+    same = np.array([place.setdefault(s, len(place)) for s in snippets], np.int64)
+    own = np.full(len(place), LAST, np.int64)
+    np.minimum.at(own, same, docs)
+    hits = _matches(list(place), own, length)
+    return [np.arange(max(0, len(s) - length + 1)) if d > own[i] else hits[i] for s, d, i in zip(snippets, docs, same)]
+
+
+#: Symbols of the index: bytes shifted by one, 255 (never in UTF-8) free for it, 0 for the ends.
+_SHIFT = bytes(min(255, b + 1) for b in range(256))
+
+
+def _matches(snippets: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
     sizes = np.array([len(s) for s in snippets], np.int64)
     start = np.concatenate([[0], np.cumsum(sizes + 1)])
-    text = np.frombuffer(b"".join(s + b"\0" for s in snippets), np.uint8).astype(np.int64)
-    gap = np.zeros(len(text), bool)
-    gap[start[1:] - 1] = True
-    text = np.where(gap, 0, text + 1)
+    text = np.frombuffer(b"\0".join(s.translate(_SHIFT) for s in snippets) + b"\0", np.uint8)
     index = RunIndex(text, length)
     owner = docs[np.searchsorted(start, index.sa, "right") - 1]  # document of each suffix, in their order
     many = np.maximum(sizes - length + 1, 0)
     who = np.repeat(np.arange(len(snippets)), many)
     offset = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
     end = start[who] + offset + length
-    live, lo, hi = np.arange(len(who)), np.zeros(len(who), np.int64), np.full(len(who), len(text))
-    for k in range(1, length + 1):  # stream all windows backwards; one that only matches itself is done
-        lo, hi = index.step(text[end[live] - k], lo, hi)
+    depth = SEED if length > SEED else 0
+    lo = index.seed[end - SEED] if depth else np.zeros(len(who), np.int64)
+    live = np.argsort(lo, kind="stable")  # neighbours in the index side by side
+    lo = lo[live]
+    hi = index.seed_end[lo] if depth else np.full(len(who), len(text))
+    for k in range(depth + 1, length + 2):  # stream all windows backwards; one that only matches itself is done
         more = hi - lo > 1
         live, lo, hi = live[more], lo[more], hi[more]
+        if k <= length:
+            lo, hi = index.step(text[end[live] - k].astype(np.int64), lo, hi)
     out = np.zeros(len(who), bool)
     if len(live):
         spots, back = np.unique(lo, return_inverse=True)
@@ -280,15 +325,17 @@ def _rows_of(batch, *names):
     return zip(*[batch.column(n).to_pylist() for n in names])
 
 
-def _told(replies, text: bytes, shards: int, field: str):
-    """Places (context start, anchor, context end) of the anchors that ``replies`` name in ``field``."""
-    _, place, h, _, a, b = anchors([text])
+def _told(replies, text: bytes, shards: int, *fields: str):
+    """For each field, places (context start, anchor, context end) of the anchors that ``replies`` name in it."""
+    _, place, h, _, a, b, _ = anchors([text])
     shard, _ = _split(h, shards)
     out = []
-    for r in replies:
-        if r[field]:
-            at = np.flatnonzero(shard == r["shard"])[np.frombuffer(r[field], "<u4")]
-            out += zip(a[at].tolist(), place[at].tolist(), b[at].tolist())
+    for field in fields:
+        out.append([])
+        for r in replies:
+            if r[field]:
+                at = np.flatnonzero(shard == r["shard"])[np.frombuffer(r[field], "<u4")]
+                out[-1] += zip(a[at].tolist(), place[at].tolist(), b[at].tolist())
     return out
 
 
@@ -331,8 +378,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             texts = [t.as_py().encode() for t in batch.column("text")]
             doc, version = batch.column("doc").to_pylist(), batch.column("version").to_pylist()
             for i, j in _chunks(texts):
-                text, _, h, ctx, _, _ = anchors(texts[i:j])
-                found.append((text + len(ids), text, h, ctx))
+                text, place, h, ctx, _, _, sides = anchors(texts[i:j])
+                found.append((text + len(ids), place, h, ctx, sides))
                 ids += doc[i:j]
                 versions += version[i:j]
                 size += sum(map(len, texts[i:j]))
@@ -344,7 +391,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     entries = rows.mapInArrow(find, _ENTRY)
     replies = work.table(entries.groupBy("shard").applyInArrow(_classify, _REPLY), "replies")
-    told = replies.groupBy("doc", "version").agg(F.collect_list(F.struct("shard", "cut", "ask")).alias("told"))
+    told = replies.groupBy("doc", "version").agg(F.collect_list(F.struct("shard", "cut", "ask_right", "ask_left")).alias("told"))
     texts = rows.repartition(shards, "doc", "version")
 
     def show(batches):
@@ -352,14 +399,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = []
             for doc, version, text, told in _rows_of(batch, "doc", "version", "text", "told"):
                 raw = text.encode()
-                for a, p, b in _told(told, raw, shards, "ask"):
-                    snippet, lead = raw[a:b], p - a
-                    core = snippet[lead : lead + GRAM]
-                    right, left = snippet[lead + GRAM : lead + GRAM + SIDE], snippet[max(0, lead - SIDE) : lead]
-                    for side, key in ((b"r", right), (b"l", left)):
-                        if len(key) == SIDE:
-                            to = int.from_bytes(hashlib.blake2b(side + core + key, digest_size=8).digest(), "little") % shards
-                            out.append((to, doc, version, a, snippet))
+                for side, places in zip((b"r", b"l"), _told(told, raw, shards, "ask_right", "ask_left")):
+                    for a, p, b in places:
+                        key = raw[p : p + GRAM + SIDE] if side == b"r" else raw[p - SIDE : p + GRAM]
+                        to = int.from_bytes(hashlib.blake2b(side + key, digest_size=8).digest(), "little") % shards
+                        out.append((to, doc, version, a, raw[a:b]))
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["to", "doc", "version", "at", "snippet"])
 
@@ -373,9 +417,9 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out["starts"].append((hit + a).astype("<i8").tobytes())
         return pa.table({"doc": pa.array(out["doc"], pa.int64()), "version": pa.array(out["version"], pa.int64()), "starts": pa.array(out["starts"], pa.binary())})
 
-    asked = told.where(F.exists("told", lambda r: F.length(r["ask"]) > 0))
+    asked = told.where(F.exists("told", lambda r: (F.length(r["ask_right"]) > 0) | (F.length(r["ask_left"]) > 0)))
     shown = texts.join(asked, ["doc", "version"]).dropDuplicates(["doc", "version"]).mapInArrow(show, "to int, doc long, version long, at long, snippet binary")
-    matched = shown.groupBy("to").applyInArrow(match, "doc long, version long, starts binary").groupBy("doc", "version").agg(F.collect_list("starts").alias("starts"))
+    matched = shown.repartition(shards, "to").groupBy("to").applyInArrow(match, "doc long, version long, starts binary").groupBy("doc", "version").agg(F.collect_list("starts").alias("starts"))
 
     def remove(batches):
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
@@ -385,7 +429,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for doc, text, told, starts in _rows_of(batch, "doc", "text", "told", "starts"):
                 raw, spans = text.encode(), []
                 if told and any(r["cut"] for r in told):
-                    spans += [(a, b) for a, _, b in _told(told, raw, shards, "cut")]
+                    spans += [(a, b) for a, _, b in _told(told, raw, shards, "cut")[0]]
                 for s in starts or ():
                     spans += [(a, a + LENGTH) for a in np.frombuffer(s, "<i8").tolist()]
                 spans = _mark_spans(spans, len(raw))
