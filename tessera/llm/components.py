@@ -22,29 +22,38 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def _digest(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(pairs: DataFrame) -> bool:
+    """Whether every node points at one root and no root points on."""
+    ends = pairs.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(pairs.select(F.col("b").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    nodes = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return nodes.where("out > 1 OR out = 1 AND into = 1").limit(1).count() == 0
 
 
 def connected_components(pairs: DataFrame, work: Workspace, max_rounds: int = 60) -> DataFrame:
     """``pairs(a, b)`` of any ordered type -> ``(node, component)`` with the smallest reachable node.
 
     Nodes without a pair do not appear. Every round writes its pairs to the shared folder, so lineage
-    stays short; the driver sees two numbers a round and never a link. Null endpoints and loops drop
+    stays short; the driver sees one count a round and never a link. Null endpoints and loops drop
     out; repeated pairs count once; an empty input gives an empty result.
     """
     now = work.table(pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    seen = _digest(now)
     for _ in range(max_rounds):
-        if not seen[0]:
+        if _settled(now):
             break
         new = work.table(_star(_star(now, True), False), "star")
         work.drop(now)
-        now, last = new, seen
-        seen = _digest(now)
-        if seen == last:
-            break
+        now = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).distinct()
+
+
+def extend_components(found: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
+    """``found(node, component)`` after further ``pairs(a, b)``; only the pairs' components are walked again."""
+    part = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
+    both = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left")
+    moved = work.table(connected_components(both.select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")), work), "moved")
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    now = found.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return now.unionByName(moved).distinct()

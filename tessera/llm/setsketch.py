@@ -7,9 +7,10 @@ candidates; the joint likelihood of two register vectors and the two set sizes r
 that cannot reach the threshold; the others are compared on their full sets.
 
 Skew: equal sets collapse into one class first. In a band bucket every class is tested against the
-bucket's smallest class only, which is linear in the bucket; what these links leave in different
-components is then compared in blocks of at most ``BLOCK`` x ``BLOCK`` rows, without the pairs inside
-the bucket's largest component. So no group meets in one task and no pair of linked copies is listed.
+bucket's smallest class only, which is linear in the bucket. Classes outside a bucket's largest
+component are then tested against other members of it, drawn for each bucket. What is still in
+different components is compared in tiles of two blocks of about ``BLOCK`` rows, which return links
+only. So no group meets in one task and no pair of copies is listed.
 """
 
 from __future__ import annotations
@@ -21,24 +22,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import connected_components
+from .components import connected_components, extend_components
 from .workspace import Workspace
 
 WORDS, PERCENT = 5, 75
-REGISTERS, BAND, BASE, RATE, TOP = 128, 4, 1.001, 20.0, 65535
-BLOCK = 512
-#: Log-likelihood that a candidate may lose at the threshold against its best fit (six standard deviations).
-SLACK = 18.0
+REGISTERS, BANDED, BAND, BASE, RATE, TOP = 256, 128, 4, 1.001, 20.0, 65535
+BLOCK, ROUNDS = 512, 1
+#: Log-likelihood that a candidate may lose at the threshold against its best fit (4.5 standard deviations).
+SLACK = 10.125
+#: Equal registers that a candidate has at least: six standard deviations below what the threshold gives.
+EQUAL = int(REGISTERS * (PERCENT / 100 - 6 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5))
 
 _FACTORS = np.random.default_rng(20240229).integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
-    """64-bit hashes of words; emptied when it has grown to a million."""
+    """64-bit hashes of words; emptied when it has grown to 300,000."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -135,65 +138,151 @@ def _by_sketch(batch) -> np.ndarray:
     return plausible(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), (u > v).sum(1), (u < v).sum(1))
 
 
-def _by_sets(batch) -> list[bool]:
-    out, recent = [], {}
-    for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-        if b not in recent:
-            recent = {b: shingles(b)} if len(recent) >= 16 else recent | {b: shingles(b)}
-        s, t = shingles(a), recent[b]
+def _blocks(buckets: DataFrame) -> DataFrame:
+    """(node, cluster, home): bucket members in blocks of about ``BLOCK``, those with the same smallest leader together."""
+    near = buckets.groupBy("node").agg(F.min("lead").alias("lead"))
+    sizes = near.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return near.join(sizes, "lead").select("node", F.xxhash64("lead").alias("cluster"), F.xxhash64("lead", F.pmod(F.xxhash64("node"), "blocks")).alias("home"))
+
+
+def _by_sets(table: pa.Table) -> pa.Table:
+    """One tile: rows with a text are its documents, the others its pairs; the pairs that reach the threshold."""
+    text, version = table.column("text").to_pylist(), table.column("x").to_numpy(zero_copy_only=False)
+    sets = {v: shingles(t) for v, t in zip(version, text) if t is not None}
+    rows = np.flatnonzero(table.column("text").is_null().to_numpy(zero_copy_only=False))
+    other, keep = table.column("y").to_numpy(zero_copy_only=False), []
+    for i in rows:
+        s, t = sets[version[i]], sets[other[i]]
         both = len(np.intersect1d(s, t, assume_unique=True))
-        out.append(100 * both >= PERCENT * (len(s) + len(t) - both) and both > 0)
-    return out
+        keep.append(both > 0 and 100 * both >= PERCENT * (len(s) + len(t) - both))
+    return table.select(["a", "b"]).take(pa.array(rows[np.array(keep, bool)] if len(rows) else rows))
+
 
+def _verified(pairs: DataFrame, classes: DataFrame, blocks: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
+    """The pairs (a, b) of class representatives that reach the threshold on their full sets.
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
-    """The pairs (a, b) of class representatives that reach the threshold on their full sets."""
+    Pairs meet in tiles of two blocks, to which each text goes once, however many pairs it has there.
+    """
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    likely = work.table(_compare(both, "n_a n_b regs_a regs_b", _by_sketch), "likely")
-    needed = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
-    held = work.table(needed.join(texts, "rep").select("rep", "text").dropDuplicates(["rep"]), "texts")
-    text = lambda x: held.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
-    return work.table(_compare(likely.join(text("a"), "a").join(text("b"), "b"), "text_a text_b", _by_sets), "links")
+    home = lambda x: blocks.select(F.col("node").alias(x), F.col("home").alias(f"home_{x}"))
+    placed = _compare(both, "n_a n_b regs_a regs_b", _by_sketch).join(home("a"), "a").join(home("b"), "b")
+    likely = work.table(placed.select("a", "b", F.least("home_a", "home_b").alias("i"), F.greatest("home_a", "home_b").alias("j")), "likely")
+    needed = likely.select("i", "j", F.explode(F.array("a", "b")).alias("rep")).distinct()
+    held = work.table(needed.select("rep").distinct().join(texts, "rep").select("rep", "text").dropDuplicates(["rep"]), "texts")
+    documents = needed.join(held, "rep").select("i", "j", F.col("rep").alias("a"), F.col("rep").alias("b"), F.xxhash64("rep").alias("x"), F.xxhash64("rep").alias("y"), "text")
+    tiles = documents.unionByName(likely.select("i", "j", "a", "b", F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y"), F.lit(None).cast("string").alias("text")))
+    return work.table(tiles.groupBy("i", "j").applyInArrow(_by_sets, likely.select("a", "b").schema), "links")
+
+
+def _parts(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """Bucket members with their component so far, of buckets that hold more than one."""
+    member = buckets.join(found, "node", "left").select("key", "node", "lead", F.coalesce("component", "node").alias("part"))
+    mixed = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    return member.join(mixed, "key", "left_semi")
+
+
+def _drawn(member: DataFrame, turn: int) -> DataFrame:
+    """Each member outside its bucket's largest component, with a member of that component drawn by hash."""
+    size = member.groupBy("key", "part").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("h"), "node")).alias("one"))
+    major = size.groupBy("key").agg(F.max(F.struct("n", "part", "one")).alias("top")).select("key", F.col("top.part").alias("major"), F.col("top.one.node").alias("b"))
+    return member.join(major, "key").where("part <> major").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _major(rows: DataFrame, of: str) -> DataFrame:
+    """The largest component of each ``of`` that holds more than one, as ``major``."""
+    sizes = rows.groupBy(of, "part").agg(F.count("*").alias("n"))
+    top = sizes.groupBy(of).agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("parts"))
+    return top.where("parts > 1").select(of, F.col("top.part").alias("major"))
 
 
-def _leftovers(buckets: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that share a bucket, lie in different components and were not tested against its leader.
+def _tiles(rows: DataFrame, of: str) -> DataFrame:
+    """(``of``, i, j) of the pairs of blocks in each ``of`` of which one has a node outside its largest component."""
+    marked = rows.join(_major(rows, of), of)
+    outside = marked.where("part <> major").select(of, F.col("home").alias("g")).distinct()
+    return marked.select(of, "home").distinct().join(outside, of).select(of, F.least("home", "g").alias("i"), F.greatest("home", "g").alias("j")).distinct()
 
-    A bucket's rows outside its largest component are compared with all its rows, in blocks.
+
+def _cells(member: DataFrame) -> DataFrame:
+    """(i, j, node, part): the nodes of every tile. Buckets matter only where they hold several clusters."""
+    nodes = member.select("node", "part", "cluster", "home").distinct()
+    each = F.explode(F.array_distinct(F.array("i", "j"))).alias("home")
+    inner = _tiles(nodes, "cluster").select("i", "j", each).join(nodes, "home")
+    several = member.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("key")
+    shared = member.join(several, "key", "left_semi")
+    across = _tiles(shared, "key").where("i <> j").select("key", "i", "j", each).join(shared, ["key", "home"])
+    columns = ["i", "j", "node", "part"]
+    return inner.select(*columns).unionByName(across.select(*columns)).distinct()
+
+
+def _rivals(part, bands, regs, n, g) -> np.ndarray:
+    """Rows before ``g`` in another component that share a band and can reach the threshold, likeliest first."""
+    other = np.flatnonzero(part[:g] != part[g])
+    other = other[(bands[other] == bands[g]).any(axis=1)]
+    alike = (regs[g] == regs[other]).sum(1)
+    other, alike = other[alike >= EQUAL], alike[alike >= EQUAL]
+    if not len(other):
+        return other
+    ok = plausible(np.full(len(other), n[g]), n[other], (regs[g] > regs[other]).sum(1), (regs[g] < regs[other]).sum(1))
+    return other[ok][np.argsort(-alike[ok], kind="stable")]
+
+
+def _sketches(table: pa.Table) -> tuple:
+    regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    bands = regs[:, :BANDED].copy().view("<u8").reshape(len(regs), -1)
+    return np.unique(table.column("part").to_numpy(), return_inverse=True)[1], bands, regs, table.column("n").to_numpy()
+
+
+def _leftovers(buckets: DataFrame, found: DataFrame, classes: DataFrame, blocks: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
+    """Links (a, b) between different components that share a bucket; enough of them to join what is linked.
+
+    Two blocks meet in a tile if a bucket or cluster has members of both and one of them lies outside
+    its largest component. Sketches alone name the documents of a tile that may link; their texts go to
+    the tile once, and it returns a forest of links: never a pair that isn't one.
     """
-    member = buckets.where("node <> lead").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    mixed = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    member = member.join(mixed, "key", "left_semi")
-    sizes = member.groupBy("key", "part").agg(F.count("*").alias("n"))
-    plan = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"))
-    plan = plan.select("key", F.col("top.part").alias("major"), F.ceil(F.col("all") / BLOCK).cast("int").alias("homes"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.n")) / BLOCK)).cast("int").alias("guests"))
-    row = member.join(plan, "key").withColumn("h", F.xxhash64("node"))
-    home = row.select("key", "node", "part", F.lit(False).alias("guest"), F.pmod("h", F.col("homes")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("j"))
-    guest = row.where("part <> major").select("key", "node", "part", F.lit(True).alias("guest"), F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("i"), F.pmod(F.shiftrightunsigned("h", 20), F.col("guests")).cast("int").alias("j"))
+    member = _parts(buckets, found).join(blocks, "node").withColumn("part", F.xxhash64("part"))
     sketches = classes.select(F.col("rep").alias("node"), "n", "regs")
-    cells = home.unionByName(guest).join(sketches, "node")
-    schema = T.StructType([T.StructField("a", cells.schema["node"].dataType), T.StructField("b", cells.schema["node"].dataType)])
+    cells = work.table(_cells(member), "cells")
+    kind = cells.schema["node"].dataType
+
+    def suspects(table: pa.Table) -> pa.Table:
+        part, bands, regs, n = _sketches(table)
+        hit = np.zeros(len(n), bool)
+        for g in range(1, len(n)):
+            other = _rivals(part, bands, regs, n, g)
+            hit[other] = True
+            hit[g] |= len(other) > 0
+        return table.select(["i", "j", "node", "part"]).filter(pa.array(hit))
+
+    likely = work.table(cells.join(sketches, "node").groupBy("i", "j").applyInArrow(suspects, cells.schema), "likely")
+    held = likely.select("node").distinct().join(texts.withColumnRenamed("rep", "node"), "node").select("node", "text").dropDuplicates(["node"])
+    full = likely.join(sketches, "node").join(held, "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        guest = np.array(table.column("guest").to_pylist(), bool)
-        nodes, part = table.column("node").to_pylist(), table.column("part").to_pylist()
-        codes: dict = {}
-        code = np.array([codes.setdefault(tuple(p.values()), len(codes)) for p in part])
-        n = table.column("n").to_numpy()
-        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
-        homes, a, b = np.flatnonzero(~guest), [], []
-        for g in np.flatnonzero(guest):
-            other = homes[code[homes] != code[g]]
-            if len(other):
-                ok = plausible(np.full(len(other), n[g]), n[other], (regs[g] > regs[other]).sum(1), (regs[g] < regs[other]).sum(1))
-                a += [nodes[g]] * int(ok.sum())
-                b += [nodes[k] for k in other[ok]]
-        kind = table.schema.field("node").type
-        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
-
-    pairs = cells.groupBy("key", "i", "j").applyInArrow(compare, schema)
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        nodes, text = table.column("node").combine_chunks(), table.column("text")
+        part, bands, regs, n = _sketches(table)
+        sets: dict = {}
+
+        def full_set(x):
+            if x not in sets:
+                sets[x] = shingles(text[x].as_py())
+            return sets[x]
+
+        a, b = [], []
+        for g in range(1, len(n)):
+            for x in _rivals(part, bands, regs, n, g):
+                if part[x] == part[g]:
+                    continue
+                s, t = full_set(int(g)), full_set(int(x))
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= PERCENT * (len(s) + len(t) - both):
+                    a.append(g)
+                    b.append(int(x))
+                    part[part == part[x]] = part[g]
+        take = lambda x: nodes.take(pa.array(x, pa.int64()))
+        return pa.table({"a": take(a), "b": take(b)})
+
+    return full.groupBy("i", "j").applyInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,19 +301,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rep = F.struct(F.col("doc").isNull().alias("late"), "doc", "version")
     classes = work.table(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min(rep).alias("rep"), F.max("n_shingles").alias("n"), F.max("regs").alias("regs")), "classes")
     width = 2 * BAND
-    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * width + 1, F.lit(width))))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDED // BAND - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * width + 1, F.lit(width))))
     keys = classes.select(F.explode(bands).alias("key"), F.col("rep").alias("node"))
     leads = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
     buckets = work.table(keys.join(leads, "key"), "buckets")
     texts = docs.select(F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version")).alias("rep"), F.col(text_col).alias("text"))
     tested = buckets.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    links = _verified(tested, classes, texts, work)
+    blocks = work.table(_blocks(buckets), "blocks")
+    links = _verified(tested, classes, blocks, texts, work)
     found = work.table(connected_components(links, work), "found")
-    rest = work.table(_leftovers(buckets, found, classes), "leftovers")
-    if rest.limit(1).count():
-        more = _verified(rest, classes, texts, work)
-        stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = work.table(connected_components(stars.unionByName(more), work), "found")
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            more = _verified(work.table(_drawn(work.table(_parts(buckets, found), "parts"), turn), "pairs"), classes, blocks, texts, work)
+        else:
+            more = work.table(_leftovers(buckets, found, classes, blocks, texts, work), "links")
+        if more.limit(1).count():
+            found = work.table(extend_components(found, more, work), "found")
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("cid", F.coalesce("component", "rep").alias("top"))
     out = rows.select("doc", "version", "n_shingles", "cid").join(named, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc")).otherwise(F.col("top.doc"))
