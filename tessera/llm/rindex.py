@@ -325,9 +325,19 @@ def _rows_of(batch, *names):
     return zip(*[batch.column(n).to_pylist() for n in names])
 
 
-def _told(replies, text: bytes, shards: int, *fields: str):
+def _each(texts: list[bytes]):
+    """(place, hash, context start, context end) of the anchors of each text, found for many texts at once."""
+    for i, j in _chunks(texts):
+        text, place, h, _, a, b, _ = anchors(texts[i:j])
+        cuts = np.searchsorted(text, np.arange(j - i + 1))
+        for k in range(j - i):
+            own = slice(cuts[k], cuts[k + 1])
+            yield place[own], h[own], a[own], b[own]
+
+
+def _told(replies, found, shards: int, *fields: str):
     """For each field, places (context start, anchor, context end) of the anchors that ``replies`` name in it."""
-    _, place, h, _, a, b, _ = anchors([text])
+    place, h, a, b = found
     shard, _ = _split(h, shards)
     out = []
     for field in fields:
@@ -397,10 +407,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def show(batches):
         for batch in batches:
             out = []
-            for doc, version, text, told in _rows_of(batch, "doc", "version", "text", "told"):
-                raw = text.encode()
-                for side, places in zip((b"r", b"l"), _told(told, raw, shards, "ask_right", "ask_left")):
-                    for a, p, b in places:
+            raws = [t.encode() for t in batch.column("text").to_pylist()]
+            for (doc, version, told), raw, found in zip(_rows_of(batch, "doc", "version", "told"), raws, _each(raws)):
+                right, left = _told(told, found, shards, "ask_right", "ask_left")
+                # a window with SIDE bytes to the right is the right side's, any other has more than SIDE to the left
+                stretches = [(b"r", p, max(a, p - SIDE), b) for a, p, b in right] + [(b"l", p, a, min(b, p - SIDE - 1 + LENGTH)) for a, p, b in left]
+                for side, p, a, b in stretches:
+                    if b - a >= LENGTH:
                         key = raw[p : p + GRAM + SIDE] if side == b"r" else raw[p - SIDE : p + GRAM]
                         to = int.from_bytes(hashlib.blake2b(side + key, digest_size=8).digest(), "little") % shards
                         out.append((to, doc, version, a, raw[a:b]))
@@ -426,10 +439,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
         for batch in batches:
             out = []
-            for doc, text, told, starts in _rows_of(batch, "doc", "text", "told", "starts"):
-                raw, spans = text.encode(), []
-                if told and any(r["cut"] for r in told):
-                    spans += [(a, b) for a, _, b in _told(told, raw, shards, "cut")[0]]
+            raws = [t.encode() for t in batch.column("text").to_pylist()]
+            told = [t if t and any(r["cut"] for r in t) else None for t in batch.column("told").to_pylist()]
+            places = _each([raw for raw, t in zip(raws, told) if t])
+            for doc, raw, t, starts in zip(batch.column("doc").to_pylist(), raws, told, batch.column("starts").to_pylist()):
+                spans = [(a, b) for a, _, b in _told(t, next(places), shards, "cut")[0]] if t else []
                 for s in starts or ():
                     spans += [(a, a + LENGTH) for a in np.frombuffer(s, "<i8").tolist()]
                 spans = _mark_spans(spans, len(raw))
