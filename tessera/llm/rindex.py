@@ -7,7 +7,8 @@ Which bytes a text repeats from documents with smaller ids is found in four step
    it can reach, cut at the text's ends.
 2. Classes. Anchors are dealt by hash, packed in arrays; those with equal anchor and context form a
    class. All members but the one of smallest id repeat their whole context. A class whose anchor
-   also occurs in other contexts with the same 13 bytes on one side asks for its context's bytes, once.
+   also occurs in other contexts with the same 13 bytes on one side asks for its context's bytes, at
+   every place the smallest id has it.
 3. Index. These contexts are dealt again by (anchor, 13 bytes to the right) and (anchor, 13 bytes to
    the left); two that share ``LENGTH`` bytes around an anchor share one of the two. Each share gets a
    Burrows-Wheeler transform, run-compressed, with suffix samples at run ends; the contexts stream
@@ -15,7 +16,7 @@ Which bytes a text repeats from documents with smaller ids is found in four step
 4. Removal. Marks are joined with the texts and the bytes cut.
 
 Hot strings: an anchor of a third of all texts is one entry a map batch (equal anchor and context in
-a batch collapse), its contexts ask once a class, and step 3 splits what is left by 37 bytes.
+a batch collapse), its contexts ask in one document a class, and step 3 splits what is left by 37 bytes.
 """
 
 from __future__ import annotations
@@ -188,7 +189,7 @@ def _classify(table: pa.Table) -> pa.Table:
             lo, hi = np.minimum.reduceat(d[heads][near], begin), np.maximum.reduceat(d[heads][near], begin)
             group = np.zeros(len(near), np.int64)
             group[near] = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(near)]))
-            ask[order[heads]] = (lo < hi)[group] & (side > 0)
+            ask[order] = (d == d[heads][klass]) & ((lo < hi)[group] & (side > 0))[klass]  # every place of the head's document
     told = np.flatnonzero(cut | right | left)
     rows: dict = {"doc": [], "version": [], "shard": [], "cut": [], "ask_right": [], "ask_left": []}
     edges = np.flatnonzero(np.r_[True, owner[told][1:] != owner[told][:-1]]) if len(told) else []

@@ -100,6 +100,26 @@ def test_repeated_bytes(docs):
     assert rindex.repeated_bytes(docs.limit(0)).count() == 0
 
 
+def test_repeated_bytes_in_self_repeating_document(spark):
+    draw = np.random.default_rng(23)
+    fresh = lambda n: "".join(draw.choice(list("abcdefghijklmnop"), n))
+    part = fresh(60)
+    block = fresh(80) + part + fresh(80)
+    twice = fresh(90) + block + fresh(70) + block + fresh(50)
+    rows = [(3, fresh(100) + part + fresh(100)), (5, twice), (5, fresh(40) + block + fresh(30)), (9, fresh(20) + block), (None, block + fresh(10) + block), (None, fresh(30) + block)]
+    want = []
+    for d, t in rows:
+        small = {t[k : k + 50] for i, t in rows for k in range(len(t) - 49) if i is not None and (d is None or i < d)}
+        mask = np.zeros(len(t), bool)
+        for k in range(len(t) - 49):
+            if t[k : k + 50] in small:
+                mask[k : k + 50] = True
+        want.append((str(d), len(t), int(mask.sum()), hashlib.sha256(np.frombuffer(t.encode(), np.uint8)[~mask].tobytes()).hexdigest()))
+    assert want[1][2] >= 120
+    got = rindex.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+
+
 def test_run_index_counts():
     text = np.frombuffer(b"banana\0ananas\0", np.uint8)
     index = rindex.RunIndex(text, 16)
