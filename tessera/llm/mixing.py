@@ -3,21 +3,25 @@
 Each source is cut into blocks of ``block`` documents. Block j of a source with weight w is released
 at floor(j / w) and due at ceil((j + 1) / w); earliest-deadline-first over one block slot at a time
 meets every window, so after any number of slots a source is less than one block away from its
-target. Weights are whole numbers of slots in a period of ``period`` slots, so the schedule of one
-period (found on the driver, its size set by parameters) repeats, and every block's slot is a closed
-form of its number: nothing is sorted or walked globally.
+target. Weights are exact fractions of the numbers given, never rounded to slots, and all blocks of
+all sources are scheduled, so the error doesn't grow with the input. The schedule is walked on the
+driver, two heap steps a block (not a row), and shipped as two numbers a block; rows are only ranked
+inside their source's buckets.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK, PERIOD, BUCKETS, MAX_SOURCES = 8, 1000, 1024, 256
+BLOCK, PERIOD, BUCKETS = 8, 1000, 1024
 
 
 def shares(weights: dict, period: int) -> dict:
@@ -31,27 +35,40 @@ def shares(weights: dict, period: int) -> dict:
     return out
 
 
-def schedule(slots: dict) -> list:
-    """The source that runs in each slot of a period, by earliest deadline among released blocks.
+def walk(weights: list, blocks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, source number) of all blocks in order, by earliest deadline among released blocks.
 
-    Ties on the deadline go to the window with the successor released early (its bit is set), then
-    by order of name. With whole shares that add up to the period every deadline is met.
+    ``weights`` are relative and taken exactly. Ties on the deadline go to the window with the
+    successor released early (its bit is set), then by number. Windows of all sources fit into one
+    slot at a time, so every deadline is met; slots of sources that have run out stay empty.
     """
-    names, period = list(slots), sum(slots.values())
-    done, ready, waiting, out = [0] * len(names), [], [(0, s) for s in range(len(names))], []
-    heapq.heapify(waiting)
-    for now in range(period):
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*[w.denominator for w in exact])
+    share = [int(w * scale) for w in exact]
+    total, now, slots, order = sum(share), 0, array("q"), array("q")
+    done, ready, waiting = [0] * len(share), [], [(0, s) for s in range(len(share)) if blocks[s]]
+    while waiting or ready:
+        if not ready:
+            now = max(now, waiting[0][0])
         while waiting and waiting[0][0] <= now:
             s = heapq.heappop(waiting)[1]
-            due = -(-(done[s] + 1) * period // slots[names[s]])
-            heapq.heappush(ready, (due, (done[s] + 1) * period % slots[names[s]] == 0, s))
+            due, early = divmod(-(done[s] + 1) * total, share[s])
+            heapq.heappush(ready, (-due, not early, s))
         due, _, s = heapq.heappop(ready)
         assert now < due, "a block missed its deadline"
-        out.append(names[s])
+        slots.append(now)
+        order.append(s)
         done[s] += 1
-        if done[s] < slots[names[s]]:
-            heapq.heappush(waiting, (done[s] * period // slots[names[s]], s))
-    return out
+        now += 1
+        if done[s] < blocks[s]:
+            heapq.heappush(waiting, (done[s] * total // share[s], s))
+    return np.array(slots, np.int64), np.array(order, np.int64)
+
+
+def schedule(slots: dict) -> list:
+    """The source that runs in each slot of a period in which each has whole ``slots``."""
+    names = list(slots)
+    return [names[s] for s in walk(list(slots.values()), list(slots.values()))[1]]
 
 
 def rank_in_source(docs: DataFrame, source: str, id_col: str, buckets: int) -> DataFrame:
@@ -69,12 +86,13 @@ def rank_in_source(docs: DataFrame, source: str, id_col: str, buckets: int) -> D
     return ranked.join(offsets, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__ob"))).withColumn("__rank", F.col("__rank") + F.col("__ahead")).drop("__h", "__b", "__s", "__ob", "__ahead")
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, *, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD, buckets: int = BUCKETS, max_sources: int = MAX_SOURCES) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict | None = None, *, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD, buckets: int = BUCKETS, max_sources: int | None = None) -> DataFrame:
     """Append ``mix_source``, ``mix_block``, ``mix_slot`` and ``mix_position`` (gapless from 0) to every row.
 
-    ``weights`` names target shares by source; sources it doesn't name, and by default all but the
-    ``max_sources`` largest, are pooled as one target named ``(rest)`` that gets what a name would
-    (the mean of the others). Default weights are the square roots of the sources' document counts.
+    ``weights`` names target shares by source; sources it doesn't name, and all but the
+    ``max_sources`` largest if that is given, are pooled as one target named ``(rest)`` that gets what
+    a name would (the mean of the others). Default weights are the square roots of the sources'
+    document counts, for every source. ``period`` has no effect: the schedule doesn't repeat.
     While every source lasts, each is less than one block from its target after any number of slots;
     when a source runs out its slots are left out and the others keep their proportions. Every row is
     placed once; null sources are one source of their own; ties of the hash go by id, repeated rows
@@ -83,10 +101,12 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, *, id_col: str = "
     rest = docs.drop("mix_source", "mix_block", "mix_slot", "mix_position")
     sizes = rest.groupBy(source_col).count()
     if weights is None:
-        largest = sizes.orderBy(F.desc("count"), source_col).limit(max_sources).collect()
-        weights = {r[0]: r[1] ** 0.5 for r in largest}
+        largest = sizes if max_sources is None else sizes.orderBy(F.desc("count"), source_col).limit(max_sources)
+        weights, every = {r[0]: r[1] ** 0.5 for r in largest.collect()}, max_sources is None
+    else:
+        every = False
     named = [k for k in weights if k is not None]
-    known = F.col(source_col).isin(named) | (F.col(source_col).isNull() if None in weights else F.lit(False))
+    known = F.lit(True) if every else F.col(source_col).isin(named) | (F.col(source_col).isNull() if None in weights else F.lit(False))
     pooled = F.when(F.coalesce(known, F.lit(False)), F.concat(F.lit("="), F.coalesce(F.col(source_col).cast("string"), F.lit("\0")))).otherwise(F.lit("(rest)"))
     targets = {"=" + ("\0" if k is None else str(k)): w for k, w in weights.items()}
     held = {r[0]: r[1] for r in sizes.groupBy(pooled.alias("s")).agg(F.sum("count")).collect()}
@@ -95,34 +115,26 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, *, id_col: str = "
     targets = {k: w for k, w in targets.items() if held.get(k) and w > 0} or {k: 1.0 for k in held}
     for k in held:
         targets.setdefault(k, min(targets.values()))
-    slots = shares(targets, period)
-    plan = schedule(slots) if slots else []
-    names = list(slots)
-    # taken[t][s]: blocks of source s in the first t slots of a period; where[s][j]: slot of its block j there
-    taken = np.zeros((len(plan) + 1, len(names)), np.int64)
-    where = {s: [] for s in names}
-    for t, s in enumerate(plan):
-        taken[t + 1] = taken[t]
-        taken[t + 1, names.index(s)] += 1
-        where[s].append(t)
-    each, total = np.array([slots[s] for s in names], np.int64), np.array([held[s] for s in names], np.int64)
-    first = np.concatenate([[0], np.cumsum(each)])[:-1] if names else np.zeros(0, np.int64)
-    flat = np.array([t for s in names for t in where[s]], np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((names, each, total, first, flat, taken, len(plan), block))
+    names = sorted(targets)
+    total = np.array([held[k] for k in names], np.int64)
+    blocks = -(-total // block)
+    slots, order = walk([targets[k] for k in names], blocks.tolist())
+    # blocks are stored by source and number, each with its slot and the documents that run earlier
+    first = np.cumsum(blocks) - blocks
+    by_source = np.argsort(order, kind="stable")
+    length = np.full(len(order), block, np.int64)
+    length[by_source[first + blocks - 1]] = total - (blocks - 1) * block
+    ahead = np.cumsum(length) - length
+    shared = docs.sparkSession.sparkContext.broadcast((names, first, slots[by_source], ahead[by_source], block))
 
     @F.pandas_udf("block long, slot long, position long")
     def place(source, rank):
         import pandas as pd
 
-        names, each, total, first, flat, taken, period, block = shared.value
-        code = pd.Index(names).get_indexer(source)
+        names, first, slots, ahead, block = shared.value
         j, inside = np.divmod(rank.to_numpy(), block)
-        turn, nth = np.divmod(j, each[code])
-        t = flat[first[code] + nth]
-        before = np.zeros(len(j), np.int64)
-        for s in range(len(names)):  # blocks of every source that run earlier, as documents
-            before += np.minimum(total[s], block * (turn * each[s] + taken[t, s]))
-        return pd.DataFrame({"block": j, "slot": turn * period + t, "position": before + inside})
+        at = first[pd.Index(names).get_indexer(source)] + j
+        return pd.DataFrame({"block": j, "slot": slots[at], "position": ahead[at] + inside})
 
     ranked = rank_in_source(rest.withColumn("mix_source", pooled), "mix_source", id_col, buckets)
     placed = ranked.withColumn("__p", place("mix_source", "__rank"))

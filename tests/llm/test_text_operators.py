@@ -116,6 +116,31 @@ def test_pfair_windows_and_mixing(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_meets_exact_weights_over_all_slots(spark):
+    def worst(rows, weights, **options):
+        out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, **options).select("source", "mix_slot").distinct().orderBy("mix_slot").collect()
+        left, done, error, total = Counter(s for _, s in rows), Counter(), 0, sum(weights.values())
+        for t, r in enumerate(out, 1):
+            done[r.source] += 1
+            assert r.mix_slot == t - 1
+            error = max(error, *[abs(done[k] - t * w / total) for k, w in weights.items()])
+            if done[r.source] * options["block"] >= left[r.source]:
+                return error, t
+
+    error, slots = worst([(i, "b" if i % 4 else "a") for i in range(32000)], {"a": 1, "b": 3}, block=2)
+    assert error < 1 and slots > 10000
+    weights = {"hot": 0.30} | {f"s{k}": 0.70 / 255 for k in range(255)}
+    rows = [(i, k) for i, k in enumerate(k for k in weights for _ in range(1400 if k == "hot" else 12))]
+    error, slots = worst(rows, weights, block=1)
+    assert error < 1 and slots > 3000
+
+
+def test_mixing_gives_every_source_its_own_target(spark):
+    rows = [(i, f"s{i % 300}") for i in range(900)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), block=1).collect()
+    assert all(r.mix_source == r.source for r in out) and sorted(r.mix_position for r in out) == list(range(900))
+
+
 def test_language_id(spark, docs):
     words = {"en": "the thing and that other with from", "de": "der die und nicht eine schön für", "fr": "être les des où à très garçon"}
     rng = np.random.default_rng(1)
