@@ -33,16 +33,29 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return near_dedup(docs).select(*docs.columns)
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put all documents in the order of the mixture: files, and rows in them, follow it."""
+#: Rests that wait together in packing: how far a document can be from its place in the mixture.
+REACH = 256
+
+
+def _in_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` in the order of the mixture: partition k holds the k-th stretch of positions, sorted."""
     parts, total = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, docs.count())
     stretch = F.floor(F.col("mix_position") * parts / total).cast("int")  # positions are gapless: equal stretches without sampling
     return mix_sources(docs).repartitionById(parts, stretch).sortWithinPartitions("mix_position").select(*docs.columns)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put all documents in the order of the mixture: files, and rows in them, follow it."""
+    return _in_order(spark, docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the mixture into sequences of 1024 ids."""
-    return pack_documents(docs)
+    """Pack the mixture into sequences of 1024 ids; sequence ids follow the mixture.
+
+    Readers deal files out by size, so the order is made again from the rows, of which it is a
+    function; each task packs one stretch, ``REACH`` rests at a time.
+    """
+    return pack_documents(_in_order(spark, docs), window=REACH)
 
 
 STAGES = [

@@ -74,3 +74,21 @@ def test_packing_stage(stages):
     for r in stages["packing"]:
         pieces[r.doc_id] += r.length
     assert dict(pieces) == {r.doc_id: len(encode(r.text or "")) + 1 for r in stages["mixing"]}
+
+
+def test_packed_sequences_follow_the_mixture(spark, tmp_path):
+    rows = [(i, ("word " * 300 if i % 4 else "word " * 20) + str(i), "en", "b" if i % 4 else "a", 0) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    P.mixing_stage(spark, docs, D).write.parquet(str(tmp_path / "mixed"))
+    pieces = P.packing_stage(spark, spark.read.parquet(str(tmp_path / "mixed")), D).orderBy("sequence_id", "offset").collect()
+    order = list(dict.fromkeys(r.doc_id for r in pieces))
+    assert len(order) == len(rows)
+    share, done, error = 1500**0.5 / (1500**0.5 + 4500**0.5), 0, 0
+    for t, i in enumerate(order, 1):
+        done += i % 4 == 0
+        if done == 1500:
+            break
+        if t <= 3500:  # both sources last that long
+            error = max(error, abs(done - t * share))
+    print("largest deviation", error)
+    assert error <= 8 + 256
