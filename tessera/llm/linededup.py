@@ -5,7 +5,8 @@ fingerprint, so any two texts that share ``run`` lines in a row share a fingerpr
 under (fingerprint, digest of the window around it): each window joins the *first* position of its
 window and nothing else, so a line that occurs in every document costs one row a window and never a
 pair of occurrences. Windows that follow one another extend the match both ways into runs, and all
-runs but the first occurrence are deleted.
+runs but the first occurrence are deleted. Where ``words`` is given, a line of so many words is a window
+by itself beside the others, whatever its neighbours.
 """
 
 from __future__ import annotations
@@ -14,35 +15,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN = 2
+LONG = 50  # words of a line that counts as a run by itself, where asked for
 
 
-def _windows(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
-    """(doc, version, at, mark, body) for each window; a text with fewer lines is one window of its own length."""
+def _windows(docs: DataFrame, id_col: str, text_col: str, run: int, words: int | None = None) -> DataFrame:
+    """(doc, version, at, span, mark, body) for each window of ``span`` lines; a text with fewer lines is one window of its own length."""
     marks = F.transform(F.split(text_col, "\n"), lambda line: F.xxhash64(line))
     starts = F.sequence(F.lit(0), F.greatest(F.size("marks") - run, F.lit(0)))
     cut = lambda at: F.slice(F.col("marks"), at + 1, F.lit(run))
-    window = F.transform(starts, lambda at: F.struct(at.alias("at"), F.array_min(cut(at)).alias("mark"), F.xxhash64(F.lit(run), cut(at)).alias("body")))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), marks.alias("marks"))
+    window = F.transform(starts, lambda at: F.struct(at.alias("at"), F.lit(run).alias("span"), F.array_min(cut(at)).alias("mark"), F.xxhash64(F.lit(run), cut(at)).alias("body")))
+    kept = [F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), marks.alias("marks")]
+    if words is not None:
+        size = F.transform(F.split(text_col, "\n"), lambda line: F.when(F.length(line) >= 2 * words - 1, F.regexp_count(line, F.lit(r"\S+"))).otherwise(0))
+        alone = F.filter(F.transform(size, lambda n, at: F.when(n >= words, at)), lambda at: at.isNotNull())
+        kept.append(alone.alias("alone"))
+        one = lambda at: F.struct(at.alias("at"), F.lit(1).alias("span"), F.get("marks", at).alias("mark"), F.xxhash64(F.lit(1), F.slice(F.col("marks"), at + 1, F.lit(1))).alias("body"))
+        window = F.concat(window, F.transform("alone", one)) if run > 1 else window
+    rows = docs.where(F.col(text_col).isNotNull()).select(*kept)
     return rows.select("doc", "version", F.inline(window))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int | None = None) -> DataFrame:
     """(doc, version, ``cut`` line numbers to delete, ``n_runs`` maximal runs) for texts that hold any."""
-    windows = _windows(docs, id_col, text_col, run)
+    windows = _windows(docs, id_col, text_col, run, words)
     place = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "version", "at")
     first = windows.groupBy("mark", "body").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").select("mark", "body", "first")
     later = windows.join(first, ["mark", "body"]).where(place != F.col("first"))
-    starts = later.groupBy("doc", "version").agg(F.array_sort(F.collect_set("at")).alias("starts"))
-    before = F.concat(F.array(F.lit(-run - 1)), F.slice("starts", F.lit(1), F.size("starts") - 1))
-    joined = F.filter(F.arrays_zip(F.col("starts").alias("s"), before.alias("b")), lambda x: x["s"] > x["b"] + run)
-    lines = F.array_distinct(F.flatten(F.transform("starts", lambda at: F.sequence(at, at + run - 1))))
-    return starts.select("doc", "version", lines.alias("cut"), F.size(joined).cast("long").alias("n_runs"))
+    starts = later.groupBy("doc", "version").agg(F.collect_set(F.struct("at", "span")).alias("starts"))
+    lines = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda w: F.sequence(w["at"], w["at"] + w["span"] - 1)))))
+    cut = starts.select("doc", "version", lines.alias("cut"))
+    before = F.concat(F.array(F.lit(-2)), F.slice("cut", F.lit(1), F.size("cut") - 1))
+    joined = F.filter(F.arrays_zip(F.col("cut").alias("c"), before.alias("b")), lambda x: x["c"] > x["b"] + 1)
+    return cut.select("doc", "version", "cut", F.size(joined).cast("long").alias("n_runs"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int | None = None) -> DataFrame:
     """Delete from each text the lines of every repeated run of ``run`` or more lines but its first.
 
-    First means: smallest (id, xxhash64 of the text, line number), a null id before all others; what
+    With ``words``, a repeated line of that many words or more is a run by itself. First means: smallest (id, xxhash64 of the text, line number), a null id before all others; what
     repeats is judged on the input, and the first occurrence keeps its lines. Adds ``lines_cut`` and
     ``runs_cut``; all rows and other columns stay (existing columns of those two names are replaced).
     A text shorter than ``run`` lines is compared as one run with texts of its own number of lines.
@@ -50,7 +60,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document and stay alike; rows with equal id and other text are different documents. No limit on
     the number of lines or copies; a text is held by one task, as in the input.
     """
-    found = repeated_runs(docs, id_col, text_col, run).withColumnsRenamed({c: f"__{c}" for c in ("doc", "version", "cut", "n_runs")})
+    found = repeated_runs(docs, id_col, text_col, run, words).withColumnsRenamed({c: f"__{c}" for c in ("doc", "version", "cut", "n_runs")})
     rest = docs.drop("lines_cut", "runs_cut")
     match = F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__version"))
     lines = F.split(text_col, "\n")

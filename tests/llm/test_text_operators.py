@@ -94,6 +94,16 @@ def test_line_dedup(docs):
     assert linededup.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_long_line_is_a_run_by_itself(spark):
+    passage = " ".join(f"word{i}" for i in range(50))
+    short = passage.rsplit(" ", 1)[0]
+    rows = [(1, f"a\n{passage}\nb"), (2, f"c\n{passage}\nd"), (3, f"e\n{short}\nf"), (4, f"g\n{short}\nh"), (5, passage), (6, passage), (7, f"i\n{passage}\nb\nj\n{passage}"), (8, f"{passage}\nk\n" * 2)]
+    got = {r.doc_id: (r.text, r.lines_cut, r.runs_cut) for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=linededup.LONG).collect()}
+    assert got[1] == (rows[0][1], 0, 0) and got[2] == ("c\nd", 1, 1)
+    assert got[3] == (rows[2][1], 0, 0) and got[4] == (rows[3][1], 0, 0)
+    assert got[5] == got[6] == ("", 1, 1) and got[7] == ("i\nj", 3, 2) and got[8] == ("k\n", 3, 2)
+
+
 def test_line_dedup_plan_is_native(docs):
     plan = linededup.line_dedup(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
