@@ -1,7 +1,7 @@
 """Named queries over the test tables, each with the SQL that states the same result.
 
 Inputs are built by SQL that both engines run as it stands (``{table}`` is filled in for each), so an
-oracle tests the operator and not the input.
+oracle tests the operator and not the input. One query, ``html_meta``, builds its own input from whole pages.
 """
 
 from __future__ import annotations
@@ -306,10 +306,21 @@ def _(df):
 
 @query("html_meta", "SELECT page_id AS k, '<meta property=\"og:title\" content=\"Page ' || page_id || '\">' || substr(html, 1, 600) || '<b>Updated</b><i> March ' || (1 + page_id % 28) || ', 2024</i> 1,' || (100 + page_id % 900) || ' users' AS html FROM {pages}", r"""
 SELECT k, 'Page ' || k AS title, CAST(epoch(TIMESTAMP '2024-03-01 00:00:00') AS BIGINT) + (k % 28) * 86400 AS updated, 1000 + 100 + k % 900 AS users FROM inp""")
-def _(df):
+def html_meta(df):
     return df.select("k", S.meta_content("html", "og:title").alias("title"), S.month_day_year_seconds(S.text_after("html", "Updated")).alias("updated"), S.grouped_number(S.number_before("html", " users")).alias("users"))
 
 
+def whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, html): all of every page between the markers that the SQL plants around its first characters."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    before = F.format_string('<meta property="og:title" content="Page %d">', "page_id")
+    after = F.format_string("<b>Updated</b><i> March %d, 2024</i> 1,%d users", 1 + F.col("page_id") % 28, 100 + F.col("page_id") % 900)
+    return pages.select(F.col("page_id").alias("k"), F.concat(before, "html", after).alias("html"))
+
+
+QUERIES["html_meta"] = lambda spark, sf_dir: html_meta(whole_pages(spark, sf_dir))
+
+
 @query("ssrf_v4", "SELECT o_orderkey AS k, (o_orderkey * 7 % 256) || '.' || (o_custkey * 13 % 260) || '.' || (o_orderkey % 256) || '.1' AS ip FROM {orders}", r"""
 , a AS (SELECT k, ip, CAST(split_part(ip, '.', 1) AS INT) AS a, CAST(split_part(ip, '.', 2) AS INT) AS b, CAST(split_part(ip, '.', 3) AS INT) AS c FROM inp)
 SELECT k, CASE WHEN b > 255 THEN NULL ELSE a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) END AS blocked FROM a""")

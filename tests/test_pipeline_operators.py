@@ -104,3 +104,11 @@ def test_sources(spark, tmp_path):
 
 def test_flagship(spark):
     assert catalogue.flagship(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_html_meta_searches_whole_pages(spark, tmp_path):
+    late = "x" * 1000 + "<b>Updated</b><i> May 5, 2023</i> 7 users" + "y" * 1000
+    spark.createDataFrame([(1, late), (2, "z" * 70000)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert catalogue.whole_pages(spark, str(tmp_path)).where("k = 2").selectExpr("length(html) > 70000 AS whole").first().whole
+    got = {r.k: (r.title, r.updated, r.users) for r in catalogue.QUERIES["html_meta"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("Page 1", 1683244800, 7), 2: ("Page 2", 1709424000, 1102)}
