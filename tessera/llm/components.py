@@ -47,13 +47,3 @@ def connected_components(pairs: DataFrame, work: Workspace, max_rounds: int = 60
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).distinct()
-
-
-def extend_components(found: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
-    """``found(node, component)`` after further ``pairs(a, b)``; only the pairs' components are walked again."""
-    part = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}"))
-    both = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left")
-    moved = work.table(connected_components(both.select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")), work), "moved")
-    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    now = found.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return now.unionByName(moved).distinct()

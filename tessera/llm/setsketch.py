@@ -2,15 +2,20 @@
 
 A document's set of word shingles becomes ``REGISTERS`` exponentially spaced, truncated minima:
 register j is floor(1 - log_b x_j), with x_j the least of one exponential draw a shingle. Registers
-of a union are the maxima of registers, and equal sets give equal registers. Bands of registers find
-candidates; the joint likelihood of two register vectors and the two set sizes rules out candidates
-that cannot reach the threshold; the others are compared on their full sets.
-
-Skew: equal sets collapse into one class first. In a band bucket every class is tested against the
-bucket's smallest class only, which is linear in the bucket. Classes outside a bucket's largest
-component are then tested against other members of it, drawn for each bucket. What is still in
-different components is compared in tiles of two blocks of about ``BLOCK`` rows, which return links
-only. So no group meets in one task and no pair of copies is listed.
+of a union are the maxima of registers, and equal sets give equal registers. Then, on classes of
+equal sets:
+
+1. Bands of registers put classes into buckets. In a bucket the joint likelihood of two register
+   vectors and the two set sizes tells which pairs can reach the threshold; a bucket answers with
+   stars (class, smallest likely class), one row a class, and their components are clusters.
+2. A cluster's texts meet once. Its pairs that share a band and are likely are compared on their full
+   sets, and the cluster answers with stars over true links.
+
+Skew: a bucket or cluster larger than a block is dealt into blocks by hash. Each block is compared in
+itself and with a few drawn pilots of the whole group, which joins nearly all that is linked; then
+only classes outside the group's largest component still travel to the other blocks. So rows that
+move are in proportion to the group, or to the group's blocks times those left outside, a task holds
+two blocks at most, and no pair is ever a row.
 """
 
 from __future__ import annotations
@@ -22,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import connected_components, extend_components
+from .components import connected_components
 from .workspace import Workspace
 
 WORDS, PERCENT = 5, 75
 REGISTERS, BANDED, BAND, BASE, RATE, TOP = 256, 128, 4, 1.001, 20.0, 65535
-BLOCK, ROUNDS = 512, 1
+#: Weight of a block (a class weighs ``1024 + 16 * shingles``, about its bytes in a task) and pilots drawn for a group of several.
+BLOCK, PILOTS = 8 << 20, 64
+#: Pairs that wait for one evaluation of the likelihood.
+CHUNK = 1 << 15
 #: Log-likelihood that a candidate may lose at the threshold against its best fit (4.5 standard deviations).
 SLACK = 10.125
 #: Equal registers that a candidate has at least: six standard deviations below what the threshold gives.
@@ -122,215 +130,221 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.mapInArrow(run, schema)
 
 
-def _compare(pairs: DataFrame, what: str, test) -> DataFrame:
-    """Keep the (a, b) of ``pairs`` for which ``test(batch)`` gives true; Arrow batches in, no shuffle."""
-
-    def run(batches):
-        for batch in batches:
-            keep = pa.array(test(batch), pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
-
-    return pairs.select("a", "b", *what.split()).mapInArrow(run, pairs.select("a", "b").schema)
-
-
-def _by_sketch(batch) -> np.ndarray:
-    u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("regs_a", "regs_b"))
-    return plausible(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), (u > v).sum(1), (u < v).sum(1))
-
-
-def _blocks(buckets: DataFrame) -> DataFrame:
-    """(node, cluster, home): bucket members in blocks of about ``BLOCK``, those with the same smallest leader together."""
-    near = buckets.groupBy("node").agg(F.min("lead").alias("lead"))
-    sizes = near.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    return near.join(sizes, "lead").select("node", F.xxhash64("lead").alias("cluster"), F.xxhash64("lead", F.pmod(F.xxhash64("node"), "blocks")).alias("home"))
-
-
-def _by_sets(table: pa.Table) -> pa.Table:
-    """One tile: rows with a text are its documents, the others its pairs; the pairs that reach the threshold."""
-    text, version = table.column("text").to_pylist(), table.column("x").to_numpy(zero_copy_only=False)
-    sets = {v: shingles(t) for v, t in zip(version, text) if t is not None}
-    rows = np.flatnonzero(table.column("text").is_null().to_numpy(zero_copy_only=False))
-    other, keep = table.column("y").to_numpy(zero_copy_only=False), []
-    for i in rows:
-        s, t = sets[version[i]], sets[other[i]]
-        both = len(np.intersect1d(s, t, assume_unique=True))
-        keep.append(both > 0 and 100 * both >= PERCENT * (len(s) + len(t) - both))
-    return table.select(["a", "b"]).take(pa.array(rows[np.array(keep, bool)] if len(rows) else rows))
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, blocks: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
-    """The pairs (a, b) of class representatives that reach the threshold on their full sets.
-
-    Pairs meet in tiles of two blocks, to which each text goes once, however many pairs it has there.
+class _Forest:
+    """Union-find over the rows of a batch, with labels as an array for vectorised tests."""
+
+    def __init__(self, start: np.ndarray):
+        _, first, self.label = np.unique(start, return_index=True, return_inverse=True)
+        self.root = list(range(len(first)))
+        self.of, self.joined = self.label.copy(), False
+
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(self.of[a].tolist(), self.of[b].tolist()):
+            x, y = self.find(x), self.find(y)
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+                self.joined = True
+
+    def settle(self) -> None:
+        if self.joined:
+            self.label = np.array([self.find(x) for x in range(len(self.root))], np.int64)[self.of]
+            self.joined = False
+
+
+def _linked(sets: dict, table: pa.Table, forest: _Forest, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the pairs that reach the threshold on full sets; all partners of one row are counted at once."""
+
+    def full(x: int) -> np.ndarray:
+        if x not in sets:
+            sets[x] = shingles(table.column("text")[x].as_py())
+        return sets[x]
+
+    order = np.lexsort((b, a))
+    edges = np.flatnonzero(np.r_[True, a[order][1:] != a[order][:-1], True]) if len(a) else []
+    for i, j in zip(edges[:-1], edges[1:]):
+        x = int(a[order[i]])
+        other = b[order[i:j]]
+        top = forest.find(int(forest.of[x]))
+        other = other[[forest.find(int(c)) != top for c in forest.of[other]]]
+        if not len(other):
+            continue
+        s, parts = full(x), [full(int(y)) for y in other]
+        size = np.array([len(t) for t in parts])
+        flat = np.concatenate(parts)
+        hit = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
+        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+        good = other[100 * both >= PERCENT * (len(s) + size - both)]
+        forest.join(np.full(len(good), x), good)
+
+
+def _stars(table: pa.Table, exact: bool) -> pa.Table:
+    """Whole cells, in order of ``cell`` -> (a, b): each row that a link joins, with its component's first row.
+
+    ``part`` holds components known before; rows of one part aren't compared. In a bucket (``band`` not
+    negative) a pair counts where its first equal band is the bucket's, so it is looked at once.
     """
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    home = lambda x: blocks.select(F.col("node").alias(x), F.col("home").alias(f"home_{x}"))
-    placed = _compare(both, "n_a n_b regs_a regs_b", _by_sketch).join(home("a"), "a").join(home("b"), "b")
-    likely = work.table(placed.select("a", "b", F.least("home_a", "home_b").alias("i"), F.greatest("home_a", "home_b").alias("j")), "likely")
-    needed = likely.select("i", "j", F.explode(F.array("a", "b")).alias("rep")).distinct()
-    held = work.table(needed.select("rep").distinct().join(texts, "rep").select("rep", "text").dropDuplicates(["rep"]), "texts")
-    documents = needed.join(held, "rep").select("i", "j", F.col("rep").alias("a"), F.col("rep").alias("b"), F.xxhash64("rep").alias("x"), F.xxhash64("rep").alias("y"), "text")
-    tiles = documents.unionByName(likely.select("i", "j", "a", "b", F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y"), F.lit(None).cast("string").alias("text")))
-    return work.table(tiles.groupBy("i", "j").applyInArrow(_by_sets, likely.select("a", "b").schema), "links")
-
-
-def _parts(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """Bucket members with their component so far, of buckets that hold more than one."""
-    member = buckets.join(found, "node", "left").select("key", "node", "lead", F.coalesce("component", "node").alias("part"))
-    mixed = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    return member.join(mixed, "key", "left_semi")
-
-
-def _drawn(member: DataFrame, turn: int) -> DataFrame:
-    """Each member outside its bucket's largest component, with a member of that component drawn by hash."""
-    size = member.groupBy("key", "part").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("h"), "node")).alias("one"))
-    major = size.groupBy("key").agg(F.max(F.struct("n", "part", "one")).alias("top")).select("key", F.col("top.part").alias("major"), F.col("top.one.node").alias("b"))
-    return member.join(major, "key").where("part <> major").select(F.col("node").alias("a"), "b").distinct()
-
-
-def _major(rows: DataFrame, of: str) -> DataFrame:
-    """The largest component of each ``of`` that holds more than one, as ``major``."""
-    sizes = rows.groupBy(of, "part").agg(F.count("*").alias("n"))
-    top = sizes.groupBy(of).agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("parts"))
-    return top.where("parts > 1").select(of, F.col("top.part").alias("major"))
-
-
-def _tiles(rows: DataFrame, of: str) -> DataFrame:
-    """(``of``, i, j) of the pairs of blocks in each ``of`` of which one has a node outside its largest component."""
-    marked = rows.join(_major(rows, of), of)
-    outside = marked.where("part <> major").select(of, F.col("home").alias("g")).distinct()
-    return marked.select(of, "home").distinct().join(outside, of).select(of, F.least("home", "g").alias("i"), F.greatest("home", "g").alias("j")).distinct()
-
-
-def _cells(member: DataFrame) -> DataFrame:
-    """(i, j, node, part): the nodes of every tile. Buckets matter only where they hold several clusters."""
-    nodes = member.select("node", "part", "cluster", "home").distinct()
-    each = F.explode(F.array_distinct(F.array("i", "j"))).alias("home")
-    inner = _tiles(nodes, "cluster").select("i", "j", each).join(nodes, "home")
-    several = member.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("key")
-    shared = member.join(several, "key", "left_semi")
-    across = _tiles(shared, "key").where("i <> j").select("key", "i", "j", each).join(shared, ["key", "home"])
-    columns = ["i", "j", "node", "part"]
-    return inner.select(*columns).unionByName(across.select(*columns)).distinct()
-
-
-def _rivals(part, bands, regs, n, g) -> np.ndarray:
-    """Rows before ``g`` in another component that share a band and can reach the threshold, likeliest first."""
-    other = np.flatnonzero(part[:g] != part[g])
-    other = other[(bands[other] == bands[g]).any(axis=1)]
-    alike = (regs[g] == regs[other]).sum(1)
-    other, alike = other[alike >= EQUAL], alike[alike >= EQUAL]
-    if not len(other):
-        return other
-    ok = plausible(np.full(len(other), n[g]), n[other], (regs[g] > regs[other]).sum(1), (regs[g] < regs[other]).sum(1))
-    return other[ok][np.argsort(-alike[ok], kind="stable")]
-
-
-def _sketches(table: pa.Table) -> tuple:
+    table = table.combine_chunks()
+    cell, band, n = (table.column(c).to_numpy() for c in ("cell", "band", "n"))
     regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
     bands = regs[:, :BANDED].copy().view("<u8").reshape(len(regs), -1)
-    return np.unique(table.column("part").to_numpy(), return_inverse=True)[1], bands, regs, table.column("n").to_numpy()
-
-
-def _leftovers(buckets: DataFrame, found: DataFrame, classes: DataFrame, blocks: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
-    """Links (a, b) between different components that share a bucket; enough of them to join what is linked.
-
-    Two blocks meet in a tile if a bucket or cluster has members of both and one of them lies outside
-    its largest component. Sketches alone name the documents of a tile that may link; their texts go to
-    the tile once, and it returns a forest of links: never a pair that isn't one.
-    """
-    member = _parts(buckets, found).join(blocks, "node").withColumn("part", F.xxhash64("part"))
-    sketches = classes.select(F.col("rep").alias("node"), "n", "regs")
-    cells = work.table(_cells(member), "cells")
+    end = np.searchsorted(cell, cell, "right")
+    forest, sets = _Forest(table.column("part").to_numpy()), {}
+    start = forest.label.copy()
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def flush():
+        a, b, alike = (np.concatenate(x) for x in zip(*waiting))
+        waiting.clear()
+        sure = alike >= REGISTERS * PERCENT / 100  # their best estimate is above the threshold
+        if not exact:
+            forest.join(a[sure], b[sure])
+            forest.settle()
+            left = ~sure & (forest.label[a] != forest.label[b])
+            a, b = a[left], b[left]
+            sure = np.zeros(len(a), bool)
+        ok = sure.copy()
+        ok[~sure] = plausible(n[a[~sure]], n[b[~sure]], (regs[a[~sure]] > regs[b[~sure]]).sum(1), (regs[a[~sure]] < regs[b[~sure]]).sum(1))
+        if exact:
+            _linked(sets, table, forest, a[ok & sure], b[ok & sure])
+            _linked(sets, table, forest, a[ok & ~sure], b[ok & ~sure])
+        else:
+            forest.join(a[ok], b[ok])
+        forest.settle()
+
+    i, d, held = np.arange(len(cell)), 0, 0
+    while len(i):
+        d += 1
+        i = i[i + d < end[i]]
+        for at in range(0, len(i), CHUNK):
+            a = i[at : at + CHUNK]
+            b = a + d
+            a, b = (x[(forest.label[a] != forest.label[b]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))] for x in (a, b))
+            same = bands[a] == bands[b]
+            meet = same.any(1) & ((band[a] < 0) | (same.argmax(1) == band[a]))
+            a, b = a[meet], b[meet]
+            alike = (regs[a] == regs[b]).sum(1)
+            near = alike >= EQUAL
+            if near.any():
+                waiting.append((a[near], b[near], alike[near]))
+                held += int(near.sum())
+            if held >= CHUNK:
+                flush()
+                held = 0
+    if waiting:
+        flush()
+    first = np.full(len(forest.root), len(cell))
+    np.minimum.at(first, forest.label, np.arange(len(cell)))
+    part = np.full(len(forest.root), -1)
+    part[forest.label] = start
+    grown = np.zeros(len(forest.root), bool)
+    np.logical_or.at(grown, forest.label, part[forest.label] != start)
+    out = np.flatnonzero(grown[forest.label] & (first[forest.label] != np.arange(len(cell))))
+    node = table.column("node").combine_chunks()
+    return pa.table({"a": node.take(pa.array(out)), "b": node.take(pa.array(first[forest.label[out]]))})
+
+
+def _tested(cells: DataFrame, payload: DataFrame, exact: bool) -> DataFrame:
+    """Stars (a, b) of all ``cells(cell, node, part, band)``; cells are sorted in their partition and read as a stream."""
     kind = cells.schema["node"].dataType
 
-    def suspects(table: pa.Table) -> pa.Table:
-        part, bands, regs, n = _sketches(table)
-        hit = np.zeros(len(n), bool)
-        for g in range(1, len(n)):
-            other = _rivals(part, bands, regs, n, g)
-            hit[other] = True
-            hit[g] |= len(other) > 0
-        return table.select(["i", "j", "node", "part"]).filter(pa.array(hit))
-
-    likely = work.table(cells.join(sketches, "node").groupBy("i", "j").applyInArrow(suspects, cells.schema), "likely")
-    held = likely.select("node").distinct().join(texts.withColumnRenamed("rep", "node"), "node").select("node", "text").dropDuplicates(["node"])
-    full = likely.join(sketches, "node").join(held, "node")
-
-    def compare(table: pa.Table) -> pa.Table:
-        nodes, text = table.column("node").combine_chunks(), table.column("text")
-        part, bands, regs, n = _sketches(table)
-        sets: dict = {}
-
-        def full_set(x):
-            if x not in sets:
-                sets[x] = shingles(text[x].as_py())
-            return sets[x]
-
-        a, b = [], []
-        for g in range(1, len(n)):
-            for x in _rivals(part, bands, regs, n, g):
-                if part[x] == part[g]:
-                    continue
-                s, t = full_set(int(g)), full_set(int(x))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= PERCENT * (len(s) + len(t) - both):
-                    a.append(g)
-                    b.append(int(x))
-                    part[part == part[x]] = part[g]
-        take = lambda x: nodes.take(pa.array(x, pa.int64()))
-        return pa.table({"a": take(a), "b": take(b)})
-
-    return full.groupBy("i", "j").applyInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            last = batch.column("cell")[batch.num_rows - 1].as_py()
+            if held[0].column("cell")[0].as_py() == last:
+                continue  # one cell so far: at most two blocks
+            table = pa.Table.from_batches(held)
+            cut = int(np.searchsorted(table.column("cell").to_numpy(), last))
+            yield from _stars(table.slice(0, cut), exact).combine_chunks().to_batches()
+            held = table.slice(cut).to_batches()
+        if held:
+            yield from _stars(pa.Table.from_batches(held), exact).combine_chunks().to_batches()
+
+    full = cells.join(payload, "node").repartition("cell").sortWithinPartitions("cell")
+    return full.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def _links(groups: DataFrame, payload: DataFrame, exact: bool, work: Workspace) -> DataFrame:
+    """Stars over the links in each group of ``groups(group, node, band, blocks, members)``, enough to join what is linked."""
+    several, home = F.col("blocks") > 1, F.pmod(F.xxhash64(F.lit("home"), "node"), F.col("blocks"))
+    pilot = several & (F.pmod(F.xxhash64(F.lit("pilot"), "node"), F.col("members")) < PILOTS)
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    at = F.explode(F.when(pilot, everywhere).otherwise(F.array(home))).alias("at")
+    own = F.xxhash64(F.lit("part"), "node").alias("part")
+    cells = groups.select("group", "node", "band", at).select(F.xxhash64("group", "at").alias("cell"), "node", own, "band")
+    found = work.table(_tested(cells, payload, exact), "stars")
+    large = groups.where(several)
+    if not large.limit(1).count():
+        return found
+    inside = large.join(connected_components(found, work), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    inside = work.table(inside, "parts")
+    top = inside.groupBy("group", "part").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", "part")).alias("top"), F.count("*").alias("parts"))
+    marked = inside.join(top.where("parts > 1").select("group", F.col("top.part").alias("major"), F.col("top.n").alias("n_major")), "group")
+    decks = F.greatest(F.lit(1), F.ceil((F.col("members") - F.col("n_major")) * F.col("blocks") / F.col("members"))).cast("long")
+    marked = marked.withColumns({"decks": decks, "part": F.xxhash64("part"), "major": F.xxhash64("major")})
+    deck = F.pmod(F.xxhash64(F.lit("deck"), "node"), F.col("decks"))
+    strangers = marked.where("part <> major").select("group", "node", "part", "band", F.explode(everywhere).alias("at"), deck.alias("deck"))
+    others = marked.select("group", "node", "part", "band", home.alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("decks") - 1)).alias("deck"))
+    met = others.unionByName(strangers).select(F.xxhash64("group", "at", "deck").alias("cell"), "node", "part", "band").distinct()
+    return found.unionByName(work.table(_tested(met, payload, exact), "more-stars"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc, version, n_shingles, component_id, kept) for every row of ``docs``.
 
     Documents link when 100 * |A and B| >= 75 * |A or B| over their distinct 5-word shingles (ASCII
     lower-cased words between ASCII blanks; fewer words: the whole sequence as one). ``component_id``
     is the smallest id reachable over links, ``kept`` whether it is the row's own. Null, empty and
     blank texts have no shingle and link with nothing. Rows with equal id and text are one document;
-    rows with equal id and other text are compared like any; a null id comes after all others. Bands
-    miss a link at exactly 0.75 with a chance of about 5 in a million, less above; everything else is
-    exact. An empty table gives none.
+    rows with equal id and other text are compared like any; a null id comes after all others. Every
+    link is confirmed on full sets. The bands miss a link at exactly 0.75 with a chance of about 5 in a
+    million and the likelihood about 3 in a million, less above. An empty table gives none.
+    Intermediate tables are dropped before the result, a small written table, is returned.
     """
     work = Workspace(docs.sparkSession, "near-dedup")
     rows = work.table(sketch(docs, id_col, text_col), "sketch")
     rep = F.struct(F.col("doc").isNull().alias("late"), "doc", "version")
-    classes = work.table(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min(rep).alias("rep"), F.max("n_shingles").alias("n"), F.max("regs").alias("regs")), "classes")
+    classes = work.table(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min(rep).alias("node"), F.max("n_shingles").alias("n"), F.max("regs").alias("regs")), "classes")
     width = 2 * BAND
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDED // BAND - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * width + 1, F.lit(width))))
-    keys = classes.select(F.explode(bands).alias("key"), F.col("rep").alias("node"))
-    leads = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
-    buckets = work.table(keys.join(leads, "key"), "buckets")
-    texts = docs.select(F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version")).alias("rep"), F.col(text_col).alias("text"))
-    tested = buckets.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    blocks = work.table(_blocks(buckets), "blocks")
-    links = _verified(tested, classes, blocks, texts, work)
-    found = work.table(connected_components(links, work), "found")
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            more = _verified(work.table(_drawn(work.table(_parts(buckets, found), "parts"), turn), "pairs"), classes, blocks, texts, work)
-        else:
-            more = work.table(_leftovers(buckets, found, classes, blocks, texts, work), "links")
-        if more.limit(1).count():
-            found = work.table(extend_components(found, more, work), "found")
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("cid", F.coalesce("component", "rep").alias("top"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDED // BAND - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring("regs", i * width + 1, F.lit(width))).alias("group")))
+    keys = classes.select(F.inline(bands), "node")
+    sizes = keys.groupBy("group").agg(F.count("*").alias("members")).where("members > 1")
+    blocks = F.ceil(F.col("members") * 2048 / block).cast("long")
+    buckets = work.table(keys.join(sizes, "group").select("group", "node", "band", blocks.alias("blocks"), "members"), "buckets")
+    sketches = classes.select("node", "n", "regs")
+    clusters = work.table(connected_components(_links(buckets, sketches, False, work), work).select("node", F.xxhash64("component").alias("group")), "clusters")
+    weight = clusters.join(classes.select("node", "n"), "node").groupBy("group").agg(F.ceil(F.sum(1024 + 16 * F.col("n")) / block).cast("long").alias("blocks"), F.count("*").alias("members"))
+    groups = work.table(clusters.join(weight, "group").select("group", "node", F.lit(-1).alias("band"), "blocks", "members"), "groups")
+    texts = docs.select(F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version")).alias("node"), F.col(text_col).alias("text"))
+    whole = work.table(clusters.select("node").join(texts, "node").groupBy("node").agg(F.first("text").alias("text")).join(sketches, "node"), "texts")
+    found = connected_components(_links(groups, whole, True, work), work)
+    named = classes.select("cid", "node").join(found, "node", "left").select("cid", F.coalesce("component", "node").alias("top"))
     out = rows.select("doc", "version", "n_shingles", "cid").join(named, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc")).otherwise(F.col("top.doc"))
-    return out.select("doc", "version", "n_shingles", component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))
+    result = work.table(out.select("doc", "version", "n_shingles", component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept")), "result")
+    work.keep(result)
+    return result
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group (the smallest id); all columns stay.
 
     Of rows with equal id and text one stays. Documents without words are no duplicates and all stay.
+    Columns may have any names; an empty table stays empty.
     """
-    marks = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc").alias("__doc"), F.col("version").alias("__version")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__version"))
-    return docs.join(marks, same).dropDuplicates(["__doc", "__version"]).drop("__doc", "__version")
+    key = lambda i, v: F.struct(F.col(i).alias("doc"), v.alias("version"))
+    marks = near_duplicates(docs, id_col, text_col).where("kept").select(key("doc", F.col("version")).alias("key")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key(id_col, F.xxhash64(text_col)).alias("key"))
+    return rows.join(marks, "key").dropDuplicates(["key"]).select("row.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,14 +55,15 @@ def test_connected_components(spark):
     assert connected_components(df.limit(0), Workspace(spark, "test")).count() == 0
 
 
-def test_near_duplicates(spark, docs):
+@pytest.mark.parametrize("block", [setsketch.BLOCK, 12_000])  # the second deals groups into many blocks
+def test_near_duplicates(spark, docs, block):
     rows = corpus_rows
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
     sets = [set(setsketch.shingles(rows[k][1]).tolist()) for k in order]
     links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     root = components(len(sets), links)
     want = sorted((str(rows[order[k]][0]), len(sets[k]), str(rows[order[root[k]]][0])) for k in range(len(sets)))
-    got = setsketch.near_duplicates(docs).collect()
+    got = setsketch.near_duplicates(docs, block=block).collect()
     assert sorted((str(r.doc), r.n_shingles, str(r.component_id)) for r in got) == want
     assert all(r.kept == (r.doc == r.component_id) for r in got if r.doc is not None)
     kept = setsketch.near_dedup(docs)
@@ -70,6 +71,27 @@ def test_near_duplicates(spark, docs):
     assert setsketch.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_dealt_into_blocks(spark):
+    """A chain of versions, in which only neighbours link, and unlinked relatives of it, in many blocks."""
+    draw = np.random.default_rng(5)
+    words, rows = [f"c{i}" for i in range(80)], []
+    for i in range(60):
+        words[int(draw.integers(80))] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    for i in range(60, 90):
+        other = rows[0][1].split()
+        for k in draw.choice(80, 6, replace=False):
+            other[k] = f"o{i}.{k}"
+        rows.append((i, " ".join(other)))
+    sets = [set(setsketch.shingles(t).tolist()) for _, t in rows]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = components(len(sets), links)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (10_000, 40_000):
+        got = {r.doc: r.component_id for r in setsketch.near_duplicates(df, block=block).collect()}
+        assert [got[i] for i in range(len(rows))] == want
+
+
 def test_sketch_estimates():
     a = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
     for shared, ok in ((1000, True), (880, True), (400, False), (0, False)):
