@@ -325,7 +325,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = clusters.join(classes.select("node", "n"), "node").groupBy("group").agg(F.ceil(F.sum(1024 + 16 * F.col("n")) / block).cast("long").alias("blocks"), F.count("*").alias("members"))
     groups = work.table(clusters.join(weight, "group").select("group", "node", F.lit(-1).alias("band"), "blocks", "members"), "groups")
     texts = docs.select(F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version")).alias("node"), F.col(text_col).alias("text"))
-    whole = work.table(clusters.select("node").join(texts, "node").groupBy("node").agg(F.first("text").alias("text")).join(sketches, "node"), "texts")
+    # both sides grow with the corpus: never broadcast, so that all sizes have one plan
+    whole = work.table(clusters.select("node").hint("merge").join(texts, "node").groupBy("node").agg(F.first("text").alias("text")).join(sketches, "node"), "texts")
     found = connected_components(_links(groups, whole, True, work), work)
     named = classes.select("cid", "node").join(found, "node", "left").select("cid", F.coalesce("component", "node").alias("top"))
     out = rows.select("doc", "version", "n_shingles", "cid").join(named, "cid", "left")
