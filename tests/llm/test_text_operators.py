@@ -110,22 +110,30 @@ def test_line_dedup_plan_is_native(docs):
 
 
 def test_pfair_windows_and_mixing(spark):
-    slots = mixing.shares({"a": 5.0, "b": 3.0, "c": 0.01, None: 1.0}, 97)
-    plan, done = mixing.schedule(slots), Counter()
-    for t, s in enumerate(plan, 1):
+    slots, order = mixing.walk([5.0, 3.0, 0.01, 1.0], [500, 300, 1, 100])
+    done = Counter()
+    for t, s in enumerate(order.tolist(), 1):
         done[s] += 1
-        assert all(abs(done[k] - t * n / 97) < 1 for k, n in slots.items())
+        assert all(abs(done[k] - t * w / 9.01) < 1 for k, w in enumerate([5.0, 3.0, 0.01, 1.0])) and slots[t - 1] == t - 1
     rows = [(i, s) for i, s in enumerate(["a"] * 60 + ["b"] * 25 + [None] * 10 + ["c"] * 2)] + [(0, "a")]
     df = spark.createDataFrame(rows, "doc_id long, source string")
-    out = mixing.mix_sources(df, {"a": 3, "b": 1}, block=2, period=40, buckets=4).orderBy("mix_position").collect()
+    out = mixing.mix_sources(df, {"a": 3, "b": 1, "c": 0}, block=2, buckets=4).orderBy("mix_position").collect()
     assert [r.mix_position for r in out] == list(range(len(rows))) and Counter((r.doc_id, r.source) for r in out) == Counter(rows)
     a = b = 0
-    for r in out[:40]:
+    for r in out[:80]:
         a, b = a + (r.source == "a"), b + (r.source == "b")
-        assert abs(a - 3 * b) <= 8
+        assert a >= 61 or abs(a - 3 * b) <= 8
+    assert {r.source for r in out[-12:]} == {None, "c"}  # without a weight, or with weight 0: last
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a", "x", 3), (1, "a", "x", 3), (None, None, None, None)], "doc_id long, source string, __b string, rank int")
+    out = mixing.mix_sources(df)
+    assert out.columns == [*df.columns, "mix_source", "mix_block", "mix_slot", "mix_position"]
+    assert sorted(map(str, out.select(*df.columns).collect())) == sorted(map(str, df.collect())) and sorted(r.mix_position for r in out.collect()) == [0, 1, 2]
+
+
 def test_mixing_meets_exact_weights_over_all_slots(spark):
     def worst(rows, weights, **options):
         out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, **options).select("source", "mix_slot").distinct().orderBy("mix_slot").collect()
