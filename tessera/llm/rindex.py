@@ -1,22 +1,26 @@
 """Suffix-array dedup of repeated byte strings with a run-length (r-) index.
 
-Which bytes a text repeats from documents with smaller ids is found in four steps.
+Which bytes a text repeats from documents with smaller ids is found in four steps. Texts are dealt by
+hash into packets of about ``PACKET`` bytes; all that is said about a packet is packed into few rows.
 
 1. Anchors. Every window of ``LENGTH`` bytes selects its smallest rolling hash of ``GRAM`` bytes, so
    equal windows hold equal anchors at equal places. An anchor's context is all that windows around
    it can reach, cut at the text's ends.
-2. Classes. Anchors are dealt by hash, packed in arrays; those with equal anchor and context form a
-   class. All members but the one of smallest id repeat their whole context. A class whose anchor
-   also occurs in other contexts with the same 13 bytes on one side asks for its context's bytes, at
-   every place the smallest id has it.
+2. Classes. Anchors are dealt by hash into shards; those with equal anchor and context form a class.
+   All members but those of the smallest id repeat their whole context. A class whose anchor also
+   occurs in other contexts with the same 13 bytes on one side asks for its context's bytes, at every
+   place the smallest id has it. Equality is that of over 100 bits of digests.
 3. Index. These contexts are dealt again by (anchor, 13 bytes to the right) and (anchor, 13 bytes to
    the left); two that share ``LENGTH`` bytes around an anchor share one of the two. Each share gets a
-   Burrows-Wheeler transform, run-compressed, with suffix samples at run ends; the contexts stream
-   through it backwards, all windows at once, and a window whose match reaches a smaller id is marked.
-4. Removal. Marks are joined with the texts and the bytes cut.
-
-Hot strings: an anchor of a third of all texts is one entry a map batch (equal anchor and context in
-a batch collapse), its contexts ask in one document a class, and step 3 splits what is left by 37 bytes.
+   run-compressed Burrows-Wheeler transform. From every end of every context a matching statistic
+   is streamed backwards: the longest string that ends there and occurs twice, up to ``LENGTH``. Ends
+   that reach it fall into intervals, and because all contexts of the share are streamed, the ends of
+   an interval are all its occurrences: those of larger ids than its smallest are marked. So the
+   bytes themselves decide here, and suffix samples to locate occurrences aren't needed.
+4. Removal. Marks meet their packet and the bytes are cut.
+
+Hot strings: of equal anchors with equal contexts a packet sends one, and only what surrounds a hot
+string in different ways asks for bytes, where equal contexts count once.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from .workspace import Workspace
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM  # how far a window can reach beyond an anchor on either side
 SIDE = SPAN // 2
-BATCH_BYTES, CHUNK = 4 << 20, 1 << 18
+PACKET, CHUNK, SHARD_BYTES = 4 << 20, 1 << 18, 16 << 20
 LAST = (1 << 63) - 1  # orders a null id after all others
 
 _U = np.uint64
@@ -64,15 +68,15 @@ def _sliding(x: np.ndarray, width: int, least) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text number, place, hash, context digest, context start, context end, side digests) of all anchors, in order.
+    """(text number, place, context start, context end, hash, context digest, digests to the right and left) of all anchors, in order.
 
-    Side digests are 16 bits of the ``SIDE`` bytes to the right and to the left; 0 where the text ends before.
+    A side's digest is that of the anchor and ``SIDE`` more bytes; 0 where the text ends before.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     start = np.concatenate([[0], np.cumsum(sizes)])
     empty = np.zeros(0, np.int64)
     if start[-1] < LENGTH:
-        return empty, empty, empty.astype(_U), empty.astype(_U), empty, empty, empty.astype("<u4")
+        return empty, empty, empty, empty, *[empty.astype(_U)] * 4
     h = _grams(np.frombuffer(b"".join(texts), np.uint8))
     short = (h >> _U(32)).astype(np.uint32) | np.uint32(1)
     low = _sliding(short, SPAN + 1, np.minimum)  # one for each window of LENGTH bytes
@@ -86,10 +90,10 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     for at in (a, np.minimum(a + GRAM, b - GRAM), np.minimum(a + 2 * GRAM, b - GRAM), b - GRAM):
         ctx = _mix(ctx * _B[3] + h[at])
     right, left = place + SIDE, place - SIDE  # grams that end or begin SIDE bytes beyond the anchor
-    r = np.where(right + GRAM <= b, (_mix(h[np.minimum(right, len(h) - 1)]) >> _U(48)) | _U(1), _U(0))
-    l = np.where(left >= a, (_mix(h[np.maximum(left, 0)]) >> _U(48)) | _U(1), _U(0))
+    r = np.where(right + GRAM <= b, _mix(h[place] * _B[5] + h[np.minimum(right, len(h) - 1)]) | _U(1), _U(0))
+    l = np.where(left >= a, _mix(h[place] * _B[7] + h[np.maximum(left, 0)]) | _U(1), _U(0))
     base = start[text]
-    return text, place - base, h[place], ctx, a - base, b - base, (r | l << _U(16)).astype("<u4")
+    return text, place - base, a - base, b - base, h[place], ctx, r, l
 
 
 def _chunks(texts: list[bytes]):
@@ -104,111 +108,101 @@ def _chunks(texts: list[bytes]):
         yield at, len(texts)
 
 
-def _nth_in_group(*keys: np.ndarray) -> np.ndarray:
-    """For rows in order, how many earlier rows have equal keys."""
-    order = np.lexsort(keys[::-1])
-    change = np.zeros(len(order), bool)
-    if len(order):
-        change[0] = True
-        for k in keys:
-            s = k[order]
-            change[1:] |= s[1:] != s[:-1]
-    first = np.maximum.accumulate(np.where(change, np.arange(len(order)), 0))
-    out = np.empty(len(order), np.int64)
-    out[order] = np.arange(len(order)) - first
-    return out
-
-
 def _split(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """(shard, 40 further bits) of an anchor's hash."""
     return ((h >> _U(40)) % _U(shards)).astype(np.int64), h & _U((1 << 40) - 1)
 
 
-_ENTRY = "shard int, docs binary, versions binary, counts binary, marks binary, contexts binary, nth binary"
-_REPLY = "doc long, version long, shard int, cut binary, ask_right binary, ask_left binary"
-
-
-def _pack_entries(docs, versions, found, shards):
-    """Rows of ``_ENTRY`` for one map batch of texts; ``found`` are its anchors."""
-    text, _, h, ctx, sides = found
-    shard, mark = _split(h, shards)
-    nth = _nth_in_group(text, shard)
-    # equal (anchor, context) in the batch: the smallest id speaks for them if they are many
-    order = np.lexsort((docs[text], ctx, h))
-    same = np.zeros(len(order), bool)
-    same[1:] = (h[order][1:] == h[order][:-1]) & (ctx[order][1:] == ctx[order][:-1])
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
-    later = np.zeros(len(order), bool)
-    later[order] = docs[text][order] > docs[text][order][head]
-    spare = later if later.mean() > 0.25 else np.zeros(len(order), bool)
-    for s in np.unique(shard):
-        at = np.flatnonzero(shard == s)
-        local, at = at[spare[at]], at[~spare[at]]
-        who, first, counts = np.unique(text[at], return_index=True, return_counts=True)
-        yield int(s), docs[who].tobytes(), versions[who].tobytes(), counts.astype("<u4").tobytes(), mark[at].astype("<u8").view("u1").reshape(-1, 8)[:, :5].tobytes(), ((ctx[at] & _U(0xFFFFFFFF)) | sides[at].astype(_U) << _U(32)).astype("<u8").tobytes(), nth[at].astype("<u4").tobytes() if spare.any() else None
-        if len(local):  # marks alone: their places are known to repeat
-            who, first, counts = np.unique(text[local], return_index=True, return_counts=True)
-            yield int(s), docs[who].tobytes(), versions[who].tobytes(), counts.astype("<u4").tobytes(), None, None, nth[local].astype("<u4").tobytes()
+_ENTRY = "packet long, shard int, docs binary, counts binary, marks binary, contexts binary"
+_REPLY = "packet long, shard int, cut binary, ask_right binary, ask_left binary, texts binary, starts binary"
+_SNIPPET = "to int, packet long, number int, doc long, at long, snippet binary"
+_MATCH = "packet long, texts binary, starts binary"
+
+
+class Packet:
+    """The rows of one packet in order of (id, text), with their anchors.
+
+    ``later`` marks anchors whose context a smaller id of the same packet has: known to repeat.
+    """
+
+    def __init__(self, table: pa.Table, shards: int):
+        docs, texts = table.column("doc").to_pylist(), table.column("text").to_pylist()
+        order = sorted(range(len(docs)), key=lambda k: (docs[k], texts[k]))
+        self.docs = np.array([docs[k] for k in order], np.int64)
+        self.texts = [texts[k] for k in order]
+        parts = []
+        for i, j in _chunks(self.texts):
+            text, *more = anchors(self.texts[i:j])
+            parts.append((text + i, *more))
+        self.text, self.place, self.start, self.end, self.hash, ctx, self.right, self.left = (np.concatenate(c) for c in zip(*parts))
+        self.shard, self.mark = _split(self.hash, shards)
+        sides = (self.right >> _U(48) | self.right & _U(1)) | (self.left >> _U(48) | self.left & _U(1)) << _U(16)
+        self.context = (ctx & _U(0xFFFFFFFF)) | sides << _U(32)
+        order = np.lexsort((self.text, ctx, self.hash))
+        same = np.zeros(len(order), bool)
+        same[1:] = (self.hash[order][1:] == self.hash[order][:-1]) & (ctx[order][1:] == ctx[order][:-1])
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
+        doc = self.docs[self.text[order]]
+        self.later = np.zeros(len(order), bool)
+        self.later[order] = doc > doc[head]
+
+    def sent(self, shard: int) -> np.ndarray:
+        """The anchors of which a shard is told, in order."""
+        return np.flatnonzero((self.shard == shard) & ~self.later)
+
+    def told(self, replies: pa.Table, field: str) -> np.ndarray:
+        """The anchors that ``replies`` name in ``field``."""
+        out = []
+        for shard, bits in zip(replies.column("shard").to_pylist(), replies.column(field).to_pylist()):
+            if shard is not None and bits:
+                at = self.sent(shard)
+                out.append(at[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).view(bool)])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _binary(*columns) -> list[pa.Array]:
+    return [pa.array(c, pa.binary()) for c in columns]
 
 
 def _classify(table: pa.Table) -> pa.Table:
-    """One shard's entries -> which anchors of which text repeat their context, and which must show it."""
-    shard = table.column("shard")[0].as_py()
-    docs, versions, counts, nth, marks, ctx, settled = [], [], [], [], [], [], []
-    for d, v, c, m, x, k in zip(*[table.column(n).to_pylist() for n in ("docs", "versions", "counts", "marks", "contexts", "nth")]):
-        c = np.frombuffer(c, "<u4").astype(np.int64)
-        docs.append(np.frombuffer(d, "<i8"))
-        versions.append(np.frombuffer(v, "<i8"))
-        counts.append(c)
-        n = int(c.sum())
-        nth.append(np.frombuffer(k, "<u4").astype(np.int64) if k is not None else np.arange(n) - np.repeat(np.cumsum(c) - c, c))
-        wide = np.zeros((n, 8), np.uint8)
-        if m is not None:
-            wide[:, :5] = np.frombuffer(m, np.uint8).reshape(n, 5)
+    """One shard's entries -> for each entry, which anchors repeat their context and which must show it, as bits."""
+    docs, marks, ctx, sizes = [], [], [], []
+    for d, c, m, x in zip(*[table.column(n).to_pylist() for n in ("docs", "counts", "marks", "contexts")]):
+        docs.append(np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(c, "<u4")))
+        wide = np.zeros((len(docs[-1]), 8), np.uint8)
+        wide[:, :5] = np.frombuffer(m, np.uint8).reshape(-1, 5)
         marks.append(wide.reshape(-1).view("<u8"))
-        ctx.append(np.frombuffer(x, "<u8") if x is not None else np.zeros(n, _U))
-        settled.append(np.full(n, m is None))
-    docs, versions, counts = np.concatenate(docs), np.concatenate(versions), np.concatenate(counts)
-    owner = np.repeat(np.arange(len(docs)), counts)
-    nth, marks, ctx, settled = np.concatenate(nth), np.concatenate(marks), np.concatenate(ctx), np.concatenate(settled)
-    cut, right, left = settled.copy(), np.zeros(len(owner), bool), np.zeros(len(owner), bool)
-    live = np.flatnonzero(~settled)
-    order = live[np.lexsort((docs[owner[live]], ctx[live], marks[live]))]
-    if len(order):
-        d, m, c = docs[owner[order]], marks[order], ctx[order]
-        new_mark = np.r_[True, m[1:] != m[:-1]]
-        new_class = new_mark | np.r_[True, c[1:] != c[:-1]]
-        heads = np.flatnonzero(new_class)
-        klass = np.cumsum(new_class) - 1
-        cut[order] = d > d[heads][klass]
-        run = (np.cumsum(new_mark) - 1)[heads]  # the anchor of each class
-        for shift, ask in ((32, right), (48, left)):  # only classes that also agree on one side can share LENGTH bytes
-            side = (c[heads] >> _U(shift)) & _U(0xFFFF)
-            near = np.lexsort((side, run))
-            begin = np.flatnonzero(np.r_[True, (run[near][1:] != run[near][:-1]) | (side[near][1:] != side[near][:-1])])
-            lo, hi = np.minimum.reduceat(d[heads][near], begin), np.maximum.reduceat(d[heads][near], begin)
-            group = np.zeros(len(near), np.int64)
-            group[near] = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(near)]))
-            ask[order] = (d == d[heads][klass]) & ((lo < hi)[group] & (side > 0))[klass]  # every place of the head's document
-    told = np.flatnonzero(cut | right | left)
-    rows: dict = {"doc": [], "version": [], "shard": [], "cut": [], "ask_right": [], "ask_left": []}
-    edges = np.flatnonzero(np.r_[True, owner[told][1:] != owner[told][:-1]]) if len(told) else []
-    for i, j in zip(edges, [*edges[1:], len(told)]):
-        at = told[i:j]
-        rows["doc"].append(docs[owner[at[0]]])
-        rows["version"].append(versions[owner[at[0]]])
-        rows["shard"].append(shard)
-        rows["cut"].append(nth[at[cut[at]]].astype("<u4").tobytes())
-        rows["ask_right"].append(nth[at[right[at]]].astype("<u4").tobytes())
-        rows["ask_left"].append(nth[at[left[at]]].astype("<u4").tobytes())
-    return pa.table({"doc": pa.array(rows["doc"], pa.int64()), "version": pa.array(rows["version"], pa.int64()), "shard": pa.array(rows["shard"], pa.int32()), **{n: pa.array(rows[n], pa.binary()) for n in ("cut", "ask_right", "ask_left")}})
+        ctx.append(np.frombuffer(x, "<u8"))
+        sizes.append(len(docs[-1]))
+    docs, marks, ctx = np.concatenate(docs), np.concatenate(marks), np.concatenate(ctx)
+    cut, right, left = (np.zeros(len(docs), bool) for _ in range(3))
+    order = np.lexsort((docs, ctx, marks))
+    d, m, c = docs[order], marks[order], ctx[order]
+    new_mark = np.r_[True, m[1:] != m[:-1]]
+    new_class = new_mark | np.r_[True, c[1:] != c[:-1]]
+    heads = np.flatnonzero(new_class)
+    klass = np.cumsum(new_class) - 1
+    cut[order] = d > d[heads][klass]
+    run = (np.cumsum(new_mark) - 1)[heads]  # the anchor of each class
+    for shift, ask in ((32, right), (48, left)):  # only classes that also agree on one side can share LENGTH bytes
+        side = (c[heads] >> _U(shift)) & _U(0xFFFF)
+        near = np.lexsort((side, run))
+        begin = np.flatnonzero(np.r_[True, (run[near][1:] != run[near][:-1]) | (side[near][1:] != side[near][:-1])])
+        lo, hi = np.minimum.reduceat(d[heads][near], begin), np.maximum.reduceat(d[heads][near], begin)
+        group = np.zeros(len(near), np.int64)
+        group[near] = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(near)]))
+        ask[order] = (d == d[heads][klass]) & ((lo < hi)[group] & (side > 0))[klass]  # every place of the head's document
+    ends = np.cumsum(sizes)
+    bits = [[np.packbits(x[e - n : e]).tobytes() for e, n in zip(ends, sizes)] for x in (cut, right, left)]
+    none = pa.nulls(len(sizes), pa.binary())
+    return pa.table([table.column("packet"), table.column("shard"), *_binary(*bits), none, none], names=["packet", "shard", "cut", "ask_right", "ask_left", "texts", "starts"])
 
 
 SEED = 32
 
 
 def suffix_order(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffixes in order of ``depth`` or more symbols, rank of each by its first ``SEED``, the ranks in order).
+    """(suffixes in order of ``depth`` or more symbols, rank of each by its first ``SEED``, places of new ranks).
 
     Prefix doubling from eight symbols a machine word; equal prefixes share a rank, which is the place
     of the first of them, so a rank and the next one bound the interval of a seed.
@@ -218,7 +212,7 @@ def suffix_order(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.
     key = np.zeros(n, _U)
     for i in range(8):
         key = key << _U(8) | padded[i : i + n]
-    width, seed = 8, None
+    width, seed, bounds = 8, np.zeros(n, np.int64), np.zeros(0, np.int64)
     while True:
         order = np.argsort(key)
         sorted_ = key[order]
@@ -236,28 +230,26 @@ def suffix_order(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class RunIndex:
-    """Run-compressed Burrows-Wheeler transform with the suffix samples of run ends.
+    """Run-compressed Burrows-Wheeler transform with a table of the intervals of all ``SEED``-symbol strings.
 
-    ``text`` is a sequence of symbols 1 to 255 in which every document ends with a 0. Only runs are
-    kept: their symbols, starts, and the symbol's count before each run.
+    ``text`` is a sequence of symbols 1 to 255 in which every document ends with a 0. The suffix order
+    serves to build it and isn't kept; of the transform only runs are: their symbols, starts and
+    lengths, and the symbol's count before each run.
     """
 
     def __init__(self, text: np.ndarray, depth: int):
-        sa, self.seed, bounds = suffix_order(text, depth)
-        bwt = text[sa - 1].astype(np.int64)  # text[-1] is a 0
+        order, self.seed, bounds = suffix_order(text, depth)
+        bwt = text[order - 1].astype(np.int64)  # text[-1] is a 0
         start = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         self.n, self.start, self.symbol = len(text), start, bwt[start]
-        length = np.diff(np.r_[start, len(bwt)])
-        self.samples = sa[start + length - 1]
-        counts = np.bincount(text, minlength=256)
-        self.first = np.concatenate([[0], np.cumsum(counts)])
-        order = np.lexsort((start, self.symbol))
-        before = np.cumsum(length[order]) - length[order]
-        self.before, self.length = np.empty(len(start), np.int64), length
-        self.before[order] = before - self.first[self.symbol[order]]
-        self.key = self.symbol[order] * (self.n + 1) + start[order]  # runs of a symbol, in order of place
-        self.run = order
-        self.sa = sa
+        self.length = np.diff(np.r_[start, len(bwt)])
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=256))])
+        by_symbol = np.lexsort((start, self.symbol))
+        before = np.cumsum(self.length[by_symbol]) - self.length[by_symbol]
+        self.before = np.empty(len(start), np.int64)
+        self.before[by_symbol] = before - self.first[self.symbol[by_symbol]]
+        self.key = self.symbol[by_symbol] * (self.n + 1) + start[by_symbol]  # runs of a symbol, in order of place
+        self.run = by_symbol
         self.seed_end = np.empty(self.n + 1, np.int64)
         self.seed_end[bounds] = np.r_[bounds[1:], self.n]
 
@@ -295,70 +287,37 @@ def _matches(snippets: list[bytes], docs: np.ndarray, length: int) -> list[np.nd
     start = np.concatenate([[0], np.cumsum(sizes + 1)])
     text = np.frombuffer(b"\0".join(s.translate(_SHIFT) for s in snippets) + b"\0", np.uint8)
     index = RunIndex(text, length)
-    owner = docs[np.searchsorted(start, index.sa, "right") - 1]  # document of each suffix, in their order
     many = np.maximum(sizes - length + 1, 0)
     who = np.repeat(np.arange(len(snippets)), many)
     offset = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
     end = start[who] + offset + length
     depth = SEED if length > SEED else 0
     lo = index.seed[end - SEED] if depth else np.zeros(len(who), np.int64)
-    live = np.argsort(lo, kind="stable")  # neighbours in the index side by side
-    lo = lo[live]
     hi = index.seed_end[lo] if depth else np.full(len(who), len(text))
-    for k in range(depth + 1, length + 2):  # stream all windows backwards; one that only matches itself is done
+    live = np.flatnonzero(hi - lo > 1)
+    live = live[np.argsort(lo[live])]  # neighbours in the index side by side
+    lo, hi = lo[live], hi[live]
+    for k in range(depth + 1, length + 1):  # a string that occurs once has reached its statistic, under ``length``
+        lo, hi = index.step(text[end[live] - k].astype(np.int64), lo, hi)
         more = hi - lo > 1
-        live, lo, hi = live[more], lo[more], hi[more]
-        if k <= length:
-            lo, hi = index.step(text[end[live] - k].astype(np.int64), lo, hi)
+        live, lo = live[more], lo[more]
+        hi = hi[more]
     out = np.zeros(len(who), bool)
     if len(live):
-        spots, back = np.unique(lo, return_inverse=True)
-        ends = np.zeros(len(spots), np.int64)
-        ends[back] = hi
-        padded = np.r_[owner, LAST]
-        least = np.minimum.reduceat(padded, np.stack([spots, ends], 1).reshape(-1))[::2]
-        out[live] = least[back] < docs[who[live]]
+        order = np.argsort(lo, kind="stable")
+        begin = np.flatnonzero(np.r_[True, lo[order][1:] != lo[order][:-1]])
+        doc = docs[who[live[order]]]
+        out[live[order]] = np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.r_[begin, len(doc)])) < doc
     bounds = np.cumsum(many)
     return [offset[b - m : b][out[b - m : b]] for b, m in zip(bounds, many)]
 
 
-def _rows_of(batch, *names):
-    return zip(*[batch.column(n).to_pylist() for n in names])
-
-
-def _each(texts: list[bytes]):
-    """(place, hash, context start, context end) of the anchors of each text, found for many texts at once."""
-    for i, j in _chunks(texts):
-        text, place, h, _, a, b, _ = anchors(texts[i:j])
-        cuts = np.searchsorted(text, np.arange(j - i + 1))
-        for k in range(j - i):
-            own = slice(cuts[k], cuts[k + 1])
-            yield place[own], h[own], a[own], b[own]
-
-
-def _told(replies, found, shards: int, *fields: str):
-    """For each field, places (context start, anchor, context end) of the anchors that ``replies`` name in it."""
-    place, h, a, b = found
-    shard, _ = _split(h, shards)
-    out = []
-    for field in fields:
-        out.append([])
-        for r in replies:
-            if r[field]:
-                at = np.flatnonzero(shard == r["shard"])[np.frombuffer(r[field], "<u4")]
-                out[-1] += zip(a[at].tolist(), place[at].tolist(), b[at].tolist())
-    return out
-
-
-def _mark_spans(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
-    """Maximal runs of the union of ``spans``."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def _runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of the union of the spans."""
+    order = np.argsort(start)
+    start, end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
+    new = np.flatnonzero(np.r_[True, start[1:] > end[:-1]]) if len(end) else np.zeros(0, np.int64)
+    return start[new], end[np.r_[new[1:] - 1, len(end) - 1]] if len(end) else end
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,97 +327,91 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count, and what repeats is judged on the input. ``spans`` lists the removed runs (start, end).
     Ids are integers; a null id comes after all others; rows of one id never repeat one another, so
     repeated rows get equal results. Null and empty texts have 0 bytes; texts under 50 bytes lose
-    nothing; an empty table gives none. Texts are whole, and each is held by one task, as in the input.
+    nothing; an empty table gives none; bytes that aren't UTF-8 count like any. Texts are whole, and
+    each is held by one task, as in the input.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "rindex")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("version"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    entry = [pa.int32(), *[pa.binary()] * 6]
-
-    def find(batches):
-        ids, versions, found, size, count = [], [], [], 0, 0
-
-        def close():
-            whole = [np.concatenate(c) for c in zip(*found)]
-            if len(whole[0]):
-                cols = list(zip(*_pack_entries(np.array(ids, np.int64), np.array(versions, np.int64), whole, shards)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, entry)], names=["shard", "docs", "versions", "counts", "marks", "contexts", "nth"])
-
-        for batch in batches:
-            texts = [t.as_py().encode() for t in batch.column("text")]
-            doc, version = batch.column("doc").to_pylist(), batch.column("version").to_pylist()
-            for i, j in _chunks(texts):
-                text, place, h, ctx, _, _, sides = anchors(texts[i:j])
-                found.append((text + len(ids), place, h, ctx, sides))
-                ids += doc[i:j]
-                versions += version[i:j]
-                size += sum(map(len, texts[i:j]))
-                if size >= BATCH_BYTES:
-                    yield from close()
-                    ids, versions, found, size = [], [], [], 0
-        if found:
-            yield from close()
-
-    entries = rows.mapInArrow(find, _ENTRY)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    packets, shards = max(1, -(-total // PACKET)), max(spark.sparkContext.defaultParallelism, -(-total // SHARD_BYTES))
+    texts = rows.withColumn("packet", F.pmod(F.xxhash64("doc", "text"), F.lit(packets)))
+
+    def find(table: pa.Table) -> pa.Table:
+        packet = Packet(table, shards)
+        out: list[tuple] = []
+        for s in np.unique(packet.shard[~packet.later]):
+            at = packet.sent(s)
+            who, counts = np.unique(packet.text[at], return_counts=True)
+            marks = packet.mark[at].astype("<u8").view("u1").reshape(-1, 8)[:, :5]
+            out.append((int(s), packet.docs[who].tobytes(), counts.astype("<u4").tobytes(), marks.tobytes(), packet.context[at].astype("<u8").tobytes()))
+        shard, *columns = zip(*out) if out else [()] * 5
+        return pa.table([table.column("packet").slice(0, 1).take(pa.array([0] * len(out), pa.int64())), pa.array(shard, pa.int32()), *_binary(*columns)], names=["packet", "shard", "docs", "counts", "marks", "contexts"])
+
+    entries = texts.groupBy("packet").applyInArrow(find, _ENTRY)
     replies = work.table(entries.groupBy("shard").applyInArrow(_classify, _REPLY), "replies")
-    told = replies.groupBy("doc", "version").agg(F.collect_list(F.struct("shard", "cut", "ask_right", "ask_left")).alias("told"))
-    texts = rows.repartition(shards, "doc", "version")
-
-    def show(batches):
-        for batch in batches:
-            out = []
-            raws = [t.encode() for t in batch.column("text").to_pylist()]
-            for (doc, version, told), raw, found in zip(_rows_of(batch, "doc", "version", "told"), raws, _each(raws)):
-                right, left = _told(told, found, shards, "ask_right", "ask_left")
-                # a window with SIDE bytes to the right is the right side's, any other has more than SIDE to the left
-                stretches = [(b"r", p, max(a, p - SIDE), b) for a, p, b in right] + [(b"l", p, a, min(b, p - SIDE - 1 + LENGTH)) for a, p, b in left]
-                for side, p, a, b in stretches:
-                    if b - a >= LENGTH:
-                        key = raw[p : p + GRAM + SIDE] if side == b"r" else raw[p - SIDE : p + GRAM]
-                        to = int.from_bytes(hashlib.blake2b(side + key, digest_size=8).digest(), "little") % shards
-                        out.append((to, doc, version, a, raw[a:b]))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["to", "doc", "version", "at", "snippet"])
+
+    def show(table: pa.Table, told: pa.Table) -> pa.Table:
+        packet = Packet(table, shards)
+        right, left = packet.told(told, "ask_right"), packet.told(told, "ask_left")
+        # a window with SIDE bytes to the right is the right side's, any other has more than SIDE to the left
+        start = np.r_[np.maximum(packet.start[right], packet.place[right] - SIDE), packet.start[left]]
+        end = np.r_[packet.end[right], np.minimum(packet.end[left], packet.place[left] - SIDE - 1 + LENGTH)]
+        to = (_mix(np.r_[packet.right[right], packet.left[left] ^ _U(LAST)]) % _U(packets)).astype(np.int32)
+        text = packet.text[np.r_[right, left]]
+        keep = end - start >= LENGTH
+        start, end, to, text = start[keep], end[keep], to[keep], text[keep]
+        snippets = [packet.texts[k][a:b] for k, a, b in zip(text.tolist(), start.tolist(), end.tolist())]
+        numbers = np.full(len(to), table.column("packet")[0].as_py() if len(table) else 0)
+        columns = [pa.array(x) for x in (to, numbers, text.astype(np.int32), packet.docs[text], start)]
+        return pa.table([*columns, *_binary(snippets)], names=["to", "packet", "number", "doc", "at", "snippet"])
 
     def match(table: pa.Table) -> pa.Table:
-        doc, version, at, snippets = (table.column(n).to_pylist() for n in ("doc", "version", "at", "snippet"))
-        out: dict = {"doc": [], "version": [], "starts": []}
-        for d, v, a, hit in zip(doc, version, at, earlier_matches(snippets, np.array(doc, np.int64))):
-            if len(hit):
-                out["doc"].append(d)
-                out["version"].append(v)
-                out["starts"].append((hit + a).astype("<i8").tobytes())
-        return pa.table({"doc": pa.array(out["doc"], pa.int64()), "version": pa.array(out["version"], pa.int64()), "starts": pa.array(out["starts"], pa.binary())})
-
-    asked = told.where(F.exists("told", lambda r: (F.length(r["ask_right"]) > 0) | (F.length(r["ask_left"]) > 0)))
-    shown = texts.join(asked, ["doc", "version"]).dropDuplicates(["doc", "version"]).mapInArrow(show, "to int, doc long, version long, at long, snippet binary")
-    matched = shown.repartition(shards, "to").groupBy("to").applyInArrow(match, "doc long, version long, starts binary").groupBy("doc", "version").agg(F.collect_list("starts").alias("starts"))
-
-    def remove(batches):
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-        for batch in batches:
-            out = []
-            raws = [t.encode() for t in batch.column("text").to_pylist()]
-            told = [t if t and any(r["cut"] for r in t) else None for t in batch.column("told").to_pylist()]
-            places = _each([raw for raw, t in zip(raws, told) if t])
-            for doc, raw, t, starts in zip(batch.column("doc").to_pylist(), raws, told, batch.column("starts").to_pylist()):
-                spans = [(a, b) for a, _, b in _told(t, next(places), shards, "cut")[0]] if t else []
-                for s in starts or ():
-                    spans += [(a, a + LENGTH) for a in np.frombuffer(s, "<i8").tolist()]
-                spans = _mark_spans(spans, len(raw))
-                digest, at = hashlib.sha256(), 0
-                for a, b in spans:
-                    digest.update(raw[at:a])
-                    at = b
-                digest.update(raw[at:])
-                out.append((None if doc == LAST else doc, len(raw), sum(b - a for a, b in spans), len(spans), digest.hexdigest(), [{"start": a, "end": b} for a, b in spans]))
-            cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
-
-    joined = texts.join(told, ["doc", "version"], "left").join(matched, ["doc", "version"], "left").select("doc", "text", "told", "starts")
-    return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
+        packet, number, doc, at = (table.column(n).to_numpy() for n in ("packet", "number", "doc", "at"))
+        hits = earlier_matches(table.column("snippet").to_pylist(), doc)
+        many = np.array([len(h) for h in hits])
+        starts = np.concatenate(hits) + np.repeat(at, many)
+        packet, number = np.repeat(packet, many), np.repeat(number, many)
+        order = np.argsort(packet, kind="stable")
+        home, first = np.unique(packet[order], return_index=True)
+        parts = [order[i:j] for i, j in zip(first, [*first[1:], len(order)])]
+        return pa.table([pa.array(home, pa.int64()), *_binary([number[p].astype("<i4").tobytes() for p in parts], [starts[p].astype("<i8").tobytes() for p in parts])], names=["packet", "texts", "starts"])
+
+    shown = texts.groupBy("packet").cogroup(replies.groupBy("packet")).applyInArrow(show, _SNIPPET)
+    matched = shown.groupBy("to").applyInArrow(match, _MATCH)
+    none = F.lit(None).cast("binary")
+    found = replies.select("packet", "shard", "cut", "texts", "starts").unionByName(matched.select("packet", F.lit(None).cast("int").alias("shard"), none.alias("cut"), "texts", "starts"))
+
+    def remove(table: pa.Table, told: pa.Table) -> pa.Table:
+        packet = Packet(table, shards)
+        size = np.array([len(t) for t in packet.texts], np.int64)
+        base = np.cumsum(size + 1) - size - 1  # texts lie one apart, so that runs never touch across them
+        cut = np.r_[np.flatnonzero(packet.later), packet.told(told, "cut")]
+        start, end = [base[packet.text[cut]] + packet.start[cut]], [base[packet.text[cut]] + packet.end[cut]]
+        for texts_, starts in zip(told.column("texts").to_pylist(), told.column("starts").to_pylist()):
+            if starts:
+                at = base[np.frombuffer(texts_, "<i4")] + np.frombuffer(starts, "<i8")
+                start.append(at)
+                end.append(at + LENGTH)
+        start, end = _runs(np.concatenate(start), np.concatenate(end))
+        owner = np.searchsorted(base, start, "right") - 1
+        start, end = start - base[owner], end - base[owner]
+        bounds = np.searchsorted(owner, np.arange(len(size) + 1))
+        digests = []
+        for k, text in enumerate(packet.texts):
+            i, j = bounds[k], bounds[k + 1]
+            at, kept = 0, []
+            for a, b in zip(start[i:j].tolist(), end[i:j].tolist()):
+                kept.append(text[at:a])
+                at = b
+            digests.append(hashlib.sha256(b"".join([*kept, text[at:]])).hexdigest())
+        gone = np.r_[0, np.cumsum(end - start)]
+        spans = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["start", "end"]))
+        ids = pa.array(packet.docs, mask=packet.docs == LAST)
+        return pa.table([ids, pa.array(size), pa.array(gone[bounds[1:]] - gone[bounds[:-1]]), pa.array(np.diff(bounds)), pa.array(digests, pa.string()), spans], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
+    return texts.groupBy("packet").cogroup(found.groupBy("packet")).applyInArrow(remove, schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
