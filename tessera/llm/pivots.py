@@ -4,10 +4,12 @@ A vector is described by its nearest reference points (pivots) in order. Inverte
 each label and each pair of pivots, the vectors that have both among their first ``PREFIX``: vectors
 that meet there share at least two pivots. What meets is verified by cosine in double precision.
 
-Skew: equal vectors collapse into one class first; a list of more than ``BLOCK`` classes is dealt into
-blocks, and each pair of blocks is one cell, so that no task holds a whole list. A cell returns link
-counts and a spanning forest, never pairs; a pair that meets in several lists counts in the one with
-the smallest key.
+Scale: pivots follow the root of the number of vectors, so lists keep their length as the input
+grows. Equal vectors collapse into one class first. Lists are read as a sorted stream, many a batch. A
+list of more than ``BLOCK`` classes is dealt into blocks, and each pair of blocks is one cell: a link
+count needs every cosine of a dense group, but no task holds more than two blocks. A cell returns link
+counts and stars, never pairs; a pair that meets in several lists counts in the one with the smallest
+key.
 """
 
 from __future__ import annotations
@@ -21,11 +23,19 @@ from pyspark.sql import types as T
 from .components import connected_components
 from .workspace import Workspace
 
-COSINE, PREFIX, BLOCK, LEAST_PIVOTS, MOST_PIVOTS = 0.98, 5, 1024, 32, 1024
+COSINE, PREFIX, BLOCK, LEAST_PIVOTS = 0.98, 5, 2048, 32
+#: Bound of the broadcast: pivots of one width (33 MB at 64 numbers); reached at a billion vectors.
+MOST_PIVOTS = 1 << 16
+#: A width with at most so many classes needs no pivots: it is one list a label.
+FEW = 64
+#: Lists up to this length are compared row by row, many lists at once; longer ones by matrix products.
+SHORT, CHUNK = 48, 1 << 15
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest magnitude first, so that no square overflows or vanishes."""
     rows = rows.astype(np.float64)
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -52,13 +62,96 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def choose_pivots(vectors: DataFrame, vec_col: str, count: int) -> np.ndarray:
-    """At most ``count`` (a parameter's bound) distinct vectors, drawn evenly by a hash of their values."""
-    n = max(1, vectors.count())
-    slots = 1 << 30
-    drawn = vectors.where(F.pmod(F.xxhash64(F.lit("pivot"), vec_col), F.lit(slots)) < min(slots, 2 * slots * count // n)).select(vec_col).limit(4 * count).collect()
-    rows = sorted({tuple(r[0]) for r in drawn})
-    return unit(np.array(rows[:: max(1, len(rows) // count)][:count])) if rows else np.zeros((0, 1))
+def choose_pivots(vectors: DataFrame, count: int) -> np.ndarray:
+    """At most ``count`` of the ``vectors(v, h)`` of one width: those of smallest hash (one bounded sort a task)."""
+    drawn = [tuple(r[0]) for r in vectors.orderBy("h", "v").select("v").limit(count).collect()]
+    return unit(np.array(drawn)) if drawn else np.zeros((0, 1))
+
+
+def _first_shared(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest key that rows a and b of ``keys`` share (-1 pads)."""
+    out = np.empty(len(a), np.int64)
+    for at in range(0, len(a), CHUNK):
+        x, y = keys[a[at : at + CHUNK]], keys[b[at : at + CHUNK]]
+        both = (x[:, :, None] == y[:, None, :]).any(2) & (x >= 0)
+        out[at : at + CHUNK] = np.where(both, x, np.iinfo(np.int64).max).min(1)
+    return out
+
+
+def _pairs(v: np.ndarray, begin: np.ndarray, end: np.ndarray, cosine: float):
+    """Row pairs of equal cell whose cosine is high enough, in portions; cells are [begin, end)."""
+    long = end - begin > SHORT
+    for b, e in zip(begin[long].tolist(), end[long].tolist()):
+        for at in range(b, e, 512):
+            x, y = np.nonzero(v[at : min(e, at + 512)] @ v[at:e].T >= cosine)
+            yield at + x[x < y], at + y[x < y]
+    i = np.concatenate([np.arange(b, e) for b, e in zip(begin[~long], end[~long])] or [np.zeros(0, np.int64)])
+    last, d = np.repeat(end[~long], (end - begin)[~long]), 0
+    while len(i):
+        d += 1
+        i, last = i[i + d < last], last[i + d < last]
+        for at in range(0, len(i), CHUNK):
+            x = i[at : at + CHUNK]
+            hit = np.einsum("ij,ij->i", v[x], v[x + d]) >= cosine
+            yield x[hit], x[hit] + d
+
+
+def _verify(table: pa.Table, cosine: float) -> pa.Table:
+    """Whole cells in order -> (node, links, root) for each row with links; only pairs of two sides count in mixed cells."""
+    table = table.combine_chunks()
+    cell, size, side, this = (table.column(c).to_numpy() for c in ("cell", "size", "side", "key"))
+    width = np.diff(table.column("v").combine_chunks().offsets.to_numpy())
+    lists = table.column("keys").to_pylist()
+    keys = np.full((len(lists), max(map(len, lists))), -1, np.int64)
+    for r, own in enumerate(lists):
+        keys[r, : len(own)] = own
+    links, root = np.zeros(len(cell), np.int64), np.arange(len(cell))
+    begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    end = np.r_[begin[1:], len(cell)]
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    column = table.column("v").combine_chunks()
+    for w in np.unique(width):  # a cell has one width
+        own = np.flatnonzero(width == w)
+        v = unit(_matrix(column.take(pa.array(own))))
+        mine = width[begin] == w
+        near = np.searchsorted(own, begin[mine])
+        for a, b in _pairs(v, near, near + (end - begin)[mine], cosine):
+            a, b = own[a], own[b]
+            ok = (_first_shared(keys, a, b) == this[a]) & ((side[a] < 0) | (side[a] != side[b]))
+            a, b = a[ok], b[ok]
+            np.add.at(links, a, size[b])
+            np.add.at(links, b, size[a])
+            apart = root[a] != root[b]
+            for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+    hit = np.flatnonzero(links)
+    nodes = table.column("node").combine_chunks()
+    return pa.table({"node": nodes.take(pa.array(hit)), "links": pa.array(links[hit]), "root": nodes.take(pa.array([find(x) for x in hit], pa.int64()))})
+
+
+def _streamed(batches, work):
+    """``work`` on whole cells of a stream sorted by ``cell``; at most one cell waits for its end."""
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        last = batch.column("cell")[batch.num_rows - 1].as_py()
+        if held[0].column("cell")[0].as_py() == last:
+            continue
+        table = pa.Table.from_batches(held)
+        cut = int(np.searchsorted(table.column("cell").to_numpy(), last))
+        yield from work(table.slice(0, cut)).combine_chunks().to_batches()
+        held = table.slice(cut).to_batches()
+    if held:
+        yield from work(pa.Table.from_batches(held)).combine_chunks().to_batches()
 
 
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", cosine: float = COSINE, prefix: int = PREFIX, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -68,9 +161,9 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     are null, empty, zero or hold null or non-finite numbers link with nothing, nor do vectors of
     different lengths. ``n_links`` counts other rows, equal vectors and repeated rows among them.
     ``component_id`` is the smallest id reachable; a null id comes last. The index is approximate: a
-    link is found when both vectors share two of their first ``prefix`` pivots; tests hold recall on
-    the given tables against brute force. The number of pivots follows the root of the number of
-    rows between fixed bounds. An empty table gives none.
+    link is found when both vectors share two of their first ``prefix`` pivots; a test holds recall on
+    the given embeddings against brute force. The number of pivots of a width follows the root of its
+    number of vectors up to ``MOST_PIVOTS``; every width is indexed. An empty table gives none.
     """
     work = Workspace(vectors.sparkSession, "pivots")
     label = F.col(label_col) if label_col else F.lit(0)
@@ -80,21 +173,26 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     valid = rows.where(F.col("label").isNotNull() & F.col("v").isNotNull()).where(finite & F.exists("v", lambda x: x != 0))
     key = F.struct(F.col("id").isNull().alias("late"), "id")
     classes = work.table(valid.groupBy("label", "v").agg(F.min(key).alias("first"), F.count("*").alias("size")).withColumn("node", F.struct("first", F.xxhash64("v").alias("of"))).drop("first"), "classes")
-    count = pivots or int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * classes.count() ** 0.5)))
-    dims = [r[0] for r in classes.select(F.size("v").alias("d")).distinct().orderBy("d").limit(1000).collect()]
-    points = {d: choose_pivots(classes.where(F.size("v") == d), "v", count) for d in dims}
+    widths = {r[0]: r[1] for r in classes.groupBy(F.size("v").alias("d")).count().collect()}
+    hashed = classes.select("v", F.xxhash64(F.lit("pivot"), "v").alias("h"))
+    points = {d: choose_pivots(hashed.where(F.size("v") == d), pivots or int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * n**0.5)))) for d, n in widths.items() if n > FEW or pivots}
     shared = vectors.sparkSession.sparkContext.broadcast(points)
 
     def describe(batches):
         for batch in batches:
-            width = np.array([len(x) for x in batch.column("v")])
-            keys: list = [None] * len(width)
+            width = np.diff(batch.column("v").offsets.to_numpy())
+            keys: list = [[0]] * len(width)
             for d in np.unique(width):
+                own = shared.value.get(int(d))
+                if own is None:
+                    continue
                 at = np.flatnonzero(width == d)
-                own = shared.value[int(d)]
-                got = shared_keys(permutation(unit(_matrix(batch.column("v").take(pa.array(at)))), own, prefix), len(own))
-                for i, k in zip(at, got):
-                    keys[i] = np.unique(k).tolist()
+                v = unit(_matrix(batch.column("v").take(pa.array(at))))
+                step = max(1, (1 << 22) // len(own))  # rows whose distances to all pivots are held at once
+                for x in range(0, len(at), step):
+                    got = shared_keys(permutation(v[x : x + step], own, prefix), len(own))
+                    for i, k in zip(at[x : x + step], got):
+                        keys[i] = np.unique(k).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
 
     described = work.table(classes.mapInArrow(describe, T.StructType(classes.schema.fields[:]).add("keys", T.ArrayType(T.LongType()))), "described")
@@ -102,45 +200,22 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     lists = posts.groupBy("label", "d", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
     home = posts.join(lists, ["label", "d", "key"]).withColumn("home", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = home.select("label", "d", "key", "node", "home", other).select("label", "d", "key", "node", "home", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
-    full = cells.join(described.select("node", "v", "size", "keys"), "node")
-    schema = T.StructType([T.StructField("node", described.schema["node"].dataType), T.StructField("links", T.LongType()), T.StructField("root", described.schema["node"].dataType)])
-
-    def verify(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        v = unit(_matrix(table.column("v").combine_chunks()))
-        size, homes, this = table.column("size").to_numpy(), table.column("home").to_numpy(), table.column("key")[0].as_py()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(homes == i), np.flatnonzero(homes == j)
-        keys = [set(k) for k in table.column("keys").to_pylist()]
-        links, root = np.zeros(len(v), np.int64), np.arange(len(v))
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for at in range(0, len(left), 256):
-            a, b = np.nonzero(v[left[at : at + 256]] @ v[right].T >= cosine)
-            for x, y in zip(left[at + a], right[b]):
-                if (i != j or x < y) and min(keys[x] & keys[y]) == this:
-                    links[x] += size[y]
-                    links[y] += size[x]
-                    x, y = find(x), find(y)
-                    root[max(x, y)] = min(x, y)
-        hit = np.flatnonzero(links)
-        nodes = table.column("node").combine_chunks()
-        return pa.table({"node": nodes.take(pa.array(hit)), "links": pa.array(links[hit]), "root": nodes.take(pa.array([find(x) for x in hit], pa.int64()))})
-
-    found = work.table(full.groupBy("label", "d", "key", "i", "j").applyInArrow(verify, schema), "found")
+    low, high = F.least("home", "other"), F.greatest("home", "other")
+    side = F.when(low == high, F.lit(-1)).otherwise(F.col("home")).alias("side")  # in a cell of two blocks only pairs across count
+    cells = home.select("label", "d", "key", "node", "home", other).select(F.xxhash64("label", "d", "key", low, high).alias("cell"), "key", "node", side)
+    full = cells.join(described.select("node", "v", "size", "keys"), "node").repartition("cell").sortWithinPartitions("cell")
+    kind = described.schema["node"].dataType
+    schema = T.StructType([T.StructField("node", kind), T.StructField("links", T.LongType()), T.StructField("root", kind)])
+    found = work.table(full.mapInArrow(lambda batches: _streamed(batches, lambda table: _verify(table, cosine)), schema), "found")
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), work)
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.join(sums, "node", "left").join(parts, "node", "left")
     named = named.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce(F.col("component.first.id"), F.col("node.first.id")).alias("component_id"))
     out = rows.join(named, ["label", "v"], "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    result = work.table(out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")), "result")
+    work.keep(result)
+    return result
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

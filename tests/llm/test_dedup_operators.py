@@ -193,3 +193,31 @@ def test_embedding_dedup(spark):
         assert got[r[0]] == (sum(a == k for a, _ in links), good[root[k]][0])
     assert all(got[i] == (0, i) for i in (900, 901, 902, 903, 904, 905)) and len(got) == len(rows)
     assert pivots.near_vectors(df.limit(0)).count() == 0
+    tiny = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_vectors(df, pivots=3, block=8).collect()}  # long lists in many blocks
+    assert tiny == got
+
+
+def test_embedding_norms_of_extreme_magnitude(spark):
+    rows = [(1, [1e200, 2e200]), (2, [5e-200, 1e-199]), (3, [1e-200, 1e-200]), (4, [1.0, 0.1]), (5, [1e-320, 1e-320])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_vectors(spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (0, 4), 5: (1, 3)}
+
+
+def test_embedding_recall_and_many_widths(spark):
+    """Links found on the given embeddings against brute force; and more widths than one."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float), r.label) for r in table.collect() if r.embedding and r.label is not None]
+    rows = [r for r in rows if np.isfinite(r[1]).all() and r[1].any()]
+    want = {r[0]: 0 for r in rows}
+    for label in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == label]
+        v = pivots.unit(np.array([r[1] for r in own]))
+        for r, n in zip(own, (v @ v.T >= 0.98).sum(1) - 1):
+            want[r[0]] = int(n)
+    got = {r.vec_id: r.n_links for r in pivots.near_vectors(table).collect()}
+    assert all(got[i] <= n for i, n in want.items()) and sum(got[i] for i in want) >= 0.9 * sum(want.values())
+    draw = np.random.default_rng(8)
+    many = [(i, [float(x) for x in draw.normal(size=2 + i // 2 % 1100)], 0) for i in range(4400)]
+    many = [(i, many[i - 2200][1] if i >= 2200 else v, 0) for i, v, _ in many]
+    got = pivots.near_vectors(spark.createDataFrame(many, "vec_id long, embedding array<double>, label int")).where("n_links >= 1").count()
+    assert got == 4400
