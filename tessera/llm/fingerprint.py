@@ -1,11 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut at line ends into paragraphs and these into stretches of ``STRETCH`` characters; each
-stretch gives a 64-bit digest that also holds how often it came before. A sketch adds every digest to
-one cell in each of three rows of cells (count, xor of digests, xor of checks). Subtracting the
-sketches of two texts cancels what they share; peeling cells with a single digest recovers what
-differs. When peeling gets stuck the sketch is built four times as large with other hashes. The
-fingerprint is the smallest sketch as text.
+A text is cut at line ends into paragraphs, and long paragraphs at content-defined points (about every
+64 bytes, where a hash of the eight bytes before has six low zero bits), so that a change moves no cut
+but those it touches. Each piece gives a 64-bit digest that also holds how often it came before. A
+sketch adds every digest to one cell in each of three rows of cells (count, xor of digests, xor of
+checks). The fingerprint is the sketch as text; its rows are powers of two that grow with the text.
+To compare two, the larger is folded to the rows of the smaller, cells subtract, which cancels what
+the texts share, and peeling cells with a single digest recovers what differs. When peeling gets
+stuck both sketches are built four times as large with other hashes.
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .texts import texts
 from .workspace import Workspace
 
-STRETCH, CELLS, ROWS, GROUP = 48, 4, 3, 256
+CUT, CELLS, ROWS = 6, 4, 3
+#: Texts that are measured at once: so many, or so many characters.
+GROUP, GROUP_CHARS = 256, 4 << 20
 
 _U = np.uint64
 
@@ -34,18 +39,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def digests(text: str, stretch: int = STRETCH) -> np.ndarray:
-    """Distinct 64-bit digests of a text's paragraph stretches; equal stretches differ by their count."""
-    parts = [p[i : i + stretch] for p in text.split("\n") for i in range(0, len(p), stretch)]
-    h = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in parts), _U, len(parts))
+def pieces(text: str) -> list[bytes]:
+    """A text's paragraphs, long ones cut at content-defined points; together they are the text."""
+    raw = text.encode("utf-8", "replace")
+    b = np.frombuffer(raw, np.uint8)
+    cuts = np.flatnonzero(b == 10) + 1
+    if len(b) > 8:
+        eight = np.ndarray(len(b) - 8, "<u8", raw, strides=(1,))  # the eight bytes from each place
+        cuts = np.union1d(cuts, np.flatnonzero((eight * _U(0x9E3779B97F4A7C15)) >> _U(64 - CUT) == 0) + 8)
+    edges = [0, *cuts.tolist(), len(raw)]
+    return [raw[x:y] for x, y in zip(edges, edges[1:]) if x < y]
+
+
+def digests(text: str) -> np.ndarray:
+    """Distinct 64-bit digests of a text's pieces; equal pieces differ by their count."""
+    h = np.array([xxhash.xxh3_64_intdigest(p) for p in pieces(text)], _U)
     h.sort()
     first = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1] if len(h) else np.zeros(0, int)
     nth = np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)])) if len(h) else first
     return _mix(h + nth.astype(_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
+def rows_for(n: np.ndarray) -> np.ndarray:
+    """Cells a row for ``n`` digests: a power of two, so many that about ``n`` differences peel."""
+    return np.maximum(CELLS, 2 ** np.ceil(np.log2(np.maximum(1, 0.45 * np.asarray(n, float) + 1))).astype(np.int64))
+
+
 class Cells:
-    """Sketches of many texts side by side; text i has ``ROWS`` rows of ``size[i]`` cells."""
+    """Sketches of many texts side by side; text i has ``ROWS`` rows of ``size[i]`` cells, a power of two."""
 
     def __init__(self, size: np.ndarray, salt: np.ndarray):
         self.size, self.salt = size.astype(np.int64), salt.astype(_U)
@@ -85,6 +106,23 @@ class Cells:
         stuck[owner[(self.count != 0) | (self.key != 0)]] = True
         return plus, minus, ~stuck
 
+    def folded(self, size: np.ndarray) -> "Cells":
+        """The same sketches with rows of ``size`` cells, no more than before: cells that fall together add up."""
+        out = Cells(size, self.salt)
+        owner = np.repeat(np.arange(len(self.size)), ROWS * self.size)
+        row, cell = np.divmod(np.arange(len(owner)) - self.start[owner], self.size[owner])
+        at = out.start[owner] + row * out.size[owner] + cell % out.size[owner]
+        np.add.at(out.count, at, self.count)
+        np.bitwise_xor.at(out.key, at, self.key)
+        np.bitwise_xor.at(out.check, at, self.check)
+        return out
+
+    def less(self, other: "Cells") -> "Cells":
+        """What is left when sketches of the same sizes are subtracted."""
+        out = Cells(self.size, self.salt)
+        out.count, out.key, out.check = self.count - other.count, self.key ^ other.key, self.check ^ other.check
+        return out
+
     def text(self, i: int) -> str:
         """Text i's sketch, 12 bytes a cell, in base64."""
         a, b = self.start[i], self.start[i + 1]
@@ -97,25 +135,33 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, _U)), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
 
 
-def fingerprints(sets: list[np.ndarray]) -> list[str]:
-    cells = Cells(np.full(len(sets), CELLS), np.zeros(len(sets)))
+def sketches(sets: list[np.ndarray]) -> Cells:
+    """The sketches that fingerprints hold."""
+    cells = Cells(rows_for(np.array([len(x) for x in sets])), np.zeros(len(sets)))
     cells.add(*_flat(sets), 1)
-    return [cells.text(i) for i in range(len(sets))]
+    return cells
+
 
+def likeness(a: list[np.ndarray], b: list[np.ndarray], sketch_a: Cells | None = None, sketch_b: Cells | None = None) -> np.ndarray:
+    """Shared digests over all digests of each pair; 1 for two empty sets.
 
-def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Shared digests over all digests of each pair, from what peeling the difference recovers; 1 for two empty sets."""
+    Sketches are subtracted and peeled; pairs that get stuck are sketched again, four times as large.
+    """
     n_a, n_b = np.array([len(x) for x in a], float), np.array([len(x) for x in b], float)
     only_a, only_b = np.zeros(len(a)), np.zeros(len(a))
-    todo, size, salt = np.arange(len(a)), np.full(len(a), CELLS), 0
+    sketch_a, sketch_b = sketch_a or sketches(a), sketch_b or sketches(b)
+    size = np.minimum(sketch_a.size, sketch_b.size)
+    plus, minus, whole = sketch_a.folded(size).less(sketch_b.folded(size)).peel()
+    only_a[whole], only_b[whole] = plus[whole], minus[whole]
+    todo, salt = np.flatnonzero(~whole), 1
     while len(todo):
+        size[todo] = np.minimum(size[todo] * 4, 4 * rows_for((n_a + n_b)[todo]))
         cells = Cells(size[todo], np.full(len(todo), salt))
         cells.add(*_flat([a[i] for i in todo]), 1)
         cells.add(*_flat([b[i] for i in todo]), -1)
         plus, minus, whole = cells.peel()
         only_a[todo[whole]], only_b[todo[whole]] = plus[whole], minus[whole]
         todo, salt = todo[~whole], salt + 1
-        size[todo] = np.where(size[todo] > 2 * (n_a + n_b)[todo], size[todo] * 5 // 4, size[todo] * 4)
     union = n_a + only_b
     return np.where(union > 0, (n_a - only_a) / np.maximum(union, 1), 1.0)
 
@@ -133,13 +179,14 @@ def _measure(pairs: list[tuple], own: list[np.ndarray], following: list[np.ndarr
     """Columns of ``_OUT`` for (text, next text) pairs whose digests are known."""
     edited = [edit(t, n) for t, n in pairs]
     changed = [digests(e) for e in edited]
+    mine, theirs = sketches(own), sketches(changed)
     return [
         [len(t) for t, _ in pairs],
         [hashlib.sha256(e.encode("utf-8", "replace")).hexdigest() for e in edited],
-        fingerprints(own),
-        fingerprints(changed),
-        likeness(own, changed).tolist(),
-        likeness(own, following).tolist(),
+        [mine.text(i) for i in range(len(own))],
+        [theirs.text(i) for i in range(len(own))],
+        likeness(own, changed, mine, theirs).tolist(),
+        likeness(own, following, mine).tolist(),
     ]
 
 
@@ -164,7 +211,7 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def run(batches):
         part, kind = TaskContext.get().partitionId(), None
         held: list[tuple] = []  # (doc, text, digests); the last of them waits for its follower
-        first = True
+        first, chars = True, 0
 
         def measured(n):
             now, then = held[:n], held[1 : n + 1]
@@ -178,15 +225,15 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
         names = ["doc", *[n for n, _ in _OUT], "part", "edge", "text"]
         for batch in batches:
             kind = batch.column(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
+            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
                 held.append((doc, text, digests(text)))
+                chars += len(text)
                 if first:
                     yield edge(held[0], "first")
                     first = False
-                if len(held) > GROUP:
-                    yield measured(GROUP)
-                    held = held[GROUP:]
+                if len(held) > GROUP or chars > GROUP_CHARS and len(held) > 1:
+                    yield measured(len(held) - 1)
+                    held, chars = held[-1:], len(text)
         if len(held) > 1:
             yield measured(len(held) - 1)
         if held:
@@ -200,7 +247,7 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def close(batches):
         for batch in batches:
-            pairs = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            pairs = list(zip(texts(batch.column(1)), texts(batch.column(2))))
             got = _measure(pairs, [digests(a) for a, _ in pairs], [digests(b) for _, b in pairs])
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(got, kinds)]], names=["doc", *[n for n, _ in _OUT]])
 
