@@ -10,6 +10,7 @@ is shuffled and no source or length can become hot.
 from __future__ import annotations
 
 import base64
+import os
 import zlib
 from array import array
 from collections import defaultdict
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .texts import texts
+
 CAPACITY, WINDOW, SEPARATOR = 1024, 1 << 15, 0
 
 
@@ -87,8 +90,10 @@ def pack(lengths: list[int], capacity: int, last: bool = True) -> tuple[list[lis
 class Encoder:
     """Ids of a byte-level BPE ``tokenizers`` file, as packed little-endian 32-bit numbers.
 
-    When the rank file of the same vocabulary is there, its faster library makes the ids and the
-    tokenizer file is used to check it once on a sample; otherwise the tokenizer file makes them.
+    Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``, which takes the file's
+    special tokens where a text spells them out. When the rank file of the same vocabulary is there,
+    its faster library makes the same ids (a worker checks it on a sample when it starts, a test on
+    whole tables and random texts); otherwise the tokenizer file makes them.
     """
 
     def __init__(self, path: str | None = None):
@@ -97,21 +102,22 @@ class Encoder:
 
         own = public_tokenizers.path("byte_bpe_50k.json")
         self.slow = Tokenizer.from_file(path or own)
-        self.slow.encode_special_tokens = True
         self.fast = None
-        if path in (None, own):
+        ranked = public_tokenizers.path("byte_bpe_50k.tiktoken")
+        if path in (None, own) and os.path.exists(ranked):
             import tiktoken
 
-            with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+            with open(ranked, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            special = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
+            fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
             probe = "A b  c\n\n\t d1234's naïve 東京 🙂 <|endoftext|>  x"
-            if fast.encode_ordinary(probe) == self.slow.encode(probe, add_special_tokens=False).ids:
+            if fast.encode(probe, allowed_special="all") == self.slow.encode(probe, add_special_tokens=False).ids:
                 self.fast = fast
 
     def __call__(self, text: str) -> array:
         if self.fast is not None:
-            return array("I", self.fast.encode_ordinary(text))
+            return array("I", self.fast.encode(text, allowed_special="all"))
         return array("I", self.slow.encode(text, add_special_tokens=False).ids)
 
 
@@ -157,8 +163,8 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             id_type[0] = batch.column(0).type
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "")
+            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
+                ids = encode(text or "")
                 ids.append(SEPARATOR)
                 raw, n = memoryview(ids).cast("B"), len(ids)
                 full = n - n % capacity
