@@ -3,7 +3,7 @@
 Markup is stripped into one line per block; elements that are never article text (menus, footers,
 forms, scripts, adverts, comments ...) weigh nothing. Text weights are summed over sliding windows of
 ``WINDOW`` lines; a line where the sum rises over the threshold is a surge, one where it falls below a
-dive, and the text between them is kept. Where the page marks its article, only lines in it weigh.
+dive, and all text between them is kept. Where the page marks its article, only lines in it weigh.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .texts import texts
+
 WINDOW, SURGE = 3, 80
 
 _TOKEN = re.compile(
@@ -115,15 +117,50 @@ def blocks(html: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def spans(weight: list[int], bridge: list[bool]) -> list[tuple[int, int]]:
+    """[surge, dive) line spans: window sums rise to the level at a surge and fall below it at a dive.
+
+    Spans begin and end at lines with a weight of their own. Two that have only ``bridge`` lines
+    between them are one, so short lines between long ones stay.
+    """
+    half, n = WINDOW // 2, len(weight)
+    sums = [sum(weight[max(0, i - half) : i + half + 1]) for i in range(n)]
+    level = min(SURGE, max(sums, default=0) / 2)
+    out: list[tuple[int, int]] = []
+    at = 0
+    while at < n:
+        if not weight[at] or sums[at] < level:
+            at += 1
+            continue
+        end = at
+        while end < n and sums[end] >= level:
+            end += 1
+        dive = end
+        while not weight[dive - 1]:
+            dive -= 1
+        if out and all(bridge[out[-1][1] : at]):
+            at = out.pop()[0]
+        out.append((at, dive))
+        at = end
+    return out
+
+
 def main_text(html: str | None) -> str:
-    """The lines between surge and dive points, joined by one space; '' for null, empty and textless pages."""
+    """The lines from surge to dive points, joined by one space; '' for null, empty and textless pages.
+
+    A line weighs its text less twice its links. Where the page marks its article, lines in it weigh
+    their text and ``SURGE`` more, others nothing.
+    """
     lines = blocks(html) if html else []
-    marked = any(inside for _, _, inside in lines)
-    weight = [len(t) if inside else 0 for t, _, inside in lines] if marked else [max(0, len(t) - 2 * linked) for t, linked, _ in lines]
-    half = WINDOW // 2
-    sums = [sum(weight[max(0, i - half) : i + half + 1]) for i in range(len(lines))]
-    level = 1 if marked else min(SURGE, max(sums, default=0) / 2)
-    return " ".join(t for (t, _, _), w, s in zip(lines, weight, sums) if w and s >= level)
+    if any(inside for _, _, inside in lines):
+        weight = [len(t) + SURGE if inside else 0 for t, _, inside in lines]
+        bridge = [inside for _, _, inside in lines]
+    else:
+        weight = [max(0, len(t) - 2 * linked) for t, linked, _ in lines]
+        bridge = [2 * linked <= len(t) for t, linked, _ in lines]
+        # a link alone between two texts belongs to them; several in a row are a list of links
+        bridge = [b or bridge[max(0, i - 1)] and bridge[min(len(bridge) - 1, i + 1)] for i, b in enumerate(bridge)]
+    return " ".join(lines[i][0] for a, b in spans(weight, bridge) for i in range(a, b) if bridge[i] or weight[i])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -136,8 +173,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(html_col)]
-            made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            found = [main_text(x) for x in texts(batch.column(html_col))]
+            made = [pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "text", "n_chars"])
 
     schema = type(rest.schema)(rest.schema.fields[:]).add("text", "string").add("n_chars", "long")
