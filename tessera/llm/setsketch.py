@@ -64,11 +64,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+def shingles(text: str | bytes | None, words: int = WORDS) -> np.ndarray:
     """Sorted 64-bit digests of the distinct shingles; one for the whole sequence when words are few."""
     if not text:
         return np.empty(0, np.uint64)
-    found = text.encode("utf-8", "replace").lower().split()  # bytes: only A-Z change, only \x20 \x09-\x0D split
+    raw = text if isinstance(text, bytes) else text.encode("utf-8", "replace")
+    found = raw.lower().split()  # bytes: only A-Z change, only \x20 \x09-\x0D split
     if not found:
         return np.empty(0, np.uint64)
     w = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
@@ -112,7 +113,7 @@ def plausible(n_u: np.ndarray, n_v: np.ndarray, above: np.ndarray, below: np.nda
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, version, n_shingles, cid, regs) for every row; ``cid`` and ``regs`` are null for empty sets."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), F.col(text_col).cast("binary").alias("text"))
     names = ["doc", "version", "n_shingles", "cid", "regs"]
 
     def run(batches):
@@ -324,7 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clusters = work.table(connected_components(_links(buckets, sketches, False, work), work).select("node", F.xxhash64("component").alias("group")), "clusters")
     weight = clusters.join(classes.select("node", "n"), "node").groupBy("group").agg(F.ceil(F.sum(1024 + 16 * F.col("n")) / block).cast("long").alias("blocks"), F.count("*").alias("members"))
     groups = work.table(clusters.join(weight, "group").select("group", "node", F.lit(-1).alias("band"), "blocks", "members"), "groups")
-    texts = docs.select(F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version")).alias("node"), F.col(text_col).alias("text"))
+    texts = docs.select(F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version")).alias("node"), F.col(text_col).cast("binary").alias("text"))
     # both sides grow with the corpus: never broadcast, so that all sizes have one plan
     whole = work.table(clusters.select("node").hint("merge").join(texts, "node").groupBy("node").agg(F.first("text").alias("text")).join(sketches, "node"), "texts")
     found = connected_components(_links(groups, whole, True, work), work)
