@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .texts import texts
+
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}").search
 #: ASCII characters that are not letters count as blanks, so subwords see word edges only.
@@ -116,14 +118,14 @@ def predict_one(model: LangModel, text: str | None) -> tuple[str, float, bool]:
 def training_rows(docs: DataFrame, usable, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = 6000) -> list:
     """A bounded sample of (text, lang): rows where ``usable`` holds, drawn by a hash of the id, evenly by language.
 
-    Counts are taken over all rows (two narrow columns); the texts that come to the driver are at
-    most about ``max_train``. Rows with a null text or language never train.
+    Counts are taken over all rows (two narrow columns) and every language trains; the texts that come
+    to the driver are at most about ``max_train``. Rows with a null text or language never train.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & usable)
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(500).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return []
-    each, slots = max_train // len(counts), 1 << 30
+    each, slots = max(1, max_train // len(counts)), 1 << 30
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(slots, slots * each // n))])
     draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(slots))
     return rows.where(draw < F.coalesce(share[F.col(lang_col)], F.lit(0))).select(text_col, lang_col).limit(2 * max_train).collect()
@@ -151,7 +153,7 @@ def identify(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataF
     def run(batches):
         known = shared.value
         for batch in batches:
-            found = [predict_one(known, t) for t in batch.column(text_col).to_pylist()]
+            found = [predict_one(known, t) for t in texts(batch.column(text_col))]
             columns = [pa.array([f[i] for f in found], type=new.field(i).type) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new.names])
 

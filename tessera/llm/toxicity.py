@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid import crc_of_id
+from .texts import texts
 
 #: Letters of other scripts that look like Latin ones, lower case (fixed values).
 _LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝкмтвнгαεορυχικτνβηωɑɡıļ", "aeopcyxijshdqwkmtbhraeopuxiktvbnwagil"))
@@ -66,11 +67,11 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def _terms_of(word: str, longest: int = 10) -> list:
-    """A word's beginnings of three or more letters, and the whole word."""
+    """A word's beginnings of three to ``longest`` letters, and the whole word, however long."""
     return [word + " ", *[word[:n] for n in range(3, min(longest, len(word)) + 1)]]
 
 
-def learn_terms(texts: list[str], toxic: list[int], *, least: float = 0.02, odds: float = 2.5, most: int = 2000) -> dict:
+def learn_terms(texts: list[str], toxic: list[int], *, least: float = 0.02, odds: float = 2.5) -> dict:
     """Terms that at least ``least`` of toxic documents hold, ``exp(odds)`` times as often a word as clean ones.
 
     Weights are log-odds of rates a word, at most 8, so a term that clean texts use now and then
@@ -114,7 +115,7 @@ def learn_terms(texts: list[str], toxic: list[int], *, least: float = 0.02, odds
                     chosen[x] = min(good[x], 8.0)
                 else:
                     level += children.get(x, [])
-    return dict(sorted(chosen.items(), key=lambda x: (-x[1] * support[x[0]], x[0]))[:most])
+    return dict(sorted(chosen.items(), key=lambda x: (-x[1] * support[x[0]], x[0])))
 
 
 def matcher(terms: dict, exceptions: tuple):
@@ -210,7 +211,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold:
         lex = shared.value
         auto = matcher(lex.terms, lex.exceptions)
         for batch in batches:
-            got = [weigh(auto, t.as_py()) for t in batch.column(text_col)]
+            got = [weigh(auto, t) for t in texts(batch.column(text_col))]
             p = 1 / (1 + np.exp(-np.clip(_features(got) @ np.array(lex.coef), -30, 30)))
             made = [pa.array(p, pa.float64()), pa.array([g[1] for g in got], pa.int64()), pa.array((p >= threshold).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *[n for n, _ in names]])

@@ -1,6 +1,7 @@
 """Fingerprints, embedding, near-duplicate and byte-string dedup against brute force."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -153,6 +154,28 @@ def test_run_index_counts():
     assert [x.tolist() for x in rindex.earlier_matches([b"xxabcdeyy", b"zabcdez"], np.array([2, 1]), 5)] == [[2], []]
 
 
+def plain_pieces(text):
+    """Cuts as stated, byte by byte: after a line end, and after eight bytes whose product has six high zero bits."""
+    raw, out, at = text.encode(), [], 0
+    for k in range(1, len(raw)):
+        word = int.from_bytes(raw[k - 8 : k], "little") if k >= 8 else 1
+        if raw[k - 1] == 10 or k >= 8 and (word * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 58 == 0:
+            out.append(raw[at:k])
+            at = k
+    return [*out, raw[at:]] if raw else out
+
+
+def test_pieces_and_likeness():
+    draw = np.random.default_rng(3)
+    text = "\n".join(" ".join(draw.choice(WORDS, 80)) for _ in range(12))
+    assert fingerprint.pieces(text) == plain_pieces(text) and b"".join(fingerprint.pieces(text)) == text.encode()
+    moved = text[:40] + "one more " + text[40:]
+    sets = [fingerprint.digests(t) for t in (text, moved, "", text[: len(text) // 2])]
+    got = fingerprint.likeness([sets[0]] * 4, sets)
+    assert got[0] == 1 and got[1] > 0.9 and got[2] == 0 and 0.4 < got[3] < 0.6
+    assert fingerprint.likeness([sets[2]], [sets[2]])[0] == 1
+
+
 def test_fingerprints(docs):
     rows = {(i, t or "") for i, t in corpus_rows}
     got = fingerprint.fingerprint_versions(docs).collect()
@@ -160,8 +183,8 @@ def test_fingerprints(docs):
     ids = sorted({i for i, _ in corpus_rows if i is not None}, reverse=True)
     text = {i: t or "" for i, t in corpus_rows}
     after = dict(zip(ids, [*ids[1:], None]))
-    sets = lambda t: set(fingerprint.digests(t).tolist())
-    near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    sets = lambda t: Counter(plain_pieces(t))
+    near = lambda a, b: (a & b).total() / (a | b).total() if a | b else 1.0
     checked = 0
     for r in got:
         if r.doc_id in (None, 55):

@@ -92,3 +92,14 @@ def test_packed_sequences_follow_the_mixture(spark, tmp_path):
             error = max(error, abs(done - t * share))
     print("largest deviation", error)
     assert error <= 8 + 256
+
+
+def test_stages_on_empty_and_unlabelled_tables(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), D).count() == 0
+    rows = [(1, "some text", None, None, 0), (2, "12", None, None, 0), (None, None, None, None, None), (1, "some text", None, None, 0)]
+    bare = spark.createDataFrame(rows, docs.schema)
+    assert [r.doc_id for r in P.language_stage(spark, bare, D).collect()] == [1, 1]
+    assert P.line_stage(spark, bare, D).count() == P.mixing_stage(spark, bare, D).count() == 4
+    assert P.near_dup_stage(spark, bare, D).count() == 3 and P.packing_stage(spark, bare, D).count() == 4
