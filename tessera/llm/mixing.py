@@ -121,7 +121,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, *, id_col: str = "
         at = first[pd.Index(names).get_indexer(pool)] + j
         return pd.DataFrame({"block": j, "slot": slots[at], "position": ahead[at] + inside})
 
-    ranked = _ranked(ids, buckets or max(16, -(-int(total.sum()) // BUCKET_ROWS)))
+    ranked = _ranked(ids, buckets or max(256, -(-int(total.sum()) // BUCKET_ROWS)))
     again = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))) - 1  # rows of one source and id
     placed = rows.join(ranked, "key").withColumn("rank", F.col("rank") + F.when(F.col("n") > 1, again).otherwise(0))
     placed = placed.select("row", "source", place("key.pool", "rank").alias("p"))
