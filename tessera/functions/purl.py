@@ -54,7 +54,7 @@ def goproxy_escape(module) -> Column:
 def goproxy_unescape(module) -> Column:
     """The inverse of :func:`goproxy_escape`; a last lone ``!`` drops out."""
     parts = F.split(col(module), "!")
-    tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20)))
+    tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2))))
     return F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
 
 

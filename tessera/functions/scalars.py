@@ -33,7 +33,7 @@ def rfc3339_seconds(value) -> Column:
     """Epoch seconds of ``YYYY-MM-DD?HH:MM:SS``, with an optional fraction and zone; null if malformed or negative."""
     s = col(value)
     at = lambda p, n: _int(F.substring(s, p, n))
-    rest = F.regexp_replace(F.substring(s, 20, 1 << 10), F.lit(r"^\.[0-9]*"), F.lit(""))
+    rest = F.regexp_replace(F.substr(s, F.lit(20)), F.lit(r"^\.[0-9]*"), F.lit(""))
     zone = r"^([+-])([0-9]{2}):?([0-9]{2})$"
     minutes = _int(F.regexp_extract(rest, zone, 2)) * 60 + _int(F.regexp_extract(rest, zone, 3))
     shift = F.when((rest == "") | (rest == "Z") | (rest == "z"), F.lit(0)).when(rest.rlike(zone), F.when(rest.startswith("-"), -minutes).otherwise(minutes))

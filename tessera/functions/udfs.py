@@ -37,7 +37,7 @@ def percent_decode_one(s: str | None) -> str | None:
 
 #: Blocks that a fetcher must not reach besides what the standard marks (fixed values).
 _V4_BLOCKED = [ipaddress.ip_network(n) for n in ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")]
-_V6_BLOCKED = [ipaddress.ip_network(n) for n in ("::/128", "::1/128", "fc00::/7", "fe80::/10", "ff00::/8", "2001:db8::/32")]
+_V6_BLOCKED = [ipaddress.ip_network(n) for n in ("::/128", "::1/128", "fc00::/7", "fe80::/10", "ff00::/8", "64:ff9b:1::/48", "2001::/32", "2001:db8::/32")]
 
 
 def blocked_ip_one(s: str | None) -> bool | None:
@@ -49,12 +49,10 @@ def blocked_ip_one(s: str | None) -> bool | None:
     if ip.version == 6:
         raw = int(ip)
         inner = None
-        if ip.ipv4_mapped or raw >> 32 == 0 and raw > 1 or raw >> 32 == 0x0064FF9B << 64:
+        if ip.ipv4_mapped or raw >> 32 == 0 and raw > 1 or raw >> 96 == 0x0064FF9B:
             inner = raw & 0xFFFFFFFF
         elif raw >> 112 == 0x2002:
             inner = raw >> 80 & 0xFFFFFFFF
-        elif raw >> 96 == 0x20010000:
-            inner = ~raw & 0xFFFFFFFF
         if inner is not None and any(ipaddress.ip_address(inner) in n for n in _V4_BLOCKED):
             return True
         return any(ip in n for n in _V6_BLOCKED)

@@ -40,7 +40,7 @@ def flatten(entries: DataFrame, image: str = "image", layer: str = "layer_no", e
     join = lambda name: F.when(F.col("__dir") == "", name).otherwise(F.concat(F.col("__dir"), F.lit("/"), name))
     marks = rows.where(F.col("__base").startswith(WHITEOUT))
     opaque = F.col("__base") == OPAQUE
-    hidden = marks.select(F.col(image).alias("__image"), F.col(layer).alias("__above"), F.when(opaque, F.col("__dir")).otherwise(join(F.substring(F.col("__base"), len(WHITEOUT) + 1, 1 << 20))).alias("__under"), opaque.alias("__opaque"))
+    hidden = marks.select(F.col(image).alias("__image"), F.col(layer).alias("__above"), F.when(opaque, F.col("__dir")).otherwise(join(F.substr(F.col("__base"), F.lit(len(WHITEOUT) + 1)))).alias("__under"), opaque.alias("__opaque"))
     hidden = hidden.groupBy("__image", "__under", "__opaque").agg(F.max("__above").alias("__above"))
     real = rows.where(~F.col("__base").startswith(WHITEOUT) & (F.col(path) != ""))
     top = real.withColumn("__rank", F.row_number().over(Window.partitionBy(image, path).orderBy(F.col(layer).desc(), *order))).where("__rank = 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.purl import goproxy_escape, identity_of, last_segment, normalize, parse, safe_coordinate
+from ..functions.purl import goproxy_escape, identity_of, last_segment, normalize, parse, purl_qualifier, safe_coordinate
 from .registry import dispatch
 from .resolve import metadata_url, resolve_purl
 
@@ -25,7 +25,7 @@ ENDPOINTS = {
     "chrome": "https://chromewebstore.google.com/detail/{last}",
     "openvsx": "https://open-vsx.org/api/{path}",
     "vscode": "https://marketplace.visualstudio.com/_apis/public/gallery/extensionquery",
-    "nuget": "https://azuresearch-usnc.nuget.org/query?q=packageid:{path}&prerelease=true&semVerLevel=2.0.0",
+    "nuget": "https://azuresearch-usnc.nuget.org/query?q=packageid:{low}&prerelease=true&semVerLevel=2.0.0",
     "hex": "https://hex.pm/api/packages/{path}",
     "cran": "https://crandb.r-pkg.org/{path}",
     "cpan": "https://fastapi.metacpan.org/v1/release/{last}",
@@ -36,7 +36,7 @@ ENDPOINTS = {
     "fedora": "https://mdapi.fedoraproject.org/rawhide/pkg/{last}",
     "clawhub": "https://clawhub.ai/api/v1/skills/{last}",
     "homebrew": "https://formulae.brew.sh/api/formula/{path}.json",
-    "snap": "https://api.snapcraft.io/v2/snaps/info/{path}",
+    "snap": "https://api.snapcraft.io/v2/snaps/info/{path}?fields=title,summary,description,license,publisher,store-url,website,version",
     "wordpress": "https://api.wordpress.org/plugins/info/1.0/{last}.json",
     "huggingface": "https://huggingface.co/api/models/{path}",
     "firefox": "https://addons.mozilla.org/api/v5/addons/addon/{last}/",
@@ -51,6 +51,8 @@ ENDPOINTS = {
     "freebsd": "https://pkg.freebsd.org/FreeBSD:14:amd64/latest/packagesite.pkg",
     "openbsd": "https://cdn.openbsd.org/pub/OpenBSD/snapshots/packages/amd64/index.txt",
 }
+#: Where the hosts of images tell about a repository; others don't.
+IMAGE_HOSTS = {"docker.io": "https://hub.docker.com/v2/repositories/", "quay.io": "https://quay.io/api/v1/repository/"}
 #: What is asked for instead when a version is given.
 VERSIONED = {"golang": "https://proxy.golang.org/{go}/@v/{gov}.info", "openvsx": "https://open-vsx.org/api/{path}/{version}"}
 
@@ -70,9 +72,11 @@ def registry_url(purl) -> Column:
         return F.concat(*out)
 
     served = dispatch(kind, path, purl if isinstance(purl, Column) else F.col(purl))
-    host = F.substring_index(path, "/", 1)
-    image = F.when(host == "quay.io", F.concat(F.lit("https://quay.io/api/v1/repository/"), F.substring(path, len("quay.io/") + 1, 1 << 20)))
-    image = image.when(~path.contains("/"), F.concat(F.lit("https://hub.docker.com/v2/repositories/library/"), path)).when(~host.rlike("[.:]"), F.concat(F.lit("https://hub.docker.com/v2/repositories/"), path))
+    named = F.nullif(purl_qualifier(purl, "repository_url"), F.lit(""))
+    repository = F.coalesce(F.try_url_decode(F.replace(named, F.lit("+"), F.lit("%2B"))), F.concat(F.lit("docker.io/library/"), last_segment(path)))
+    host, rest = F.substring_index(repository, "/", 1), F.regexp_extract(repository, "^[^/]*/(.*)$", 1)
+    hub = F.create_map(*[F.lit(x) for kv in IMAGE_HOSTS.items() for x in kv])
+    image = F.when(repository.contains("/"), F.concat(hub[host], rest))
     scoped = r"^(?:%40|@)([^/]+)/(.+)$"
     jsr = F.when(path.rlike(scoped), F.regexp_replace(path, F.lit(scoped), F.lit("https://api.jsr.io/scopes/$1/packages/$2")))
     group, artifact = F.substring_index(path, "/", 1), last_segment(path)

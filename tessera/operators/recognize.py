@@ -148,7 +148,7 @@ def npm_token(tok) -> Column:
     tok = col(tok)
     name = F.when(tok.rlike("^.+@[^@]*$"), F.regexp_extract(tok, "^(.+)@[^@]*$", 1)).otherwise(tok)
     version = rx(tok, "^.+@([^@]*)$")
-    base = F.when(name.rlike("^@[^/]*/"), F.concat(F.lit("pkg:npm/%40"), F.substring(name, 2, 1 << 20))).when(name != "", F.concat(F.lit("pkg:npm/"), name))
+    base = F.when(name.rlike("^@[^/]*/"), F.concat(F.lit("pkg:npm/%40"), F.substr(name, F.lit(2)))).when(name != "", F.concat(F.lit("pkg:npm/"), name))
     return _at(base, version)
 
 
@@ -160,7 +160,7 @@ def pypi_token(tok) -> Column:
 
 def jsr_token(spec) -> Column:
     name = F.when(col(spec).rlike("^.+@[^@]*$"), F.regexp_extract(col(spec), "^(.+)@[^@]*$", 1)).otherwise(col(spec))
-    return _at(F.when(name.rlike("^@[^/]+/.+$"), F.concat(F.lit("pkg:jsr/%40"), F.substring(name, 2, 1 << 20))), rx(spec, "^.+@([^@]*)$"))
+    return _at(F.when(name.rlike("^@[^/]+/.+$"), F.concat(F.lit("pkg:jsr/%40"), F.substr(name, F.lit(2)))), rx(spec, "^.+@([^@]*)$"))
 
 
 def package_token(eco, tok) -> Column:
@@ -180,8 +180,8 @@ def package_token(eco, tok) -> Column:
         .when(eco == "pypi", pypi_token(tok))
         .when(eco.isin("golang", "cargo"), _at(named(head), tail))
         .when(eco == "gem", named(tok))
-        .when(eco == "conda", _at(named(F.substring_index(conda, "=", 1)), F.regexp_replace(F.substring(conda, F.length(F.substring_index(conda, "=", 1)) + 1, 1 << 20), F.lit("^=+"), F.lit(""))))
-        .when(eco == "deno", F.when(tok.startswith("npm:"), npm_token(F.substring(tok, 5, 1 << 20))).when(tok.startswith("jsr:"), jsr_token(F.substring(tok, 5, 1 << 20))))
+        .when(eco == "conda", _at(named(F.substring_index(conda, "=", 1)), F.regexp_replace(F.substr(conda, F.length(F.substring_index(conda, "=", 1)) + 1), F.lit("^=+"), F.lit(""))))
+        .when(eco == "deno", F.when(tok.startswith("npm:"), npm_token(F.substr(tok, F.lit(5)))).when(tok.startswith("jsr:"), jsr_token(F.substr(tok, F.lit(5)))))
         .when(eco == "composer", F.when(F.substring_index(tok, ":", 1).contains("/"), named(F.substring_index(tok, ":", 1))))
         .when(eco.isin("debian", "ubuntu", "alpine", "wolfi", "fedora", "opensuse", "arch", "aur", "freebsd", "netbsd", "openbsd"), distro)
         .when(eco.isin("homebrew", "snap", "pub"), named(F.regexp_extract(tok, "^([^:=@]*)", 1)))
@@ -296,7 +296,7 @@ def npm_hooks(facts: DataFrame, key: str = "file_id", values: str = "values") ->
     links = found.select(key, (F.col("hook") * 2).alias("pos"), "sub", F.lit("url").alias("locator_type"), "locator", F.lit("url_fetch").alias("kind"), "source", F.col("cmd").alias("evidence"))
     flat = rows.withColumn("unit", F.struct(key, "hook"))
     runs = commands(flat.select("unit", "source", "cmd"), "cmd", "source", "unit")
-    return links.unionByName(runs.select(f"unit.{key}", (F.col("unit.hook") * 2 + 1).alias("pos"), (F.col("pos") * 1000 + F.col("sub")).alias("sub"), *_REF))
+    return links.unionByName(runs.select(f"unit.{key}", (F.col("unit.hook") * 2 + 1).alias("pos"), (F.col("pos").cast("bigint") * (1 << 32) + F.col("sub")).alias("sub"), *_REF))
 
 
 def extracted_refs(strings: DataFrame, key: str = "file_id") -> DataFrame:

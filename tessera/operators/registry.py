@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json import first_text, jbool, jf64, jlen, jlist, jmap, jstr, ju64
+from ..functions.json import first_text, jbool, jf64, jlen, jlist, jmap, jstr, ju64, present
 from ..functions.purl import last_segment
 from ..functions.scalars import (
     email_domain, first_line, grouped_number, meta_content, millis_seconds, month_day_year_seconds, number_before, rfc3339_seconds,
@@ -78,6 +78,14 @@ def person(doc, path: str) -> Column:
     return F.coalesce(jstr(doc, path), jstr(doc, f"{path}.name"))
 
 
+def first_present(reader, *places) -> Column:
+    """``reader`` at the first of the ``(doc, path)`` places whose key is there, be it with an explicit null."""
+    out = F.lit(None)
+    for doc, path in reversed(places):
+        out = F.when(present(doc, path), reader(doc, path)).otherwise(out)
+    return out
+
+
 def flag(value: Column, word: str) -> Column:
     return F.when(value, F.lit(word))
 
@@ -96,9 +104,8 @@ def npm(r: Row) -> dict:
     message = F.coalesce(jstr(v, "$.deprecated"), flag(jbool(v, "$.deprecated"), "deprecated"))
     return line | {
         "ecosystem": F.lit("npm"), "name": F.replace(r.name, F.lit("%40"), F.lit("@")), "version": version, "published_at": published, "latest_version": latest,
-        "author": F.coalesce(person(v, "$.author"), person(r.doc, "$.author"), r.s("$.maintainers[0].name")),
-        "description": F.coalesce(jstr(v, "$.description"), r.s("$.description")), "homepage": F.coalesce(jstr(v, "$.homepage"), r.s("$.homepage")),
-        "repository": F.coalesce(jstr(v, "$.repository.url"), r.s("$.repository.url")), "license": F.coalesce(jstr(v, "$.license"), r.s("$.license")), "deprecated": F.nullif(message, F.lit("")),
+        "author": F.coalesce(first_present(person, (v, "$.author"), (r.doc, "$.author")), r.s("$.maintainers[0].name")), "deprecated": message,
+        **{f: first_present(jstr, (v, f"$.{p}"), (r.doc, f"$.{p}")) for f, p in (("description", "description"), ("homepage", "homepage"), ("repository", "repository.url"), ("license", "license"))},
         "maintainers": F.coalesce(F.size(keepers), F.lit(0)), "security_hold": F.coalesce(r.s("$.description") == "security holding package", F.lit(False)),
         "version_removed": v.isNull() & F.coalesce(F.array_contains(F.map_keys(times), version), F.lit(False)), "first_published_at": F.coalesce(rfc3339_seconds(times["created"]), F.array_min(line["release_times"])),
         "publisher": publisher, "publisher_email_domain": email_domain(jstr(v, "$._npmUser.email")), "publisher_in_maintainers": F.when(publisher.isNotNull(), F.exists(keepers, lambda m: F.coalesce(m["name"] == publisher, F.lit(False)))),
@@ -109,7 +116,7 @@ def npm(r: Row) -> dict:
 
 
 def crates(r: Row) -> dict:
-    latest = F.coalesce(r.s("$.crate.max_stable_version"), r.s("$.crate.max_version"))
+    latest = first_present(jstr, (r.doc, "$.crate.max_stable_version"), (r.doc, "$.crate.max_version"))
     version = F.coalesce(r.asked, latest, F.lit(""))
     v = F.get(F.filter(jlist(r.doc, "$.versions", "struct<num: string, created_at: string, license: string, yanked: boolean>"), lambda x: x["num"] == version), F.lit(0))
     return {
@@ -143,14 +150,14 @@ def pypi(r: Row) -> dict:
 
 
 def composer(r: Row) -> dict:
+    """An unknown version has no release; without one the first that isn't a dev branch counts, in order of name."""
     bare = lambda x: F.regexp_replace(x, "^v+", "")
     versions = F.from_json(F.get_json_object(r.body, "$.package.versions"), "map<string, struct<version: string, time: string, authors: array<struct<name: string>>, license: array<string>>>")
-    entries = F.map_entries(versions)
-    match = F.get(F.filter(entries, lambda e: bare(e["key"]) == bare(r.asked)), F.lit(0))
-    stable = F.get(F.filter(entries, lambda e: ~e["key"].rlike("(?i)^dev-|-dev$")), F.lit(0))
-    v = F.coalesce(match, stable, F.get(entries, F.lit(0)))
+    entries = F.transform(F.array_sort(F.map_keys(versions)), lambda k: F.struct(k.alias("key"), versions[k].alias("value")))
+    fits = lambda e: F.when(r.asked.isNotNull(), bare(e["key"]) == bare(r.asked)).otherwise(~e["key"].contains("dev"))
+    v = r.keep(F.get(F.filter(entries, fits), F.lit(0)))
     return {
-        "ecosystem": F.lit("composer"), "name": r.name, "version": F.coalesce(v["value"]["version"], v["key"], F.lit("")), "published_at": timestamp_seconds(v["value"]["time"]), "author": F.get(v["value"]["authors"], F.lit(0))["name"],
+        "ecosystem": F.lit("composer"), "name": r.name, "version": F.coalesce(v["value"]["version"], F.lit("")), "published_at": rfc3339_seconds(v["value"]["time"]), "author": F.get(v["value"]["authors"], F.lit(0))["name"],
         "description": r.s("$.package.description"), "repository": r.s("$.package.repository"), "license": F.get(v["value"]["license"], F.lit(0)), "downloads_total": r.u("$.package.downloads.total"),
         "downloads_recent": r.u("$.package.downloads.monthly"), "rating_count": r.u("$.package.favers"), "maintainers": jlen(r.doc, "$.package.maintainers"),
     }
@@ -215,7 +222,7 @@ def vscode(r: Row) -> dict:
     }
 
 
-_NUGET = "struct<items: array<struct<catalogEntry: struct<version: string, published: string, listed: boolean, licenseExpression: string, deprecation: struct<message: string, reasons: array<string>>>>>>"
+_NUGET = "struct<items: array<struct<catalogEntry: struct<version: string, published: string, listed: boolean, licenseExpression: string, deprecation: struct<message: string>>>>>"
 
 
 def nuget(r: Row) -> dict:
@@ -223,17 +230,19 @@ def nuget(r: Row) -> dict:
     data = "$.data[0]"
     latest = r.s(f"{data}.version")
     listed = jlist(r.doc, f"{data}.versions", "struct<version: string>")
-    version = F.when(F.exists(listed, lambda v: F.lower(v["version"]) == F.lower(r.asked)), r.asked).otherwise(F.coalesce(latest, F.lit("")))
+    version = F.when(F.exists(listed, lambda v: v["version"] == r.asked), r.asked).otherwise(F.coalesce(latest, F.lit("")))
     pages = jlist(r.doc2, "$.items", _NUGET)
     entries = r.keep(F.transform(F.flatten(F.transform(pages, lambda p: p["items"])), lambda i: i["catalogEntry"]))
-    e = F.get(F.filter(entries, lambda x: F.lower(x["version"]) == F.lower(version)), F.lit(0))
-    published = r.keep(timestamp_seconds(e["published"]))
-    line = timeline(r.keep(F.transform(entries, lambda x: timestamp_seconds(x["published"]))), published)
+    e = F.get(F.filter(entries, lambda x: x["version"] == version), F.lit(0))
+    published = r.keep(rfc3339_seconds(e["published"]))
+    line = timeline(r.keep(F.transform(entries, lambda x: rfc3339_seconds(x["published"]))), published)
+    reason = lambda x: F.when(x.isNotNull(), F.coalesce(x["message"], F.lit("deprecated")))
+    said = F.from_json(F.get_json_object(r.body, f"{data}.deprecation"), "struct<message: string>")
     return line | {
         "ecosystem": F.lit("nuget"), "name": F.coalesce(r.s(f"{data}.id"), r.name), "version": version, "latest_version": latest, "published_at": published, "first_published_at": F.array_min(line["release_times"]),
-        "author": F.coalesce(r.s(f"{data}.authors[0]"), r.s(f"{data}.authors")), "description": r.s(f"{data}.description"), "homepage": r.s(f"{data}.projectUrl"), "downloads_total": r.u(f"{data}.totalDownloads"), "maintainers": jlen(r.doc, f"{data}.owners"),
-        "vulnerability_count": jlen(r.doc, f"{data}.vulnerabilities"), "version_removed": ~e["listed"], "license": F.coalesce(F.nullif(e["licenseExpression"], F.lit("")), tag_text(r.body3, "license")),
-        "deprecated": F.when(e["deprecation"].isNotNull(), F.coalesce(e["deprecation"]["message"], F.get(e["deprecation"]["reasons"], F.lit(0)), F.lit("deprecated"))),
+        "author": F.coalesce(r.s(f"{data}.authors[0]"), r.s(f"{data}.authors")), "description": r.s(f"{data}.description"), "homepage": F.nullif(r.s(f"{data}.projectUrl"), F.lit("")), "downloads_total": r.u(f"{data}.totalDownloads"), "maintainers": jlen(r.doc, f"{data}.owners"),
+        "vulnerability_count": jlen(r.doc, f"{data}.vulnerabilities"), "version_removed": ~e["listed"], "license": F.coalesce(F.nullif(F.trim(rx(r.body3, r'(?s)<license\s[^>]*?\btype="expression"[^>]*>(.*?)</license>')), F.lit("")), F.nullif(e["licenseExpression"], F.lit(""))),
+        "deprecated": F.coalesce(reason(said), reason(e["deprecation"])),
         "repository": tag_attribute(r.body3, "repository", "url"), "repository_commit": tag_attribute(r.body3, "repository", "commit"),
     }
 
@@ -244,13 +253,15 @@ def maven(r: Row) -> dict:
 
 
 def links_repository(r: Row, path: str) -> Column:
+    """The link under the first known key, else the first in order of name."""
     links = jmap(r.doc, path)
-    match = F.get(F.map_values(F.map_filter(links, lambda k, _: F.lower(k).isin("github", "gitlab", "repository", "source"))), F.lit(0))
-    return F.coalesce(match, F.get(F.filter(F.map_values(links), lambda u: u.rlike("(?i)github|gitlab")), F.lit(0)))
+    named = [links[k] for k in ("GitHub", "Github", "github", "GitLab", "Repository", "Source")]
+    every = F.array_compact(F.transform(F.array_sort(F.map_keys(links)), lambda k: links[k]))
+    return F.coalesce(*named, F.get(every, F.lit(0)))
 
 
 def hex_pm(r: Row) -> dict:
-    latest = F.coalesce(r.s("$.latest_stable_version"), r.s("$.latest_version"))
+    latest = first_present(jstr, (r.doc, "$.latest_stable_version"), (r.doc, "$.latest_version"))
     version = F.coalesce(r.asked, latest, F.lit(""))
     releases = jlist(r.doc, "$.releases", "struct<version: string, inserted_at: string>")
     v = F.coalesce(F.get(F.filter(releases, lambda x: x["version"] == version), F.lit(0)), F.get(releases, F.lit(0)))
@@ -300,7 +311,7 @@ def conda(r: Row) -> dict:
 def clojars(r: Row) -> dict:
     group, artifact = r.s("$.group_name"), r.s("$.jar_name")
     return {
-        "ecosystem": F.lit("clojars"), "name": F.when(group == artifact, artifact).otherwise(F.coalesce(F.concat(group, F.lit("/"), artifact), r.name)), "version": F.coalesce(r.asked, r.s("$.latest_release"), r.s("$.latest_version"), F.lit("")),
+        "ecosystem": F.lit("clojars"), "name": F.when(group == artifact, artifact).otherwise(F.coalesce(F.concat(group, F.lit("/"), artifact), r.name)), "version": F.coalesce(r.asked, first_present(jstr, (r.doc, "$.latest_release"), (r.doc, "$.latest_version")), F.lit("")),
         "latest_version": r.s("$.latest_version"), "description": r.s("$.description"), "homepage": r.s("$.homepage"), "repository": r.s("$.scm.url"), "license": r.s("$.licenses[0].name"), "downloads_total": r.u("$.downloads"),
     }
 
@@ -342,7 +353,7 @@ def oci(r: Row) -> dict:
     """Docker Hub and Quay answers in one: their fields don't clash."""
     return {
         "ecosystem": F.lit("oci"), "name": F.coalesce(r.s("$.name"), r.name), "version": F.coalesce(r.asked, F.lit("")), "published_at": F.coalesce(rfc3339_seconds(r.s("$.last_updated")), r.u("$.last_modified")), "first_published_at": rfc3339_seconds(r.s("$.date_registered")),
-        "author": F.coalesce(r.s("$.namespace"), r.s("$.user")), "description": r.s("$.description"), "downloads_total": r.u("$.pull_count"), "rating_count": F.coalesce(r.u("$.star_count"), r.u("$.popularity")),
+        "author": first_present(jstr, (r.doc, "$.namespace"), (r.doc, "$.user")), "description": r.s("$.description"), "downloads_total": r.u("$.pull_count"), "rating_count": F.coalesce(r.u("$.star_count"), r.u("$.popularity")),
     }
 
 
@@ -376,7 +387,7 @@ def huggingface(r: Row) -> dict:
     tag = F.get(F.filter(jlist(r.doc, "$.tags", "string"), lambda t: t.startswith("license:")), F.lit(0))
     return {
         "ecosystem": F.lit("huggingface"), "name": F.coalesce(r.s("$.id"), r.name), "version": F.coalesce(r.asked, r.s("$.sha"), F.lit("")), "published_at": rfc3339_seconds(r.s("$.lastModified")), "first_published_at": rfc3339_seconds(r.s("$.createdAt")),
-        "author": r.s("$.author"), "homepage": F.concat(F.lit("https://huggingface.co/"), F.coalesce(r.s("$.id"), r.name)), "license": F.coalesce(r.s("$.cardData.license"), r.s("$.cardData.license[0]"), F.substring(tag, len("license:") + 1, 200)),
+        "author": r.s("$.author"), "homepage": F.concat(F.lit("https://huggingface.co/"), F.coalesce(r.s("$.id"), r.name)), "license": F.coalesce(r.s("$.cardData.license"), r.s("$.cardData.license[0]"), F.substr(tag, F.lit(len("license:") + 1))),
         "downloads_recent": r.u("$.downloads"), "rating_count": r.u("$.likes"),
     }
 
@@ -384,7 +395,8 @@ def huggingface(r: Row) -> dict:
 def localized(doc, path: str) -> Column:
     """A text, or a map of languages with en-US before the first other."""
     words = jmap(doc, path)
-    return F.coalesce(jstr(doc, path), words["en-US"], F.get(F.filter(F.map_values(words), lambda x: x.isNotNull()), F.lit(0)))
+    some = F.filter(F.transform(F.array_sort(F.map_keys(words)), lambda k: words[k]), lambda x: x != "")
+    return F.coalesce(F.nullif(jstr(doc, path), F.lit("")), F.nullif(words["en-US"], F.lit("")), F.get(some, F.lit(0)))
 
 
 def firefox(r: Row) -> dict:
@@ -443,7 +455,7 @@ def netbsd(r: Row) -> dict:
     f = lambda k: stanza_field(r.body, k + "=")
     built = F.regexp_replace(f("BUILD_DATE"), F.lit(" "), F.lit("T"))
     return {
-        "ecosystem": F.lit("netbsd"), "name": r.name, "version": F.substring(f("PKGNAME"), F.length(r.name) + 2, F.lit(1 << 20)), "published_at": timestamp_seconds(built), "author": f("MAINTAINER"), "description": f("COMMENT"), "homepage": f("HOMEPAGE"), "license": f("LICENSE"),
+        "ecosystem": F.lit("netbsd"), "name": r.name, "version": F.substr(f("PKGNAME"), F.length(r.name) + 2), "published_at": timestamp_seconds(built), "author": f("MAINTAINER"), "description": f("COMMENT"), "homepage": f("HOMEPAGE"), "license": f("LICENSE"),
     }
 
 
@@ -463,6 +475,28 @@ NORMALIZERS: dict[str, Callable[[Row], dict]] = {
 }
 
 
+#: What a document must hold to give a record at all, be it null.
+REQUIRED = {
+    "cargo": "$.crate", "pypi": "$.info", "composer": "$.package", "aur": "$.results[0]", "vscode": "$.results[0].extensions[0]", "nuget": "$.data[0]", "maven": "$.response.docs[0]", "arch": "$.results[0]",
+    "clawhub": "$.skill", "snap": "$.snap",
+}
+
+
+def inline_pages(docs: DataFrame, pages: DataFrame, key: list[str], body: str = "body2") -> DataFrame:
+    """``docs`` with the pages that a registration index only names put in from ``pages(url, content)``.
+
+    An index lists pages that hold their items or an ``@id``; the named ones meet ``pages`` in one left
+    join, pages that aren't there stay empty. Rows are told apart by ``key``.
+    """
+    page = "struct<items: array<struct<`@id`: string, items: string>>>"
+    listed = docs.select(*key, F.posexplode(F.from_json(body, page)["items"]).alias("pos", "page"))
+    met = listed.join(pages.select(F.col("url").alias("__url"), F.get_json_object("content", "$.items").alias("__items")), F.col("page.items").isNull() & (F.col("page.`@id`") == F.col("__url")), "left")
+    one = F.concat(F.lit('{"items":'), F.coalesce(F.col("page.items"), F.col("__items"), F.lit("[]")), F.lit("}"))
+    whole = met.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("text")))).alias("__pages"))
+    made = F.concat(F.lit('{"items":['), F.array_join(F.transform("__pages", lambda p: p["text"]), ","), F.lit("]}"))
+    return docs.drop(body).join(whole.select(*key, made.alias(body)), key, "left")
+
+
 def normalize(docs: DataFrame, kind: str) -> DataFrame:
     """Records of one ecosystem from ``docs(name, version, body[, body2, body3])``; rows without a usable body drop out."""
     for extra in ("body2", "body3"):
@@ -473,6 +507,8 @@ def normalize(docs: DataFrame, kind: str) -> DataFrame:
     rows = docs.where("body IS NOT NULL").withColumns({"__doc": F.try_parse_json("body"), "__doc2": F.try_parse_json("body2")})  # parsed once, read by every field
     if kind not in ("chrome", "alpine", "wolfi", "debian", "ubuntu", "opensuse", "rpmfusion", "netbsd", "openbsd"):
         rows = rows.where("__doc IS NOT NULL")
+    if kind in REQUIRED:
+        rows = rows.where(present(F.col("__doc"), REQUIRED[kind]))
     for name, value in reader.kept:
         rows = rows.withColumn(name, value)
     return rows.select(*[(made[f].cast(t) if f in made else F.lit(None).cast(t)).alias(f) for f, t in FIELDS.items()])

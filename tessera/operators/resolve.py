@@ -38,7 +38,7 @@ def resolve_purl(purl, decode: bool = True) -> Column:
     c = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     name = F.replace(path, F.lit("%40"), F.lit("@"))
     ident, low = F.lower(path), F.lower(version)
-    group, artifact = F.substring_index(path, "/", 1), F.substring(path, F.instr(path, "/") + 1, 1 << 20)
+    group, artifact = F.substring_index(path, "/", 1), F.substr(path, F.instr(path, "/") + 1)
     part = lambda key: _decoded(purl_qualifier(purl, key)) if decode else purl_qualifier(purl, key)
     ending, classifier = part("type"), part("classifier")
     maven = F.when(
@@ -117,7 +117,7 @@ def resolve_with_documents(refs: DataFrame, documents: DataFrame, locator_type:
     wanted = F.regexp_replace(version, "^v+", "")
     releases = F.from_json(F.call_function("get_json_object", F.col("__body"), c("$.packages['", path, "']")), "array<struct<version: string, dist: struct<url: string>>>")
     composer = F.get(F.filter(releases, lambda r: F.regexp_replace(r["version"], "^v+", "") == wanted), F.lit(0))["dist"]["url"]
-    publisher, name = F.substring_index(path, "/", 1), F.substring(path, F.instr(path, "/") + 1, 1 << 20)
+    publisher, name = F.substring_index(path, "/", 1), F.substr(path, F.instr(path, "/") + 1)
     vscode = F.when(path.contains("/"), c("https://", publisher, ".gallery.vsassets.io/_apis/public/gallery/publisher/", publisher, "/extension/", name, "/", version, "/assetbyname/Microsoft.VisualStudio.Services.VSIXPackage"))
     aur = F.coalesce(c("https://aur.archlinux.org", jstr(doc, "$.results[0].URLPath")), c("https://aur.archlinux.org/cgit/aur.git/snapshot/", last_segment(path), ".tar.gz"))
     url = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import json
 import socket
 from urllib.parse import urljoin, urlsplit
 
@@ -29,7 +30,11 @@ def refusing(requests: DataFrame) -> DataFrame:
 
 
 class HttpsSource(DataSource):
-    """``spark.read.format("guarded_https").option("urls", "u1\\nu2")``: one partition a host."""
+    """``spark.read.format("guarded_https").option("urls", "u1\\nu2")``: one partition a host.
+
+    Options ``method`` (GET or POST), ``body`` and ``headers`` (a JSON object) hold for all URLs, ``cap``
+    for the bytes of a body.
+    """
 
     @classmethod
     def name(cls):
@@ -50,7 +55,8 @@ class _Host(InputPartition):
 class HttpsReader(DataSourceReader):
     def __init__(self, options):
         self.urls = [u for u in options.get("urls", "").split("\n") if u]
-        self.cap = int(options.get("cap", CAP))
+        self.cap, self.method, self.body = int(options.get("cap", CAP)), options.get("method", "GET").upper(), options.get("body")
+        self.headers = json.loads(options.get("headers", "{}"))
 
     def partitions(self):
         hosts: dict = {}
@@ -60,50 +66,79 @@ class HttpsReader(DataSourceReader):
 
     def read(self, partition):
         for url in partition.urls:
-            yield get(url, self.cap)
+            yield fetch(url, self.cap, self.method, self.headers, self.body)
 
 
-def refused(url: str) -> str | None:
-    """Why a URL must not be fetched: not HTTPS, no host, or a host that resolves to a blocked address."""
-    parts = urlsplit(url)
-    if parts.scheme.lower() != "https" or not parts.hostname:
-        return "refused: not https"
+def checked(url: str) -> tuple[list[str], str | None]:
+    """(addresses to connect to, why not): not HTTPS, no host, or a host that resolves to blocked addresses alone."""
+    try:
+        parts = urlsplit(url)
+        host, port = parts.hostname, parts.port or 443
+    except ValueError as e:
+        return [], f"refused: {e}"
+    if parts.scheme.lower() != "https" or not host:
+        return [], "refused: not https"
     try:
-        ipaddress.ip_address(parts.hostname)
-        found = [parts.hostname]
+        ipaddress.ip_address(host)
+        found = [host]
     except ValueError:
         try:
-            found = [a[4][0] for a in socket.getaddrinfo(parts.hostname, parts.port or 443)]
-        except OSError as e:
-            return f"transport: {e}"
-    return "refused: blocked address" if any(blocked_ip_one(a.split("%")[0]) is not False for a in found) else None
+            found = list(dict.fromkeys(a[4][0] for a in socket.getaddrinfo(host, port, type=socket.SOCK_STREAM)))
+        except (OSError, UnicodeError) as e:
+            return [], f"transport: {e}"
+    free = [a for a in found if blocked_ip_one(a.split("%")[0]) is False]
+    return free, None if free else "refused: blocked address"
+
+
+def refused(url: str) -> str | None:
+    """Why a URL must not be fetched; null if it may be."""
+    return checked(url)[1]
+
+
+def _connect(addresses: list[str], port: int, timeout: float):
+    """A connection to the first of the checked addresses that answers; names aren't resolved again."""
+    for k, a in enumerate(addresses):
+        try:
+            return socket.create_connection((a, port), timeout)
+        except OSError:
+            if k == len(addresses) - 1:
+                raise
+
 
+def fetch(url: str, cap: int = CAP, method: str = "GET", headers: dict | None = None, body: str | None = None) -> tuple:
+    """One request with guarded, counted redirects and a capped body, as a row of ``SCHEMA``.
 
-def get(url: str, cap: int = CAP) -> tuple:
-    """One GET with guarded, counted redirects and a capped body, as a row of ``SCHEMA``."""
+    Every hop is resolved once and connects to an address that was checked. A POST that is redirected
+    goes on as a GET, unless the status keeps the method.
+    """
     import http.client
 
     at = url
     for _ in range(REDIRECTS + 1):
-        if why := refused(at):
+        addresses, why = checked(at)
+        if why:
             return (url, None, at, None, None, why)
         parts = urlsplit(at)
         conn = http.client.HTTPSConnection(parts.hostname, parts.port or 443, timeout=TIMEOUT)
+        conn._create_connection = lambda to, timeout, source=None: _connect(addresses, to[1], timeout)
         try:
-            conn.request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""))
+            conn.request(method, (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), body, headers or {})
             r = conn.getresponse()
             if r.status in (301, 302, 303, 307, 308) and r.getheader("location"):
                 at = urljoin(at, r.getheader("location"))
+                if method != "GET" and r.status in (301, 302, 303):
+                    method, body = "GET", None
                 continue
-            if int(r.getheader("content-length") or 0) > cap:
+            size = r.getheader("content-length") or ""
+            if size.isdigit() and int(size) > cap:
                 return (url, r.status, at, None, None, "too large")
             body = r.read(cap + 1)
             error = "too large" if len(body) > cap else f"status: {r.status}" if r.status >= 400 else None
             return (url, r.status, at, r.getheader("content-type"), None if len(body) > cap else body, error)
         except TimeoutError:
             return (url, None, at, None, None, "timeout")
-        except OSError as e:
-            return (url, None, at, None, None, f"transport: {e}")
+        except (OSError, http.client.HTTPException, ValueError) as e:
+            return (url, None, at, None, None, f"transport: {type(e).__name__}: {e}")
         finally:
             conn.close()
     return (url, None, at, None, None, "refused: too many redirects")

@@ -10,10 +10,13 @@ from ..operators.recognize import file_type
 
 
 def files(spark: SparkSession, path: str, cap: int = 64 << 20) -> DataFrame:
-    """Files as ``(path, content, text, file_type)``; bodies over ``cap`` bytes are left out at the scan."""
-    raw = spark.read.format("binaryFile").load(path).where(F.col("length") <= cap)
+    """Files as ``(path, content, text, file_type, error)``; one over ``cap`` bytes is a row with an error, its body unread."""
+    found = spark.read.format("binaryFile").load(path)
+    long = found.where(F.col("length") > cap).select("path", F.lit("too large").alias("error"))
+    raw = found.where(F.col("length") <= cap)
     rows = raw.select("path", "content", F.expr("CASE WHEN is_valid_utf8(CAST(content AS STRING)) THEN CAST(content AS STRING) END").alias("text"))
-    return rows.withColumn("file_type", file_type("path", F.substring_index("text", "\n", 1)))
+    read = rows.withColumns({"file_type": file_type("path", F.substring_index("text", "\n", 1)), "error": F.lit(None).cast("string")})
+    return read.unionByName(long.withColumn("file_type", file_type("path", F.lit(None).cast("string"))), allowMissingColumns=True)
 
 
 def stanzas(spark: SparkSession, path: str) -> DataFrame:

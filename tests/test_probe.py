@@ -8,7 +8,8 @@ from tessera.operators import archive, probe
 
 def test_probe(spark):
     cases = {"pkg:npm/%40s/n": "https://registry.npmjs.org/@s/n", "pkg:golang/a.b/C@v1": "https://proxy.golang.org/a.b/!c/@v/v1.info", "pkg:golang/a.b/C": "https://proxy.golang.org/a.b/!c/@latest", "pkg:docker/nginx": "https://hub.docker.com/v2/repositories/library/nginx",
-             "pkg:oci/quay.io/a/b": "https://quay.io/api/v1/repository/a/b", "pkg:oci/ghcr.io/a/b": None, "pkg:alpm/arch/vim": "https://archlinux.org/packages/search/json/?name=vim", "pkg:deb/debian/curl": "https://deb.debian.org/debian/dists/stable/main/binary-amd64/Packages.gz",
+             "pkg:oci/b?repository_url=quay.io%2Fa%2Fb": "https://quay.io/api/v1/repository/a/b", "pkg:oci/b?repository_url=ghcr.io%2Fa%2Fb": None, "pkg:oci/quay.io/a/b": "https://hub.docker.com/v2/repositories/library/b",
+             "pkg:nuget/New.Json": "https://azuresearch-usnc.nuget.org/query?q=packageid:new.json&prerelease=true&semVerLevel=2.0.0", "pkg:snap/s": "https://api.snapcraft.io/v2/snaps/info/s?fields=title,summary,description,license,publisher,store-url,website,version", "pkg:alpm/arch/vim": "https://archlinux.org/packages/search/json/?name=vim", "pkg:deb/debian/curl": "https://deb.debian.org/debian/dists/stable/main/binary-amd64/Packages.gz",
              "pkg:jsr/%40std/fs": "https://api.jsr.io/scopes/std/packages/fs", "pkg:cargo/../x": None, "pkg:unknown/x": None, "junk": None}
     got = {r.purl: r for r in probe.probe(spark.createDataFrame([(k,) for k in cases], "purl string")).collect()}
     assert {k: r.registry_url for k, r in got.items()} == cases
