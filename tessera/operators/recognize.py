@@ -190,20 +190,33 @@ def package_token(eco, tok) -> Column:
     return F.when(looks_like_package(eco, tok), purl)
 
 
+#: Where a stage of a Dockerfile begins: before a segment whose first word is FROM.
+_STAGE = r"(?<=[;&|\n\r])(?=\s*(?i:FROM)(?:[\s;&|]|$))"
+
+
 def command_segments(files: DataFrame, text: str = "text", source: str = "file_type", key: str = "file_id") -> DataFrame:
     """Command segments with their tokens; Dockerfile ``FROM`` sets, or resets, the base distribution of later ones.
 
-    The forward fill runs over one file's segments only.
+    A file is cut into its stages first, so each stage knows its base and nothing is shuffled.
     """
+    docker = F.col(source) == "dockerfile"
     joined = F.regexp_replace(F.col(text), F.lit("\\\\\r?\n"), F.lit(" "))
-    rows = files.select(*[c for c in files.columns if c != text], F.posexplode(F.split(joined, "[;&|\n\r]")).alias("seg_pos", "segment"))
-    rows = rows.withColumn("segment", F.regexp_replace("segment", F.lit(r"^\s+|\s+$"), F.lit(""))).where("segment <> ''").withColumn("tokens", F.split("segment", r"\s+"))
-    is_from = (F.col(source) == "dockerfile") & (F.upper(F.get("tokens", F.lit(0))) == "FROM")
-    image = F.get(F.filter(F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0))), lambda t: ~t.startswith("-")), F.lit(0))
-    base = F.when(~image.startswith("$") & (image != "scratch"), image_distro(image))
-    seen = Window.partitionBy(key).orderBy("seg_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("is_from", F.coalesce(is_from, F.lit(False)))
-    return rows.withColumn("distro", F.last(F.when(F.col("is_from"), F.struct(base.alias("d"))), ignorenulls=True).over(seen)["d"]).where("NOT is_from").drop("is_from")
+    trim = lambda x: F.regexp_replace(x, F.lit(r"^\s+|\s+$"), F.lit(""))
+    words = lambda x: F.split(x, r"\s+")
+    starts = lambda tokens: F.coalesce(F.upper(F.get(tokens, F.lit(0))) == "FROM", F.lit(False))
+    rest = [c for c in files.columns if c != text]
+    rows = files.select(*rest, F.explode(F.array(joined)).alias("whole"))  # evaluated once
+    rows = rows.select(*rest, F.posexplode(F.when(docker, F.split("whole", _STAGE)).otherwise(F.array("whole"))).alias("stage", "block"))
+    opening = words(trim(F.regexp_extract("block", r"^[\s;&|]*([^;&|\n\r]*)", 1)))
+    image = F.get(F.filter(F.slice(opening, 2, F.greatest(F.size(opening) - 1, F.lit(0))), lambda t: ~t.startswith("-")), F.lit(0))
+    base = F.when(docker & starts(opening) & ~image.startswith("$") & (image != "scratch"), image_distro(image))
+    rows = rows.withColumn("distro", base)
+    rows = rows.select(*[c for c in rows.columns if c not in ("stage", "block")], "stage", F.posexplode(F.split("block", "[;&|\n\r]")).alias("seg_pos", "segment"))
+    cut = trim("segment")
+    rows = rows.withColumn("made", F.explode(F.array(F.struct(cut.alias("segment"), words(cut).alias("tokens")))))  # evaluated once
+    rows = rows.withColumns({"segment": F.col("made.segment"), "tokens": F.col("made.tokens")}).where("segment <> ''").drop("made")
+    place = F.col("stage").cast("bigint") * (1 << 32) + F.col("seg_pos")
+    return rows.where(~(docker & starts(F.col("tokens")))).withColumn("seg_pos", place).drop("stage")
 
 
 _REF = ("locator_type", "locator", "kind", "source", "evidence")
@@ -316,8 +329,11 @@ def dedup_first(refs: DataFrame, partition: list[str], order: list) -> DataFrame
     return refs.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def references(files: DataFrame, declared: DataFrame | None = None, facts: DataFrame | None = None, strings: DataFrame | None = None, text: bool = True) -> DataFrame:
-    """All references of ``files(file_id, file_type, text)``: declared, npm hooks, strings, text; first locator wins."""
+def references(files: DataFrame, declared: DataFrame | None = None, facts: DataFrame | None = None, strings: DataFrame | None = None, text: bool = True, offsets: bool = True) -> DataFrame:
+    """All references of ``files(file_id, file_type, text)``: declared, npm hooks, strings, text; first locator wins.
+
+    Without ``offsets`` the texts aren't joined to the references again.
+    """
     cols = ["file_id", "branch", "pos", "sub", *_REF]
     parts = []
     tag = lambda df, n: df.withColumn("branch", F.lit(n)).select(*cols)
@@ -328,14 +344,15 @@ def references(files: DataFrame, declared: DataFrame | None = None, facts: DataF
     if strings is not None and text:
         parts.append(tag(extracted_refs(strings), 2))
     if text:
-        shell = files.where(F.col("file_type").isin("shell", "dockerfile"))
-        code = files.where(F.col("file_type").isin("javascript", "typescript", "python"))
-        flat = code.withColumn("text", source_text("text"))
-        parts += [tag(commands(shell.unionByName(flat)), 3), tag(git_refs(shell.unionByName(code)), 4), tag(urls(shell.unionByName(code)), 5), tag(dynamic_imports(code), 6)]
+        code = F.col("file_type").isin("javascript", "typescript", "python")
+        read = files.where(code | F.col("file_type").isin("shell", "dockerfile"))
+        plain = read.withColumn("text", F.when(code, source_text("text")).otherwise(F.col("text")))
+        parts += [tag(commands(plain), 3), tag(git_refs(read), 4), tag(urls(read), 5), tag(dynamic_imports(files.where(code)), 6)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return with_offset(dedup_first(out, ["file_id"], ["branch", "pos", "sub", "kind"]), files)
+    first = dedup_first(out, ["file_id"], ["branch", "pos", "sub", "kind"])
+    return with_offset(first, files) if offsets else first
 
 
 def anchor(locator_type, locator) -> Column:

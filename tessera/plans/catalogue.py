@@ -23,16 +23,19 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run input SQL over the Parquet tables of ``sf_dir``."""
+def rows(spark: SparkSession, sf_dir: str, sql: str, spread: str | None = None) -> DataFrame:
+    """Run input SQL over the Parquet tables of ``sf_dir``; rows of the table ``spread`` are dealt over all cores first."""
+    if spread:
+        table = readers.spread(spark.read.parquet(f"{sf_dir}/{spread}.parquet"))
+        return spark.sql(sql.replace(f"{{{spread}}}", "{table}"), table=table)
     return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
 
 
-def query(name: str, inp: str, oracle: str | None = None):
-    """Register ``f(df)`` over ``inp``; the oracle reads the same rows as ``inp``."""
+def query(name: str, inp: str, oracle: str | None = None, spread: str | None = None):
+    """Register ``f(df)`` over ``inp``; the oracle reads the same rows as ``inp``. ``spread`` names a table to deal over all cores."""
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(rows(spark, sf_dir, inp))
+        QUERIES[name] = lambda spark, sf_dir: f(rows(spark, sf_dir, inp, spread))
         if oracle is not None:
             ORACLES[name] = f"WITH inp AS ({re.sub(r'[{](.*?)[}]', lambda m: m[1] if m[1].isidentifier() else m[0], inp)}) {oracle}"
         return f
@@ -191,7 +194,7 @@ _SHELL = r"""SELECT o_orderkey AS file_id, 'shell' AS file_type, CASE o_orderkey
 @query("cmd_install_refs", _SHELL, """
 SELECT file_id, CASE file_id % 8 WHEN 0 THEN 'pkg:npm/' || regexp_extract(text, '(pkg[0-9]+@1.0)', 1) WHEN 1 THEN 'pkg:debian/' || replace(regexp_extract(text, '(lib[0-9]+=2.1)', 1), '=', '@')
   WHEN 2 THEN 'pkg:pypi/' || regexp_extract(text, '(Pkg[0-9]+)', 1) || '@3.0' WHEN 3 THEN 'pkg:cargo/' || regexp_extract(text, '(crate[0-9]+@0.1)', 1) WHEN 4 THEN 'pkg:golang/' || regexp_extract(text, '(github.com/a/m[0-9]+@v1)', 1)
-  WHEN 5 THEN 'pkg:composer/' || regexp_extract(text, '(ven/p[0-9]+)', 1) ELSE 'pkg:homebrew/' || regexp_extract(text, '(f[0-9]+)', 1) END AS locator FROM inp WHERE file_id % 8 <> 7""")
+  WHEN 5 THEN 'pkg:composer/' || regexp_extract(text, '(ven/p[0-9]+)', 1) ELSE 'pkg:homebrew/' || regexp_extract(text, '(f[0-9]+)', 1) END AS locator FROM inp WHERE file_id % 8 <> 7""", spread="orders")
 def _(df):
     return recognize.commands(df).select("file_id", "locator")
 
@@ -285,7 +288,7 @@ _STAMP = "SELECT o_orderkey AS k, substr('' || CAST(o_orderdate AS DATE), 1, 10)
 
 
 @query("rfc3339_parse", _STAMP, r"""
-SELECT k, CASE k % 5 WHEN 4 THEN NULL ELSE CAST(epoch(CAST(substr(stamp, 1, 10) AS TIMESTAMP)) AS BIGINT) + CASE k % 5 WHEN 0 THEN 37230 WHEN 1 THEN 3723 - 9000 WHEN 2 THEN 86399 + 3600 ELSE 0 END END AS seconds FROM inp""")
+SELECT k, CASE k % 5 WHEN 4 THEN NULL ELSE CAST(epoch(CAST(substr(stamp, 1, 10) AS TIMESTAMP)) AS BIGINT) + CASE k % 5 WHEN 0 THEN 37230 WHEN 1 THEN 3723 - 9000 WHEN 2 THEN 86399 + 3600 ELSE 0 END END AS seconds FROM inp""", spread="orders")
 def _(df):
     return df.select("k", S.rfc3339_seconds("stamp").alias("seconds"))
 
@@ -501,8 +504,9 @@ FLAGSHIP = "SELECT o_orderkey % 100 AS package_id, o_orderkey AS file_id, 'docke
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages that a project's container files install and it doesn't declare, counted by ecosystem."""
-    files = rows(spark, sf_dir, FLAGSHIP)
-    refs = recognize.references(files).join(files.select("file_id", "package_id"), "file_id").select("package_id", "locator_type", "locator", "kind")
+    files = rows(spark, sf_dir, FLAGSHIP, "orders")
+    files = files.withColumn("file_id", F.struct("package_id", "file_id"))  # the package travels with its file
+    refs = recognize.references(files, offsets=False).select("file_id.package_id", "locator_type", "locator", "kind")
     declared = rows(spark, sf_dir, "SELECT p_partkey % 100 AS package_id, 'purl' AS locator_type, 'pkg:pypi/p' || (p_partkey % 30) || '@2' AS locator, 'dependency' AS kind FROM {part}")
     found = recognize.undeclared_packages(refs.unionByName(declared))
     return found.groupBy(F.regexp_extract("locator", "^pkg:([^/]*)/", 1).alias("ecosystem")).agg(F.countDistinct("package_id", "coordinate").alias("packages"))

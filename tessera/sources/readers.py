@@ -19,6 +19,12 @@ def files(spark: SparkSession, path: str, cap: int = 64 << 20) -> DataFrame:
     return read.unionByName(long.withColumn("file_type", file_type("path", F.lit(None).cast("string"))), allowMissingColumns=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its files give fewer tasks (a file of one row group is one task); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stanzas(spark: SparkSession, path: str) -> DataFrame:
     """Blank-line separated blocks, one row each; compressed files are read by Spark's codecs."""
     return spark.read.option("lineSep", "\n\n").text(path).select(F.regexp_replace("value", r"^\n+|\n+$", "").alias("stanza")).where("stanza <> ''")
