@@ -13,18 +13,17 @@ stuck both sketches are built four times as large with other hashes.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .texts import texts
-from .workspace import Workspace
 
 CUT, CELLS, ROWS = 6, 4, 3
 #: Texts that are measured at once: so many, or so many characters.
@@ -190,69 +189,88 @@ def _measure(pairs: list[tuple], own: list[np.ndarray], following: list[np.ndarr
     ]
 
 
+def _rank(doc, h) -> tuple:
+    """Sorts ascending as (id, hash of the text) does, null ids first."""
+    return (True, doc, h) if doc is not None else (False, h)
+
+
+def _bounds(rows: DataFrame, parts: int, each: int = 20) -> list[tuple]:
+    """Keys that cut ``rows(doc, h)`` into ``parts`` ranges, from a sample of about ``each`` keys a range drawn by hash."""
+    slots = 1 << 30
+    share = min(slots, slots * each * parts // max(1, rows.count()))
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit("bounds"), "doc", "h"), F.lit(slots)) < share).select("doc", "h").distinct().limit(4 * each * parts).collect()
+    keys = sorted(_rank(*r) for r in drawn)
+    return [keys[len(keys) * k // parts] for k in range(1, parts)] if keys else []
+
+
+def _part_of(bounds: list[tuple]):
+    """Number of the range of a key, the largest keys first: a function of the key, the same in every job."""
+
+    @F.arrow_udf("int")
+    def part(doc: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array([len(bounds) - bisect.bisect_right(bounds, _rank(d, x)) for d, x in zip(doc.to_pylist(), h.to_pylist())], pa.int32())
+
+    return part
+
+
 def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     The next document is the one that follows in descending order of id (then of the text's hash; a
     null id comes last), and after the last comes the first; a lone document follows itself. Null
     texts are empty. Equal texts have equal fingerprints, and two empty ones a likeness of 1. Rows
-    meet their neighbours by one range exchange; each task also hands on its first and last row (two
-    a task), and those are joined in a second, small step. An empty table gives none.
+    meet their neighbours by one range exchange, in which each task measures all but its last row; that
+    row meets the first one of the next task in a second, small step. Ids are integers (or strings); an
+    empty table gives none.
     """
     spark = docs.sparkSession
-    work = Workspace(spark, "fingerprints")
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     order = [F.col("doc").desc_nulls_last(), F.col("h").desc()]
-    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).select("doc", "text")
-    fields = [dealt.schema["doc"], *[T.StructField(n, t) for n, t in _OUT]]
-    edges = [T.StructField("part", T.IntegerType()), T.StructField("edge", T.StringType()), T.StructField("text", T.StringType())]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.withColumn("part", _part_of(_bounds(rows, parts))("doc", "h"))
+    dealt = keyed.repartitionById(parts, F.col("part")).sortWithinPartitions(*order)
+    schema = T.StructType([rows.schema["doc"], *[T.StructField(n, t) for n, t in _OUT]])
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["doc", *[n for n, _ in _OUT]]
+
+    def made(docs_, kind, pairs, own, following):
+        got = _measure(pairs, own, following)
+        return pa.RecordBatch.from_arrays([pa.array(docs_, kind), *[pa.array(c, k) for c, k in zip(got, kinds)]], names=names)
 
     def run(batches):
-        part, kind = TaskContext.get().partitionId(), None
         held: list[tuple] = []  # (doc, text, digests); the last of them waits for its follower
-        first, chars = True, 0
+        chars, kind = 0, None
 
-        def measured(n):
-            now, then = held[:n], held[1 : n + 1]
-            got = _measure([(a[1], b[1]) for a, b in zip(now, then)], [a[2] for a in now], [b[2] for b in then])
-            none = pa.nulls(n)
-            return pa.RecordBatch.from_arrays([pa.array([a[0] for a in now], kind), *[pa.array(c, k) for c, k in zip(got, kinds)], none.cast(pa.int32()), none.cast(pa.string()), none.cast(pa.string())], names=names)
+        def measured():
+            now, then = held[:-1], held[1:]
+            return made([a[0] for a in now], kind, [(a[1], b[1]) for a, b in zip(now, then)], [a[2] for a in now], [b[2] for b in then])
 
-        def edge(row, what):
-            return pa.RecordBatch.from_arrays([pa.array([row[0]], kind), *[pa.nulls(1, k) for k in kinds], pa.array([part], pa.int32()), pa.array([what]), pa.array([row[1]])], names=names)
-
-        names = ["doc", *[n for n, _ in _OUT], "part", "edge", "text"]
         for batch in batches:
             kind = batch.column(0).type
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
                 held.append((doc, text, digests(text)))
                 chars += len(text)
-                if first:
-                    yield edge(held[0], "first")
-                    first = False
                 if len(held) > GROUP or chars > GROUP_CHARS and len(held) > 1:
-                    yield measured(len(held) - 1)
+                    yield measured()
                     held, chars = held[-1:], len(text)
         if len(held) > 1:
-            yield measured(len(held) - 1)
-        if held:
-            yield edge(held[-1], "last")
-
-    made = work.table(dealt.mapInArrow(run, T.StructType([*fields, *edges])), "made")
-    tasks = [r[0] for r in made.where("edge = 'first'").select("part").orderBy("part").collect()]  # one number a task
-    follows = spark.createDataFrame(list(zip(tasks, [*tasks[1:], *tasks[:1]])), "part int, following int")
-    last = made.where("edge = 'last'").select("doc", "text", "part").join(F.broadcast(follows), "part")
-    begun = made.where("edge = 'first'").select(F.col("part").alias("following"), F.col("text").alias("next_text"))
+            yield measured()
 
     def close(batches):
         for batch in batches:
             pairs = list(zip(texts(batch.column(1)), texts(batch.column(2))))
-            got = _measure(pairs, [digests(a) for a, _ in pairs], [digests(b) for _, b in pairs])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(got, kinds)]], names=["doc", *[n for n, _ in _OUT]])
-
-    closed = last.join(begun, "following").select("doc", "text", "next_text").mapInArrow(close, T.StructType(fields))
-    return made.where("edge IS NULL").drop("part", "edge", "text").unionByName(closed).withColumnRenamed("doc", id_col)
+            yield made(batch.column(0).to_pylist(), batch.column(0).type, pairs, [digests(a) for a, _ in pairs], [digests(b) for _, b in pairs])
+
+    rank = F.struct(F.col("doc").isNotNull(), "doc", "h")
+    ends = keyed.select("part", rank.alias("rank")).groupBy("part").agg(F.max("rank").alias("first"), F.min("rank").alias("last")).orderBy("part").collect()  # two keys a task
+    links = [(k, role, r["doc"], r["h"]) for k in range(len(ends)) for role, r in (("last", ends[k]["last"]), ("next", ends[(k + 1) % len(ends)]["first"]))]
+    named = spark.createDataFrame(links, T.StructType([T.StructField("link", T.IntegerType()), T.StructField("role", T.StringType()), rows.schema["doc"], T.StructField("h", T.LongType())]))
+    key = F.struct("doc", "h").alias("key")
+    met = rows.select("doc", "text", key).join(F.broadcast(named.select("link", "role", key)), "key")
+    pick = lambda role, value: F.first(F.when(F.col("role") == role, F.struct(value)), ignorenulls=True)[value]
+    last = met.groupBy("link").agg(pick("last", "doc").alias("doc"), pick("last", "text").alias("text"), pick("next", "text").alias("next_text")).select("doc", "text", "next_text")
+    whole = dealt.select("doc", "text").mapInArrow(run, schema).unionByName(last.mapInArrow(close, schema))
+    return whole.withColumnRenamed("doc", id_col)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
