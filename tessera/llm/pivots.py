@@ -221,3 +221,19 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked vectors and their components over all embeddings."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98
+), reach AS (
+  SELECT vec_id AS x, vec_id AS r FROM embeddings UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.x
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, coalesce(any_value(c.n), 0) AS n_links, min(r.r) AS component_id, min(r.r) = e.vec_id AS kept
+FROM embeddings e JOIN reach r ON r.x = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id GROUP BY e.vec_id
+"""

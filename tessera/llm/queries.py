@@ -17,4 +17,8 @@ QUERIES = {
     "op9_html_extraction": htmltext.op9_html_extraction,
 }
 
-ORACLES = {"op7_line_dedup": linededup.ORACLE_SQL}
+ORACLES = {
+    "op6_embedding_dedup": pivots.ORACLE_SQL,
+    "op7_line_dedup": linededup.ORACLE_SQL,
+    "op8_near_dedup": setsketch.ORACLE_SQL,
+}
