@@ -30,8 +30,8 @@ URLS = [
     ("https://files.pythonhosted.org/packages/a/b/My_Pkg-1.0-py3-none-any.whl", "pkg:pypi/my-pkg@1.0"),
     ("https://files.pythonhosted.org/packages/x/foo-bar-2.1.tar.gz#sha", "pkg:pypi/foo-bar@2.1"),
     ("https://rubygems.org/downloads/rails-7.0.gem", "pkg:gem/rails@7.0"),
-    ("https://rubygems.org/downloads/nokogiri-1.0-x86.gem", None),
-    ("https://proxy.golang.org/github.com/!burnt!sushi/toml/@v/v1.0.zip", "pkg:golang/github.com/BurntSushi/toml@v1.0"),
+    ("https://rubygems.org/downloads/sawmill-1.0-x86.gem", None),
+    ("https://proxy.golang.org/github.com/!green!heron/wing/@v/v1.0.zip", "pkg:golang/github.com/GreenHeron/wing@v1.0"),
     ("https://api.nuget.org/v3-flatcontainer/json/13.0/json.13.0.nupkg", "pkg:nuget/json@13.0"),
     ("https://repo1.maven.org/maven2/org/a/b/lib/1.0/lib-1.0.jar", "pkg:maven/org.a.b/lib@1.0"),
     ("https://codeload.github.com/o/r/tar.gz/v1", "pkg:github/o/r@v1"),
