@@ -72,6 +72,18 @@ def purl_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("purl")).where("purl <> ''")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(place, line): every line with a place that sorts as the lines stand in their files."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    return spark.read.text(path).select(place.alias("place"), F.col("value").alias("line"))
+
+
+def write_json_lines(rows: DataFrame, path: str, place: str = "place") -> None:
+    """One JSON object a row, in the order of ``place`` over all files of ``path``; nulls are written out."""
+    rest = [c for c in rows.columns if c != place]
+    rows.orderBy(place).select(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
 def envelopes(records: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     """JSON lines ``{record, sources}``: bodies that are JSON go inline, others as base64."""
     parsed = F.try_parse_json("content")

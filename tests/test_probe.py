@@ -31,3 +31,16 @@ def test_archive(spark):
         assert tar.getnames() == ["a", "b"] and tar.extractfile("b").read() == b"x"
     with pytest.raises(OverflowError):
         archive.build([("a", "file", None, "x" * 5000)], cap=1000)
+
+
+def test_batch_probe_keeps_the_order_of_lines(spark, tmp_path):
+    import json
+
+    from tessera.sources import readers
+
+    lines = [f"pkg:npm/p{i}@1" if i % 3 else "junk" for i in range(50)]
+    (tmp_path / "in.txt").write_text("\n".join(lines))
+    report = probe.probe(readers.numbered_lines(spark, str(tmp_path / "in.txt")), "line")
+    readers.write_json_lines(report.select("place", "line", "type", "registry_url"), str(tmp_path / "out"))
+    found = [json.loads(x) for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [r["line"] for r in found] == lines and found[0]["type"] is None and found[1]["registry_url"] == "https://registry.npmjs.org/p1"
