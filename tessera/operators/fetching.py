@@ -116,11 +116,33 @@ def fetch(refs: DataFrame, cache: DataFrame, responses: DataFrame, now: int, *,
     )
 
 
+#: What is noted of an answer beside its bytes, in the cache too.
+FACTS = {"status": "int", "content_type": "string"}
+
+
 def documents(asked: DataFrame, cache: DataFrame, responses: DataFrame, now: int, tier: str = "tier") -> DataFrame:
-    """Metadata of ``asked(url, tier)``: fresh cache, else response, else the cache at any age; each URL is looked up once."""
+    """Metadata of ``asked(url, tier)``: fresh cache, else response, else the cache at any age; each URL is looked up once.
+
+    ``status`` and ``content_type`` are those of the first answer, null where cache or responses lack them.
+    """
     urls = asked.groupBy("url").agg(F.max(tier).alias(tier)).withColumn("key", metadata_key("url"))
-    held = cache.select("key", F.col("fetched_at").alias("c_at"), F.col("content").alias("c_content"))
-    rows = urls.join(held, "key", "left").join(responses.select("url", F.col("content").alias("r_content"), F.col("error").alias("r_error")), "url", "left")
+    facts = lambda side, mark: [(F.col(f) if f in side.columns else F.lit(None).cast(t)).alias(mark + f) for f, t in FACTS.items()]
+    held = cache.select("key", F.col("fetched_at").alias("c_at"), F.col("content").alias("c_content"), *facts(cache, "c_"))
+    rows = urls.join(held, "key", "left").join(responses.select("url", F.col("content").alias("r_content"), F.col("error").alias("r_error"), *facts(responses, "r_")), "url", "left")
     fresh = is_fresh("c_at", F.lit(now), metadata_lifetime(tier))
     live = F.when(F.col("r_error").isNull(), F.col("r_content"))
-    return rows.select("url", F.when(fresh, F.col("c_content")).otherwise(F.coalesce(live, F.col("c_content"))).alias("content"), F.when(fresh, "cache").when(live.isNotNull(), "network").when(F.col("c_at").isNotNull(), "stale").alias("served"))
+    served = F.when(fresh, "cache").when(live.isNotNull(), "network").when(F.col("c_at").isNotNull(), "stale")
+    rows = rows.withColumn("served", served)
+    of = lambda name: F.when(F.col("served") == "network", F.col("r_" + name)).when(F.col("served").isNotNull(), F.col("c_" + name)).alias(name)
+    return rows.select("url", of("content"), "served", *[of(f) for f in FACTS])
+
+
+def recorded(reads: DataFrame, served: DataFrame, key: list[str], urls: str = "urls") -> DataFrame:
+    """The raw documents that ``reads(*key, urls)`` got, one row a read: (*key, pos, url, status, content_type, content).
+
+    ``pos`` is the place in the array of URLs, so a document read twice appears twice; ``served`` is the
+    table of :func:`documents`. Reads that nothing answered, and null URLs, leave no row.
+    """
+    asked = reads.select(*key, F.posexplode(urls).alias("pos", "url"))
+    got = served.where("content IS NOT NULL").select("url", *FACTS, "content")
+    return asked.join(got, "url").select(*key, "pos", "url", *FACTS, "content")

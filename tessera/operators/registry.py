@@ -18,6 +18,7 @@ from ..functions.scalars import (
     stanza_field, strip_email, strip_html, tag_attribute, tag_text, text_after, timestamp_seconds, ymd_seconds,
 )
 from ..functions.text import rx
+from .fetching import recorded
 
 FIELDS = {
     "ecosystem": "string", "name": "string", "version": "string", "published_at": "bigint", "first_published_at": "bigint", "previous_published_at": "bigint",
@@ -497,8 +498,11 @@ def inline_pages(docs: DataFrame, pages: DataFrame, key: list[str], body: str =
     return docs.drop(body).join(whole.select(*key, made.alias(body)), key, "left")
 
 
-def normalize(docs: DataFrame, kind: str) -> DataFrame:
-    """Records of one ecosystem from ``docs(name, version, body[, body2, body3])``; rows without a usable body drop out."""
+def normalize(docs: DataFrame, kind: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records of one ecosystem from ``docs(name, version, body[, body2, body3])``; rows without a usable body drop out.
+
+    Columns named in ``keep`` stand before the record.
+    """
     for extra in ("body2", "body3"):
         if extra not in docs.columns:
             docs = docs.withColumn(extra, F.lit(None).cast("string"))
@@ -511,7 +515,20 @@ def normalize(docs: DataFrame, kind: str) -> DataFrame:
         rows = rows.where(present(F.col("__doc"), REQUIRED[kind]))
     for name, value in reader.kept:
         rows = rows.withColumn(name, value)
-    return rows.select(*[(made[f].cast(t) if f in made else F.lit(None).cast(t)).alias(f) for f, t in FIELDS.items()])
+    return rows.select(*keep, *[(made[f].cast(t) if f in made else F.lit(None).cast(t)).alias(f) for f, t in FIELDS.items()])
+
+
+def with_sources(asked: DataFrame, served: DataFrame, kind: str, key: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Records of ``asked(*key, name, version, urls)`` and the raw documents behind them, both under ``key``.
+
+    ``urls`` lists one to three documents in the order they are read; what ``served`` holds for them
+    becomes ``body``, ``body2`` and ``body3``. A key whose first document is missing has no record, but
+    its other documents are still told.
+    """
+    sources = recorded(asked, served, list(key))
+    at = lambda n: F.max(F.when(F.col("pos") == n, F.col("content").cast("string")))
+    bodies = sources.groupBy(*key).agg(at(0).alias("body"), at(1).alias("body2"), at(2).alias("body3"))
+    return normalize(asked.select(*key, "name", "version").join(bodies, list(key)), kind, key), sources
 
 
 def with_age(records: DataFrame, now: int) -> DataFrame:

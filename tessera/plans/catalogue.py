@@ -499,6 +499,28 @@ SELECT seq, outcome, CASE WHEN outcome = 'failed' THEN CASE WHEN n % 4 = 2 THEN
  CASE WHEN outcome IN ('ok', 'pin_mismatch') THEN pinned END AS pin_verified, CASE WHEN outcome IN ('ok', 'pin_mismatch') THEN CAST(length('body' || n) AS BIGINT) END AS size FROM o"""
 
 
+#: Two documents a package: the first always answers, the second fails for every third one and is then held since long for every sixth.
+_READS = "SELECT p_partkey AS k, 'n' || p_partkey AS name, CAST(NULL AS STRING) AS version, 'https://r/p' || (p_partkey % 50) AS u1, 'https://r/d' || p_partkey AS u2 FROM {part}"
+
+
+def _sources(spark, sf_dir):
+    asked = rows(spark, sf_dir, _READS).select("k", "name", "version", F.array("u1", "u2").alias("urls"))
+    urls = asked.select("k", F.explode("urls").alias("url")).groupBy("url").agg(F.min("k").alias("k"))
+    second, content = F.col("url").startswith("https://r/d"), F.concat(F.lit('{"id": "'), "url", F.lit('", "sha": "1"}')).cast("binary")
+    down = second & (F.col("k") % 3 == 0)
+    answers = urls.select("url", F.when(down, 503).otherwise(200).alias("status"), F.lit("application/json").alias("content_type"), F.when(~down, content).alias("content"), F.when(down, "status: 503").alias("error"))
+    cache = urls.where(second & (F.col("k") % 6 == 0)).select(fetching.metadata_key("url").alias("key"), F.lit(0).cast("bigint").alias("fetched_at"), content.alias("content"), F.lit(203).alias("status"), F.lit("text/json").alias("content_type"))
+    served = fetching.documents(urls.select("url", F.lit("unpinned").alias("tier")), cache, answers, 1_000_000)
+    records, sources = registry.with_sources(asked, served, "huggingface", ("k",))
+    return records.select("k", F.col("name").alias("record"), F.col("version").alias("record_version")).join(sources, "k").select("k", "record", "record_version", "pos", "url", "status", "content_type", F.octet_length("content").cast("bigint").alias("bytes"))
+
+
+QUERIES["registry_sources"] = _sources
+ORACLES["registry_sources"] = f"""WITH inp AS ({_READS.replace('{part}', 'part')}), d AS (SELECT k, u1, 0 AS pos, u1 AS url, 200 AS status, 'application/json' AS content_type FROM inp
+ UNION ALL SELECT k, u1, 1, u2, CASE WHEN k % 6 = 0 THEN 203 ELSE 200 END, CASE WHEN k % 6 = 0 THEN 'text/json' ELSE 'application/json' END FROM inp WHERE k % 6 <> 3)
+SELECT k, u1 AS record, '1' AS record_version, pos, url, status, content_type, CAST(length('{{"id": "' || url || '", "sha": "1"}}') AS BIGINT) AS bytes FROM d"""
+
+
 FLAGSHIP = "SELECT o_orderkey % 100 AS package_id, o_orderkey AS file_id, 'dockerfile' AS file_type, 'FROM ' || CASE o_orderkey % 3 WHEN 0 THEN 'ubuntu:22.04' WHEN 1 THEN 'alpine:3' ELSE 'debian:12-slim' END || chr(10) || 'RUN apt-get install -y lib' || (o_custkey % 40) || ' && pip install p' || (o_custkey % 30) || '==1.0' || chr(10) || 'RUN npm i q' || (o_custkey % 20) AS text FROM {orders}"
 
 

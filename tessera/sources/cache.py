@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.fetching import needs_touch
+from ..operators.fetching import FACTS, needs_touch
 from ..operators.sweep import MAX_AGE, MAX_CACHE_BYTES, evict
 
-SCHEMA = "key string, component string, fetched_at bigint, content binary"
+SCHEMA = "key string, component string, fetched_at bigint, content binary, status int, content_type string"
 TOUCHES = "key string, accessed_at bigint"
 #: The setting that names the folder; ``off`` disables the cache.
 SETTING = "spark.tessera.cache.dir"
@@ -43,16 +43,17 @@ class Cache:
             rows.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{found[-1] if found else 0}/{folder}")
 
     def entries(self) -> DataFrame:
-        """(key, component, fetched_at, content, accessed_at): the newest answer of each key, and when it was last used."""
-        newest = self._read("blobs", SCHEMA).groupBy("key").agg(F.max_by(F.struct("component", "fetched_at", "content"), "fetched_at").alias("e"))
+        """(key, component, fetched_at, content, status, content_type, accessed_at): the newest answer of each key, and when it was last used."""
+        newest = self._read("blobs", SCHEMA).groupBy("key").agg(F.max_by(F.struct("component", "fetched_at", "content", *FACTS), "fetched_at").alias("e"))
         used = self._read("touches", TOUCHES).groupBy("key").agg(F.max("accessed_at").alias("used"))
         rows = newest.join(used, "key", "left").select("key", "e.*", "used")
         return rows.withColumn("accessed_at", F.greatest("fetched_at", "used")).drop("used")
 
     def put(self, answers: DataFrame, component: str, now: int) -> None:
-        """Keep ``answers(key, content)`` fetched at ``now``; null bodies and keys aren't kept."""
+        """Keep ``answers(key, content[, status, content_type])`` fetched at ``now``; null bodies and keys aren't kept."""
         rows = answers.where("key IS NOT NULL AND content IS NOT NULL")
-        self._append(rows.select("key", F.lit(component).alias("component"), F.lit(now).cast("bigint").alias("fetched_at"), F.col("content").cast("binary").alias("content")), "blobs")
+        facts = [(F.col(f) if f in answers.columns else F.lit(None)).cast(t).alias(f) for f, t in FACTS.items()]
+        self._append(rows.select("key", F.lit(component).alias("component"), F.lit(now).cast("bigint").alias("fetched_at"), F.col("content").cast("binary").alias("content"), *facts), "blobs")
 
     def touch(self, keys: DataFrame, now: int) -> None:
         """Note that ``keys(key)`` were used, for entries not noted within a day."""
@@ -74,7 +75,7 @@ class Cache:
         gone = self.spark.read.parquet(f"{new}/swept").where("evicted_by IS NOT NULL").select("key")
         left = self.entries().join(gone, "key", "left_anti")
         left.select("key", "accessed_at").write.mode("overwrite").parquet(f"{new}/touches")
-        left.select("key", "component", "fetched_at", "content").write.mode("overwrite").option("compression", "zstd").parquet(f"{new}/blobs")  # last: its success makes the generation count
+        left.select("key", "component", "fetched_at", "content", *FACTS).write.mode("overwrite").option("compression", "zstd").parquet(f"{new}/blobs")  # last: its success makes the generation count
         for n in before:
             self._fs()[1].delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}"), True)
         return self.spark.read.parquet(f"{new}/swept")

@@ -9,7 +9,7 @@ import zstandard
 
 from tessera.functions import scalars as S
 from tessera.functions.udfs import gunzip_one, tar_member_one, unxz_one, unzstd_one
-from tessera.operators import fetching, layers, resolve, sweep
+from tessera.operators import fetching, layers, registry, resolve, sweep
 from tessera.plans import catalogue
 from tessera.sources import fixtures, readers
 
@@ -41,6 +41,18 @@ def test_documents_and_lifetimes(spark):
     assert got == {"a": (b"A", "cache"), "b": (b"B", "stale"), "c": (b"C", "cache")}
 
 
+def test_records_with_their_sources(spark):
+    asked = spark.createDataFrame([(1, "p", None, ["a", "b", "a"]), (2, "q", None, ["gone", "b"]), (3, "r", None, [None]), (4, "s", None, [])], "k int, name string, version string, urls array<string>")
+    body = b'{"id": "o/m", "sha": "x"}'
+    cache = spark.createDataFrame([], "key string, fetched_at long, content binary")
+    answers = spark.createDataFrame([("a", 200, "application/json", body, None), ("b", 203, None, b"{}", None), ("gone", 404, None, None, "status: 404")], "url string, status int, content_type string, content binary, error string")
+    served = fetching.documents(spark.createDataFrame([(u, "pinned") for u in ("a", "b", "gone")], "url string, tier string"), cache, answers, NOW)
+    records, sources = registry.with_sources(asked, served, "huggingface", ("k",))
+    assert [(r.k, r.name, r.version) for r in records.collect()] == [(1, "o/m", "x")]
+    assert {(r.k, r.pos, r.url, r.status, r.content_type, bytes(r.content)) for r in sources.collect()} == {
+        (1, 0, "a", 200, "application/json", body), (1, 1, "b", 203, None, b"{}"), (1, 2, "a", 200, "application/json", body), (2, 1, "b", 203, None, b"{}")}
+
+
 def test_layers(spark):
     rows = [("i", 0, 0, "/a/x"), ("i", 0, 1, "a/y"), ("i", 0, 2, "b/c/d"), ("i", 0, 3, "/"), ("i", 1, 0, "a/.wh.x"), ("i", 1, 1, "./a/y"), ("i", 2, 0, "b/.wh.c"), ("i", 2, 1, "e/.wh..wh..opq"), ("i", 2, 2, "e/n"), ("i", 1, 2, "e/o"), ("i", 2, 3, "../../f")]
     df = spark.createDataFrame(rows, "image string, layer_no int, entry_no int, path string")
