@@ -3,6 +3,10 @@
 Training is plain stochastic gradient descent in numpy on the driver, over a bounded, stratified
 sample of labelled rows (``max_train`` documents). Prediction streams every whole text through one
 small score table (``buckets`` x languages floats, so its broadcast size is fixed by parameters).
+
+A text is rejected where the softmax is unsure at every language, or where its subwords are rarer in the
+training texts than those of any kept-back text: so unlearned languages and gibberish go, and a text
+that is torn between two learned languages stays. Both levels are calibrated on kept-back texts.
 """
 
 from __future__ import annotations
@@ -26,13 +30,23 @@ _MIX = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 @dataclass(frozen=True)
 class LangModel:
-    """``table[bucket]`` holds a subword's logit for each language; confidence is softmax at ``temperature``."""
+    """``table[bucket]`` holds a subword's logit for each language; confidence is softmax at ``temperature``.
+
+    ``seen[bucket]`` is the log share of a subword in the training texts; its mean over a text is the
+    text's familiarity.
+    """
 
     langs: tuple[str, ...]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     reject_below: float
+    seen: np.ndarray
+    strange_below: float
+
+
+#: Subwords from which on familiarity counts (about 60 letters, the shortest pieces it is calibrated on).
+LEAST = 150
 
 
 def subwords(text: str, buckets: int) -> np.ndarray:
@@ -50,12 +64,12 @@ def subwords(text: str, buckets: int) -> np.ndarray:
 def train(texts: list[str], langs: list[str], *, buckets: int = 1 << 15, dim: int = 16, epochs: int = 3, rate: float = 0.5, keep: float = 0.9995, seed: int = 7) -> LangModel:
     """Fit on labelled texts; every tenth one is kept back to set the temperature and the rejection level.
 
-    ``keep`` is the share of correctly named kept-back documents that rejection must let pass. Without
+    ``keep`` is the share of kept-back pieces that either level must let pass, with room to spare. Without
     any labelled text the model knows no language and rejects everything.
     """
     names = tuple(sorted(set(langs)))
     if not names:
-        return LangModel((), np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.1)
+        return LangModel((), np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.1, np.zeros(buckets, np.float32), -np.inf)
     rng, k = np.random.default_rng(seed), len(names)
     emb, out, bias = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32), np.zeros((dim, k), np.float32), np.zeros(k, np.float32)
     target = np.array([names.index(x) for x in langs])
@@ -89,7 +103,17 @@ def train(texts: list[str], langs: list[str], *, buckets: int = 1 << 15, dim: in
     conf = _softmax(z / best)
     right = conf.max(axis=1)[conf.argmax(axis=1) == y]
     floor = float(np.quantile(right, 1 - keep)) if len(right) else 1.0
-    return LangModel(names, table.astype(np.float32), bias, float(best), min(floor * 0.8, 1.5 / k if k > 1 else 0.5))
+    count = np.ones(buckets)
+    for i in fit:
+        for at in range(0, len(texts[i]), 1 << 20):
+            count += np.bincount(subwords(texts[i][at : at + (1 << 20)], buckets), minlength=buckets)
+    seen = np.log(count / count.sum()).astype(np.float32)
+    known = [float(seen[idx].mean()) for idx in (subwords(t, buckets) for t, _ in pieces) if len(idx) >= LEAST]
+    strange = -np.inf
+    if known:
+        edge, middle = np.quantile(known, [1 - keep, 0.5])
+        strange = float(edge - (middle - edge))  # as far beyond the rarest kept-back pieces as these are from the middle
+    return LangModel(names, table.astype(np.float32), bias, float(best), min(floor * 0.8, 1.5 / k if k > 1 else 0.5), seen, strange)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -105,14 +129,16 @@ def predict_one(model: LangModel, text: str | None) -> tuple[str, float, bool]:
     """(language, score, rejected); ``und``, 0.0, True for null, for texts without a letter, and with no model."""
     if text is None or not model.langs or not _LETTER(text):
         return UNDETERMINED, 0.0, True
-    buckets, total, n = len(model.table), np.zeros(len(model.langs), np.float64), 0
+    buckets, total, n, known = len(model.table), np.zeros(len(model.langs), np.float64), 0, 0.0
     for at in range(0, len(text), 1 << 20):  # whole texts in steps, so that memory stays bounded
         idx = subwords(text[at : at + (1 << 20)], buckets)
         total += np.array([model.table[:, c][idx].sum(dtype=np.float64) for c in range(total.size)])
+        known += float(model.seen[idx].sum(dtype=np.float64))
         n += len(idx)
+    strange = n >= LEAST and known / n < model.strange_below
     p = _softmax((total / n + model.bias) / model.temperature)
     best = int(p.argmax())
-    return model.langs[best], float(p[best]), bool(p[best] < model.reject_below)
+    return model.langs[best], float(p[best]), bool(strange or p[best] < model.reject_below)
 
 
 def training_rows(docs: DataFrame, usable, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = 6000) -> list:
@@ -142,6 +168,8 @@ def fit(docs: DataFrame, usable=None, **options) -> LangModel:
 def identify(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFrame:
     """Append ``lang_pred``, ``lang_score`` and ``lang_rejected`` to every row of ``docs``.
 
+    Rejected texts keep the language that is likeliest for them; only ``und`` names none.
+
     One narrow Arrow pass without a shuffle. Null, empty and letterless texts give ``und``, 0.0, true;
     ties between languages go to the first by name; repeated rows get equal results; an empty table
     stays empty. Existing columns of these three names are replaced.

@@ -236,3 +236,16 @@ def test_html_main_text(spark):
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<p>") == "" and htmltext.main_text("<p>just this") == "just this"
     df = spark.createDataFrame([(1, "u", page, 9), (2, None, None, 9)], "page_id long, url string, html string, n_chars int")
     assert [(r.page_id, r.n_chars) for r in htmltext.extract(df).orderBy("page_id").collect()] == [(1, 44), (2, 0)]
+
+
+def test_language_id_rejects_what_it_has_not_learned(spark):
+    rows = [(r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text and r.lang]
+    model = langid.train([t for t, _ in rows], [x for _, x in rows])
+    draw = np.random.default_rng(0)
+    words = lambda base, n: " ".join("".join(chr(base + int(c)) for c in draw.integers(0, n, 6)) for _ in range(80))
+    strange = [words(97, 26), words(0x430, 32), "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."]
+    assert all(langid.predict_one(model, t)[2] for t in strange)
+    assert langid.predict_one(model, "ob")[2] is False  # too short to tell
+    assert sum(langid.predict_one(model, t)[2] for t, _ in rows) <= len(rows) // 500
+    torn = " ".join(next(t for t, x in rows if x == lang and len(t) > 500)[:500] for lang in ("en", "de"))
+    assert not langid.predict_one(model, torn)[2]
