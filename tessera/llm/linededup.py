@@ -1,12 +1,12 @@
-"""Line dedup by winnowing, in DataFrame functions only.
+"""Line dedup by digests of line windows, in DataFrame functions only.
 
-Lines are hashed; every window of ``run`` consecutive lines selects its smallest line hash as
-fingerprint, so any two texts that share ``run`` lines in a row share a fingerprint. Positions meet
-under (fingerprint, digest of the window around it): each window joins the *first* position of its
-window and nothing else, so a line that occurs in every document costs one row a window and never a
-pair of occurrences. Windows that follow one another extend the match both ways into runs, and all
-runs but the first occurrence are deleted. Where ``words`` is given, a line of so many words is a window
-by itself beside the others, whatever its neighbours.
+Lines are hashed, and every window of ``run`` consecutive lines gets a digest. No window is left out, as
+winnowing would: a run may be no longer than one window, so each holds a minimum that counts. Windows
+meet under (smallest line hash, digest): each joins the *first* position of its window and nothing else,
+so a line that occurs in every document costs one row a window and never a pair of occurrences. Windows
+that follow one another merge into runs, and all runs but the first occurrence are deleted. Where
+``words`` is given, a line of so many words is a window by itself beside the others, whatever its
+neighbours.
 """
 
 from __future__ import annotations
