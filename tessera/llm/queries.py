@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, htmltext, langid, linededup, mixing, packing, pivots, rindex, setsketch, toxicity
+from . import fingerprint, htmltext, langid, linededup, mixing, packing, pivots, rindex, setsketch, toxicity, whitening
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": setsketch.op8_near_dedup,
     "op10_suffix_dedup": rindex.op10_suffix_dedup,
     "op9_html_extraction": htmltext.op9_html_extraction,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES = {
