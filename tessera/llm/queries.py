@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, htmltext, langid, linededup, mixing, packing, pivots, repair, rindex, setsketch, toxicity, whitening
+from . import fingerprint, htmltext, langid, linededup, mixing, packing, pivots, repair, rindex, setsketch, toxicity, warc, whitening
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": setsketch.op8_near_dedup,
     "op10_suffix_dedup": rindex.op10_suffix_dedup,
     "op9_html_extraction": htmltext.op9_html_extraction,
+    "op11_warc": warc.op11_warc,
     "op12_conversation_repair": repair.op12_conversation_repair,
     "op13_whitening": whitening.op13_whitening,
 }
@@ -23,5 +24,6 @@ ORACLES = {
     "op6_embedding_dedup": pivots.ORACLE_SQL,
     "op7_line_dedup": linededup.ORACLE_SQL,
     "op8_near_dedup": setsketch.ORACLE_SQL,
+    "op11_warc": warc.ORACLE_SQL,
     "op12_conversation_repair": repair.ORACLE_SQL,
 }

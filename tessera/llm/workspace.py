@@ -38,9 +38,17 @@ class Workspace:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def folder(self, name: str) -> str:
+        """The path of a new folder for files that aren't tables."""
         self._n += 1
-        path = f"{self.root}/{self._n:03d}-{name}"
+        return f"{self.root}/{self._n:03d}-{name}"
+
+    def remove(self, path: str) -> None:
+        """Delete a folder that ``folder`` named."""
+        self._fs.delete(self._path(path), True)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.folder(name)
         schema = df.schema
         df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
