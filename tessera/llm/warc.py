@@ -168,15 +168,16 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size) -> Iterator[pa.Reco
 _LINE = pa.schema([("value", pa.binary())])
 
 
-def _write(lines: DataFrame, path: str, separator: str) -> None:
-    lines.select(F.col("value").cast("string")).write.option("lineSep", separator).option("compression", "gzip").text(path)
+def _write(lines: DataFrame, path: str, separator: str, level: str) -> None:
+    lines.select(F.col("value").cast("string")).write.options(lineSep=separator, compression="gzip", **{"zlib.compress.level": level}).text(path)
 
 
-def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", versions: tuple[int, ...] = (1, 2), date: str = DATE) -> None:
+def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", versions: tuple[int, ...] = (1, 2), date: str = DATE, level: str = "BEST_SPEED") -> None:
     """Write pages as gzip ARC files of HTTP responses, one file a task; tasks take turns at ``versions``.
 
     The id travels as the header ``X-Page-Id``. Null html is an empty payload, a null or empty url is
     ``-``; blanks and control characters of urls are percent-encoded. Other columns are not read.
+    ``level`` is zlib's, by Hadoop's names (``DEFAULT_COMPRESSION``, ``BEST_SPEED`` ...).
     """
     rows = pages.select(F.col(id_col).cast("string").cast("binary").alias("id"), F.col(url_col).cast("string").cast("binary").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("html"))
 
@@ -202,7 +203,7 @@ def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
                 at += len(made) + 1
                 yield (made,)
 
-    _write(rows.mapInArrow(lambda batches: _batches(records(batches), _LINE, lambda r: len(r[0])), "value binary"), path, "\n")
+    _write(rows.mapInArrow(lambda batches: _batches(records(batches), _LINE, lambda r: len(r[0])), "value binary"), path, "\n", level)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -292,7 +293,7 @@ def revisits(records: DataFrame, least: int = 0) -> DataFrame:
     return found.select("record_id", F.col("first.at.record_id").alias("refers_to"), "first.refers_to_uri", "first.refers_to_date")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
+def write_warc(records: DataFrame, path: str, level: str = "BEST_SPEED") -> None:
     """Write records (the columns of ``convert_arc`` and ``revisits``) as gzip WARC 1.1 files, one a task, each opened by a warcinfo record.
 
     A record with ``refers_to`` becomes a revisit: it keeps its HTTP head and the digest and length of
@@ -320,7 +321,7 @@ def write_warc(records: DataFrame, path: str) -> None:
                     fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", r["refers_to"]), ("WARC-Refers-To-Target-URI", r["refers_to_uri"]), ("WARC-Refers-To-Date", r["refers_to_date"])]
                 yield framed([*fields, ("Content-Type", r["content_type"])], r["head"] if again else r["head"] + r["payload"])
 
-    _write(records.select(*names).mapInArrow(lambda batches: _batches(lines(batches), _LINE, lambda r: len(r[0])), "value binary"), path, END.decode())
+    _write(records.select(*names).mapInArrow(lambda batches: _batches(lines(batches), _LINE, lambda r: len(r[0])), "value binary"), path, END.decode(), level)
 
 
 _BACK = "record_id string, warc_type string, target_uri string, warc_date string, source_id string, payload_length long, payload_digest string, refers_to string, intact boolean, payload binary"
