@@ -34,10 +34,10 @@ def jbool(doc, path: str) -> Column:
     return F.when(_kind(doc, path) == "BOOLEAN", F.try_variant_get(col(doc), path, "boolean"))
 
 
-def jlen(doc, path: str) -> Column:
-    """Number of elements of a JSON array or keys of an object, else null."""
-    text = F.when(_kind(doc, path).rlike("^(?:ARRAY|OBJECT)"), F.to_json(F.try_variant_get(col(doc), path, "variant")))
-    return F.when(text.startswith("["), F.json_array_length(text)).when(text.startswith("{"), F.size(F.json_object_keys(text))).cast("long")
+def jlen(doc, path: str, kind: str = "ARRAY") -> Column:
+    """Number of elements of a JSON array, or with ``kind`` OBJECT of keys of an object, else null."""
+    text = F.when(_kind(doc, path).startswith(kind), F.to_json(F.try_variant_get(col(doc), path, "variant")))
+    return (F.json_array_length(text) if kind == "ARRAY" else F.size(F.json_object_keys(text))).cast("long")
 
 
 def jlist(doc, path: str, ddl: str) -> Column:
@@ -46,10 +46,14 @@ def jlist(doc, path: str, ddl: str) -> Column:
     return F.from_json(text, f"array<{ddl}>")
 
 
-def jmap(doc, path: str, ddl: str = "string") -> Column:
-    """A JSON object as a map, else null."""
-    text = F.when(_kind(doc, path).startswith("OBJECT"), F.to_json(F.try_variant_get(col(doc), path, "variant")))
-    return F.from_json(text, f"map<string, {ddl}>")
+def jmap(doc, path: str) -> Column:
+    """A JSON object as a map of VARIANT values, else null."""
+    return F.when(_kind(doc, path).startswith("OBJECT"), F.try_variant_get(col(doc), path, "map<string, variant>"))
+
+
+def jparts(doc, path: str) -> Column:
+    """A JSON array as an array of VARIANT elements, else null; unlike :func:`jlist` it tells explicit nulls and types."""
+    return F.when(_kind(doc, path).startswith("ARRAY"), F.try_variant_get(col(doc), path, "array<variant>"))
 
 
 def present(doc, path: str) -> Column:
@@ -57,6 +61,6 @@ def present(doc, path: str) -> Column:
     return F.try_variant_get(col(doc), path, "variant").isNotNull()
 
 
-def first_text(*values: Column) -> Column:
-    """First value that is neither null nor blank."""
-    return F.coalesce(*[F.when(F.trim(v) != "", v) for v in values])
+def nonempty(value: Column) -> Column:
+    """A text, '' counting as none."""
+    return F.nullif(value, F.lit(""))

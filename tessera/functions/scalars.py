@@ -7,12 +7,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, lower_ascii, rx
+from .text import col, group_of, lower_ascii, rx, trim
 
 
 def _int(text: Column) -> Column:
     """Digits with an optional sign as a number; null for anything else, blanks included."""
-    return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
+    return F.when(text.rlike(r"^[+-]?[0-9]+\z"), text.try_cast("bigint"))
 
 
 def days_from_civil(year: Column, month: Column, day: Column) -> Column:
@@ -30,13 +30,17 @@ def days_from_civil(year: Column, month: Column, day: Column) -> Column:
 
 
 def rfc3339_seconds(value) -> Column:
-    """Epoch seconds of ``YYYY-MM-DD?HH:MM:SS``, with an optional fraction and zone; null if malformed or negative."""
+    """Epoch seconds of ``YYYY-MM-DD?HH:MM:SS``, with an optional fraction and zone; null if malformed or negative.
+
+    What follows ``Z`` or an offset isn't looked at, and an offset's minutes may be missing.
+    """
     s = col(value)
     at = lambda p, n: _int(F.substring(s, p, n))
     rest = F.regexp_replace(F.substr(s, F.lit(20)), F.lit(r"^\.[0-9]*"), F.lit(""))
-    zone = r"^([+-])([0-9]{2}):?([0-9]{2})$"
-    minutes = _int(F.regexp_extract(rest, zone, 2)) * 60 + _int(F.regexp_extract(rest, zone, 3))
-    shift = F.when((rest == "") | (rest == "Z") | (rest == "z"), F.lit(0)).when(rest.rlike(zone), F.when(rest.startswith("-"), -minutes).otherwise(minutes))
+    pair = lambda p: F.when(F.length(rest) >= p + 1, _int(F.substring(rest, p, 2)))
+    minutes = pair(2) * 60 + F.coalesce(F.when(F.substring(rest, 4, 1) == ":", pair(5)).otherwise(pair(4)), F.lit(0))
+    sign = F.substring(rest, 1, 1)
+    shift = F.when(sign.isin("", "Z", "z"), F.lit(0)).when(sign == "+", minutes).when(sign == "-", -minutes)
     total = days_from_civil(at(1, 4), at(6, 2), at(9, 2)) * 86400 + at(12, 2) * 3600 + at(15, 2) * 60 + at(18, 2) - shift * 60
     return F.when((F.octet_length(s) >= 19) & (total >= 0), total)
 
@@ -57,11 +61,12 @@ MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augus
 
 
 def month_day_year_seconds(value) -> Column:
-    """Epoch seconds of a date such as ``March 5, 2024`` (month names or their first three letters)."""
-    pattern = r"^\s*([A-Za-z]+)\.?\s+([0-9]{1,2}),?\s+([0-9]{4})"
-    name = F.regexp_extract(col(value), pattern, 1)
-    month = F.array_position(F.array(*[F.lit(m[:3].lower()) for m in MONTHS]), F.lower(F.substring(name, 1, 3)))
-    total = days_from_civil(_int(F.regexp_extract(col(value), pattern, 3)), month, _int(F.regexp_extract(col(value), pattern, 2))) * 86400
+    """Epoch seconds of a date such as ``March 5, 2024``: a month's whole name in any case, a day, a comma, a year."""
+    s = trim(value)
+    rest = F.when(F.instr(s, " ") > 0, F.substr(s, F.instr(s, " ") + 1))
+    month = F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS]), lower_ascii(F.substring_index(s, " ", 1)))
+    after = F.when(F.instr(rest, ",") > 0, F.substr(rest, F.instr(rest, ",") + 1))
+    total = days_from_civil(_int(trim(after)), month, _int(trim(F.substring_index(rest, ",", 1)))) * 86400
     return F.when((month > 0) & (total >= 0), total)
 
 
@@ -72,21 +77,21 @@ def millis_seconds(value) -> Column:
 
 
 def meta_content(html, name: str) -> Column:
-    """Content of a meta property such as ``og:description``."""
-    return rx(html, f'property="{re.escape(name)}"\\s+content="([^"]*)"')
+    """Content of a meta property such as ``og:description``; '' where it is empty."""
+    return group_of(html, f'property="{re.escape(name)}" content="([^"]*)"')
 
 
 def text_after(html, marker: str) -> Column:
-    """First text run in the 400 characters after a marker, tags passed over."""
+    """First text run in the 400 characters after a marker, tags and stray ``>`` passed over."""
     place = F.instr(col(html), marker)
     near = F.substring(col(html), place + len(marker), F.lit(400))
-    runs = F.filter(F.split(F.regexp_replace(near, "<[^>]*>?", "\0"), "\0"), lambda t: F.trim(t) != "")
-    return F.when(place > 0, F.trim(F.get(runs, F.lit(0))))
+    runs = F.transform(F.split(F.regexp_replace(near, "<[^>]*>?", "\0"), "\0"), lambda t: trim(F.replace(t, F.lit(">"), F.lit(""))))
+    return F.when(place > 0, F.get(F.filter(runs, lambda t: t != ""), F.lit(0)))
 
 
 def number_before(html, marker: str) -> Column:
     """The number (digits, points, commas) that ends right before the first occurrence of a marker."""
-    return F.when(F.instr(col(html), marker) > 0, rx(F.substring_index(col(html), marker, 1), r"([0-9.,]+)$"))
+    return F.when(F.instr(col(html), marker) > 0, rx(F.substring_index(col(html), marker, 1), r"([0-9.,]+)\z"))
 
 
 def grouped_number(text) -> Column:
@@ -95,17 +100,18 @@ def grouped_number(text) -> Column:
 
 
 def strip_html(text) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(col(text), "<[^>]*>", "")), F.lit(""))
+    """Text outside tags, trimmed; an unclosed tag takes the rest."""
+    return trim(F.replace(F.regexp_replace(col(text), "<[^>]*>?", ""), F.lit(">"), F.lit("")))
 
 
 def strip_email(text) -> Column:
-    """A name without the address in angle brackets behind it."""
-    return F.nullif(F.trim(F.substring_index(col(text), "<", 1)), F.lit(""))
+    """A name without the address in angle brackets behind it; '' where there is only an address."""
+    return trim(F.substring_index(col(text), "<", 1))
 
 
 def first_line(text) -> Column:
     """The first line that isn't blank, trimmed."""
-    return F.get(F.filter(F.transform(F.split(col(text), "\r?\n"), lambda t: F.trim(t)), lambda t: t != ""), F.lit(0))
+    return F.get(F.filter(F.transform(F.split(col(text), "\n"), trim), lambda t: t != ""), F.lit(0))
 
 
 def email_domain(address) -> Column:
@@ -115,7 +121,7 @@ def email_domain(address) -> Column:
 
 def stanza_field(stanza, key: str) -> Column:
     """First line ``key:value`` of a stanza, trimmed; empty is null."""
-    return F.nullif(F.trim(F.regexp_extract(col(stanza), f"(?m)^{re.escape(key)}(.*)$", 1)), F.lit(""))
+    return F.nullif(trim(F.regexp_extract(col(stanza), f"(?md)^{re.escape(key)}(.*)$", 1)), F.lit(""))
 
 
 def unescape_xml(text) -> Column:
@@ -126,18 +132,24 @@ def unescape_xml(text) -> Column:
 
 
 def tag_text(xml, tag: str) -> Column:
-    """Text of the first element of that name."""
-    return F.nullif(F.trim(unescape_xml(F.regexp_extract(col(xml), f"(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>", 1))), F.lit(""))
+    """Text of the first element of that name without attributes, trimmed; '' where it is empty."""
+    return unescape_xml(trim(group_of(xml, f"(?s)<{tag}>(.*?)</{tag}>")))
 
 
 def tag_attribute(xml, tag: str, name: str) -> Column:
-    """An attribute of the first element of that name."""
-    return F.nullif(unescape_xml(F.regexp_extract(col(xml), f'(?s)<{tag}\\s[^>]*?\\b{name}="([^"]*)"', 1)), F.lit(""))
+    """An attribute, as it is written, of the first element whose name begins so."""
+    return group_of(group_of(xml, f"<{tag}([^>]*)>"), f'{name}="([^"]*)"')
 
 
 def primary_href(repomd) -> Column:
     """Location of the first ``primary`` data element of a repository index."""
-    return rx(repomd, r'(?s)<data\s[^>]*type="primary"[^>]*>.*?<location\s[^>]*?href="([^"]*)"')
+    return group_of(group_of(repomd, r'(?s)<data (type="primary"(?:(?!<data ).)*)'), 'href="([^"]*)"')
+
+
+def sound_xml(xml) -> Column:
+    """The text where it is well-formed XML, else null (XPath functions fail on other texts)."""
+    broken = F.from_xml(F.when(trim(xml) != "", col(xml)), "__broken string", {"columnNameOfCorruptRecord": "__broken", "mode": "PERMISSIVE"})["__broken"]
+    return F.when((trim(xml) != "") & broken.isNull(), col(xml))
 
 
 def sha256_hex(data) -> Column:

@@ -11,13 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json import first_text, jbool, jf64, jlen, jlist, jmap, jstr, ju64, present
+from ..functions.json import jbool, jf64, jlen, jlist, jmap, jparts, jstr, ju64, nonempty, present
 from ..functions.purl import last_segment
 from ..functions.scalars import (
-    email_domain, first_line, grouped_number, meta_content, millis_seconds, month_day_year_seconds, number_before, rfc3339_seconds,
+    email_domain, first_line, grouped_number, meta_content, millis_seconds, month_day_year_seconds, number_before, rfc3339_seconds, sound_xml,
     stanza_field, strip_email, strip_html, tag_attribute, tag_text, text_after, timestamp_seconds, ymd_seconds,
 )
-from ..functions.text import rx
+from ..functions.text import BLANK, group_of, lower_ascii, trim
 from .fetching import recorded
 
 FIELDS = {
@@ -91,6 +91,16 @@ def flag(value: Column, word: str) -> Column:
     return F.when(value, F.lit(word))
 
 
+def halves(path: Column) -> tuple[Column, Column]:
+    """What stands before and after the first slash."""
+    return F.substring_index(path, "/", 1), F.substr(path, F.instr(path, "/") + 1)
+
+
+def release(version: Column, build: Column) -> Column:
+    """``version-build``, the version alone, or '' without one."""
+    return F.coalesce(F.concat(version, F.lit("-"), build), version, F.lit(""))
+
+
 def npm(r: Row) -> dict:
     latest = r.s("$['dist-tags'].latest")
     version = F.coalesce(r.asked, latest, F.lit(""))
@@ -106,10 +116,10 @@ def npm(r: Row) -> dict:
     return line | {
         "ecosystem": F.lit("npm"), "name": F.replace(r.name, F.lit("%40"), F.lit("@")), "version": version, "published_at": published, "latest_version": latest,
         "author": F.coalesce(first_present(person, (v, "$.author"), (r.doc, "$.author")), r.s("$.maintainers[0].name")), "deprecated": message,
-        **{f: first_present(jstr, (v, f"$.{p}"), (r.doc, f"$.{p}")) for f, p in (("description", "description"), ("homepage", "homepage"), ("repository", "repository.url"), ("license", "license"))},
-        "maintainers": F.coalesce(F.size(keepers), F.lit(0)), "security_hold": F.coalesce(r.s("$.description") == "security holding package", F.lit(False)),
+        **{f: nonempty(first_present(jstr, (v, f"$.{f}"), (r.doc, f"$.{f}"))) for f in ("description", "homepage", "license")}, "repository": first_present(jstr, (v, "$.repository.url"), (r.doc, "$.repository.url")),
+        "maintainers": F.coalesce(jlen(r.doc, "$.maintainers"), F.lit(0)), "security_hold": F.coalesce(r.s("$.description") == "security holding package", F.lit(False)),
         "version_removed": v.isNull() & F.coalesce(F.array_contains(F.map_keys(times), version), F.lit(False)), "first_published_at": F.coalesce(rfc3339_seconds(times["created"]), F.array_min(line["release_times"])),
-        "publisher": publisher, "publisher_email_domain": email_domain(jstr(v, "$._npmUser.email")), "publisher_in_maintainers": F.when(publisher.isNotNull(), F.exists(keepers, lambda m: F.coalesce(m["name"] == publisher, F.lit(False)))),
+        "publisher": publisher, "publisher_email_domain": email_domain(jstr(v, "$._npmUser.email")), "publisher_in_maintainers": F.when(publisher.isNotNull() & jlen(r.doc, "$.maintainers").isNotNull(), F.coalesce(F.exists(keepers, lambda m: F.coalesce(m["name"] == publisher, F.lit(False))), F.lit(False))),
         "unpacked_size": ju64(v, "$.dist.unpackedSize"), "file_count": ju64(v, "$.dist.fileCount"),
         "has_install_script": F.when(v.isNotNull(), F.coalesce(jbool(v, "$.hasInstallScript"), F.lit(False)) | F.coalesce(F.arrays_overlap(scripts, F.array(F.lit("install"), F.lit("preinstall"), F.lit("postinstall"))), F.lit(False))),
         "downloads_recent": ju64(r.doc2, "$.downloads"),
@@ -119,11 +129,11 @@ def npm(r: Row) -> dict:
 def crates(r: Row) -> dict:
     latest = first_present(jstr, (r.doc, "$.crate.max_stable_version"), (r.doc, "$.crate.max_version"))
     version = F.coalesce(r.asked, latest, F.lit(""))
-    v = F.get(F.filter(jlist(r.doc, "$.versions", "struct<num: string, created_at: string, license: string, yanked: boolean>"), lambda x: x["num"] == version), F.lit(0))
+    v = r.keep(F.get(F.filter(jparts(r.doc, "$.versions"), lambda x: jstr(x, "$.num") == version), F.lit(0)))
     return {
-        "ecosystem": F.lit("crates"), "name": r.name, "version": version, "published_at": rfc3339_seconds(F.coalesce(v["created_at"], r.s("$.crate.created_at"))), "latest_version": latest,
-        "description": r.s("$.crate.description"), "homepage": r.s("$.crate.homepage"), "repository": r.s("$.crate.repository"), "license": v["license"],
-        "downloads_total": r.u("$.crate.downloads"), "downloads_recent": r.u("$.crate.recent_downloads"), "deprecated": flag(v["yanked"], "yanked"),
+        "ecosystem": F.lit("crates"), "name": r.name, "version": version, "published_at": rfc3339_seconds(first_present(jstr, (v, "$.created_at"), (r.doc, "$.crate.created_at"))), "latest_version": latest,
+        "description": r.s("$.crate.description"), "homepage": r.s("$.crate.homepage"), "repository": r.s("$.crate.repository"), "license": jstr(v, "$.license"),
+        "downloads_total": r.u("$.crate.downloads"), "downloads_recent": r.u("$.crate.recent_downloads"), "deprecated": flag(jbool(v, "$.yanked"), "yanked"),
     }
 
 
@@ -175,7 +185,7 @@ def gem(r: Row) -> dict:
 
 
 def golang(r: Row) -> dict:
-    return {"ecosystem": F.lit("golang"), "name": r.name, "version": F.coalesce(r.s("$.Version"), r.asked, F.lit("")), "published_at": rfc3339_seconds(r.s("$.Time")), "repository": r.s("$.Origin.URL")}
+    return {"ecosystem": F.lit("golang"), "name": r.name, "version": F.coalesce(r.s("$.Version"), F.lit("")), "published_at": rfc3339_seconds(r.s("$.Time")), "repository": r.s("$.Origin.URL")}
 
 
 def github(r: Row) -> dict:
@@ -190,22 +200,22 @@ def aur(r: Row) -> dict:
     return {
         "ecosystem": F.lit("aur"), "name": F.coalesce(r.s(f"{p}.Name"), r.name), "version": F.coalesce(r.s(f"{p}.Version"), F.lit("")), "published_at": r.u(f"{p}.LastModified"), "first_published_at": r.u(f"{p}.FirstSubmitted"),
         "maintainers": F.when(r.s(f"{p}.Maintainer").isNotNull(), 1).otherwise(0) + F.coalesce(jlen(r.doc, f"{p}.CoMaintainers"), F.lit(0)), "author": r.s(f"{p}.Maintainer"), "publisher": r.s(f"{p}.Maintainer"), "title": r.s(f"{p}.Name"),
-        "description": r.s(f"{p}.Description"), "homepage": r.s(f"{p}.URL"), "rating": jf64(r.doc, f"{p}.Popularity"), "rating_count": r.u(f"{p}.NumVotes"), "deprecated": F.when(r.u(f"{p}.OutOfDate").isNotNull(), "out-of-date"),
+        "description": r.s(f"{p}.Description"), "homepage": r.s(f"{p}.URL"), "rating": jf64(r.doc, f"{p}.Popularity"), "rating_count": r.u(f"{p}.NumVotes"), "deprecated": flag(r.u(f"{p}.OutOfDate") > 0, "flagged out-of-date"),
     }
 
 
 def chrome(r: Row) -> dict:
     return {
         "ecosystem": F.lit("chrome"), "name": last_segment(r.name), "version": F.lit(""), "published_at": month_day_year_seconds(text_after(r.body, "Updated")), "author": text_after(r.body, "Offered by"),
-        "title": F.regexp_replace(meta_content(r.body, "og:title"), " - Chrome Web Store$", ""), "description": meta_content(r.body, "og:description"), "homepage": F.concat(F.lit("https://chromewebstore.google.com/detail/"), last_segment(r.name)),
+        "title": trim(F.regexp_replace(meta_content(r.body, "og:title"), r"( - Chrome Web Store)+\z", "")), "description": meta_content(r.body, "og:description"), "homepage": F.concat(F.lit("https://chromewebstore.google.com/detail/"), last_segment(r.name)),
         "downloads_total": grouped_number(number_before(r.body, " users")), "rating": number_before(r.body, " out of 5 stars").try_cast("float"), "rating_count": grouped_number(number_before(r.body, " ratings")),
     }
 
 
 def openvsx(r: Row) -> dict:
     return {
-        "ecosystem": F.lit("openvsx"), "name": F.concat_ws(".", r.s("$.namespace"), r.s("$.name")), "version": F.coalesce(r.s("$.version"), F.lit("")), "published_at": rfc3339_seconds(r.s("$.timestamp")), "author": r.s("$.publishedBy.loginName"),
-        "publisher": r.s("$.publishedBy.loginName"), "release_count": jlen(r.doc, "$.allVersions"), "publisher_verified": F.when(r.s("$.namespaceAccess").isNotNull(), r.s("$.namespaceAccess") == "restricted"), "title": r.s("$.displayName"),
+        "ecosystem": F.lit("openvsx"), "name": F.concat_ws(".", *halves(r.name)), "version": F.coalesce(r.s("$.version"), F.lit("")), "published_at": rfc3339_seconds(r.s("$.timestamp")), "author": r.s("$.publishedBy.loginName"),
+        "publisher": r.s("$.publishedBy.loginName"), "release_count": jlen(r.doc, "$.allVersions", "OBJECT"), "publisher_verified": lower_ascii(r.s("$.namespaceAccess")) == "restricted", "title": r.s("$.displayName"),
         "description": r.s("$.description"), "homepage": r.s("$.homepage"), "repository": r.s("$.repository"), "license": r.s("$.license"), "downloads_total": r.u("$.downloadCount"), "rating": jf64(r.doc, "$.averageRating"),
         "rating_count": r.u("$.reviewCount"), "deprecated": flag(jbool(r.doc, "$.deprecated"), "deprecated"),
     }
@@ -214,12 +224,14 @@ def openvsx(r: Row) -> dict:
 def vscode(r: Row) -> dict:
     p = "$.results[0].extensions[0]"
     versions = jlist(r.doc, f"{p}.versions", "struct<version: string, lastUpdated: string>")
-    published = r.keep(rfc3339_seconds(F.get(versions, F.lit(0))["lastUpdated"]))
-    stats = F.map_from_entries(F.transform(jlist(r.doc, f"{p}.statistics", "struct<statisticName: string, value: double>"), lambda x: F.struct(x["statisticName"], x["value"])))
+    published = r.keep(rfc3339_seconds(r.s(f"{p}.lastUpdated")))
+    told = r.keep(jlist(r.doc, f"{p}.statistics", "struct<statisticName: string, value: double>"))
+    stat = lambda name: F.get(F.filter(told, lambda x: x["statisticName"] == name), F.lit(0))["value"]
+    whole = lambda x: F.greatest(x, F.lit(0.0)).cast("bigint")
     return timeline(r.keep(F.transform(versions, lambda v: rfc3339_seconds(v["lastUpdated"]))), published) | {
         "ecosystem": F.lit("vscode"), "name": F.replace(r.name, F.lit("/"), F.lit(".")), "version": F.coalesce(F.get(versions, F.lit(0))["version"], F.lit("")), "published_at": published, "first_published_at": rfc3339_seconds(r.s(f"{p}.publishedDate")),
         "author": r.s(f"{p}.publisher.displayName"), "publisher": r.s(f"{p}.publisher.publisherName"), "publisher_verified": jbool(r.doc, f"{p}.publisher.isDomainVerified"), "title": r.s(f"{p}.displayName"), "description": r.s(f"{p}.shortDescription"),
-        "downloads_total": stats["install"].cast("bigint"), "rating": stats["averagerating"], "rating_count": stats["ratingcount"].cast("bigint"),
+        "downloads_total": F.when(stat("install").isNotNull(), whole(stat("install"))), "rating": stat("averagerating"), "rating_count": F.when(stat("ratingcount").isNotNull(), whole(stat("ratingcount"))),
     }
 
 
@@ -238,27 +250,33 @@ def nuget(r: Row) -> dict:
     published = r.keep(rfc3339_seconds(e["published"]))
     line = timeline(r.keep(F.transform(entries, lambda x: rfc3339_seconds(x["published"]))), published)
     reason = lambda x: F.when(x.isNotNull(), F.coalesce(x["message"], F.lit("deprecated")))
-    said = F.from_json(F.get_json_object(r.body, f"{data}.deprecation"), "struct<message: string>")
+    told = F.schema_of_variant(F.try_variant_get(r.doc, f"{data}.deprecation", "variant"))
+    said = F.when(told != "VOID", F.coalesce(r.s(f"{data}.deprecation.message"), F.lit("deprecated")))
+    manifest = r.keep(sound_xml(r.body3))
+    last = lambda path: nonempty(F.xpath_string(manifest, F.lit(path)))
     return line | {
         "ecosystem": F.lit("nuget"), "name": F.coalesce(r.s(f"{data}.id"), r.name), "version": version, "latest_version": latest, "published_at": published, "first_published_at": F.array_min(line["release_times"]),
         "author": F.coalesce(r.s(f"{data}.authors[0]"), r.s(f"{data}.authors")), "description": r.s(f"{data}.description"), "homepage": F.nullif(r.s(f"{data}.projectUrl"), F.lit("")), "downloads_total": r.u(f"{data}.totalDownloads"), "maintainers": jlen(r.doc, f"{data}.owners"),
-        "vulnerability_count": jlen(r.doc, f"{data}.vulnerabilities"), "version_removed": ~e["listed"], "license": F.coalesce(F.nullif(F.trim(rx(r.body3, r'(?s)<license\s[^>]*?\btype="expression"[^>]*>(.*?)</license>')), F.lit("")), F.nullif(e["licenseExpression"], F.lit(""))),
-        "deprecated": F.coalesce(reason(said), reason(e["deprecation"])),
-        "repository": tag_attribute(r.body3, "repository", "url"), "repository_commit": tag_attribute(r.body3, "repository", "commit"),
+        "vulnerability_count": jlen(r.doc, f"{data}.vulnerabilities"), "version_removed": ~e["listed"], "license": F.coalesce(nonempty(trim(last("(//*[local-name()='license'][@type='expression'][normalize-space(text())])[last()]/text()"))), nonempty(e["licenseExpression"])),
+        "deprecated": F.coalesce(said, reason(e["deprecation"])),
+        **{f: last(f"(//*[local-name()='repository'][string(@{a})])[last()]/@{a}") for f, a in (("repository", "url"), ("repository_commit", "commit"))},
     }
 
 
 def maven(r: Row) -> dict:
     doc = "$.response.docs[0]"
-    return {"ecosystem": F.lit("maven"), "name": r.name, "version": F.coalesce(r.s(f"{doc}.v"), r.asked, F.lit("")), "published_at": F.floor(r.u(f"{doc}.timestamp") / 1000), "latest_version": F.when(r.asked.isNull(), r.s(f"{doc}.v"))}
+    return {"ecosystem": F.lit("maven"), "name": F.concat_ws(":", *halves(r.name)), "version": F.coalesce(r.s(f"{doc}.v"), F.lit("")), "published_at": F.floor(r.u(f"{doc}.timestamp") / 1000), "latest_version": F.when(r.asked.isNull(), r.s(f"{doc}.v"))}
+
+
+def texts(map_: Column) -> Column:
+    """The values of a map that are texts, in order of their keys."""
+    return F.array_compact(F.transform(F.array_sort(F.map_keys(map_)), lambda k: jstr(map_[k], "$")))
 
 
 def links_repository(r: Row, path: str) -> Column:
     """The link under the first known key, else the first in order of name."""
-    links = jmap(r.doc, path)
-    named = [links[k] for k in ("GitHub", "Github", "github", "GitLab", "Repository", "Source")]
-    every = F.array_compact(F.transform(F.array_sort(F.map_keys(links)), lambda k: links[k]))
-    return F.coalesce(*named, F.get(every, F.lit(0)))
+    links = r.keep(jmap(r.doc, path))
+    return F.coalesce(*[jstr(links[k], "$") for k in ("GitHub", "Github", "github", "GitLab", "Repository", "Source")], F.get(texts(links), F.lit(0)))
 
 
 def hex_pm(r: Row) -> dict:
@@ -267,7 +285,7 @@ def hex_pm(r: Row) -> dict:
     releases = jlist(r.doc, "$.releases", "struct<version: string, inserted_at: string>")
     v = F.coalesce(F.get(F.filter(releases, lambda x: x["version"] == version), F.lit(0)), F.get(releases, F.lit(0)))
     return {
-        "ecosystem": F.lit("hex"), "name": r.name, "version": version, "published_at": timestamp_seconds(F.coalesce(v["inserted_at"], r.s("$.inserted_at"))), "latest_version": latest, "description": r.s("$.meta.description"),
+        "ecosystem": F.lit("hex"), "name": r.name, "version": version, "published_at": F.coalesce(timestamp_seconds(v["inserted_at"]), timestamp_seconds(r.s("$.inserted_at"))), "latest_version": latest, "description": r.s("$.meta.description"),
         "license": r.s("$.meta.licenses[0]"), "repository": links_repository(r, "$.meta.links"), "downloads_total": r.u("$.downloads.all"), "downloads_recent": r.u("$.downloads.recent"),
     }
 
@@ -275,14 +293,14 @@ def hex_pm(r: Row) -> dict:
 def cran(r: Row) -> dict:
     return {
         "ecosystem": F.lit("cran"), "name": F.coalesce(r.s("$.Package"), r.name), "version": F.coalesce(r.s("$.Version"), F.lit("")), "published_at": timestamp_seconds(r.s("$['Date/Publication']")), "author": strip_email(r.s("$.Maintainer")),
-        "description": r.s("$.Title"), "homepage": first_line(F.regexp_replace(r.s("$.URL"), "[,\\s]+", "\n")), "license": r.s("$.License"),
+        "description": r.s("$.Title"), "homepage": first_line(r.s("$.URL")), "license": r.s("$.License"),
     }
 
 
 def cpan(r: Row) -> dict:
     return {
         "ecosystem": F.lit("cpan"), "name": F.coalesce(r.s("$.distribution"), r.name), "version": F.coalesce(r.s("$.version"), F.lit("")), "published_at": timestamp_seconds(r.s("$.date")), "author": r.s("$.author"), "description": r.s("$.abstract"),
-        "homepage": r.s("$.resources.homepage"), "repository": r.s("$.resources.repository.url"), "license": r.s("$.license[0]"), "deprecated": flag(r.s("$.status") == "backpan", "backpan"),
+        "homepage": r.s("$.resources.homepage"), "repository": r.s("$.resources.repository.url"), "license": r.s("$.license[0]"), "deprecated": flag(r.s("$.status") == "backpan", "removed from CPAN"),
     }
 
 
@@ -293,7 +311,7 @@ def pub_dev(r: Row) -> dict:
     known = v.isNotNull()
     pick = lambda f: F.when(known, v["pubspec"][f]).otherwise(r.s(f"$.latest.pubspec.{f}"))
     return {
-        "ecosystem": F.lit("pub"), "name": r.name, "version": F.coalesce(v["version"], latest, F.lit("")), "published_at": rfc3339_seconds(F.when(known, v["published"]).otherwise(r.s("$.latest.published"))), "latest_version": latest,
+        "ecosystem": F.lit("pub"), "name": r.name, "version": F.coalesce(F.when(known, v["version"]).otherwise(latest), F.lit("")), "published_at": timestamp_seconds(F.when(known, v["published"]).otherwise(r.s("$.latest.published"))), "latest_version": latest,
         "description": pick("description"), "homepage": pick("homepage"), "repository": pick("repository"),
     }
 
@@ -312,7 +330,7 @@ def conda(r: Row) -> dict:
 def clojars(r: Row) -> dict:
     group, artifact = r.s("$.group_name"), r.s("$.jar_name")
     return {
-        "ecosystem": F.lit("clojars"), "name": F.when(group == artifact, artifact).otherwise(F.coalesce(F.concat(group, F.lit("/"), artifact), r.name)), "version": F.coalesce(r.asked, first_present(jstr, (r.doc, "$.latest_release"), (r.doc, "$.latest_version")), F.lit("")),
+        "ecosystem": F.lit("clojars"), "name": F.coalesce(F.when(group != artifact, F.concat(group, F.lit("/"), artifact)), artifact, r.name), "version": F.coalesce(first_present(jstr, (r.doc, "$.latest_release"), (r.doc, "$.latest_version")), F.lit("")),
         "latest_version": r.s("$.latest_version"), "description": r.s("$.description"), "homepage": r.s("$.homepage"), "repository": r.s("$.scm.url"), "license": r.s("$.licenses[0].name"), "downloads_total": r.u("$.downloads"),
     }
 
@@ -323,7 +341,7 @@ def jsr(r: Row) -> dict:
     all_ = jlist(r.doc2, "$", "struct<version: string, createdAt: string>")
     v = F.coalesce(F.get(F.filter(all_, lambda x: x["version"] == version), F.lit(0)), F.get(all_, F.lit(0)))
     return {
-        "ecosystem": F.lit("jsr"), "name": F.replace(r.name, F.lit("%40"), F.lit("@")), "version": version, "published_at": rfc3339_seconds(v["createdAt"]), "latest_version": latest, "description": r.s("$.description"),
+        "ecosystem": F.lit("jsr"), "name": F.concat(F.lit("@"), F.regexp_replace(F.replace(r.name, F.lit("%40"), F.lit("@")), "^@+", "")), "version": version, "published_at": timestamp_seconds(v["createdAt"]), "latest_version": latest, "description": r.s("$.description"),
         "repository": F.concat(F.lit("https://github.com/"), r.s("$.githubRepository.owner"), F.lit("/"), r.s("$.githubRepository.name")), "rating": jf64(r.doc, "$.score"),
     }
 
@@ -331,21 +349,22 @@ def jsr(r: Row) -> dict:
 def arch(r: Row) -> dict:
     p = "$.results[0]"
     return {
-        "ecosystem": F.lit("arch"), "name": F.coalesce(r.s(f"{p}.pkgname"), r.name), "version": F.concat_ws("-", r.s(f"{p}.pkgver"), r.s(f"{p}.pkgrel")), "published_at": rfc3339_seconds(F.coalesce(r.s(f"{p}.last_update"), r.s(f"{p}.build_date"))),
-        "author": r.s(f"{p}.packager"), "description": r.s(f"{p}.pkgdesc"), "homepage": r.s(f"{p}.url"), "license": r.s(f"{p}.licenses[0]"), "maintainers": jlen(r.doc, f"{p}.maintainers"), "deprecated": F.when(r.s(f"{p}.flag_date").isNotNull(), "out-of-date"),
+        "ecosystem": F.lit("arch"), "name": F.coalesce(r.s(f"{p}.pkgname"), r.name), "version": release(r.s(f"{p}.pkgver"), r.s(f"{p}.pkgrel")), "published_at": timestamp_seconds(F.coalesce(r.s(f"{p}.last_update"), r.s(f"{p}.build_date"))),
+        "author": r.s(f"{p}.packager"), "description": r.s(f"{p}.pkgdesc"), "homepage": r.s(f"{p}.url"), "license": r.s(f"{p}.licenses[0]"), "maintainers": jlen(r.doc, f"{p}.maintainers"), "deprecated": flag(r.s(f"{p}.flag_date").isNotNull(), "flagged out-of-date"),
     }
 
 
 def fedora(r: Row) -> dict:
     return {
-        "ecosystem": F.lit("fedora"), "name": F.coalesce(r.s("$.basename"), r.name), "version": F.concat_ws("-", r.s("$.version"), r.s("$.release")), "description": F.coalesce(r.s("$.summary"), r.s("$.description")), "homepage": r.s("$.url"), "license": r.s("$.license"),
+        "ecosystem": F.lit("fedora"), "name": F.coalesce(r.s("$.basename"), r.name), "version": release(r.s("$.version"), r.s("$.release")), "description": F.coalesce(r.s("$.summary"), r.s("$.description")), "homepage": r.s("$.url"), "license": nonempty(r.s("$.license")),
     }
 
 
 def clawhub(r: Row) -> dict:
     p = "$.skill"
+    seconds = lambda path: F.floor(F.floor(jf64(r.doc, path)) / 1000)
     return {
-        "ecosystem": F.lit("clawhub"), "name": r.name, "version": F.coalesce(r.s(f"{p}.tags.latest"), F.lit("")), "published_at": F.floor(r.u(f"{p}.updatedAt") / 1000), "first_published_at": F.floor(r.u(f"{p}.createdAt") / 1000), "title": r.s(f"{p}.displayName"),
+        "ecosystem": F.lit("clawhub"), "name": r.name, "version": F.coalesce(r.s(f"{p}.tags.latest"), F.lit("")), "published_at": seconds(f"{p}.updatedAt"), "first_published_at": seconds(f"{p}.createdAt"), "title": r.s(f"{p}.displayName"),
         "description": r.s(f"{p}.summary"), "downloads_total": r.u(f"{p}.stats.downloads"), "rating_count": r.u(f"{p}.stats.stars"), "release_count": r.u(f"{p}.stats.versions"),
     }
 
@@ -353,16 +372,16 @@ def clawhub(r: Row) -> dict:
 def oci(r: Row) -> dict:
     """Docker Hub and Quay answers in one: their fields don't clash."""
     return {
-        "ecosystem": F.lit("oci"), "name": F.coalesce(r.s("$.name"), r.name), "version": F.coalesce(r.asked, F.lit("")), "published_at": F.coalesce(rfc3339_seconds(r.s("$.last_updated")), r.u("$.last_modified")), "first_published_at": rfc3339_seconds(r.s("$.date_registered")),
-        "author": first_present(jstr, (r.doc, "$.namespace"), (r.doc, "$.user")), "description": r.s("$.description"), "downloads_total": r.u("$.pull_count"), "rating_count": F.coalesce(r.u("$.star_count"), r.u("$.popularity")),
+        "ecosystem": F.lit("oci"), "name": F.coalesce(r.s("$.name"), last_segment(r.name)), "version": F.lit(""), "published_at": F.coalesce(timestamp_seconds(r.s("$.last_updated")), r.u("$.last_modified")), "first_published_at": timestamp_seconds(r.s("$.date_registered")),
+        "author": first_present(jstr, (r.doc, "$.namespace"), (r.doc, "$.user")), "description": nonempty(r.s("$.description")), "downloads_total": r.u("$.pull_count"), "rating_count": F.coalesce(r.u("$.star_count"), r.u("$.popularity")),
     }
 
 
 def homebrew(r: Row) -> dict:
-    installs = F.map_values(jmap(r.doc, "$.analytics.install['30d']", "bigint"))
+    installs = F.array_compact(F.transform(F.map_values(jmap(r.doc, "$.analytics.install['30d']")), lambda x: ju64(x, "$")))
     return {
         "ecosystem": F.lit("homebrew"), "name": F.coalesce(r.s("$.name"), r.name), "version": F.coalesce(r.s("$.versions.stable"), F.lit("")), "description": r.s("$.desc"), "homepage": r.s("$.homepage"), "license": r.s("$.license"),
-        "downloads_recent": F.when(F.size(installs) > 0, F.aggregate(installs, F.lit(0).cast("bigint"), lambda a, x: a + x)), "deprecated": F.coalesce(flag(jbool(r.doc, "$.deprecated"), "deprecated"), flag(jbool(r.doc, "$.disabled"), "disabled")),
+        "downloads_recent": F.aggregate(installs, F.lit(0).cast("bigint"), lambda a, x: a + x), "deprecated": F.coalesce(flag(jbool(r.doc, "$.deprecated"), "deprecated"), flag(jbool(r.doc, "$.disabled"), "disabled")),
     }
 
 
@@ -372,23 +391,23 @@ def snap(r: Row) -> dict:
     c = F.coalesce(stable, F.get(channels, F.lit(0)))
     p = "$.snap"
     return {
-        "ecosystem": F.lit("snap"), "name": F.coalesce(r.s("$.name"), r.name), "version": F.coalesce(c["version"], F.lit("")), "published_at": timestamp_seconds(c["channel"]["released-at"]), "author": r.s(f"{p}.publisher['display-name']"), "title": r.s(f"{p}.title"),
-        "description": F.coalesce(r.s(f"{p}.summary"), r.s(f"{p}.description")), "homepage": F.coalesce(r.s(f"{p}.website"), r.s(f"{p}['store-url']")), "license": r.s(f"{p}.license"),
+        "ecosystem": F.lit("snap"), "name": r.name, "version": F.coalesce(c["version"], F.lit("")), "published_at": timestamp_seconds(c["channel"]["released-at"]), "author": r.s(f"{p}.publisher['display-name']"), "title": r.s(f"{p}.title"),
+        "description": F.coalesce(r.s(f"{p}.summary"), r.s(f"{p}.description")), "homepage": F.coalesce(nonempty(r.s(f"{p}.website")), r.s(f"{p}['store-url']")), "license": nonempty(r.s(f"{p}.license")),
     }
 
 
 def wordpress(r: Row) -> dict:
     return {
         "ecosystem": F.lit("wordpress"), "name": F.coalesce(r.s("$.slug"), r.name), "version": F.coalesce(r.s("$.version"), F.lit("")), "published_at": ymd_seconds(r.s("$.last_updated")), "author": strip_html(r.s("$.author")), "title": r.s("$.name"),
-        "homepage": r.s("$.homepage"), "downloads_total": r.u("$.downloaded"), "rating": jf64(r.doc, "$.rating") / 20, "rating_count": r.u("$.num_ratings"),
+        "homepage": nonempty(r.s("$.homepage")), "downloads_total": r.u("$.downloaded"), "rating": jf64(r.doc, "$.rating") / 20, "rating_count": r.u("$.num_ratings"),
     }
 
 
 def huggingface(r: Row) -> dict:
     tag = F.get(F.filter(jlist(r.doc, "$.tags", "string"), lambda t: t.startswith("license:")), F.lit(0))
     return {
-        "ecosystem": F.lit("huggingface"), "name": F.coalesce(r.s("$.id"), r.name), "version": F.coalesce(r.asked, r.s("$.sha"), F.lit("")), "published_at": rfc3339_seconds(r.s("$.lastModified")), "first_published_at": rfc3339_seconds(r.s("$.createdAt")),
-        "author": r.s("$.author"), "homepage": F.concat(F.lit("https://huggingface.co/"), F.coalesce(r.s("$.id"), r.name)), "license": F.coalesce(r.s("$.cardData.license"), r.s("$.cardData.license[0]"), F.substr(tag, F.lit(len("license:") + 1))),
+        "ecosystem": F.lit("huggingface"), "name": F.coalesce(r.s("$.id"), r.name), "version": F.coalesce(r.asked, r.s("$.sha"), F.lit("")), "published_at": timestamp_seconds(r.s("$.lastModified")), "first_published_at": timestamp_seconds(r.s("$.createdAt")),
+        "author": r.s("$.author"), "homepage": F.concat(F.lit("https://huggingface.co/"), F.coalesce(r.s("$.id"), r.name)), "license": F.coalesce(r.s("$.license"), r.s("$.cardData.license"), F.substr(tag, F.lit(len("license:") + 1))),
         "downloads_recent": r.u("$.downloads"), "rating_count": r.u("$.likes"),
     }
 
@@ -396,16 +415,16 @@ def huggingface(r: Row) -> dict:
 def localized(doc, path: str) -> Column:
     """A text, or a map of languages with en-US before the first other."""
     words = jmap(doc, path)
-    some = F.filter(F.transform(F.array_sort(F.map_keys(words)), lambda k: words[k]), lambda x: x != "")
-    return F.coalesce(F.nullif(jstr(doc, path), F.lit("")), F.nullif(words["en-US"], F.lit("")), F.get(some, F.lit(0)))
+    return F.coalesce(nonempty(jstr(doc, path)), nonempty(jstr(words["en-US"], "$")), F.get(F.filter(texts(words), lambda x: x != ""), F.lit(0)))
 
 
 def firefox(r: Row) -> dict:
     current = F.coalesce(r.s("$.current_version.reviewed"), r.s("$.last_updated"))
-    published = r.keep(rfc3339_seconds(current))
-    releases = jlist(r.doc2, "$.results", "struct<reviewed: string, file: struct<created: string>>")
-    return timeline(r.keep(F.transform(releases, lambda x: rfc3339_seconds(F.coalesce(x["reviewed"], x["file"]["created"])))), published) | {
-        "ecosystem": F.lit("firefox"), "name": F.coalesce(r.s("$.slug"), r.name), "version": F.coalesce(r.s("$.current_version.version"), F.lit("")), "published_at": published, "first_published_at": rfc3339_seconds(r.s("$.created")),
+    published = r.keep(timestamp_seconds(current))
+    releases = r.keep(jparts(r.doc2, "$.results"))
+    of = lambda x: timestamp_seconds(first_present(jstr, (x, "$.reviewed"), (x, "$.created")))
+    return timeline(r.keep(F.transform(releases, of)), published) | {
+        "ecosystem": F.lit("firefox"), "name": F.coalesce(r.s("$.slug"), r.name), "version": F.coalesce(r.s("$.current_version.version"), F.lit("")), "published_at": published, "first_published_at": timestamp_seconds(r.s("$.created")),
         "author": r.s("$.authors[0].name"), "maintainers": jlen(r.doc, "$.authors"), "title": localized(r.doc, "$.name"), "description": localized(r.doc, "$.summary"), "homepage": localized(r.doc, "$.homepage.url"),
         "license": localized(r.doc, "$.current_version.license.name"), "downloads_total": r.u("$.average_daily_users"), "downloads_recent": r.u("$.weekly_downloads"), "rating": jf64(r.doc, "$.ratings.average"), "rating_count": r.u("$.ratings.count"),
         "deprecated": flag(jbool(r.doc, "$.is_disabled"), "disabled"),
@@ -416,12 +435,12 @@ def jetbrains(r: Row) -> dict:
     """``body`` is the plugin, ``body2`` its newest update (the search that finds its number is a join before)."""
     return {
         "ecosystem": F.lit("jetbrains"), "name": F.coalesce(r.s("$.xmlId"), r.name), "version": F.coalesce(jstr(r.doc2, "$[0].version"), F.lit("")), "published_at": millis_seconds(F.coalesce(jstr(r.doc2, "$[0].cdate"), ju64(r.doc2, "$[0].cdate").cast("string"))),
-        "author": F.coalesce(r.s("$.vendor"), r.s("$.vendor.name")), "title": r.s("$.name"), "description": r.s("$.preview"), "homepage": r.s("$.urls.url"), "repository": r.s("$.urls.sourceCodeUrl"), "downloads_total": r.u("$.downloads"), "rating": jf64(r.doc, "$.rating"),
+        "author": F.coalesce(r.s("$.vendor"), r.s("$.vendor.name")), "title": r.s("$.name"), "description": r.s("$.preview"), "homepage": nonempty(r.s("$.urls.url")), "repository": nonempty(r.s("$.urls.sourceCodeUrl")), "downloads_total": r.u("$.downloads"), "rating": jf64(r.doc, "$.rating"),
     }
 
 
 def _positive(text: Column) -> Column:
-    n = text.try_cast("bigint")
+    n = F.when(text.rlike(r"^\+?[0-9]+\z"), text.try_cast("bigint"))
     return F.when(n > 0, n)
 
 
@@ -443,9 +462,9 @@ def deb(ecosystem: str) -> Callable:
 
 def rpm(ecosystem: str) -> Callable:
     def of(r: Row) -> dict:
-        version = F.concat_ws("-", tag_attribute(r.body, "version", "ver"), tag_attribute(r.body, "version", "rel"))
+        version = release(tag_attribute(r.body, "version", "ver"), tag_attribute(r.body, "version", "rel"))
         return {
-            "ecosystem": F.lit(ecosystem), "name": r.name, "version": version, "published_at": _positive(tag_attribute(r.body, "time", "build")), "author": first_text(tag_text(r.body, "rpm:vendor"), tag_text(r.body, "packager")),
+            "ecosystem": F.lit(ecosystem), "name": r.name, "version": version, "published_at": _positive(tag_attribute(r.body, "time", "build")), "author": F.coalesce(tag_text(r.body, "rpm:vendor"), tag_text(r.body, "packager")),
             "description": tag_text(r.body, "summary"), "homepage": tag_text(r.body, "url"), "license": tag_text(r.body, "rpm:license"),
         }
 
@@ -454,18 +473,26 @@ def rpm(ecosystem: str) -> Callable:
 
 def netbsd(r: Row) -> dict:
     f = lambda k: stanza_field(r.body, k + "=")
-    built = F.regexp_replace(f("BUILD_DATE"), F.lit(" "), F.lit("T"))
     return {
-        "ecosystem": F.lit("netbsd"), "name": r.name, "version": F.substr(f("PKGNAME"), F.length(r.name) + 2), "published_at": timestamp_seconds(built), "author": f("MAINTAINER"), "description": f("COMMENT"), "homepage": f("HOMEPAGE"), "license": f("LICENSE"),
+        "ecosystem": F.lit("netbsd"), "name": r.name, "version": F.substr(f("PKGNAME"), F.length(r.name) + 2), "published_at": timestamp_seconds(f("BUILD_DATE")), "author": strip_email(f("MAINTAINER")), "description": f("COMMENT"),
+        "homepage": f("HOMEPAGE"), "license": f("LICENSE"),
     }
 
 
 def freebsd(r: Row) -> dict:
-    return {"ecosystem": F.lit("freebsd"), "name": r.name, "version": F.coalesce(r.s("$.version"), F.lit("")), "author": r.s("$.maintainer"), "description": r.s("$.comment"), "homepage": r.s("$.www"), "license": r.s("$.licenses[0]")}
+    return {"ecosystem": F.lit("freebsd"), "name": r.name, "version": F.coalesce(r.s("$.version"), F.lit("")), "author": strip_email(r.s("$.maintainer")), "description": r.s("$.comment"), "homepage": r.s("$.www"), "license": r.s("$.licenses[0]")}
+
+
+def listed_version(file, name: Column) -> Column:
+    """What follows ``name-`` in an archive's file name, where it begins with a digit."""
+    tail = F.when(F.startswith(F.col(file) if isinstance(file, str) else file, F.concat(name, F.lit("-"))), F.substr(file, F.length(name) + 2))
+    return group_of(tail, r"(?s)^([0-9].*)\.tgz\z")
 
 
 def openbsd(r: Row) -> dict:
-    return {"ecosystem": F.lit("openbsd"), "name": r.name, "version": F.coalesce(rx(r.body, r"-([0-9][^/]*?)\.tgz$"), F.lit(""))}
+    """``body`` is a listing, or one file name of it: the first that is the asked name and a version counts."""
+    files = F.transform(F.split(r.body, f"[{BLANK}]+"), lambda t: listed_version(F.substring_index(t, "/", -1), r.name))
+    return {"ecosystem": F.lit("openbsd"), "name": r.name, "version": F.get(F.array_compact(files), F.lit(0))}
 
 
 NORMALIZERS: dict[str, Callable[[Row], dict]] = {
@@ -483,6 +510,24 @@ REQUIRED = {
 }
 
 
+def concerns(kind: str) -> Column | None:
+    """Whether a document is the asked package's own; null where every answer is."""
+    name, body = F.col("name"), F.col("body")
+    if kind in ("alpine", "wolfi"):
+        return stanza_field(body, "P:") == name
+    if kind in ("debian", "ubuntu"):
+        return stanza_field(body, "Package:") == name
+    if kind in ("opensuse", "rpmfusion"):
+        return tag_text(body, "name") == name
+    if kind == "netbsd":
+        return F.startswith(stanza_field(body, "PKGNAME="), F.concat(name, F.lit("-")))
+    if kind == "freebsd":
+        return jstr(F.col("__doc"), "$.name") == name
+    if kind in ("maven", "openvsx", "jsr"):  # names of two parts
+        return F.contains(name, F.lit("/"))
+    return None
+
+
 def inline_pages(docs: DataFrame, pages: DataFrame, key: list[str], body: str = "body2") -> DataFrame:
     """``docs`` with the pages that a registration index only names put in from ``pages(url, content)``.
 
@@ -501,7 +546,8 @@ def inline_pages(docs: DataFrame, pages: DataFrame, key: list[str], body: str =
 def normalize(docs: DataFrame, kind: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Records of one ecosystem from ``docs(name, version, body[, body2, body3])``; rows without a usable body drop out.
 
-    Columns named in ``keep`` stand before the record.
+    Columns named in ``keep`` stand before the record. Documents of another package (a stanza, element or
+    line of another name) give none.
     """
     for extra in ("body2", "body3"):
         if extra not in docs.columns:
@@ -513,8 +559,13 @@ def normalize(docs: DataFrame, kind: str, keep: tuple[str, ...] = ()) -> DataFra
         rows = rows.where("__doc IS NOT NULL")
     if kind in REQUIRED:
         rows = rows.where(present(F.col("__doc"), REQUIRED[kind]))
+    own = concerns(kind)
+    if own is not None:
+        rows = rows.where(own)
     for name, value in reader.kept:
         rows = rows.withColumn(name, value)
+    if kind == "openbsd":
+        rows = rows.where(made["version"].isNotNull())
     return rows.select(*keep, *[(made[f].cast(t) if f in made else F.lit(None).cast(t)).alias(f) for f, t in FIELDS.items()])
 
 
