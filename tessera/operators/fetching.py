@@ -41,7 +41,8 @@ def metadata_key(url, headers=None) -> Column:
     """Key of a metadata document: its URL and the request headers that matter, in order."""
     parts = F.concat(F.lit("meta:"), col(url))
     if headers is not None:
-        parts = F.concat(parts, F.coalesce(F.array_join(F.transform(col(headers), lambda h: F.concat(F.lit(";"), h["name"], F.lit(":"), h["value"])), ""), F.lit("")))
+        joined = F.array_join(F.transform(col(headers), lambda h: F.concat(h["name"], F.lit(":"), h["value"])), ";")
+        parts = F.concat(parts, F.when(F.size(col(headers)) > 0, F.concat(F.lit(":"), joined)).otherwise(""))
     return sha256_hex(parts)
 
 
@@ -49,6 +50,12 @@ def post_key(url, body) -> Column:
     return sha256_hex(F.concat(F.lit("post:"), col(url), F.lit(":"), sha256_hex(body)))
 
 
+def request_key(requests: DataFrame) -> Column:
+    """Key of each of ``requests(url[, headers][, body])``: by URL and body where there is one (a POST), else by URL and headers."""
+    get = metadata_key("url", "headers" if "headers" in requests.columns else None)
+    return F.when(F.col("body").isNotNull(), post_key("url", "body")).otherwise(get) if "body" in requests.columns else get
+
+
 def is_fresh(fetched_at, now, lifetime) -> Column:
     """Whether an entry is no older than its lifetime; one from the future is fresh, no entry is null."""
     return F.when(col(fetched_at).isNotNull(), F.greatest(col(now) - col(fetched_at), F.lit(0)) <= col(lifetime))  # greatest passes over nulls
@@ -121,20 +128,23 @@ FACTS = {"status": "int", "content_type": "string"}
 
 
 def documents(asked: DataFrame, cache: DataFrame, responses: DataFrame, now: int, tier: str = "tier") -> DataFrame:
-    """Metadata of ``asked(url, tier)``: fresh cache, else response, else the cache at any age; each URL is looked up once.
+    """Metadata of ``asked(url, tier[, headers][, body])``: fresh cache, else response, else the cache at any age; each request is looked up once.
 
-    ``status`` and ``content_type`` are those of the first answer, null where cache or responses lack them.
+    Requests, cache and ``responses(url[, headers][, body], content, error)`` meet by ``request_key``, so a
+    POST is known by its URL and body. ``status`` and ``content_type`` are those of the first answer, null
+    where cache or responses lack them.
     """
-    urls = asked.groupBy("url").agg(F.max(tier).alias(tier)).withColumn("key", metadata_key("url"))
+    urls = asked.withColumn("key", request_key(asked)).groupBy("key").agg(F.first("url").alias("url"), F.max(tier).alias(tier))
     facts = lambda side, mark: [(F.col(f) if f in side.columns else F.lit(None).cast(t)).alias(mark + f) for f, t in FACTS.items()]
     held = cache.select("key", F.col("fetched_at").alias("c_at"), F.col("content").alias("c_content"), *facts(cache, "c_"))
-    rows = urls.join(held, "key", "left").join(responses.select("url", F.col("content").alias("r_content"), F.col("error").alias("r_error"), *facts(responses, "r_")), "url", "left")
+    answers = responses.select(request_key(responses).alias("key"), F.col("content").alias("r_content"), F.col("error").alias("r_error"), *facts(responses, "r_"))
+    rows = urls.join(held, "key", "left").join(answers, "key", "left")
     fresh = is_fresh("c_at", F.lit(now), metadata_lifetime(tier))
     live = F.when(F.col("r_error").isNull(), F.col("r_content"))
     served = F.when(fresh, "cache").when(live.isNotNull(), "network").when(F.col("c_at").isNotNull(), "stale")
     rows = rows.withColumn("served", served)
     of = lambda name: F.when(F.col("served") == "network", F.col("r_" + name)).when(F.col("served").isNotNull(), F.col("c_" + name)).alias(name)
-    return rows.select("url", of("content"), "served", *[of(f) for f in FACTS])
+    return rows.select("url", of("content"), "served", *[of(f) for f in FACTS], "key")
 
 
 def recorded(reads: DataFrame, served: DataFrame, key: list[str], urls: str = "urls") -> DataFrame:

@@ -27,20 +27,20 @@ ENDPOINTS = {
     "vscode": "https://marketplace.visualstudio.com/_apis/public/gallery/extensionquery",
     "nuget": "https://azuresearch-usnc.nuget.org/query?q=packageid:{low}&prerelease=true&semVerLevel=2.0.0",
     "hex": "https://hex.pm/api/packages/{path}",
-    "cran": "https://crandb.r-pkg.org/{path}",
+    "cran": "https://crandb.r-pkg.org/{last}",
     "cpan": "https://fastapi.metacpan.org/v1/release/{last}",
-    "pub": "https://pub.dev/api/packages/{path}",
+    "pub": "https://pub.dev/api/packages/{last}",
     "conda": "https://api.anaconda.org/package/conda-forge/{last}",
     "clojars": "https://clojars.org/api/artifacts/{path}",
     "arch": "https://archlinux.org/packages/search/json/?name={last}",
     "fedora": "https://mdapi.fedoraproject.org/rawhide/pkg/{last}",
     "clawhub": "https://clawhub.ai/api/v1/skills/{last}",
-    "homebrew": "https://formulae.brew.sh/api/formula/{path}.json",
-    "snap": "https://api.snapcraft.io/v2/snaps/info/{path}?fields=title,summary,description,license,publisher,store-url,website,version",
+    "homebrew": "https://formulae.brew.sh/api/formula/{last}.json",
+    "snap": "https://api.snapcraft.io/v2/snaps/info/{last}?fields=title,summary,description,license,publisher,store-url,website,version",
     "wordpress": "https://api.wordpress.org/plugins/info/1.0/{last}.json",
     "huggingface": "https://huggingface.co/api/models/{path}",
     "firefox": "https://addons.mozilla.org/api/v5/addons/addon/{last}/",
-    "jetbrains": "https://plugins.jetbrains.com/api/searchPlugins?search={path}&max=20",
+    "jetbrains": "https://plugins.jetbrains.com/api/searchPlugins?search={last}&max=20",
     "alpine": "https://dl-cdn.alpinelinux.org/alpine/latest-stable/main/x86_64/APKINDEX.tar.gz",
     "wolfi": "https://packages.wolfi.dev/os/x86_64/APKINDEX.tar.gz",
     "debian": "https://deb.debian.org/debian/dists/stable/main/binary-amd64/Packages.gz",

@@ -562,8 +562,7 @@ def normalize(docs: DataFrame, kind: str, keep: tuple[str, ...] = ()) -> DataFra
     own = concerns(kind)
     if own is not None:
         rows = rows.where(own)
-    for name, value in reader.kept:
-        rows = rows.withColumn(name, value)
+    rows = rows.select("*", *[value.alias(name) for name, value in reader.kept])  # a later one may read an earlier one
     if kind == "openbsd":
         rows = rows.where(made["version"].isNotNull())
     return rows.select(*keep, *[(made[f].cast(t) if f in made else F.lit(None).cast(t)).alias(f) for f, t in FIELDS.items()])
@@ -592,17 +591,17 @@ ALIASES = {"docker": "oci", "chrome-extension": "chrome"}
 
 
 def dispatch(kind, path, purl) -> Column:
-    """Which normalizer serves a package URL; null if none does."""
+    """Which normalizer serves a package URL; null if none does. Distribution types without a known vendor go to their first one."""
     vendor = F.substring_index(path, "/", 1)
     plain = [k for k in NORMALIZERS if k not in ("vscode",)]
     return (
         F.when(kind.isin(*plain, "vscode"), kind)
         .when(kind.isin(*ALIASES), F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])[kind])
         .when(kind == "vscode-extension", F.when(purl.contains("open-vsx.org"), "openvsx").otherwise("vscode"))
-        .when(kind == "alpm", F.when((vendor == "aur") | purl.contains("aur.archlinux.org"), "aur").otherwise("arch"))
-        .when((kind == "deb") & vendor.isin("debian", "ubuntu"), vendor)
-        .when((kind == "rpm") & vendor.isin("fedora", "opensuse", "rpmfusion"), vendor)
-        .when((kind == "apk") & vendor.isin("alpine", "wolfi"), vendor)
+        .when(kind == "alpm", F.when((vendor == "aur") & path.contains("/") | purl.contains("aur.archlinux.org"), "aur").otherwise("arch"))
+        .when(kind == "deb", F.when(vendor.isin("ubuntu") & path.contains("/"), vendor).otherwise("debian"))
+        .when(kind == "rpm", F.when(vendor.isin("opensuse", "rpmfusion") & path.contains("/"), vendor).otherwise("fedora"))
+        .when(kind == "apk", F.when(vendor.isin("wolfi") & path.contains("/"), vendor).otherwise("alpine"))
     )
 
 

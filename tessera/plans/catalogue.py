@@ -17,7 +17,7 @@ from ..functions.json import jstr, ju64
 from ..functions.udfs import blocked_ip
 from ..operators import fetching, layers, recognize, registry, resolve, sweep
 from ..sources import readers
-from . import registry_cases
+from . import lookup_cases, registry_cases
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -538,7 +538,7 @@ QUERIES["flagship"] = flagship
 ORACLES["flagship"] = """WITH f AS (SELECT o_orderkey % 100 AS package_id, o_orderkey % 3 AS b, o_custkey AS c FROM orders),
 r AS (SELECT package_id, CASE WHEN b = 0 THEN 'ubuntu' ELSE 'debian' END AS ecosystem, 'lib' || (c % 40) AS name FROM f UNION SELECT package_id, 'pypi', 'p' || (c % 30) FROM f UNION SELECT package_id, 'npm', 'q' || (c % 20) FROM f)
 SELECT ecosystem, count(*) AS packages FROM r WHERE NOT (ecosystem = 'pypi' AND EXISTS (SELECT 1 FROM part p WHERE p.p_partkey % 100 = r.package_id AND 'p' || (p.p_partkey % 30) = r.name)) GROUP BY 1"""
-QUERIES |= registry_cases.QUERIES
-ORACLES |= registry_cases.ORACLES
+QUERIES |= registry_cases.QUERIES | lookup_cases.QUERIES
+ORACLES |= registry_cases.ORACLES | lookup_cases.ORACLES
 for _name, _sql in list(ORACLES.items()):
     ORACLES[_name] = _sql.replace("CAST(NULL AS STRING)", "CAST(NULL AS VARCHAR)")
