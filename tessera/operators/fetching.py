@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalars import sha256_hex
 from ..functions.text import col
+from .running import RANGE, ranged, running
 
 #: Fixed values, in seconds: artifact lifetimes by pin, metadata lifetimes by tier, touch interval.
 ARTIFACT_PINNED, ARTIFACT_UNPINNED = 7 * 86400, 12 * 3600
@@ -79,16 +79,13 @@ def counts_against_budget(cached, outcome) -> Column:
 def claim(refs: DataFrame, order: list[str], group: list[str], max_count: int = MAX_COUNT, max_bytes: int = MAX_BYTES, size: str = "size", miss: str = "miss") -> DataFrame:
     """Append ``claimed`` and ``within_bytes``: the first ``max_count`` misses, and rows reached before the bytes ran out.
 
-    Both are prefixes in declared order of one source's references (``group``), so the plan has no
-    single-partition window; bytes of cache hits count, as in a serial run.
+    Both are prefixes in declared order of one source's references (``group``); the running sums are made
+    in ranges, so one source may hold all of them. Bytes of cache hits count, as in a serial run.
     """
-    upto = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.sum(F.when(F.col(miss), 1).otherwise(0)).over(upto)
-    claimed = ~F.col(miss) | (rank <= max_count)
-    rows = refs.withColumn("claimed", claimed)
-    spent = F.coalesce(F.sum(F.when(F.col("claimed"), F.coalesce(F.col(size), F.lit(0))).otherwise(0)).over(before), F.lit(0))
-    return rows.withColumn("within_bytes", spent < max_bytes)
+    rows = running(ranged(refs, group, order), group, order, {"__misses": F.when(F.col(miss), 1)})
+    rows = rows.withColumn("claimed", ~F.col(miss) | (F.col("__misses") < max_count))
+    rows = running(rows, group, order, {"__spent": F.when(F.col("claimed"), F.col(size))})
+    return rows.withColumn("within_bytes", F.col("__spent") < max_bytes).drop("__misses", "__misses_all", "__spent", "__spent_all", RANGE)
 
 
 def fetch(refs: DataFrame, cache: DataFrame, responses: DataFrame, now: int, *, max_count: int = MAX_COUNT, max_bytes: int = MAX_BYTES, fetch_urls: bool = False) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .running import RANGE, ranged, running
 
 MAX_AGE, MAX_CACHE_BYTES, EVERY = 30 * 86400, 10 << 30, 86400
 
@@ -18,14 +19,13 @@ def evict(entries: DataFrame, now: int | Column, component: str = "component", p
     """Append ``evicted_by``: ``age``, ``size`` or null.
 
     Older than ``max_age`` goes. Of the rest, if a component holds more than ``max_bytes``, the oldest go
-    until it holds at most nine tenths of that; ties in age go by path. The running sum is over one
-    component's survivors.
+    until it holds at most nine tenths of that; ties in age go by path. The running sum over a
+    component's survivors is made in ranges, so one component may hold all entries.
     """
     now = F.lit(now) if isinstance(now, int) else now
-    rows = entries.withColumn("__old", now - F.col(modified) > max_age)
+    order = [modified, path]
+    rows = ranged(entries.withColumn("__old", now - F.col(modified) > max_age), [component], order)
     alive = F.when(F.col("__old"), 0).otherwise(F.col(size))
-    whole = Window.partitionBy(component)
-    before = whole.orderBy(modified, path).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"__all": F.sum(alive).over(whole), "__gone": F.coalesce(F.sum(alive).over(before), F.lit(0))})
-    over = (F.col("__all") > max_bytes) & (F.col("__all") - F.col("__gone") > max_bytes // 10 * 9)
-    return rows.withColumn("evicted_by", F.when(F.col("__old"), "age").when(over, "size")).drop("__old", "__all", "__gone")
+    rows = running(rows, [component], order, {"__gone": alive})
+    over = (F.col("__gone_all") > max_bytes) & (F.col("__gone_all") - F.col("__gone") > max_bytes // 10 * 9)
+    return rows.withColumn("evicted_by", F.when(F.col("__old"), "age").when(over, "size")).drop("__old", "__gone", "__gone_all", RANGE)
