@@ -108,8 +108,8 @@ def _connect(addresses: list[str], port: int, timeout: float):
 def fetch(url: str, cap: int = CAP, method: str = "GET", headers: dict | None = None, body: str | None = None) -> tuple:
     """One request with guarded, counted redirects and a capped body, as a row of ``SCHEMA``.
 
-    Every hop is resolved once and connects to an address that was checked. A POST that is redirected
-    goes on as a GET, unless the status keeps the method.
+    Every hop is resolved once and connects to an address that was checked. A POST isn't redirected: it
+    fails with the status, as all do that isn't a success.
     """
     import http.client
 
@@ -124,17 +124,15 @@ def fetch(url: str, cap: int = CAP, method: str = "GET", headers: dict | None =
         try:
             conn.request(method, (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), body, headers or {})
             r = conn.getresponse()
-            if r.status in (301, 302, 303, 307, 308) and r.getheader("location"):
+            if method == "GET" and r.status in (301, 302, 303, 307, 308) and r.getheader("location"):
                 at = urljoin(at, r.getheader("location"))
-                if method != "GET" and r.status in (301, 302, 303):
-                    method, body = "GET", None
                 continue
             size = r.getheader("content-length") or ""
             if size.isdigit() and int(size) > cap:
                 return (url, r.status, at, None, None, "too large")
             body = r.read(cap + 1)
-            error = "too large" if len(body) > cap else f"status: {r.status}" if r.status >= 400 else None
-            return (url, r.status, at, r.getheader("content-type"), None if len(body) > cap else body, error)
+            error = "too large" if len(body) > cap else None if 200 <= r.status < 300 else f"status: {r.status}"
+            return (url, r.status, at, r.getheader("content-type"), None if error else body, error)
         except TimeoutError:
             return (url, None, at, None, None, "timeout")
         except (OSError, http.client.HTTPException, ValueError) as e:
