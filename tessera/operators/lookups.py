@@ -21,6 +21,7 @@ from ..functions.text import BLANK
 from ..sources.stages import cut
 from . import registry
 from .probe import registry_url
+from .resolve import MARKET, market_query
 
 _REQUEST = "array<struct<slot:string,url:string,headers:array<struct<name:string,value:string>>,body:string>>"
 
@@ -38,8 +39,8 @@ REPOSITORIES = {
 }
 #: Registries that are asked by the last segment of the path.
 BY_LAST = ("cran", "cpan", "pub", "conda", "arch", "fedora", "aur", "chrome", "clawhub", "homebrew", "snap", "wordpress", "firefox", "jetbrains", *REPOSITORIES)
-#: Where the query of the editor marketplace goes, and what it asks for.
-MARKET, MARKET_FLAGS, MARKET_HEADERS = "https://marketplace.visualstudio.com/_apis/public/gallery/extensionquery", 403, {"Content-Type": "application/json", "Accept": "application/json;api-version=3.0-preview.1"}
+#: What a record needs of the editor marketplace, and the headers of its queries.
+MARKET_FLAGS, MARKET_HEADERS = 403, {"Content-Type": "application/json", "Accept": "application/json;api-version=3.0-preview.1"}
 SNAP_HEADERS = {"Snap-Device-Series": "16"}
 REGISTRATION = "https://api.nuget.org/v3/registration5-gz-semver2/"
 FLAT = "https://api.nuget.org/v3-flatcontainer/"
@@ -56,12 +57,6 @@ def request(slot: str | Column, url: Column, headers: dict[str, str] | None = No
     return F.struct((F.lit(slot) if isinstance(slot, str) else slot).alias("slot"), url.alias("url"), held.alias("headers"), (F.lit(None).cast("string") if body is None else body).alias("body"))
 
 
-def market_query(publisher_name: Column, flags: int = MARKET_FLAGS) -> Column:
-    """The body of the marketplace's query for one extension, made by the JSON writer."""
-    criteria = F.array(F.struct(F.lit(7).alias("filterType"), publisher_name.alias("value")))
-    return F.to_json(F.struct(F.array(F.struct(criteria.alias("criteria"))).alias("filters"), F.lit(flags).alias("flags")))
-
-
 def packages(purls: DataFrame, purl: str = "purl") -> DataFrame:
     """(purl, kind, name, version, url) of distinct package URLs that some registry serves; ``url`` is the first document's."""
     p = parse("purl")
@@ -85,7 +80,7 @@ def _first_round(docs: Column) -> Column:
         .when(kind == "firefox", two(_c(addon, "/versions/?page_size=50")))
         .when(kind == "nuget", two(_c(REGISTRATION, low, "/index.json")))
         .when(kind == "jetbrains", F.when(~numeric, F.array(request("search", one))).otherwise(_plugin(name)))
-        .when(kind == "vscode", F.array(request("body", F.lit(MARKET), MARKET_HEADERS, market_query(F.replace(name, F.lit("/"), F.lit("."))))))
+        .when(kind == "vscode", F.array(request("body", F.lit(MARKET), MARKET_HEADERS, market_query(F.replace(name, F.lit("/"), F.lit(".")), MARKET_FLAGS))))
         .when(kind == "snap", F.array(request("body", one, SNAP_HEADERS)))
         .when(~kind.isin(*REPOSITORIES), F.array(request("body", one)))
     )

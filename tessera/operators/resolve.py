@@ -85,6 +85,23 @@ def metadata_url(purl) -> Column:
     )
 
 
+#: Where the query of the editor marketplace goes, and what resolving asks for.
+MARKET, NEWEST = "https://marketplace.visualstudio.com/_apis/public/gallery/extensionquery", 914
+
+
+def market_query(publisher_name: Column, flags: int) -> Column:
+    """The body of the marketplace's query for one extension, made by the JSON writer."""
+    criteria = F.array(F.struct(F.lit(7).alias("filterType"), publisher_name.alias("value")))
+    return F.to_json(F.struct(F.array(F.struct(criteria.alias("criteria"))).alias("filters"), F.lit(flags).alias("flags")))
+
+
+def metadata_post(purl) -> Column:
+    """The body to POST to ``MARKET`` for a package URL without a version; null for all that need no such query."""
+    p = parse(purl)
+    ours = (p["type"] == "vscode") | (p["type"] == "vscode-extension") & ~col(purl).contains("open-vsx.org")
+    return F.when(ours & p["version"].isNull() & p["path"].contains("/"), market_query(F.concat_ws(".", F.substring_index(p["path"], "/", 1), F.substr(p["path"], F.instr(p["path"], "/") + 1)), NEWEST))
+
+
 def pick_pypi_file(doc: Column, kind: Column) -> Column:
     """URL of the file to fetch: the most portable wheel, or a source archive first if asked for; else any."""
     files = F.from_json(F.get_json_object(doc, "$.urls"), "array<struct<url: string, filename: string, packagetype: string>>")
@@ -97,14 +114,17 @@ def pick_pypi_file(doc: Column, kind: Column) -> Column:
 
 
 def resolve_with_documents(refs: DataFrame, documents: DataFrame, locator_type: str = "locator_type", locator: str = "locator") -> DataFrame:
-    """Append ``resolved_locator`` and ``resolved_url``; ``documents(url, body)`` are registry answers.
+    """Append ``resolved_locator`` and ``resolved_url``; ``documents(url, body[, posted])`` are registry answers.
 
-    One left equi-join by URL, on distinct documents; unversioned npm and Firefox packages are refined
-    to the release that the document names.
+    One left equi-join by URL and what was posted to it ('' for a GET), on distinct documents;
+    unversioned npm and Firefox packages are refined to the release that the document names.
     """
-    asked = refs.withColumn("__doc_url", F.when(F.col(locator_type) == "purl", metadata_url(locator)))
-    found = documents.groupBy(F.col("url").alias("__doc_url")).agg(F.first("body").alias("__body"))
-    rows = asked.join(found, "__doc_url", "left").withColumn("__doc", F.try_parse_json("__body"))
+    is_purl = F.col(locator_type) == "purl"
+    post = F.when(is_purl, metadata_post(locator))
+    asked = refs.withColumns({"__posted": F.coalesce(post, F.lit("")), "__doc_url": F.when(post.isNotNull(), F.lit(MARKET)).otherwise(F.when(is_purl, metadata_url(locator)))})
+    posted = F.coalesce("posted", F.lit("")) if "posted" in documents.columns else F.lit("")
+    found = documents.groupBy(F.col("url").alias("__doc_url"), posted.alias("__posted")).agg(F.first("body").alias("__body"))
+    rows = asked.join(found, ["__doc_url", "__posted"], "left").withColumn("__doc", F.try_parse_json("__body"))
     p = parse(locator)
     kind, path, version = p["type"], p["path"], p["version"]
     doc = F.col("__doc")
@@ -118,7 +138,7 @@ def resolve_with_documents(refs: DataFrame, documents: DataFrame, locator_type:
     releases = F.from_json(F.call_function("get_json_object", F.col("__body"), c("$.packages['", path, "']")), "array<struct<version: string, dist: struct<url: string>>>")
     composer = F.get(F.filter(releases, lambda r: F.regexp_replace(r["version"], "^v+", "") == wanted), F.lit(0))["dist"]["url"]
     publisher, name = F.substring_index(path, "/", 1), F.substr(path, F.instr(path, "/") + 1)
-    vscode = F.when(path.contains("/"), c("https://", publisher, ".gallery.vsassets.io/_apis/public/gallery/publisher/", publisher, "/extension/", name, "/", version, "/assetbyname/Microsoft.VisualStudio.Services.VSIXPackage"))
+    vscode = F.when(path.contains("/"), c("https://", publisher, ".gallery.vsassets.io/_apis/public/gallery/publisher/", publisher, "/extension/", name, "/", F.coalesce(version, jstr(doc, "$.results[0].extensions[0].versions[0].version")), "/assetbyname/Microsoft.VisualStudio.Services.VSIXPackage"))
     aur = F.coalesce(c("https://aur.archlinux.org", jstr(doc, "$.results[0].URLPath")), c("https://aur.archlinux.org/cgit/aur.git/snapshot/", last_segment(path), ".tar.gz"))
     url = (
         F.when(F.col("__doc_url").startswith("https://registry.npmjs.org/"), F.coalesce(tarball, resolve_purl(npm_locator)))
@@ -131,6 +151,5 @@ def resolve_with_documents(refs: DataFrame, documents: DataFrame, locator_type:
     )
     assisted = F.col("__doc_url").isNotNull() | kind.isin("vscode", "vscode-extension", "openvsx", "firefox")
     refined = F.when((kind == "npm") & F.col("__doc_url").isNotNull(), npm_locator).when((kind == "firefox") & version.isNull(), c("pkg:firefox/", path, "@", firefox_version)).otherwise(F.col(locator))
-    is_purl = F.col(locator_type) == "purl"
     rows = rows.withColumn("resolved_url", F.when(is_purl & F.coalesce(assisted, F.lit(False)), url).otherwise(resolve(locator_type, locator)))
-    return rows.withColumn("resolved_locator", F.when(F.col("resolved_url").isNotNull(), F.when(is_purl, refined).otherwise(F.col(locator)))).drop("__doc_url", "__body", "__doc")
+    return rows.withColumn("resolved_locator", F.when(F.col("resolved_url").isNotNull(), F.when(is_purl, refined).otherwise(F.col(locator)))).drop("__doc_url", "__posted", "__body", "__doc")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fetching, lookups, registry
+from ..operators import fetching, lookups, registry, resolve
 from ..sources import readers
 
 NOW = 1_000_000
@@ -74,7 +74,7 @@ def lookup_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     given += [snap(series, "6.@k"), snap(no_headers, "none")]
     asked_for = _k('{"filters":[{"criteria":[{"filterType":7,"value":"pub.e@k"}]}],"flags":403}')
     found = _k('{"results": [{"extensions": [{"versions": [{"version": "7.@k"}]}]}]}')
-    given.append(F.when(F.col("k") % 8 == 4, F.struct(F.lit(lookups.MARKET).alias("url"), no_headers.alias("headers"), asked_for.alias("body"), found.alias("content"))))
+    given.append(F.when(F.col("k") % 8 == 4, F.struct(F.lit(resolve.MARKET).alias("url"), no_headers.alias("headers"), asked_for.alias("body"), found.alias("content"))))
     responses = keys.select(F.explode(F.array_compact(F.array(*given))).alias("r")).select("r.*", nothing.alias("error"))
     purls = keys.select(F.element_at(F.array(*[_k(p) for p in _PURLS]), (F.col("k") % 8 + 1).cast("int")).alias("purl"))
     kinds = ("npm", "gem", "jetbrains", "nuget", "vscode", "snap", "cargo", "pub")
@@ -171,8 +171,20 @@ def registry_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", registry.dispatch(p["type"], p["path"], F.col("purl")).alias("kind"))
 
 
-QUERIES = {"lookup_records": lookup_records, "registry_dispatch": registry_dispatch} | {f"index_{k}": _index_query(k) for k in INDEXES}
+def resolve_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Download URLs of editor extensions: the marketplace is asked for the newest version where none is given."""
+    keys = _table(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("c_custkey", "k")
+    purl = F.concat(F.when(F.col("k") % 3 == 0, "pkg:vscode-extension/").otherwise("pkg:vscode/"), _k("pub/e@k"), F.when(F.col("k") % 4 == 0, _k("@8.@k")).otherwise(""))
+    posted = _k('{"filters":[{"criteria":[{"filterType":7,"value":"pub.e@k"}]}],"flags":914}')
+    answer = _k('{"results": [{"extensions": [{"versions": [{"version": "9.@k"}, {"version": "1"}]}]}]}')
+    documents = keys.where("k % 5 > 0").select(F.lit(resolve.MARKET).alias("url"), posted.alias("posted"), F.when(F.col("k") % 5 == 1, F.lit('{"results": []}')).otherwise(answer).alias("body"))
+    refs = keys.select("k", F.lit("purl").alias("locator_type"), purl.alias("locator"))
+    return resolve.resolve_with_documents(refs, documents).select("k", "resolved_url")
+
+
+QUERIES = {"resolve_market": resolve_market, "lookup_records": lookup_records, "registry_dispatch": registry_dispatch} | {f"index_{k}": _index_query(k) for k in INDEXES}
 ORACLES = {
+    "resolve_market": """SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 5 > 1 THEN 'https://pub.gallery.vsassets.io/_apis/public/gallery/publisher/pub/extension/e' || c_custkey || '/' || CASE WHEN c_custkey % 4 = 0 THEN '8.' ELSE '9.' END || c_custkey || '/assetbyname/Microsoft.VisualStudio.Services.VSIXPackage' END AS resolved_url FROM customer""",
     "lookup_records": _RECORDS,
     "registry_dispatch": f"SELECT p_partkey AS k, CASE p_partkey % {len(DISPATCH)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(DISPATCH.values()) if v) + " END AS kind FROM part",
 } | {f"index_{k}": _index_oracle(k) for k in INDEXES}
