@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import col, group_of, lower_ascii, replace_all, rx
+from .text import col, group_of, lower_ascii, replace_all, rx, trim
 
 #: Legacy distribution types -> (type of the specification, vendor namespace).
 DISTRO_SPECS = {
@@ -29,12 +29,12 @@ _BODY = r"(?s)^(@[^/@?]*/[^@?]*|[^@?]*)((?:[@?].*)?)$"
 
 def purl_type(purl) -> Column:
     """Lower-cased type; null without the ``pkg:`` scheme (any case) or a slash."""
-    return lower_ascii(group_of(F.trim(col(purl)), _SPLIT, 1))
+    return lower_ascii(group_of(trim(purl), _SPLIT, 1))
 
 
 def purl_rest(purl) -> Column:
     """What follows ``pkg:<type>/``."""
-    return group_of(F.trim(col(purl)), _SPLIT, 2)
+    return group_of(trim(purl), _SPLIT, 2)
 
 
 def last_segment(path) -> Column:
@@ -217,5 +217,5 @@ def safe_filename_part(name) -> Column:
 
 
 def purl_qualifier(purl, key: str) -> Column:
-    """Raw value of one qualifier of a package URL (see :func:`tessera.functions.udfs.percent_decode`)."""
+    """Raw value of one qualifier of a package URL (see :func:`tessera.functions.scalars.percent_decoded`)."""
     return qualifier_of(purl_rest(purl), key)

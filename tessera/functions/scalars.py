@@ -161,14 +161,74 @@ def header(headers, name: str) -> Column:
     return F.get(F.filter(col(headers), lambda h: F.lower(h["name"]) == name.lower()), F.lit(0))["value"]
 
 
-def blocked_ipv4(address) -> Column:
-    """Whether a dotted quad is private, local, reserved or multicast; null if it is none."""
-    octet = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-    pattern = "^" + r"\.".join([octet] * 4) + "$"
-    a, b, c = (F.regexp_extract(col(address), pattern, i).try_cast("int") for i in (1, 2, 3))
-    bad = (
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_QUAD = r"\.".join([_OCTET] * 4)
+
+
+def _blocked_quad(a: Column, b: Column, c: Column) -> Column:
+    """Whether the first three octets are of a private, local, reserved or multicast network."""
+    return (
         a.isin(0, 10, 127) | (a >= 224)
         | (a == 100) & b.between(64, 127) | (a == 169) & (b == 254) | (a == 172) & b.between(16, 31) | (a == 192) & (b == 168)
         | (a == 192) & (b == 0) & c.isin(0, 2) | (a == 198) & b.isin(18, 19) | (a == 198) & (b == 51) & (c == 100) | (a == 203) & (b == 0) & (c == 113)
     )
-    return F.when(col(address).rlike(pattern), bad)
+
+
+def blocked_ipv4(address) -> Column:
+    """Whether a dotted quad is private, local, reserved or multicast; null if it is none."""
+    pattern = f"^{_QUAD}\\z"
+    a, b, c = (F.regexp_extract(col(address), pattern, i).try_cast("int") for i in (1, 2, 3))
+    return F.when(col(address).rlike(pattern), _blocked_quad(a, b, c))
+
+
+def hextets(address) -> Column:
+    """The eight 16-bit numbers of a v6 address in any spelling (``::``, a dotted quad at the end); null if it is none."""
+    s = col(address)
+    tail = f"^(.*:){_QUAD}\\z"
+    octet = lambda i: F.regexp_extract(s, tail, i).try_cast("int")
+    plain = F.when(s.rlike(tail), F.concat(F.regexp_extract(s, tail, 1), F.hex(octet(2) * 256 + octet(3)), F.lit(":"), F.hex(octet(4) * 256 + octet(5)))).otherwise(s)
+    halves = F.split(plain, "::")
+    groups = lambda i: F.when(F.get(halves, F.lit(i)) != "", F.split(F.get(halves, F.lit(i)), ":")).otherwise(F.array().cast("array<string>"))
+    left, right = groups(0), groups(1)
+    known = F.size(left) + F.size(right)
+    whole = F.when((F.size(halves) == 1) & (known == 8), left).when((F.size(halves) == 2) & (known <= 7), F.concat(left, F.array_repeat(F.lit("0"), 8 - known), right))
+    numbers = F.transform(whole, lambda g: F.when(g.rlike(r"^[0-9a-fA-F]{1,4}\z"), F.conv(g, 16, 10).try_cast("int")))
+    return F.when(F.forall(numbers, lambda n: n.isNotNull()), numbers)
+
+
+def blocked_ipv6(address) -> Column:
+    """Whether a v6 address is local, reserved or multicast, or carries a v4 address that is blocked; null if it is none.
+
+    Mapped and compatible addresses are judged as the v4 address alone; relayed (``2002:``) and
+    translated ones (``64:ff9b:``) are blocked with theirs.
+    """
+    parts = hextets(address)
+
+    def judge(h: Column) -> Column:
+        at = lambda i: F.get(h, F.lit(i))
+        quad = lambda i: _blocked_quad(F.shiftright(at(i), 8), at(i).bitwiseAND(255), F.shiftright(at(i + 1), 8))
+        zeros = F.forall(F.slice(h, 1, 5), lambda n: n == 0)
+        carried = (at(0) == 0x2002) & quad(1) | (at(0) == 0x64) & (at(1) == 0xFF9B) & quad(6)
+        own = (
+            (at(0) >= 0xFF00) | at(0).between(0xFC00, 0xFDFF) | at(0).between(0xFE80, 0xFEBF) | (at(0) == 0x64) & (at(1) == 0xFF9B) & (at(2) == 1)
+            | (at(0) == 0x2001) & ((at(1) == 0) | (at(1) == 0xDB8))
+        )
+        return F.when(zeros & at(5).isin(0, 0xFFFF), quad(6)).otherwise(carried | own)
+
+    return F.get(F.transform(F.array_compact(F.array(parts)), judge), F.lit(0))  # the numbers are made once
+
+
+def blocked_ip(address) -> Column:
+    """Whether an address of either kind must not be reached; null if it is no address."""
+    return F.coalesce(blocked_ipv4(address), blocked_ipv6(address))
+
+
+def percent_decoded(text) -> Column:
+    """Percent escapes decoded byte by byte; malformed ones and + stay, bytes that aren't UTF-8 become U+FFFD."""
+    s = col(text)
+    digit = "(?:3[0-9]|[46][1-6])"
+    pieces = F.split(F.regexp_replace(F.hex(s.cast("binary")), "(..)", "$1 "), "25 ")
+    nibble = lambda code: F.when(code.startswith("3"), F.substring(code, 2, 1)).otherwise(F.translate(F.substring(code, 2, 1), "123456", "ABCDEF"))
+    decoded = lambda p: F.when(p.rlike(f"^{digit} {digit} "), F.concat(nibble(F.substring(p, 1, 2)), nibble(F.substring(p, 4, 2)), F.substr(p, F.lit(6)))).otherwise(F.concat(F.lit("25 "), p))
+    bytes_ = F.unhex(F.replace(F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), ""), F.lit(" "), F.lit("")))
+    return F.when(s.contains("%"), F.make_valid_utf8(bytes_.cast("string"))).otherwise(s)

@@ -1,4 +1,4 @@
-"""Arrow functions for what no built-in expresses: escapes, lenient percent-decoding, IPv6, codecs."""
+"""Arrow functions for what no built-in expresses (escapes, codecs), and plain ones that the live source's guard uses."""
 
 from __future__ import annotations
 
@@ -114,14 +114,6 @@ def decode_escapes():
     return _lift(unescape_one, "string")
 
 
-def percent_decode():
-    return _lift(percent_decode_one, "string")
-
-
-def blocked_ip():
-    return _lift(blocked_ip_one, "boolean")
-
-
 def maybe_gunzip(cap: int = 64 << 20):
     return _lift(lambda b: gunzip_one(bytes(b), cap), "binary")
 

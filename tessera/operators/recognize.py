@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.purl import coordinate
-from ..functions.text import col, group_of, rx
+from ..functions.text import BLANK, col, group_of, rx, trim
 from ..functions.udfs import decode_escapes
 
 #: Fixed values: (heads, rule, arguments, family). Rules: "now" takes what follows; "verb" skips flags and
@@ -191,7 +191,7 @@ def package_token(eco, tok) -> Column:
 
 
 #: Where a stage of a Dockerfile begins: before a segment whose first word is FROM.
-_STAGE = r"(?<=[;&|\n\r])(?=\s*(?i:FROM)(?:[\s;&|]|$))"
+_STAGE = rf"(?<=[;&|\n\r])(?=[{BLANK}]*(?i:FROM)(?:[{BLANK};&|]|\z))"
 
 
 def command_segments(files: DataFrame, text: str = "text", source: str = "file_type", key: str = "file_id") -> DataFrame:
@@ -201,13 +201,12 @@ def command_segments(files: DataFrame, text: str = "text", source: str = "file_t
     """
     docker = F.col(source) == "dockerfile"
     joined = F.regexp_replace(F.col(text), F.lit("\\\\\r?\n"), F.lit(" "))
-    trim = lambda x: F.regexp_replace(x, F.lit(r"^\s+|\s+$"), F.lit(""))
-    words = lambda x: F.split(x, r"\s+")
+    words = lambda x: F.split(x, f"[{BLANK}]+")
     starts = lambda tokens: F.coalesce(F.upper(F.get(tokens, F.lit(0))) == "FROM", F.lit(False))
     rest = [c for c in files.columns if c != text]
     rows = files.select(*rest, F.explode(F.array(joined)).alias("whole"))  # evaluated once
     rows = rows.select(*rest, F.posexplode(F.when(docker, F.split("whole", _STAGE)).otherwise(F.array("whole"))).alias("stage", "block"))
-    opening = words(trim(F.regexp_extract("block", r"^[\s;&|]*([^;&|\n\r]*)", 1)))
+    opening = words(trim(F.regexp_extract("block", rf"^[{BLANK};&|]*([^;&|\n\r]*)", 1)))
     image = F.get(F.filter(F.slice(opening, 2, F.greatest(F.size(opening) - 1, F.lit(0))), lambda t: ~t.startswith("-")), F.lit(0))
     base = F.when(docker & starts(opening) & ~image.startswith("$") & (image != "scratch"), image_distro(image))
     rows = rows.withColumn("distro", base)
@@ -237,7 +236,7 @@ def _lines(files: DataFrame, text: str, source: str, key: str) -> DataFrame:
 
 
 #: A URL runs to white space or one of these delimiters and must be longer than its scheme.
-URL_PATTERN = "https?://[^\\s\"'|;`<>(),]*"
+URL_PATTERN = f"https?://[^{BLANK}\"'|;`<>(),]*"
 
 
 def extract_urls(text) -> Column:
@@ -247,7 +246,7 @@ def extract_urls(text) -> Column:
 
 def urls(files: DataFrame, text: str = "text", source: str = "file_type", key: str = "file_id") -> DataFrame:
     rows = _lines(files, text, source, key).select(key, "source", "pos", "line", F.posexplode(extract_urls("line")).alias("sub", "locator"))
-    return rows.select(key, "pos", "sub", F.lit("url").alias("locator_type"), "locator", F.lit("url_fetch").alias("kind"), "source", F.trim("line").alias("evidence"))
+    return rows.select(key, "pos", "sub", F.lit("url").alias("locator_type"), "locator", F.lit("url_fetch").alias("kind"), "source", trim("line").alias("evidence"))
 
 
 def git_target(target) -> Column:
@@ -257,11 +256,11 @@ def git_target(target) -> Column:
 
 
 def git_refs(files: DataFrame, text: str = "text", source: str = "file_type", key: str = "file_id") -> DataFrame:
-    specs = F.regexp_extract_all("line", F.lit("git\\+([^\\s\"'`,()\\[\\]]*)"), 1)
-    clone = F.regexp_extract("line", r"(?:^|\s)git\s+clone\s+(?:-\S*\s+)*([^-\s]\S*)", 1)
+    specs = F.regexp_extract_all("line", F.lit(f"git\\+([^{BLANK}\"'`,()\\[\\]]*)"), 1)
+    clone = F.regexp_extract("line", rf"(?:^|[{BLANK}])git[{BLANK}]+clone[{BLANK}]+(?:-[^{BLANK}]*[{BLANK}]+)*([^-{BLANK}][^{BLANK}]*)", 1)
     found = F.filter(F.transform(F.concat(specs, F.array(clone)), git_target), lambda x: x.isNotNull())
     rows = _lines(files, text, source, key).select(key, "source", "pos", "line", F.posexplode(found).alias("sub", "locator"))
-    return rows.select(key, "pos", "sub", F.lit("url").alias("locator_type"), "locator", F.lit("repository").alias("kind"), "source", F.trim("line").alias("evidence"))
+    return rows.select(key, "pos", "sub", F.lit("url").alias("locator_type"), "locator", F.lit("repository").alias("kind"), "source", trim("line").alias("evidence"))
 
 
 def import_locator(eco, spec) -> Column:

@@ -7,13 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.json import jstr
 from ..functions.purl import coordinate, goproxy_escape, is_web_scheme, last_segment, parse, purl_qualifier, qualifier_of, purl_rest, purl_type, safe_coordinate, safe_filename_part
+from ..functions.scalars import percent_decoded
 from ..functions.text import col
-from ..functions.udfs import percent_decode
-
-
-def _decoded(value: Column) -> Column:
-    """A qualifier's value; Python only sees values that hold a percent sign."""
-    return F.when(value.contains("%"), percent_decode()(value)).otherwise(value)
 
 
 def resolve_oci(rest: Column, decode: bool = True) -> Column:
@@ -23,7 +18,7 @@ def resolve_oci(rest: Column, decode: bool = True) -> Column:
     repo = qualifier_of(rest, "repository_url")
     first = F.substring_index(name, "/", 1)
     place = F.when(~name.contains("/"), F.concat(F.lit("docker.io/library/"), name)).when(first.rlike("[.:]"), name).otherwise(F.concat(F.lit("docker.io/"), name))
-    place = F.coalesce(_decoded(repo) if decode else repo, place)
+    place = F.coalesce(percent_decoded(repo) if decode else repo, place)
     tag = F.coalesce(version, qualifier_of(rest, "tag"), F.lit("latest"))
     return F.when(name != "", F.concat(F.lit("oci://"), place, F.when(version.startswith("sha256:"), "@").otherwise(":"), tag))
 
@@ -31,7 +26,7 @@ def resolve_oci(rest: Column, decode: bool = True) -> Column:
 def resolve_purl(purl, decode: bool = True) -> Column:
     """Artifact URL of a package URL by the templates of its type; null where there is none or it isn't safe.
 
-    ``decode=False`` leaves percent escapes in qualifiers alone and keeps the plan free of Python.
+    ``decode=False`` leaves percent escapes in qualifiers alone.
     """
     p = parse(purl)
     kind, path, version = p["type"], p["path"], p["version"]
@@ -39,7 +34,7 @@ def resolve_purl(purl, decode: bool = True) -> Column:
     name = F.replace(path, F.lit("%40"), F.lit("@"))
     ident, low = F.lower(path), F.lower(version)
     group, artifact = F.substring_index(path, "/", 1), F.substr(path, F.instr(path, "/") + 1)
-    part = lambda key: _decoded(purl_qualifier(purl, key)) if decode else purl_qualifier(purl, key)
+    part = lambda key: percent_decoded(purl_qualifier(purl, key)) if decode else purl_qualifier(purl, key)
     ending, classifier = part("type"), part("classifier")
     maven = F.when(
         path.contains("/") & (ending.isNull() | safe_filename_part(ending)) & (classifier.isNull() | safe_filename_part(classifier)),

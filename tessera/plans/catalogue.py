@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import purl as P
 from ..functions import scalars as S
 from ..functions.json import jstr, ju64
-from ..functions.udfs import blocked_ip
 from ..operators import fetching, layers, recognize, registry, resolve, sweep
 from ..sources import readers
-from . import lookup_cases, registry_cases
+from . import blank_cases, lookup_cases, registry_cases
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -409,7 +408,12 @@ def _(df):
   WHEN 6 THEN '::ffff:8.8.8.' || (o_custkey % 9) WHEN 7 THEN 'fe80::' || (o_custkey % 9) WHEN 8 THEN 'fd00::1' WHEN 9 THEN '2002:7f00:1::' WHEN 10 THEN '2002:808:808::' WHEN 11 THEN '::1' WHEN 12 THEN '64:ff9b:0:1::a00:1' ELSE 'no address' END AS ip FROM {orders}""",
   "SELECT k, CASE WHEN k % 14 IN (0, 1, 2, 5, 7, 8, 9, 11, 12) THEN true WHEN k % 14 IN (3, 4, 6, 10) THEN false END AS blocked FROM inp")
 def _(df):
-    return df.select("k", blocked_ip()("ip").alias("blocked"))
+    return df.select("k", S.blocked_ip("ip").alias("blocked"))
+
+
+@query("percent_decode", "SELECT p_partkey AS k, 'v%2F' || p_partkey || '%zz%C3%A9+%e4%b8%ad%' AS text FROM {part}", "SELECT k, 'v/' || k || '%zzé+中%' AS decoded FROM inp")
+def _(df):
+    return df.select("k", S.percent_decoded("text").alias("decoded"))
 
 
 @query("path_clean", "SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN './a//b' || p_size WHEN 1 THEN '../../a/./c' || p_size WHEN 2 THEN '/x/../y' || p_size || '/' WHEN 3 THEN '..' ELSE 'a/b/../../c' || p_size END AS path FROM {part}",
@@ -538,7 +542,8 @@ QUERIES["flagship"] = flagship
 ORACLES["flagship"] = """WITH f AS (SELECT o_orderkey % 100 AS package_id, o_orderkey % 3 AS b, o_custkey AS c FROM orders),
 r AS (SELECT package_id, CASE WHEN b = 0 THEN 'ubuntu' ELSE 'debian' END AS ecosystem, 'lib' || (c % 40) AS name FROM f UNION SELECT package_id, 'pypi', 'p' || (c % 30) FROM f UNION SELECT package_id, 'npm', 'q' || (c % 20) FROM f)
 SELECT ecosystem, count(*) AS packages FROM r WHERE NOT (ecosystem = 'pypi' AND EXISTS (SELECT 1 FROM part p WHERE p.p_partkey % 100 = r.package_id AND 'p' || (p.p_partkey % 30) = r.name)) GROUP BY 1"""
-QUERIES |= registry_cases.QUERIES | lookup_cases.QUERIES
-ORACLES |= registry_cases.ORACLES | lookup_cases.ORACLES
+for _cases in (registry_cases, lookup_cases, blank_cases):
+    QUERIES |= _cases.QUERIES
+    ORACLES |= _cases.ORACLES
 for _name, _sql in list(ORACLES.items()):
     ORACLES[_name] = _sql.replace("CAST(NULL AS STRING)", "CAST(NULL AS VARCHAR)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import BLANK, trim
 from ..functions.udfs import maybe_gunzip, tar_member, unxz, unzstd
 from ..operators.recognize import file_type
 
@@ -33,7 +34,7 @@ def stanzas(spark: SparkSession, path: str) -> DataFrame:
 def split_stanzas(df: DataFrame, body: str) -> DataFrame:
     """The same for index bodies held in a column."""
     rest = [c for c in df.columns if c != body]
-    return df.select(*rest, F.posexplode(F.split(body, "\n\n+")).alias("pos", "stanza")).where("trim(stanza) <> ''")
+    return df.select(*rest, F.posexplode(F.filter(F.split(body, r"\r?\n(?:\r?\n)+"), lambda t: t != "")).alias("pos", "stanza"))
 
 
 def xml_packages(spark: SparkSession, path: str, tag: str = "package") -> DataFrame:
@@ -57,7 +58,7 @@ def json_lines(df: DataFrame, body: str) -> DataFrame:
 def listing(df: DataFrame, body: str) -> DataFrame:
     """File names of a directory listing: the last path segment of each blank-separated token."""
     rest = [c for c in df.columns if c != body]
-    return df.select(*rest, F.explode(F.split(F.trim(body), r"\s+")).alias("token")).withColumn("file", F.substring_index("token", "/", -1)).drop("token")
+    return df.select(*rest, F.explode(F.split(trim(body), f"[{BLANK}]+")).alias("token")).withColumn("file", F.substring_index("token", "/", -1)).drop("token")
 
 
 def unpack(df: DataFrame, content: str, codec: str, member: str | None = None) -> DataFrame:
@@ -69,7 +70,7 @@ def unpack(df: DataFrame, content: str, codec: str, member: str | None = None) -
 
 def purl_lines(spark: SparkSession, path: str) -> DataFrame:
     """One package URL a line, blank lines left out, in order within a file."""
-    return spark.read.text(path).select(F.trim("value").alias("purl")).where("purl <> ''")
+    return spark.read.text(path).select(trim("value").alias("purl")).where("purl <> ''")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
