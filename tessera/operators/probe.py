@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.purl import goproxy_escape, identity_of, last_segment, normalize, parse, purl_qualifier, safe_coordinate
 from .registry import dispatch
@@ -96,12 +95,6 @@ def probe(purls: DataFrame, purl: str = "purl") -> DataFrame:
     return rows.withColumns({"registry_url": registry_url(purl), "metadata_url": metadata_url(purl), "download_url": resolve_purl(purl, decode=False)})
 
 
-def first_repository(hits: DataFrame, key: list[str], rank: str = "repo_rank") -> DataFrame:
-    """The hit of the first repository that has one, for each key."""
-    best = F.row_number().over(Window.partitionBy(*key).orderBy(rank))
-    return hits.withColumn("__n", best).where("__n = 1").drop("__n")
-
-
 def paged(items: DataFrame, pages: DataFrame, page_id: str = "page_id") -> DataFrame:
     """Entries of an index whose pages hold them inline or by reference; missing pages are passed over.
 

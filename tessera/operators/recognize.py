@@ -294,7 +294,7 @@ def import_calls(symbols: DataFrame, key: str = "file_id") -> DataFrame:
     first = F.get("args", F.lit(0))
     rows = symbols.where(js | py).where(first["kind"] == "string").withColumn("spec", first["value"])
     rows = rows.withColumn("plain", F.when(F.col("spec").contains("\\"), decode_escapes()("spec")).otherwise(F.col("spec"))).withColumn("r", _some(import_locator(F.when(py, "pypi").otherwise("npm"), "plain")))
-    return rows.select(key, "pos", F.lit(0).alias("sub"), "r.locator_type", "r.locator", "r.kind", F.col("file_type").alias("source"), F.col("spec").alias("evidence"), "offset")
+    return rows.select(key, "pos", F.lit(0).alias("sub"), "r.locator_type", "r.locator", "r.kind", F.lit("ast-call").alias("source"), F.col("spec").alias("evidence"), F.coalesce("offset", F.lit(0).cast("bigint")).alias("offset"))
 
 
 def npm_hooks(facts: DataFrame, key: str = "file_id", values: str = "values") -> DataFrame:

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import purl as P
 from ..functions import scalars as S
 from ..functions.json import jstr, ju64
-from ..operators import fetching, layers, recognize, registry, resolve, sweep
+from ..operators import fetching, layers, ranking, recognize, registry, resolve, sweep
 from ..sources import readers
-from . import blank_cases, lookup_cases, registry_cases
+from . import blank_cases, lookup_cases, registry_cases, token_cases
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -263,9 +263,8 @@ ORACLES["release_timeline"] = f"WITH inp AS ({_epoch(False).replace('{events}',
 
 @query("pick_artifact", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'A' THEN 'x-py3-none-any.whl' WHEN 'N' THEN 'x-cp3-none-any.whl' ELSE 'x-cp3-linux.whl' END AS filename FROM {lineitem}", "SELECT l_orderkey, filename, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN filename LIKE '%-py3-none-any.whl' THEN 0 WHEN filename LIKE '%-none-any.%' THEN 1 ELSE 2 END, l_linenumber, l_partkey, l_suppkey) AS r FROM inp) WHERE r = 1")
 def _(df):
-    rank = F.when(F.col("filename").endswith("-py3-none-any.whl"), 0).when(F.col("filename").contains("-none-any."), 1).otherwise(2)
-    best = df.groupBy("l_orderkey").agg(F.min_by(F.struct("filename", "l_linenumber"), F.struct(rank, "l_linenumber", "l_partkey", "l_suppkey")).alias("b"))
-    return best.select("l_orderkey", "b.filename", "b.l_linenumber")
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    return ranking.best(df, ["l_orderkey"], ranking.wheel_rank("filename"), order).select("l_orderkey", "filename", "l_linenumber")
 
 
 @query("version_lookup", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 4 AS want, l_linenumber % 4 AS have FROM {lineitem}", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(min(CASE WHEN have = 2 THEN l_partkey END) OVER w, first_value(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) AS found FROM inp WINDOW w AS (PARTITION BY l_orderkey)")
@@ -542,7 +541,7 @@ QUERIES["flagship"] = flagship
 ORACLES["flagship"] = """WITH f AS (SELECT o_orderkey % 100 AS package_id, o_orderkey % 3 AS b, o_custkey AS c FROM orders),
 r AS (SELECT package_id, CASE WHEN b = 0 THEN 'ubuntu' ELSE 'debian' END AS ecosystem, 'lib' || (c % 40) AS name FROM f UNION SELECT package_id, 'pypi', 'p' || (c % 30) FROM f UNION SELECT package_id, 'npm', 'q' || (c % 20) FROM f)
 SELECT ecosystem, count(*) AS packages FROM r WHERE NOT (ecosystem = 'pypi' AND EXISTS (SELECT 1 FROM part p WHERE p.p_partkey % 100 = r.package_id AND 'p' || (p.p_partkey % 30) = r.name)) GROUP BY 1"""
-for _cases in (registry_cases, lookup_cases, blank_cases):
+for _cases in (registry_cases, lookup_cases, blank_cases, token_cases):
     QUERIES |= _cases.QUERIES
     ORACLES |= _cases.ORACLES
 for _name, _sql in list(ORACLES.items()):

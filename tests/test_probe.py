@@ -3,7 +3,7 @@ import tarfile
 
 import pytest
 
-from tessera.operators import archive, probe
+from tessera.operators import archive, probe, ranking
 
 
 def test_probe(spark):
@@ -18,7 +18,7 @@ def test_probe(spark):
 
 def test_first_repository_and_pages(spark):
     hits = spark.createDataFrame([("a", 1, "community"), ("a", 0, "main"), ("b", 1, "community")], "name string, repo_rank int, repo string")
-    assert {(r.name, r.repo) for r in probe.first_repository(hits, ["name"]).collect()} == {("a", "main"), ("b", "community")}
+    assert {(r.name, r.repo) for r in ranking.first_repository(hits, ["name"]).collect()} == {("a", "main"), ("b", "community")}
     items = spark.createDataFrame([("k", 0, "p0", [1, 2]), ("k", 1, "p1", None), ("k", 2, "p2", None)], "key string, pos int, page_id string, inline array<int>")
     pages = spark.createDataFrame([("p1", [3])], "page_id string, fetched array<int>")
     assert sorted(r.entry for r in probe.paged(items, pages).collect()) == [1, 2, 3]
