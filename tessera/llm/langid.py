@@ -5,8 +5,9 @@ sample of labelled rows (``max_train`` documents). Prediction streams every whol
 small score table (``buckets`` x languages floats, so its broadcast size is fixed by parameters).
 
 A text is rejected where the softmax is unsure at every language, or where its subwords are rarer in the
-training texts than those of any kept-back text: so unlearned languages and gibberish go, and a text
-that is torn between two learned languages stays. Both levels are calibrated on kept-back texts.
+training texts than those of nearly any kept-back piece of its length: so unlearned languages and
+gibberish go, and a text that is torn between two learned languages stays. Both levels are calibrated on
+kept-back texts, the second one for each length, as short texts vary more.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ class LangModel:
     """``table[bucket]`` holds a subword's logit for each language; confidence is softmax at ``temperature``.
 
     ``seen[bucket]`` is the log share of a subword in the training texts; its mean over a text is the
-    text's familiarity.
+    text's familiarity. ``strange_below`` holds the least familiarity that passes at the log numbers of
+    subwords ``strange_at``, with straight lines between.
     """
 
     langs: tuple[str, ...]
@@ -42,25 +44,69 @@ class LangModel:
     temperature: float
     reject_below: float
     seen: np.ndarray
-    strange_below: float
+    strange_at: np.ndarray
+    strange_below: np.ndarray
 
+    def is_strange(self, familiarity: float, n: int) -> bool:
+        return bool(len(self.strange_at)) and familiarity < np.interp(np.log(n), self.strange_at, self.strange_below)
 
-#: Subwords from which on familiarity counts (about 60 letters, the shortest pieces it is calibrated on).
-LEAST = 150
 
+#: Lengths in characters of the pieces that familiarity is calibrated on. Its level lies beyond the rarest of
+#: them by a share of their distance from the middle: ``MARGIN``, and ``ODD`` characters' worth for one odd word.
+LENGTHS, MARGIN, ODD = (2, 4, 8, 15, 30, 60, 120, 250, 500, 1000, 2000), 0.15, 2
+#: Bytes whose subwords are looked up at once.
+STEP = 1 << 20
 
-def subwords(text: str, buckets: int) -> np.ndarray:
-    """Bucket numbers of all byte 2-, 3- and 4-grams of the lower-cased text (word edges are blanks)."""
-    raw = b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_BLANK).split()) + b" "
-    b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
+
+_DIGIT = regex.compile(rb"[0-9]").search
+
+
+def plain(text: str) -> bytes:
+    """Lower-cased words in UTF-8 with single blanks between and around them; words that hold digits (keys, addresses) only if there are no others."""
+    words = text.lower().encode("utf-8", "replace").split()
+    for kept in ([w for w in words if not _DIGIT(w)], words):
+        found = b" ".join(b" ".join(kept).translate(_BLANK).split())
+        if found:
+            break
+    return b" " + found + b" "
+
+
+def subwords(text: str | bytes, buckets: int, begin: int = 0, count: int | None = None) -> np.ndarray:
+    """Bucket numbers of the byte 2-, 3- and 4-grams of a text; with ``count``, of those of its ``plain`` bytes that begin in a stretch."""
+    raw = plain(text) if isinstance(text, str) else text
+    n = len(raw) - begin if count is None else count
+    b = np.frombuffer(raw[begin : begin + n + 3], dtype=np.uint8).astype(np.uint32)
     two = (b[:-1] << np.uint32(8)) | b[1:]
-    parts = [two * _MIX[0]]
-    if len(b) > 3:
-        parts.append(((two[:-1] << np.uint32(8)) | b[2:]) * _MIX[1])
-        parts.append(((two[:-2] << np.uint32(16)) | two[2:]) * _MIX[2])
+    parts = [two[:n] * _MIX[0]]
+    if len(raw) > 3:
+        parts.append((((two[:-1] << np.uint32(8)) | b[2:]) * _MIX[1])[:n])
+        parts.append((((two[:-2] << np.uint32(16)) | two[2:]) * _MIX[2])[:n])
     return np.concatenate(parts) >> np.uint32(32 - int(buckets).bit_length() + 1)
 
 
+def stretches(text: str, buckets: int):
+    """The subwords of a whole text, each once, in portions of bounded size."""
+    raw = plain(text)
+    for begin in range(0, len(raw), STEP):
+        yield subwords(raw, buckets, begin, STEP)
+
+
+def _levels(texts: list[str], seen: np.ndarray, keep: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log numbers of subwords, least familiarity) over pieces of each length from all over the texts."""
+    at, below = [], []
+    for length in LENGTHS:
+        each = 12 if length < 100 else 4
+        found = [(float(seen[idx].mean()), len(idx)) for t in texts for j in range(each) if _LETTER(piece := t[(begin := max(0, len(t) - length) * j // (each - 1)) : begin + length]) for idx in [subwords(piece, len(seen))]]
+        if found:
+            known, sizes = np.array(found).T
+            edge, middle = np.quantile(known, [1 - keep, 0.5])
+            size = float(np.log(np.median(sizes)))
+            if not at or size > at[-1]:
+                at.append(size)
+                below.append(edge - (MARGIN + ODD / length) * (middle - edge))
+    return np.array(at), np.array(below)
+
+
 def train(texts: list[str], langs: list[str], *, buckets: int = 1 << 15, dim: int = 16, epochs: int = 3, rate: float = 0.5, keep: float = 0.9995, seed: int = 7) -> LangModel:
     """Fit on labelled texts; every tenth one is kept back to set the temperature and the rejection level.
 
@@ -69,7 +115,7 @@ def train(texts: list[str], langs: list[str], *, buckets: int = 1 << 15, dim: in
     """
     names = tuple(sorted(set(langs)))
     if not names:
-        return LangModel((), np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.1, np.zeros(buckets, np.float32), -np.inf)
+        return LangModel((), np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.1, np.zeros(buckets, np.float32), np.zeros(0), np.zeros(0))
     rng, k = np.random.default_rng(seed), len(names)
     emb, out, bias = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32), np.zeros((dim, k), np.float32), np.zeros(k, np.float32)
     target = np.array([names.index(x) for x in langs])
@@ -105,15 +151,10 @@ def train(texts: list[str], langs: list[str], *, buckets: int = 1 << 15, dim: in
     floor = float(np.quantile(right, 1 - keep)) if len(right) else 1.0
     count = np.ones(buckets)
     for i in fit:
-        for at in range(0, len(texts[i]), 1 << 20):
-            count += np.bincount(subwords(texts[i][at : at + (1 << 20)], buckets), minlength=buckets)
+        for idx in stretches(texts[i], buckets):
+            count += np.bincount(idx, minlength=buckets)
     seen = np.log(count / count.sum()).astype(np.float32)
-    known = [float(seen[idx].mean()) for idx in (subwords(t, buckets) for t, _ in pieces) if len(idx) >= LEAST]
-    strange = -np.inf
-    if known:
-        edge, middle = np.quantile(known, [1 - keep, 0.5])
-        strange = float(edge - (middle - edge))  # as far beyond the rarest kept-back pieces as these are from the middle
-    return LangModel(names, table.astype(np.float32), bias, float(best), min(floor * 0.8, 1.5 / k if k > 1 else 0.5), seen, strange)
+    return LangModel(names, table.astype(np.float32), bias, float(best), min(floor * 0.8, 1.5 / k if k > 1 else 0.5), seen, *_levels([texts[i] for i in check], seen, keep))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -130,12 +171,11 @@ def predict_one(model: LangModel, text: str | None) -> tuple[str, float, bool]:
     if text is None or not model.langs or not _LETTER(text):
         return UNDETERMINED, 0.0, True
     buckets, total, n, known = len(model.table), np.zeros(len(model.langs), np.float64), 0, 0.0
-    for at in range(0, len(text), 1 << 20):  # whole texts in steps, so that memory stays bounded
-        idx = subwords(text[at : at + (1 << 20)], buckets)
+    for idx in stretches(text, buckets):  # in steps, so that memory stays bounded
         total += np.array([model.table[:, c][idx].sum(dtype=np.float64) for c in range(total.size)])
         known += float(model.seen[idx].sum(dtype=np.float64))
         n += len(idx)
-    strange = n >= LEAST and known / n < model.strange_below
+    strange = model.is_strange(known / n, n)
     p = _softmax((total / n + model.bias) / model.temperature)
     best = int(p.argmax())
     return model.langs[best], float(p[best]), bool(strange or p[best] < model.reject_below)

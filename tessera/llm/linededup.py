@@ -60,15 +60,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document and stay alike; rows with equal id and other text are different documents. No limit on
     the number of lines or copies; a text is held by one task, as in the input.
     """
-    found = repeated_runs(docs, id_col, text_col, run, words).withColumnsRenamed({c: f"__{c}" for c in ("doc", "version", "cut", "n_runs")})
+    own = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns))  # no column of the input begins with so many
+    doc, version, lost, runs = (own + c for c in ("doc", "version", "cut", "n_runs"))
+    found = repeated_runs(docs, id_col, text_col, run, words).withColumnsRenamed({c: own + c for c in ("doc", "version", "cut", "n_runs")})
     rest = docs.drop("lines_cut", "runs_cut")
-    match = F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__version"))
+    match = F.col(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(text_col) == F.col(version))
     lines = F.split(text_col, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__cut"))
-    text = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    count = F.coalesce(F.size(F.array_intersect(F.col("__cut"), F.sequence(F.lit(0), F.size(lines) - 1))), F.lit(0)).cast("long")
-    new = {"lines_cut": F.when(F.col("__cut").isNull(), F.lit(0).cast("long")).otherwise(count), "runs_cut": F.coalesce("__n_runs", F.lit(0)).cast("long"), text_col: text}
-    return rest.join(found, match, "left").withColumns(new).drop("__doc", "__version", "__cut", "__n_runs")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
+    text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    count = F.coalesce(F.size(F.array_intersect(F.col(lost), F.sequence(F.lit(0), F.size(lines) - 1))), F.lit(0)).cast("long")
+    new = {"lines_cut": F.when(F.col(lost).isNull(), F.lit(0).cast("long")).otherwise(count), "runs_cut": F.coalesce(runs, F.lit(0)).cast("long"), text_col: text}
+    return rest.join(found, match, "left").withColumns(new).drop(doc, version, lost, runs)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,3 +249,36 @@ def test_language_id_rejects_what_it_has_not_learned(spark):
     assert sum(langid.predict_one(model, t)[2] for t, _ in rows) <= len(rows) // 500
     torn = " ".join(next(t for t, x in rows if x == lang and len(t) > 500)[:500] for lang in ("en", "de"))
     assert not langid.predict_one(model, torn)[2]
+
+
+def test_language_id_rejects_left_out_languages(spark):
+    """Of each language left out of training at least nine tenths go, of the learned ones kept back at most one in a hundred."""
+    rows = [(r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL AND doc_id % 3 = 0").collect()]
+    for out in sorted({x for _, x in rows}):
+        fit = [r for i, r in enumerate(rows) if r[1] != out and i % 2]
+        model = langid.train([t for t, _ in fit], [x for _, x in fit])
+        gone = [langid.predict_one(model, t)[2] for t, x in rows if x == out]
+        kept = [langid.predict_one(model, t)[2] for i, (t, x) in enumerate(rows) if x != out and i % 2 == 0]
+        assert np.mean(gone) >= 0.9 and np.mean(kept) <= 0.01, (out, np.mean(gone), np.mean(kept))
+
+
+def test_short_gibberish_is_rejected_and_cuts_lose_nothing(spark):
+    rows = [(r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL AND doc_id % 3 = 0").collect()]
+    model = langid.train([t for t, _ in rows], [x for _, x in rows])
+    assert langid.predict_one(model, "xqzv jkwq")[2] and langid.predict_one(model, "Wszyscy ludzie rodzą się wolni")[2]
+    text = "Häuser the là " * 300 + "é"
+    whole = np.sort(langid.subwords(text, 1 << 12))
+    step, langid.STEP = langid.STEP, 101
+    try:
+        assert np.array_equal(np.sort(np.concatenate(list(langid.stretches(text, 1 << 12)))), whole)
+    finally:
+        langid.STEP = step
+
+
+def test_line_dedup_with_clashing_names(spark, docs):
+    odd = {"source": "__doc", "lang": "___version", "n_chars": "__cut", "lines_cut": "__n_runs"}
+    got = linededup.line_dedup(docs.withColumnsRenamed(odd))
+    plainly = linededup.line_dedup(docs)
+    assert set(odd.values()) <= set(got.columns)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    assert [(r.doc_id, r.text, r.lines_cut) for r in sorted(got.collect(), key=key)] == [(r.doc_id, r.text, r.lines_cut) for r in sorted(plainly.collect(), key=key)]
