@@ -7,6 +7,7 @@ oracle tests the operator and not the input. One query, ``html_meta``, builds it
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,9 @@ ORACLES: dict = {}
 def rows(spark: SparkSession, sf_dir: str, sql: str, spread: str | None = None) -> DataFrame:
     """Run input SQL over the Parquet tables of ``sf_dir``; rows of the table ``spread`` are dealt over all cores first."""
     if spread:
-        table = readers.spread(spark.read.parquet(f"{sf_dir}/{spread}.parquet"))
-        return spark.sql(sql.replace(f"{{{spread}}}", "{table}"), table=table)
+        view = f"spread_{uuid.uuid4().hex}"
+        readers.spread(spark.read.parquet(f"{sf_dir}/{spread}.parquet")).createOrReplaceTempView(view)
+        sql = sql.replace(f"{{{spread}}}", view)
     return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
 
 
@@ -382,7 +384,7 @@ _CRATES = "SELECT p_partkey AS k, replace(p_name, ' ', '-') AS name, CASE p_part
 @query("registry_crates", _CRATES, """
 , v AS (SELECT *, CASE WHEN version IS NULL THEN 1 ELSE 0 END AS i FROM inp)
 SELECT 'crates' AS ecosystem, name, coalesce(version, '2.0') AS version, CAST(epoch(CAST(replace(json_extract_string(body, '$.versions[' || i || '].created_at'), 'Z', '') AS TIMESTAMP)) AS BIGINT) AS published_at, '2.0' AS latest_version, json_extract_string(body, '$.crate.description') AS description,
- json_extract_string(body, '$.versions[' || i || '].license') AS license, CAST(json_extract_string(body, '$.crate.downloads') AS BIGINT) AS downloads_total, CASE WHEN i = 0 THEN 'yanked' END AS deprecated FROM v""")
+ json_extract_string(body, '$.versions[' || i || '].license') AS license, CAST(json_extract_string(body, '$.crate.downloads') AS BIGINT) AS downloads_total, CASE WHEN i = 0 THEN 'yanked' END AS deprecated FROM v""", spread="part")
 def _(df):
     return registry.normalize(df, "cargo").select("ecosystem", "name", "version", "published_at", "latest_version", "description", "license", "downloads_total", "deprecated")
 
@@ -393,12 +395,12 @@ _NPM = "SELECT p_partkey AS k, 'p' || p_partkey AS name, CASE p_partkey % 3 WHEN
 @query("registry_npm", _NPM, """
 SELECT name, coalesce(version, '1.1.0') AS version, CASE WHEN version = '1.0.0' THEN 1577836800 WHEN version = '9.9.9' THEN 1640995200 ELSE 1609459200 END AS published_at, CAST(3 AS BIGINT) AS release_count,
  CASE WHEN version = '1.0.0' THEN NULL WHEN version = '9.9.9' THEN 1609459200 ELSE 1577836800 END AS previous_published_at, CASE WHEN version = '1.0.0' THEN 'MIT' WHEN version IS NULL THEN 'ISC' END AS license, coalesce(version, '') = '9.9.9' AS version_removed,
- CASE WHEN version = '1.0.0' THEN true END AS publisher_in_maintainers, CASE WHEN version = '1.0.0' THEN 'mail.example' END AS publisher_email_domain, CASE WHEN version = '1.0.0' THEN true WHEN version IS NULL THEN false END AS has_install_script, CASE WHEN version IS NULL THEN k END AS unpacked_size FROM inp""")
+ CASE WHEN version = '1.0.0' THEN true END AS publisher_in_maintainers, CASE WHEN version = '1.0.0' THEN 'mail.example' END AS publisher_email_domain, CASE WHEN version = '1.0.0' THEN true WHEN version IS NULL THEN false END AS has_install_script, CASE WHEN version IS NULL THEN k END AS unpacked_size FROM inp""", spread="part")
 def _(df):
     return registry.normalize(df, "npm").select("name", "version", "published_at", "release_count", "previous_published_at", "license", "version_removed", "publisher_in_maintainers", "publisher_email_domain", "has_install_script", "unpacked_size")
 
 
-@query("registry_homebrew", "SELECT p_partkey AS k, replace(p_name, ' ', '-') AS name, CAST(NULL AS STRING) AS version, '{\"name\": \"f' || p_partkey || '\", \"versions\": {\"stable\": \"' || p_size || '\"}, \"analytics\": {\"install\": {\"30d\": {\"a\": ' || p_size || ', \"b\": 5}}}, \"deprecated\": false, \"disabled\": ' || CASE p_partkey % 2 WHEN 0 THEN 'true' ELSE 'false' END || '}' AS body FROM {part}", "SELECT 'f' || k AS name, json_extract_string(body, '$.versions.stable') AS version, CAST(json_extract_string(body, '$.versions.stable') AS BIGINT) + 5 AS downloads_recent, CASE WHEN k % 2 = 0 THEN 'disabled' END AS deprecated FROM inp")
+@query("registry_homebrew", "SELECT p_partkey AS k, replace(p_name, ' ', '-') AS name, CAST(NULL AS STRING) AS version, '{\"name\": \"f' || p_partkey || '\", \"versions\": {\"stable\": \"' || p_size || '\"}, \"analytics\": {\"install\": {\"30d\": {\"a\": ' || p_size || ', \"b\": 5}}}, \"deprecated\": false, \"disabled\": ' || CASE p_partkey % 2 WHEN 0 THEN 'true' ELSE 'false' END || '}' AS body FROM {part}", "SELECT 'f' || k AS name, json_extract_string(body, '$.versions.stable') AS version, CAST(json_extract_string(body, '$.versions.stable') AS BIGINT) + 5 AS downloads_recent, CASE WHEN k % 2 = 0 THEN 'disabled' END AS deprecated FROM inp", spread="part")
 def _(df):
     return registry.normalize(df, "homebrew").select("name", "version", "downloads_recent", "deprecated")
 
