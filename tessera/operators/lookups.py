@@ -153,16 +153,42 @@ def _prefixes(stem: Column, digit: bool) -> Column:
 
 def index_entries(indexes: DataFrame, kind: str) -> DataFrame:
     """(url, pos, name, body) for each package that ``indexes(url, body)`` list, in order; names that fit several ways come several times."""
-    column = F.col("body")
+    return _named(indexes.select("url", F.posexplode(_parts(F.col("body"), kind)).alias("pos", "body")), kind)
+
+
+def _parts(body: Column, kind: str) -> Column:
+    """The entries of an index, or of a piece of one, in order."""
     if kind in ("alpine", "wolfi", "debian", "ubuntu", "netbsd"):
-        parts = _stanzas(column)
-    elif kind in ("opensuse", "rpmfusion"):
-        parts = F.regexp_extract_all(column, F.lit("(?s)(<package.*?</package>)"), 1)
-    elif kind == "freebsd":
-        parts = F.split(column, "\r?\n")
-    else:
-        parts = F.filter(F.split(column, f"[{BLANK}]+"), lambda t: F.endswith(t, F.lit(".tgz")))
-    rows = indexes.select("url", F.posexplode(parts).alias("pos", "body"))
+        return _stanzas(body)
+    if kind in ("opensuse", "rpmfusion"):
+        return F.regexp_extract_all(body, F.lit("(?s)(<package.*?</package>)"), 1)
+    if kind == "freebsd":
+        return F.split(body, "\r?\n")
+    return F.filter(F.split(body, f"[{BLANK}]+"), lambda t: F.endswith(t, F.lit(".tgz")))
+
+
+#: What parts the pieces that index files are read in; each holds whole entries.
+SEPARATORS = {"opensuse": "</package>", "rpmfusion": "</package>", "freebsd": "\n", "openbsd": "\n"}
+
+
+def index_file_entries(files: DataFrame, paths: dict[str, str], kind: str) -> DataFrame:
+    """The same from files: ``paths`` names the file of each URL of ``files(url, rank)``.
+
+    A file is read in pieces by Spark's text source (compressed ones by its codecs), so no index is held
+    in one row; ``pos`` sorts as the entries stand in the file. Stanzas end at an empty line without a
+    carriage return.
+    """
+    spark, end = files.sparkSession, SEPARATORS.get(kind, "\n\n")
+    out = None
+    for url, path in paths.items():
+        place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+        pieces = spark.read.option("lineSep", end).text(path).select(F.lit(url).alias("url"), place.alias("at"), (F.concat("value", F.lit(end)) if end.startswith("<") else F.col("value")).alias("piece"))
+        one = pieces.select("url", "at", F.posexplode(_parts(F.col("piece"), kind)).alias("sub", "body")).select("url", F.struct("at", "sub").alias("pos"), "body")
+        out = one if out is None else out.unionByName(one)
+    return _named(out, kind)
+
+
+def _named(rows: DataFrame, kind: str) -> DataFrame:
     if kind in ("netbsd", "openbsd"):
         stem = stanza_field("body", "PKGNAME=") if kind == "netbsd" else F.regexp_replace(F.substring_index("body", "/", -1), r"\.tgz\z", "")
         return rows.select("url", "pos", F.explode(_prefixes(stem, kind == "openbsd")).alias("name"), "body")
@@ -183,21 +209,22 @@ def index_urls(kind: str, serve: Callable[[DataFrame], DataFrame] | None = None,
     return named.where("url IS NOT NULL")
 
 
-def index_lookup(asked: DataFrame, indexes: DataFrame, kind: str) -> DataFrame:
+def index_lookup(asked: DataFrame, indexes: DataFrame, kind: str, entries: DataFrame | None = None) -> DataFrame:
     """(name, url, body): for each distinct ``asked(name)`` its first entry in the first of ``indexes(url, rank, body)`` that has one.
 
-    Entries of all indexes are made in one pass and meet the distinct names in one join; what is left of
-    a name is reduced before the shuffle. Names that no index has drop out.
+    Entries of all indexes are made in one pass (or given, as by :func:`index_file_entries`) and meet the
+    distinct names in one join; what is left of a name is reduced before the shuffle. Names that no
+    index has drop out.
     """
     names = asked.select("name").where("name IS NOT NULL").distinct()
-    entries = index_entries(indexes, kind).join(indexes.select("url", "rank"), "url")
-    found = entries.join(names, "name")
+    entries = index_entries(indexes, kind) if entries is None else entries
+    found = entries.join(indexes.select("url", "rank"), "url").join(names, "name")
     return found.groupBy("name").agg(F.min_by(F.struct("url", "body"), F.struct("rank", "pos")).alias("first")).select("name", "first.url", "first.body")
 
 
-def index_records(asked: DataFrame, indexes: DataFrame, kind: str) -> DataFrame:
+def index_records(asked: DataFrame, indexes: DataFrame, kind: str, entries: DataFrame | None = None) -> DataFrame:
     """Records of ``asked(purl, name)`` from a distribution's indexes, under ``purl``."""
-    found = index_lookup(asked, indexes, kind).drop("url")
+    found = index_lookup(asked, indexes, kind, entries).drop("url")
     docs = asked.select("purl", "name").join(found, "name").withColumn("version", F.lit(None).cast("string"))
     return registry.normalize(docs, kind, ("purl",))
 

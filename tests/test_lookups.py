@@ -50,3 +50,26 @@ def test_requests_are_known_by_body_and_headers(spark):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     keys = [r.k for r in df.select(fetching.request_key(df).alias("k")).collect()]
     assert keys == [sha("meta:u"), sha("meta:u:a:1"), sha("meta:u:a:1;b:2"), sha("meta:u"), sha("post:u:" + sha("x")), sha("post:u:" + sha("y")), sha("post:u:" + sha("x"))]
+
+
+@pytest.mark.parametrize("kind, name, body", [
+    ("debian", "Packages.gz", "Package: a\nVersion: 1\n\nPackage: b\nVersion: 2\n\n\nPackage: a\nVersion: 3\n"),
+    ("netbsd", "pkg_summary.gz", "PKGNAME=a-1\n\nPKGNAME=b-2\n\nPKGNAME=a-3"),
+    ("openbsd", "index.txt", "x a-1.tgz\nx b-2.tgz\ny a-3.tgz\n"),
+    ("opensuse", "primary.xml.gz", '<m packages="2"><package><name>a</name><version ver="1"/></package>\n<package><name>b</name><version ver="2"/></package><package><name>a</name><version ver="3"/></package></m>'),
+    ("freebsd", "site.yaml", '{"name":"a","version":"1"}\n{"name":"b","version":"2"}\n{"name":"a","version":"3"}\n'),
+])
+def test_index_files_give_what_bodies_give(spark, tmp_path, kind, name, body):
+    import gzip
+
+    files = {}
+    for i, text in enumerate(("", body, body.replace("b", "c"))):
+        path = tmp_path / f"{i}-{name}"
+        path.write_bytes(gzip.compress(text.encode()) if name.endswith(".gz") else text.encode())
+        files[f"u{i}"] = (i, text, str(path))
+    indexes = spark.createDataFrame([(u, r, t) for u, (r, t, _) in files.items()], "url string, rank int, body string")
+    asked = spark.createDataFrame([(n, n) for n in "abcd"], "purl string, name string")
+    want = {(r.purl, r.version) for r in lookups.index_records(asked, indexes, kind).collect()}
+    entries = lookups.index_file_entries(indexes.drop("body"), {u: p for u, (_, _, p) in files.items()}, kind)
+    got = {(r.purl, r.version) for r in lookups.index_records(asked, indexes.drop("body"), kind, entries).collect()}
+    assert got == want == {("a", "1"), ("b", "2"), ("c", "2")}
