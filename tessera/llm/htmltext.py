@@ -19,9 +19,10 @@ from .texts import texts
 
 WINDOW, SURGE = 3, 80
 
+#: Quotes hold a value only behind an equals sign; stray ones are characters like others.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe|object|select)\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][\w:-]*)((?>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^<>])*))(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)

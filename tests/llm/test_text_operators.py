@@ -282,3 +282,11 @@ def test_line_dedup_with_clashing_names(spark, docs):
     assert set(odd.values()) <= set(got.columns)
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
     assert [(r.doc_id, r.text, r.lines_cut) for r in sorted(got.collect(), key=key)] == [(r.doc_id, r.text, r.lines_cut) for r in sorted(plainly.collect(), key=key)]
+
+
+def test_stray_quotes_end_with_their_tag():
+    long = "Words of the article that go on for a while, so that they count. " * 3
+    page = f'<article><p class=x">Hello {long}</p><p title="a > b" id=\'c\'>{long}</p><p alt="open>{long}</p><p>last {long}</p></article>'
+    text = htmltext.main_text(page)
+    assert text.startswith("Hello Words") and "class" not in text and "<" not in text and "b" not in text[:5]
+    assert len(htmltext.main_text("<p " + 'a="b" ' * 30000 + "<p>")) > 100_000  # no tag without its end, found without backtracking
