@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .running import RANGE, ranged, running
@@ -11,8 +13,23 @@ MAX_AGE, MAX_CACHE_BYTES, EVERY = 30 * 86400, 10 << 30, 86400
 
 
 def due(last_sweep: int | None, now: int, every: int = EVERY) -> bool:
-    """Whether the daily gate is open; a marker from the future keeps it shut for a day at most."""
-    return last_sweep is None or abs(now - last_sweep) >= every
+    """Whether the daily gate is open; a marker from the future doesn't shut it."""
+    return last_sweep is None or now < last_sweep or now - last_sweep >= every
+
+
+#: Session settings of the sweep: retention in days, and the ceiling in bytes.
+DAYS_SETTING, BYTES_SETTING = "spark.tessera.cache.days", "spark.tessera.cache.bytes"
+
+
+def settings(spark: SparkSession, default_bytes: int = MAX_CACHE_BYTES) -> tuple[int, int]:
+    """(seconds of retention, ceiling in bytes) of a session; what isn't a positive whole number of 64 bits counts as not set."""
+
+    def positive(name: str, default: int) -> int:
+        text = spark.conf.get(name, "")
+        value = int(text) if re.fullmatch(r"\+?[0-9]+", text) else 0
+        return value if 0 < value < 1 << 64 else default
+
+    return min(positive(DAYS_SETTING, MAX_AGE // 86400) * 86400, (1 << 63) - 1), min(positive(BYTES_SETTING, default_bytes), (1 << 63) - 1)
 
 
 def evict(entries: DataFrame, now: int | Column, component: str = "component", path: str = "path", modified: str = "modified", size: str = "bytes", max_age: int = MAX_AGE, max_bytes: int = MAX_CACHE_BYTES) -> DataFrame:

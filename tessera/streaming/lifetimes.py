@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.sweep import EVERY
+from ..operators.sweep import EVERY, due
 
 
 def expirations(answers: DataFrame, delay: str = "0 seconds") -> DataFrame:
@@ -45,10 +45,9 @@ def expirations(answers: DataFrame, delay: str = "0 seconds") -> DataFrame:
 def due_sweeps(ticks: DataFrame, every: int = EVERY) -> DataFrame:
     """(component, at, last): those of ``ticks(component, at long seconds)`` at which a component is due for its sweep.
 
-    A component is due at its first tick, and when ``every`` seconds lie between a tick and the last one
-    that was due; a marker from the future counts by its distance too, so a clock that was set back shuts
-    the gate for a day at most. ``last`` is the marker before, null at first. Ticks of a batch are taken
-    in the order of time.
+    A component is due at its first tick, and when ``every`` seconds have passed since the last one that
+    was due; a marker from the future (a clock that was set back) doesn't shut the gate. ``last`` is the
+    marker before, null at first. Ticks of a batch are taken in the order of time.
     """
     rows = ticks.where("component IS NOT NULL AND at IS NOT NULL")
 
@@ -56,7 +55,7 @@ def due_sweeps(ticks: DataFrame, every: int = EVERY) -> DataFrame:
         last = state.get[0] if state.exists else None
         out = []
         for at in sorted({int(x) for batch in batches for x in batch["at"]}):
-            if last is None or abs(at - last) >= every:
+            if due(last, at, every):
                 out.append((key[0], at, last))
                 last = at
         if out:

@@ -48,3 +48,16 @@ def test_claim_and_evict_equal_serial_runs(spark):
             by = "age" if 60 - modified > 40 else "size" if over and left > 900 else None
             assert got[c, path] == by
             left -= size if by == "size" else 0
+
+
+def test_sweep_gate_and_settings(spark):
+    assert sweep.due(None, 5) and sweep.due(10, 9) and sweep.due(0, 86400) and not sweep.due(0, 86399) and not sweep.due(7, 7)
+    assert sweep.settings(spark) == (30 * 86400, 10 << 30)
+    try:
+        for days, size, want in (("2", "7", (2 * 86400, 7)), ("0", "-1", (30 * 86400, 5)), ("x", "", (30 * 86400, 5)), ("99999999999999999999", "18446744073709551616", (30 * 86400, 5)), ("18446744073709551615", "+3", ((1 << 63) - 1, 3))):
+            spark.conf.set(sweep.DAYS_SETTING, days)
+            spark.conf.set(sweep.BYTES_SETTING, size)
+            assert sweep.settings(spark, 5) == want
+    finally:
+        spark.conf.unset(sweep.DAYS_SETTING)
+        spark.conf.unset(sweep.BYTES_SETTING)
