@@ -182,8 +182,27 @@ def resolve_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve_with_documents(refs, documents).select("k", "resolved_url")
 
 
-QUERIES = {"resolve_market": resolve_market, "lookup_records": lookup_records, "registry_dispatch": registry_dispatch} | {f"index_{k}": _index_query(k) for k in INDEXES}
+#: Package URLs of the open extension registry, the document each asks for, and what it answers.
+_OPEN = [
+    ("pkg:openvsx/ns/x@k", "https://open-vsx.org/api/ns/x@k", '{"files": {"download": "https://f/@k"}}', "https://f/@k"),
+    ("pkg:openvsx/ns/x@k@1.2", "https://open-vsx.org/api/ns/x@k/1.2", '{"files": {"download": "https://f/@k-1.2"}}', "https://f/@k-1.2"),
+    ("pkg:vscode-extension/ns/x@k@3?repository_url=https://open-vsx.org", "https://open-vsx.org/api/ns/x@k/3", '{"files": {"download": "https://f/@k-3"}}', "https://f/@k-3"),
+    ("pkg:openvsx/ns/x@k@9", "https://open-vsx.org/api/ns/x@k/9", '{"files": {}}', None),
+    ("pkg:openvsx/plain@k", "https://open-vsx.org/api/plain@k", '{"files": {"download": "https://f/none"}}', None),
+]
+
+
+def resolve_openvsx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Download URLs of extensions that their registry's document names."""
+    keys = _table(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("c_custkey", "k")
+    at = lambda i: F.element_at(F.array(*[_k(o[i]) for o in _OPEN]), (F.col("k") % len(_OPEN) + 1).cast("int"))
+    refs = keys.select("k", F.lit("purl").alias("locator_type"), at(0).alias("locator"))
+    return resolve.resolve_with_documents(refs, keys.select(at(1).alias("url"), at(2).alias("body"))).select("k", "resolved_url")
+
+
+QUERIES = {"resolve_openvsx": resolve_openvsx, "resolve_market": resolve_market, "lookup_records": lookup_records, "registry_dispatch": registry_dispatch} | {f"index_{k}": _index_query(k) for k in INDEXES}
 ORACLES = {
+    "resolve_openvsx": f"SELECT c_custkey AS k, CASE c_custkey % {len(_OPEN)} " + " ".join(f"WHEN {i} THEN replace('{o[3]}', '@k', '' || c_custkey)" for i, o in enumerate(_OPEN) if o[3]) + " END AS resolved_url FROM customer",
     "resolve_market": """SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 5 > 1 THEN 'https://pub.gallery.vsassets.io/_apis/public/gallery/publisher/pub/extension/e' || c_custkey || '/' || CASE WHEN c_custkey % 4 = 0 THEN '8.' ELSE '9.' END || c_custkey || '/assetbyname/Microsoft.VisualStudio.Services.VSIXPackage' END AS resolved_url FROM customer""",
     "lookup_records": _RECORDS,
     "registry_dispatch": f"SELECT p_partkey AS k, CASE p_partkey % {len(DISPATCH)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(DISPATCH.values()) if v) + " END AS kind FROM part",
