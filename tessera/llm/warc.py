@@ -57,6 +57,16 @@ def header_value(head: bytes, name: str) -> str | None:
     return found[1].decode("utf-8", "replace") if found else None
 
 
+def fields_of(head: bytes) -> dict[str, str]:
+    """The fields of a record's header by lower-case name; the first value of each counts."""
+    out: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").split("\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
 def _split_http(block: bytes) -> tuple[bytes, bytes]:
     """(head with its empty line, payload) of an HTTP message."""
     ends = [(at, at + len(end)) for end in (END, b"\n\n") if (at := block.find(end)) >= 0]
@@ -110,14 +120,15 @@ class WarcParser:
         end = held.find(END, pos)
         if end < 0:
             return None, pos - begin, len(held) - pos + 1
-        head = bytes(held[pos : end + 2])
-        length = header_value(head, "Content-Length")
-        if not head.startswith(b"WARC/") or not (length or "").isdigit():
+        head = bytes(held[pos:end])
+        fields = fields_of(head)
+        length = fields.get("content-length", "")
+        if not head.startswith(b"WARC/") or not length.isdigit():
             raise ValueError(f"not a WARC record: {head[:200]!r}")
         stop = end + 4 + int(length)
         if len(held) < stop:
             return None, pos - begin, stop - pos
-        return {"head": head, "block": bytes(held[end + 4 : stop])}, stop - begin, 1
+        return {"fields": fields, "block": bytes(held[end + 4 : stop])}, stop - begin, 1
 
 
 def _records(batches, parser) -> Iterator[dict]:
@@ -236,7 +247,7 @@ def record_id(archive: str, offset: int) -> str:
 
 
 def convert_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The WARC equivalents of ARC records; without ``payloads`` the last two columns are empty.
+    """The WARC equivalents of ARC records; ``payloads`` come with their heads but without ``payload_sha256``, which comes without them.
 
     HTTP messages become ``response`` records, the payload being what follows the HTTP head; all else
     (DNS answers, bare contents) becomes a ``resource`` of its type, ``-`` and no-type being octets.
@@ -259,7 +270,7 @@ def convert_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFr
                 header_value(head, ID_HEADER),
                 len(payload),
                 sha1_base32(payload),
-                hashlib.sha256(payload).digest(),
+                b"" if payloads else hashlib.sha256(payload).digest(),  # told by the pass that looks for equal payloads
                 head if payloads else b"",
                 payload if payloads else b"",
             )
@@ -338,18 +349,18 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
     def run(batches):
         for r in _records(batches, WarcParser):
-            told = lambda name: header_value(r["head"], name)
-            kind = told("WARC-Type")
+            told = r["fields"].get
+            kind = told("warc-type")
             if kind == "warcinfo":
                 continue
-            http = (told("Content-Type") or "").startswith("application/http")
+            http = told("content-type", "").startswith("application/http")
             head, payload = _split_http(r["block"]) if http else (b"", r["block"])
-            declared, block = ((told(f"WARC-{n}-Digest") or "").removeprefix("sha1:") for n in ("Payload", "Block"))
+            declared, block = (told(f"warc-{n}-digest", "").removeprefix("sha1:") for n in ("payload", "block"))
             again = kind == "revisit"
             digest = declared if again else sha1_base32(payload)
             intact = block in ("", sha1_base32(r["block"])) and declared in ("", digest)
-            length = int(told("X-Payload-Length") or 0) if again else len(payload)
-            yield told("WARC-Record-ID"), kind, told("WARC-Target-URI"), told("WARC-Date"), header_value(head, ID_HEADER), length, digest, told("WARC-Refers-To"), intact, payload if payloads else b""
+            length = int(told("x-payload-length", 0)) if again else len(payload)
+            yield told("warc-record-id"), kind, told("warc-target-uri"), told("warc-date"), header_value(head, ID_HEADER), length, digest, told("warc-refers-to"), intact, payload if payloads else b""
 
     return _pieces(spark, path).mapInArrow(lambda batches: _batches(run(batches), schema, lambda r: 256 + len(r[-1])), _BACK)
 
