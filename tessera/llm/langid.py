@@ -5,9 +5,10 @@ sample of labelled rows (``max_train`` documents). Prediction streams every whol
 small score table (``buckets`` x languages floats, so its broadcast size is fixed by parameters).
 
 A text is rejected where the softmax is unsure at every language, or where its subwords are rarer in the
-training texts than those of nearly any kept-back piece of its length: so unlearned languages and
-gibberish go, and a text that is torn between two learned languages stays. Both levels are calibrated on
-kept-back texts, the second one for each length, as short texts vary more.
+training texts than those of nearly any kept-back piece with as many different ones: so unlearned
+languages and gibberish go, and a text that is torn between two learned languages stays, as does a word
+said over and over. Both levels are calibrated on kept-back texts, the second one for each number of
+different subwords, as texts of few vary more.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ class LangModel:
 
     ``seen[bucket]`` is the log share of a subword in the training texts; its mean over a text is the
     text's familiarity. ``strange_below`` holds the least familiarity that passes at the log numbers of
-    subwords ``strange_at``, with straight lines between.
+    different subwords ``strange_at``, with straight lines between.
     """
 
     langs: tuple[str, ...]
@@ -92,11 +93,11 @@ def stretches(text: str, buckets: int):
 
 
 def _levels(texts: list[str], seen: np.ndarray, keep: float) -> tuple[np.ndarray, np.ndarray]:
-    """(log numbers of subwords, least familiarity) over pieces of each length from all over the texts."""
+    """(log numbers of different subwords, least familiarity) over pieces of each length from all over the texts."""
     at, below = [], []
     for length in LENGTHS:
         each = 12 if length < 100 else 4
-        found = [(float(seen[idx].mean()), len(idx)) for t in texts for j in range(each) if _LETTER(piece := t[(begin := max(0, len(t) - length) * j // (each - 1)) : begin + length]) for idx in [subwords(piece, len(seen))]]
+        found = [(float(seen[idx].mean()), len(np.unique(idx))) for t in texts for j in range(each) if _LETTER(piece := t[(begin := max(0, len(t) - length) * j // (each - 1)) : begin + length]) for idx in [subwords(piece, len(seen))]]
         if found:
             known, sizes = np.array(found).T
             edge, middle = np.quantile(known, [1 - keep, 0.5])
@@ -171,11 +172,13 @@ def predict_one(model: LangModel, text: str | None) -> tuple[str, float, bool]:
     if text is None or not model.langs or not _LETTER(text):
         return UNDETERMINED, 0.0, True
     buckets, total, n, known = len(model.table), np.zeros(len(model.langs), np.float64), 0, 0.0
+    met = np.zeros(buckets, bool)
     for idx in stretches(text, buckets):  # in steps, so that memory stays bounded
+        met[idx] = True
         total += np.array([model.table[:, c][idx].sum(dtype=np.float64) for c in range(total.size)])
         known += float(model.seen[idx].sum(dtype=np.float64))
         n += len(idx)
-    strange = model.is_strange(known / n, n)
+    strange = model.is_strange(known / n, np.count_nonzero(met))
     p = _softmax((total / n + model.bias) / model.temperature)
     best = int(p.argmax())
     return model.langs[best], float(p[best]), bool(strange or p[best] < model.reject_below)
