@@ -62,7 +62,7 @@ def packages(purls: DataFrame, purl: str = "purl") -> DataFrame:
     p = parse("purl")
     kind = registry.dispatch(p["type"], p["path"], F.col("purl"))
     name = F.when(F.col("kind").isin(*BY_LAST), last_segment("path")).otherwise(F.col("path"))
-    rows = purls.select(F.col(purl).alias("purl")).distinct().select("purl", kind.alias("kind"), p["path"].alias("path"), p["version"].alias("version"))
+    rows = purls.select(F.col(purl).alias("purl")).distinct().select("purl", F.explode(F.array(F.struct(kind.alias("kind"), p["path"].alias("path"), p["version"].alias("version")))).alias("p")).select("purl", "p.*")  # evaluated once
     return rows.where("kind IS NOT NULL").select("purl", "kind", name.alias("name"), "version", registry_url("purl").alias("url"))
 
 
