@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import sha256_hex
 from ..functions.text import col
+from ..sources.stages import meet
 from .running import RANGE, ranged, running
 
 #: Fixed values, in seconds: artifact lifetimes by pin, metadata lifetimes by tier, touch interval.
@@ -97,7 +98,7 @@ def fetch(refs: DataFrame, cache: DataFrame, responses: DataFrame, now: int, *,
     rows = refs.where(selected("locator_type", "kind", F.lit(True), fetch_urls)).withColumn("key", artifact_key("locator"))
     held = cache.select("key", F.col("fetched_at").alias("c_at"), F.col("content").alias("c_content"))
     got = responses.select(F.col("url").alias("resolved_url"), "status", F.col("content").alias("r_content"), F.col("error").alias("r_error"), F.lit(True).alias("answered"))
-    rows = rows.join(held, "key", "left").join(got, "resolved_url", "left")
+    rows = meet(meet(rows, held, "key", "left"), got, "resolved_url", "left")
     fresh = F.coalesce(is_fresh("c_at", F.lit(now), artifact_lifetime(F.col("pin_value").isNotNull())), F.lit(False))
     target = F.col("is_target") & F.col("resolved_url").isNotNull()
     rows = rows.withColumns({"hit": fresh & target, "miss": target & ~fresh})
@@ -135,7 +136,7 @@ def documents(asked: DataFrame, cache: DataFrame, responses: DataFrame, now: int
     facts = lambda side, mark: [(F.col(f) if f in side.columns else F.lit(None).cast(t)).alias(mark + f) for f, t in FACTS.items()]
     held = cache.select("key", F.col("fetched_at").alias("c_at"), F.col("content").alias("c_content"), *facts(cache, "c_"))
     answers = responses.select(request_key(responses).alias("key"), F.col("content").alias("r_content"), F.col("error").alias("r_error"), *facts(responses, "r_"))
-    rows = urls.join(held, "key", "left").join(answers, "key", "left")
+    rows = meet(meet(urls, held, "key", "left"), answers, "key", "left")
     fresh = is_fresh("c_at", F.lit(now), metadata_lifetime(tier))
     live = F.when(F.col("r_error").isNull(), F.col("r_content"))
     served = F.when(fresh, "cache").when(live.isNotNull(), "network").when(F.col("c_at").isNotNull(), "stale")
@@ -152,4 +153,4 @@ def recorded(reads: DataFrame, served: DataFrame, key: list[str], urls: str = "u
     """
     asked = reads.select(*key, F.posexplode(urls).alias("pos", "url"))
     got = served.where("content IS NOT NULL").select("url", *FACTS, "content")
-    return asked.join(got, "url").select(*key, "pos", "url", *FACTS, "content")
+    return meet(asked, got, "url").select(*key, "pos", "url", *FACTS, "content")

@@ -18,7 +18,7 @@ from ..functions.json import jparts, jstr, ju64
 from ..functions.purl import last_segment, parse
 from ..functions.scalars import primary_href, stanza_field, tag_text
 from ..functions.text import BLANK
-from ..sources.stages import cut
+from ..sources.stages import cut, meet
 from . import registry
 from .probe import registry_url
 from .resolve import MARKET, market_query
@@ -123,9 +123,9 @@ def follow(asked: DataFrame, serve: Callable[[DataFrame], DataFrame], rounds=ROU
         made = state.select("purl", F.explode(wanted(F.col("docs")).cast(_REQUEST)).alias("r")).where("r.url IS NOT NULL").select("purl", "r.*")
         wants = made.withColumn("key", request_key(made))
         served = serve(wants.groupBy("key").agg(*[F.first(c).alias(c) for c in ("url", "headers", "body")]).drop("key"))
-        got = wants.select("purl", "slot", "key").join(served.select("key", F.col("content").cast("string").alias("content")).where("content IS NOT NULL"), "key")
+        got = meet(wants.select("purl", "slot", "key"), served.select("key", F.col("content").cast("string").alias("content")).where("content IS NOT NULL"), "key")
         whole = got.groupBy("purl").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("slot", "content")))).alias("__new"))
-        state = state.join(whole, "purl", "left").withColumn("docs", F.map_concat("docs", F.coalesce("__new", F.create_map().cast("map<string,string>")))).drop("__new")
+        state = meet(state, whole, "purl", "left").withColumn("docs", F.map_concat("docs", F.coalesce("__new", F.create_map().cast("map<string,string>")))).drop("__new")
     return state
 
 
@@ -218,14 +218,14 @@ def index_lookup(asked: DataFrame, indexes: DataFrame, kind: str, entries: DataF
     """
     names = asked.select("name").where("name IS NOT NULL").distinct()
     entries = index_entries(indexes, kind) if entries is None else entries
-    found = entries.join(indexes.select("url", "rank"), "url").join(names, "name")
+    found = meet(entries.join(F.broadcast(indexes.select("url", "rank")), "url"), names, "name")
     return found.groupBy("name").agg(F.min_by(F.struct("url", "body"), F.struct("rank", "pos")).alias("first")).select("name", "first.url", "first.body")
 
 
 def index_records(asked: DataFrame, indexes: DataFrame, kind: str, entries: DataFrame | None = None) -> DataFrame:
     """Records of ``asked(purl, name)`` from a distribution's indexes, under ``purl``."""
     found = index_lookup(asked, indexes, kind, entries).drop("url")
-    docs = asked.select("purl", "name").join(found, "name").withColumn("version", F.lit(None).cast("string"))
+    docs = meet(asked.select("purl", "name"), found, "name").withColumn("version", F.lit(None).cast("string"))
     return registry.normalize(docs, kind, ("purl",))
 
 

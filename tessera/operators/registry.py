@@ -18,6 +18,7 @@ from ..functions.scalars import (
     stanza_field, strip_email, strip_html, tag_attribute, tag_text, text_after, timestamp_seconds, ymd_seconds,
 )
 from ..functions.text import BLANK, group_of, lower_ascii, trim
+from ..sources.stages import meet
 from .fetching import recorded
 
 FIELDS = {
@@ -536,11 +537,11 @@ def inline_pages(docs: DataFrame, pages: DataFrame, key: list[str], body: str =
     """
     page = "struct<items: array<struct<`@id`: string, items: string>>>"
     listed = docs.select(*key, F.posexplode(F.from_json(body, page)["items"]).alias("pos", "page"))
-    met = listed.join(pages.select(F.col("url").alias("__url"), F.get_json_object("content", "$.items").alias("__items")), F.col("page.items").isNull() & (F.col("page.`@id`") == F.col("__url")), "left")
+    met = meet(listed, pages.select(F.col("url").alias("__url"), F.get_json_object("content", "$.items").alias("__items")), F.col("page.items").isNull() & (F.col("page.`@id`") == F.col("__url")), "left")
     one = F.concat(F.lit('{"items":'), F.coalesce(F.col("page.items"), F.col("__items"), F.lit("[]")), F.lit("}"))
     whole = met.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("text")))).alias("__pages"))
     made = F.concat(F.lit('{"items":['), F.array_join(F.transform("__pages", lambda p: p["text"]), ","), F.lit("]}"))
-    return docs.drop(body).join(whole.select(*key, made.alias(body)), key, "left")
+    return meet(docs.drop(body), whole.select(*key, made.alias(body)), key, "left")
 
 
 def normalize(docs: DataFrame, kind: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -578,7 +579,7 @@ def with_sources(asked: DataFrame, served: DataFrame, kind: str, key: tuple[str,
     sources = recorded(asked, served, list(key))
     at = lambda n: F.max(F.when(F.col("pos") == n, F.col("content").cast("string")))
     bodies = sources.groupBy(*key).agg(at(0).alias("body"), at(1).alias("body2"), at(2).alias("body3"))
-    return normalize(asked.select(*key, "name", "version").join(bodies, list(key)), kind, key), sources
+    return normalize(meet(asked.select(*key, "name", "version"), bodies, list(key)), kind, key), sources
 
 
 def with_age(records: DataFrame, now: int) -> DataFrame:

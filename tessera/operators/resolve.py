@@ -9,6 +9,7 @@ from ..functions.json import jstr
 from ..functions.purl import coordinate, goproxy_escape, is_web_scheme, last_segment, parse, purl_qualifier, qualifier_of, purl_rest, purl_type, safe_coordinate, safe_filename_part
 from ..functions.scalars import percent_decoded
 from ..functions.text import col
+from ..sources.stages import meet
 
 
 def resolve_oci(rest: Column, decode: bool = True) -> Column:
@@ -119,7 +120,7 @@ def resolve_with_documents(refs: DataFrame, documents: DataFrame, locator_type:
     asked = refs.withColumns({"__posted": F.coalesce(post, F.lit("")), "__doc_url": F.when(post.isNotNull(), F.lit(MARKET)).otherwise(F.when(is_purl, metadata_url(locator)))})
     posted = F.coalesce("posted", F.lit("")) if "posted" in documents.columns else F.lit("")
     found = documents.groupBy(F.col("url").alias("__doc_url"), posted.alias("__posted")).agg(F.first("body").alias("__body"))
-    rows = asked.join(found, ["__doc_url", "__posted"], "left").withColumn("__doc", F.try_parse_json("__body"))
+    rows = meet(asked, found, ["__doc_url", "__posted"], "left").withColumn("__doc", F.try_parse_json("__body"))
     p = parse(locator)
     kind, path, version = p["type"], p["path"], p["version"]
     doc = F.col("__doc")

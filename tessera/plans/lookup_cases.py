@@ -138,7 +138,7 @@ def _index_query(kind: str):
             bodies = bodies.withColumn("url", F.concat("base", F.lit("/repodata/primary.xml.gz")))
         else:
             urls, bodies = lookups.index_urls(kind, spark=spark, repositories=where), bodies.withColumnRenamed("base", "url")
-        indexes = urls.join(bodies.select("url", "body"), "url")
+        indexes = bodies.select("url", "body").join(F.broadcast(urls), "url")
         lines = _table(spark, sf_dir, "lineitem", "l_partkey").withColumnRenamed("l_partkey", "k")
         asked = lookups.packages(lines.select(_k(INDEXES[kind][0]).alias("purl")))
         return lookups.index_records(asked, indexes, kind).select("purl", "ecosystem", "name", "version", "author")

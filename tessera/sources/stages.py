@@ -1,4 +1,4 @@
-"""Tables between the stages of a plan, in the folder that driver and executors share."""
+"""Between the stages of a plan: tables in the folder that driver and executors share, and joins of growing tables."""
 
 from __future__ import annotations
 
@@ -21,3 +21,12 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def meet(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two growing tables by shuffle, whatever their sizes are taken for.
+
+    Spark takes a table made from a narrow column (exploded rows, long texts) for not much larger than the
+    column, and would send it whole through the driver to all executors.
+    """
+    return left.join(right.hint("merge"), on, how)

@@ -73,3 +73,24 @@ def test_index_files_give_what_bodies_give(spark, tmp_path, kind, name, body):
     entries = lookups.index_file_entries(indexes.drop("body"), {u: p for u, (_, _, p) in files.items()}, kind)
     got = {(r.purl, r.version) for r in lookups.index_records(asked, indexes.drop("body"), kind, entries).collect()}
     assert got == want == {("a", "1"), ("b", "2"), ("c", "2")}
+
+
+def test_growing_answers_meet_by_shuffle(spark, tmp_path):
+    """Answers made from a narrow table look small to Spark; sent whole through the driver they aren't."""
+    spark.range(1000).write.parquet(str(tmp_path / "keys"))
+    url = F.concat(F.lit("u"), "id")
+    keys = spark.read.parquet(str(tmp_path / "keys"))
+    answers = keys.select(url.alias("url"), F.repeat(F.lit("x"), 1000).alias("content"), F.lit(None).cast("string").alias("error"))
+    cache = spark.createDataFrame([], "key string, fetched_at bigint, content binary")
+    plans = []
+
+    def serve(requests):
+        served = fetching.documents(requests.withColumn("tier", F.lit("unpinned")), cache, answers, 0)
+        plans.append(served._jdf.queryExecution().executedPlan().toString())
+        return served
+
+    asked = keys.select(F.concat(F.lit("p"), "id").alias("purl"), F.lit("k").alias("kind"), F.lit("n").alias("name"), F.lit(None).cast("string").alias("version"), url.alias("url"))
+    state = lookups.follow(asked, serve, (lambda docs: F.array(lookups.request("body", F.col("url"))),))
+    plans.append(state._jdf.queryExecution().executedPlan().toString())
+    assert state.where("length(docs['body']) = 1000").count() == 1000
+    assert all("SortMergeJoin" in p and "BroadcastExchange" not in p for p in plans)
