@@ -372,11 +372,14 @@ def with_offset(refs: DataFrame, files: DataFrame) -> DataFrame:
     return joined.withColumn("offset", F.coalesce(byte_offset("__text", "evidence"), byte_offset("__text", anchor("locator_type", "locator")), F.lit(0).cast("long"))).drop("__text")
 
 
-def undeclared_packages(refs: DataFrame, package: str = "package_id") -> DataFrame:
-    """Packages that commands install and no dependency declares, versions apart: one anti-join by coordinate."""
-    keyed = refs.where("locator_type = 'purl'").withColumn("coordinate", coordinate("locator"))
-    declared = keyed.where("kind = 'dependency'").select(package, "coordinate").distinct()
-    return keyed.where("kind = 'command'").join(declared, [package, "coordinate"], "left_anti")
+def undeclared_packages(refs: DataFrame, package: str = "package_id", declared: DataFrame | None = None) -> DataFrame:
+    """Packages that commands install and no dependency declares, versions apart: one anti-join by coordinate.
+
+    Dependencies are looked for in ``refs``, or in ``declared`` alone, so that ``refs`` are made once.
+    """
+    keyed = lambda df: df.where("locator_type = 'purl'").withColumn("coordinate", coordinate("locator"))
+    known = keyed(refs if declared is None else declared).where("kind = 'dependency'").select(package, "coordinate").distinct()
+    return keyed(refs).where("kind = 'command'").join(known, [package, "coordinate"], "left_anti")
 
 
 def file_type(path, first_line) -> Column:

@@ -532,10 +532,11 @@ FLAGSHIP = "SELECT o_orderkey % 100 AS package_id, o_orderkey AS file_id, 'docke
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages that a project's container files install and it doesn't declare, counted by ecosystem."""
     files = rows(spark, sf_dir, FLAGSHIP, "orders")
+    files = files.groupBy("package_id", "file_type", "text").agg(F.min("file_id").alias("file_id"))  # equal files of a package name the same packages
     files = files.withColumn("file_id", F.struct("package_id", "file_id"))  # the package travels with its file
     refs = recognize.references(files, offsets=False).select("file_id.package_id", "locator_type", "locator", "kind")
     declared = rows(spark, sf_dir, "SELECT p_partkey % 100 AS package_id, 'purl' AS locator_type, 'pkg:pypi/p' || (p_partkey % 30) || '@2' AS locator, 'dependency' AS kind FROM {part}")
-    found = recognize.undeclared_packages(refs.unionByName(declared))
+    found = recognize.undeclared_packages(refs, declared=declared)
     return found.groupBy(F.regexp_extract("locator", "^pkg:([^/]*)/", 1).alias("ecosystem")).agg(F.countDistinct("package_id", "coordinate").alias("packages"))
 
 

@@ -124,3 +124,18 @@ def test_html_meta_searches_whole_pages(spark, tmp_path):
     assert catalogue.whole_pages(spark, str(tmp_path)).where("k = 2").selectExpr("length(html) > 70000 AS whole").first().whole
     got = {r.k: (r.title, r.updated, r.users) for r in catalogue.QUERIES["html_meta"](spark, str(tmp_path)).collect()}
     assert got == {1: ("Page 1", 1683244800, 7), 2: ("Page 2", 1709424000, 1102)}
+
+
+def test_flagship_reads_its_files_once(spark):
+    plan = catalogue.flagship(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1  # references are made once, not again to look for dependencies among them
+
+
+def test_dependencies_told_apart(spark):
+    from tessera.operators import recognize
+
+    refs = spark.createDataFrame([(1, "purl", "pkg:npm/a@1", "command"), (1, "purl", "pkg:npm/b@1", "command"), (2, "purl", "pkg:npm/a@1", "command"), (1, "url", "pkg:npm/c", "command")], "package_id int, locator_type string, locator string, kind string")
+    declared = spark.createDataFrame([(1, "purl", "pkg:npm/a@2", "dependency"), (1, "purl", "pkg:npm/b@1", "other")], refs.schema)
+    got = recognize.undeclared_packages(refs, declared=declared)
+    assert sorted((r.package_id, r.locator) for r in got.collect()) == [(1, "pkg:npm/b@1"), (2, "pkg:npm/a@1")]
+    assert sorted(got.collect()) == sorted(recognize.undeclared_packages(refs.unionByName(declared)).collect())
