@@ -89,39 +89,47 @@ def distro_ecosystem(family, distro) -> Column:
     return F.when(family == "apt", F.when(distro == "ubuntu", "ubuntu").otherwise("debian")).when(family == "apk", F.when(distro == "wolfi", "wolfi").otherwise("alpine")).otherwise(family)
 
 
-def _consumed(toks: Column, at: Column, rule: str, args: tuple) -> Column:
+def _rules() -> Column:
+    """The rules of each head in their order, as a map."""
+    held: dict[str, list[Column]] = {}
+    for heads, rule, args, family in MANAGERS:
+        words = args if rule == "then" else ()
+        begin, width, pattern = args if rule in ("within", "pip module") else (0, 0, "")
+        one = F.struct(
+            F.lit(rule).alias("rule"), F.lit(family).alias("family"), F.array(*[F.lit(v) for v in (args if rule == "verb" else ())]).cast("array<string>").alias("verbs"),
+            F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in words]).cast("array<array<string>>").alias("words"), F.lit(begin).alias("begin"), F.lit(width).alias("width"), F.lit(pattern).alias("pattern"),
+        )
+        for head in heads:
+            held.setdefault(head, []).append(one)
+    return F.create_map(*[c for head, rules in held.items() for c in (F.lit(head), F.array(*rules))])
+
+
+def _consumed(toks: Column, at: Column, rule: Column) -> Column:
     """Tokens that a rule takes from place ``at`` on; null if it doesn't apply."""
     token = lambda n: F.get(toks, at + n)
-    if rule == "now":
-        return F.lit(1)
-    if rule == "verb":
-        rest = F.transform(F.slice(toks, at + 2, F.size(toks)), lambda t: ~t.startswith("-"))
-        place = F.array_position(rest, True).cast("int")
-        return F.when((place > 0) & token(place).isin(*args), place + 1)
-    if rule == "then":
-        found = [F.when(_all([token(i + 1) == t for i, t in enumerate(words)]), F.lit(len(words) + 1)) for words in args]
-        return F.coalesce(*found)
-    begin, width, pattern = args
-    hit = F.array_position(F.transform(F.slice(toks, at + 1 + begin, F.lit(width)), lambda t: t.rlike(pattern)), True).cast("int")
-    found = F.when(hit > 0, hit + begin)
-    return F.when((token(1) == "-m") & (token(2) == "pip"), found) if rule == "pip module" else found
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+    place = F.array_position(F.transform(F.slice(toks, at + 2, F.size(toks)), lambda t: ~t.startswith("-")), True).cast("int")
+    verb = F.get(F.transform(F.array(place), lambda n: F.when((n > 0) & F.array_contains(rule["verbs"], token(n)), n + 1)), F.lit(0))
+    then = F.size(F.get(F.filter(rule["words"], lambda ws: F.slice(toks, at + 2, F.size(ws)) == ws), F.lit(0))) + 1
+    patterns = dict.fromkeys(args[2] for _, kind, args, _ in MANAGERS if kind in ("within", "pip module"))
+    fits = lambda t: F.coalesce(*[F.when(rule["pattern"] == p, t.rlike(p)) for p in patterns])
+    hit = F.array_position(F.transform(F.slice(toks, at + 1 + rule["begin"], rule["width"]), fits), True).cast("int")
+    found = F.get(F.transform(F.array(hit), lambda n: F.when(n > 0, n + rule["begin"])), F.lit(0))
+    return (
+        F.when(rule["rule"] == "verb", verb).when(rule["rule"] == "then", then).when(rule["rule"] == "now", F.lit(1))
+        .when((rule["rule"] == "within") | (token(1) == "-m") & (token(2) == "pip"), found)
+    )
 
 
 def match_manager(toks: Column) -> Column:
-    """Array of at most one struct (family, args_from): the first token place at which a manager's command starts."""
+    """Array of at most one struct (family, args_from): the first token place at which a manager's command starts.
+
+    The head's own rules alone are tried, out of a map.
+    """
+    rules = _rules()
 
     def here(at: Column) -> Column:
-        head = F.get(toks, at)
-        cases = [F.when(head.isin(*heads), F.struct(F.lit(family).alias("family"), (at + _consumed(toks, at, rule, args)).alias("args_from"))) for heads, rule, args, family in MANAGERS]
-        valid = [F.when(c["args_from"].isNotNull(), c) for c in cases]
-        return F.coalesce(*valid)
+        cases = F.transform(F.element_at(rules, F.get(toks, at)), lambda r: F.struct(r["family"].alias("family"), (at + _consumed(toks, at, r)).alias("args_from")))
+        return F.get(F.filter(cases, lambda c: c["args_from"].isNotNull()), F.lit(0))
 
     heads = [h for rule in MANAGERS for h in rule[0]]
     places = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda i: F.get(toks, i).isin(*heads))

@@ -61,3 +61,18 @@ def test_scalar_functions():
     assert percent_decode_one("a%20b%zz+%") == "a b%zz+%"
     blocked = ["127.0.0.1", "10.1.1.1", "::1", "::ffff:10.0.0.1", "fe80::1", "fc00::1", "2002:0a00:0001::", "64:ff9b::7f00:1", "169.254.1.1"]
     assert all(blocked_ip_one(x) for x in blocked) and not any(blocked_ip_one(x) for x in ["8.8.8.8", "2606:4700::1111"]) and blocked_ip_one("x") is None
+
+
+def test_managers_rules_by_head(spark):
+    """A head tries its own rules only: the expression doesn't name each rule in a case of its own."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators.recognize import match_manager
+
+    cases = {
+        "sudo apt-get -y install a": ("apt", 4), "apt-get -y": None, "npm global add x": ("npm", 3), "npm -g i x": ("npm", 3), "npx a": ("npm", 1), "cpan install a": ("cpan", 2), "cpan a": ("cpan", 1), "uv tool install a": ("pypi", 3), "uv tool": None,
+        "pip --x install a": ("pypi", 3), "python -m pip install a": ("pypi", 4), "python -m x install a": None, "pacman a -Syu b": ("arch", 3), "yay -x -y -z --sync a": ("aur", 5), "yay a b c d --sync": None, "go npm i x": ("npm", 3), "echo": None,
+    }
+    df = spark.createDataFrame([(k, k.split()) for k in cases], "k string, toks array<string>").select("k", match_manager(F.col("toks")).alias("m"))
+    assert {r.k: tuple(r.m[0]) if r.m else None for r in df.collect()} == cases
+    assert df._jdf.queryExecution().analyzed().toString().count("CASE WHEN") < 20
